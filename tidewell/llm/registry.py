@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import sql
+from tidewell.llm import op9_chat, sql
 from tidewell.llm.op1_quality import quality_rules
+from tidewell.llm.op2_url import url_filter
+from tidewell.llm.op4_bpe import bpe_round_trip
 from tidewell.llm.tables import table
 
 
@@ -15,10 +18,33 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return op9_chat.digests(op9_chat.read_back(op9_chat.format_windows(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op9_chat_formatting": sql.CHAT_FORMATTING,
 }

@@ -45,3 +45,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   n_soft, host_rate, host_verdict
 FROM s JOIN x USING (host)
 """
+
+CHAT_FORMATTING = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(replace(replace(replace(replace(replace(replace(text, '\', '\'), '<s>', '<\s>'), '<r>', '<\r>'),
+      '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS body,
+    length(replace(replace(replace(replace(replace(replace(replace(role, '\', '\'), '<s>', '<\s>'), '<r>', '<\r>'),
+      '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), chr(10), '<\n>')) AS head
+  FROM c
+), t AS (
+  SELECT *, row_number() OVER p - 1 AS i,
+    coalesce(sum((length(text) + 3) // 4 + 1) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512 AS w
+  FROM e WINDOW p AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), f AS (
+  SELECT conv_id, w, min(i) AS i0 FROM t GROUP BY conv_id, w
+), n AS (
+  SELECT t.conv_id, sum(4 + head + body + 4) AS formatted_chars
+  FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id
+    AND (t.w = f.w OR t.w < f.w AND (t.i >= f.i0 - 2 OR t.i = 0 AND t.role = 'system'))
+  GROUP BY t.conv_id
+)
+SELECT t.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  any_value(formatted_chars)::BIGINT AS formatted_chars
+FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+"""
