@@ -55,17 +55,18 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Token bytes by id, ids of single bytes, and the merges as sorted arrays."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, letters = spec["model"], byte_letters()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = 1 + max([*model["vocab"].values(), *self.special.values()])
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        size = 1 + max([*model["vocab"].values(), *added.values()])
         self.token_bytes = [b""] * size
         for token, i in model["vocab"].items():
-            self.token_bytes[i] = bytes(letters[c] for c in token) if token not in self.special else token.encode()
-        for token, i in self.special.items():
+            self.token_bytes[i] = bytes(letters[c] for c in token) if token not in added else token.encode()
+        for token, i in added.items():
             self.token_bytes[i] = token.encode()
+        self.special = added if special else {}
         self.byte_ids = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.byte_ids[byte] = model["vocab"][letter]
@@ -101,8 +102,9 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, special: bool = True) -> Vocabulary:
+    """One vocabulary per Python worker. Without ``special``, strings of special tokens are ordinary text."""
+    return Vocabulary(path, special)
 
 
 def encode_short(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:

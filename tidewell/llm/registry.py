@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import op9_chat, sql
 from tidewell.llm.op1_quality import quality_rules
+from tidewell.llm.op10_tokens import document_token_counts
 from tidewell.llm.op2_url import url_filter
+from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op4_bpe import bpe_round_trip
 from tidewell.llm.tables import table
 
@@ -22,6 +24,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -37,11 +43,17 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_chat.digests(op9_chat.read_back(op9_chat.format_windows(turns)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
