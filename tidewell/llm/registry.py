@@ -13,6 +13,7 @@ from tidewell.llm.op10_tokens import document_token_counts
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op4_bpe import bpe_round_trip
+from tidewell.llm.op7_jaccard import jaccard_join
 from tidewell.llm.tables import table
 
 
@@ -32,6 +33,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -52,11 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op7_ngram_jaccard": sql.JACCARD_JOIN,
     "op9_chat_formatting": sql.CHAT_FORMATTING,
 }

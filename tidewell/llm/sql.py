@@ -75,3 +75,23 @@ SELECT t.conv_id, count(*) AS n_turns,
   any_value(formatted_chars)::BIGINT AS formatted_chars
 FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2)::BIGINT)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) USING (doc_id)
+"""
