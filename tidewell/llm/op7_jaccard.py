@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.arrow import arrays, sorted_runs
 from tidewell.llm.bytes import RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
 from tidewell.llm.tables import stored
@@ -85,11 +86,6 @@ def bitmaps(elements: np.ndarray, percent: int) -> list[dict]:
     return [{"band": b, "bits": bitmap(elements, b)} for b in both]
 
 
-def arrays(parts: list[np.ndarray], kind: type) -> pa.Array:
-    sizes = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*parts, np.array([], kind)]).astype(kind)))
-
-
 def upper_half(elements: np.ndarray) -> np.ndarray:
     return (elements >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -158,24 +154,6 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shar
     return docs.join(chosen, "doc_id").select("text", "common").mapInArrow(build, schema).where("n > 0").dropDuplicates(["c"])
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """The runs of equal keys (column number ``key``) of a sorted partition, each as one table."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        values = np.asarray(batch.column(key))
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                if held and values[a] != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = values[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def leader_links(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Links found by comparing the sets of a tile with at most LEADERS of them. Memory: the leaders."""
 

@@ -13,6 +13,8 @@ from tidewell.llm.op10_tokens import document_token_counts
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op4_bpe import bpe_round_trip
+from tidewell.llm.op5_topk import top_k
+from tidewell.llm.op6_substring import repeated_paragraphs
 from tidewell.llm.op7_jaccard import jaccard_join
 from tidewell.llm.tables import table
 
@@ -33,6 +35,14 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -57,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
+    "op5_exact_top_k": sql.TOP_K,
     "op7_ngram_jaccard": sql.JACCARD_JOIN,
     "op9_chat_formatting": sql.CHAT_FORMATTING,
 }
