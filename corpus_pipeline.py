@@ -1,8 +1,66 @@
-"""The corpus pipeline: quality rules."""
+"""The corpus pipeline: quality rules, near-duplicate join, substring dedup, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but
+the last return the columns of documents. Rows are documents; rows that share a doc_id and a
+text count as one document for the stages that remove copies.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm.op1_quality import quality_rules
+from tidewell.llm.op3_packing import best_fit_packing
+from tidewell.llm.op6_substring import repeated_paragraphs, without_spans
+from tidewell.llm.op7_jaccard import jaccard_join
+from tidewell.llm.tables import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their host's verdict reject go."""
+    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the least doc_id.
+
+    Links are those of operator 7 at five words and a Jaccard similarity of 0.8.
+    """
+    groups = jaccard_join(docs, size=5, percent=80)
+    stays = groups.where("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
+    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and passages are cut out of all documents but the first; emptied ones go."""
+    spans = stored(repeated_paragraphs(docs).select("doc_id", "t", "start", "end"), "spans")
+    cut = without_spans(docs, spans)
+    return cut.where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "").withColumn(
+        "n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    )
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substrings),
+    ("best_fit_packing", packing),
+]
+
+#: MinHash buckets and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -117,6 +117,7 @@ def may_link(own: DataFrame, classes: DataFrame, percent: int, shared: int) -> D
     chosen = own.join(classes.select("c", "doc_id"), ["c", "doc_id"], "left_semi")
     postings = chosen.select("doc_id", "n", F.explode("first").alias("h"))
     counts = postings.groupBy("h").agg(F.count("*").cast("int").alias("in_all")).where("in_all > 1")
+    counts = stored(counts, "counts")  # joined as a table of its own, a frequent element's rows can be split
     kept = postings.select("h", "doc_id", F.col("n").cast("int").alias("n")).join(counts, "h")
     common = kept.groupBy("doc_id").agg(F.min("n").alias("n"), F.collect_list(F.struct("in_all", "h")).alias("common"))
     least = F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)) - 1
