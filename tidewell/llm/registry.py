@@ -16,6 +16,7 @@ from tidewell.llm.op4_bpe import bpe_round_trip
 from tidewell.llm.op5_topk import top_k
 from tidewell.llm.op6_substring import repeated_paragraphs
 from tidewell.llm.op7_jaccard import jaccard_join
+from tidewell.llm.op8_suffix import remove_repeats
 from tidewell.llm.tables import table
 
 
@@ -47,6 +48,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
