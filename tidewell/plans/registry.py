@@ -1,4 +1,8 @@
 """All registered queries of the time-series, vector and token operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tidewell.plans import series, series_sql
+
+QUERIES = dict(series.QUERIES)
+ORACLE_SQL = dict(series_sql.ORACLE_SQL)
