@@ -99,10 +99,10 @@ def test_change_point_of_a_shift():
 def test_bootstrap_pools_pairs_inside_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=60)
-    df = frame(spark, [("a", i, float(v)) for i, v in enumerate(x)], "k string, g long, v double")
-    got = memory.block_bootstrap(df, ["k"], "v", [2], block=10, reps=4, seed=1).orderBy("rep").collect()
-    size = df.groupBy("k").agg((F.max("g") + 1).alias("n"))
-    starts = memory.block_starts(size, ["k"], 10, 4, 1).collect()
+    df = frame(spark, [("a", i, float(v)) for i, v in enumerate(x)], "series string, g long, v double")
+    got = memory.block_bootstrap(df, ["series"], "v", [2], block=10, reps=4, seed=1).orderBy("rep").collect()
+    size = df.groupBy("series").agg((F.max("g") + 1).alias("n"))
+    starts = memory.block_starts(size, ["series"], 10, 4, 1).collect()
     y = x - x.mean()
     for r in got:
         pairs = np.array([(y[s.s + j], y[s.s + j + 2]) for s in starts if s.rep == r.rep for j in range(8)])
