@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import permutations
 
 from pyspark.ml.feature import PCA
@@ -95,6 +96,30 @@ def centroid_drift(df: DataFrame, period: str, vector: str) -> DataFrame:
     )
 
 
+def between_within(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean distance of labels' centroids from the grand mean, mean distance of rows from their centroid, and the ratio."""
+    centroids = with_residual(mean_vector(df, [label], vector, "c"), [], "c").agg(F.avg("residual_norm").alias("between"))
+    within = with_residual(df, [label], vector).groupBy(label).agg(F.avg("residual_norm").alias("w")).agg(F.avg("w").alias("within"))
+    return centroids.join(within).withColumn("ratio", safe_div(F.col("between"), F.col("within")))
+
+
+def standard_normal(*parts: Column) -> Column:
+    """A normal draw from the hash of the parts (Box-Muller): the same in any partitioning."""
+    unit = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), *parts), 11) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))
+
+
+def gaussian_angle_null(df: DataFrame, key: str, size: int, reps: int, seed: int) -> DataFrame:
+    """Angles of pairs of independent normal vectors, a pair for each key and replicate: mean and deviation.
+
+    Lengths do not change angles, so the vectors are not rescaled.
+    """
+    rows = df.select(key).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    draw = lambda side: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: standard_normal(F.lit(seed), F.lit(side), F.col(key), F.col("rep"), i))
+    angles = rows.select(draw(1).alias("a"), draw(2).alias("b")).select(angle(F.col("a"), F.col("b")).alias("angle"))
+    return angles.agg(F.count("*").alias("n"), F.avg("angle").alias("mean"), F.stddev_pop("angle").alias("std"))
+
+
 def principal_shares(df: DataFrame, vector: str, k: int = 3) -> tuple[list[float], DataFrame]:
     """Shares of variance of the first k components, and the scores of each row."""
     fitted = PCA(k=k, inputCol="_x", outputCol="_s").fit(data := df.withColumn("_x", array_to_vector(vector)))

@@ -66,6 +66,18 @@ def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors.centroid_drift(rows, "period", "v"))
 
 
+def between_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the labels' centroids around the grand mean, within-label spread, and their ratio."""
+    rows = vector_table(spark, sf_dir)
+    return rounded(vectors.between_within(rows, "label", "v"))
+
+
+def gaussian_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of angles between independent normal vectors, one pair for each block and replicate."""
+    blocks = layers(spark, sf_dir).select("block")
+    return vectors.gaussian_angle_null(blocks, "block", 64, 10, 42)
+
+
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of the first three scores of each label: signs of components are arbitrary."""
     residuals = vectors.with_residual(vector_table(spark, sf_dir), [], "v").select("label", "residual")
@@ -148,7 +160,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_means, residual_norms, vector_steps, layer_distances, ordering_frequencies, ordering_tests, relabeled_spread, centroid_drift,
-        principal_components, angle_null, token_entropy, language_entropy, top_tokens, vocabulary_size, lexical_drift, drift_baseline,
+        between_within, gaussian_angles, principal_components, angle_null, token_entropy, language_entropy, top_tokens, vocabulary_size, lexical_drift, drift_baseline,
         rarefied_entropy, quality_groups, viability, role_counts,
     )
 }

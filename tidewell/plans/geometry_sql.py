@@ -34,6 +34,10 @@ SELECT perm, round(avg((a <= b AND a <= c)::INT), 6) AS share, round(avg(a), 6)
 ), c AS (SELECT sqrt(sum((a.m - b.m) * (a.m - b.m))) AS l2, 1 - sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS cosine FROM m a JOIN m b ON a.i = b.i AND a.k = 0 AND b.k = 1)
 SELECT round(l2, 6) AS l2, round(cosine, 6) AS cosine, round(within, 6) AS within, round(l2 / within, 6) AS ratio,
   CASE WHEN l2 / within < 0.5 THEN 'small' WHEN l2 / within < 1.2 THEN 'comparable' ELSE 'large' END AS reading FROM c, w""",
+    "between_within": f"""WITH {V}, c AS (SELECT label, i, avg(x) AS c FROM v GROUP BY label, i), g AS (SELECT i, avg(c) AS g FROM c GROUP BY i
+), b AS (SELECT avg(d) AS between_ FROM (SELECT label, sqrt(sum((c - g) * (c - g))) AS d FROM c JOIN g USING (i) GROUP BY label)
+), w AS (SELECT avg(w) AS within FROM (SELECT label, avg(d) AS w FROM (SELECT label, vec_id, sqrt(sum((x - c) * (x - c))) AS d FROM v JOIN c USING (label, i) GROUP BY label, vec_id) GROUP BY label))
+SELECT round(between_, 6) AS "between", round(within, 6) AS within, round(between_ / within, 6) AS ratio FROM b, w""",
     "token_entropy": f"""WITH {TOKENS} SELECT doc_id, count(*)::INT AS richness, sum(n)::DOUBLE AS total, round(0 - sum(p * log2(p)), 6) AS entropy, round(0 - sum(p * log2(p + 1e-12)), 6) AS smoothed FROM s GROUP BY doc_id""",
     "language_entropy": f"""WITH {TOKENS}, h AS (SELECT doc_id, lang, 0 - sum(p * log2(p)) AS h FROM s GROUP BY doc_id, lang)
 SELECT lang, count(h) AS n, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(median(h), 6) AS median FROM h GROUP BY lang""",

@@ -222,6 +222,28 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.percentile_interval(reps, ["event_type", "k"], "rho")
 
 
+def interval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap intervals beside the point estimates, and whether these lie inside."""
+    point = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 8).select("event_type", "k", "rho")
+    found = point.join(bootstrap_intervals(spark, sf_dir), ["event_type", "k"])
+    return found.withColumn("outside", ~F.col("rho").between(F.col("low"), F.col("high")))
+
+
+def memory_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decaying, flat or rising late band against the middle one, by series."""
+    curve = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 28)
+    bands = memory.band_means(curve, KEY, "k", "rho", {"early": (1, 8), "late": (19, 25)})
+    wide = bands.groupBy("event_type").pivot("band", ["early", "late"]).agg(F.first("mean_rho"))
+    drop = F.col("early") - F.col("late")
+    return rounded(wide.withColumn("reading", F.when(drop > 0.1, "decaying").when(drop < -0.1, "rising").otherwise("flat")))
+
+
+def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values within fixed limits (both inclusive) and below the lower one, by series."""
+    x = F.col("value")
+    return observations(spark, sf_dir).groupBy("event_type").agg(F.count_if(x.between(3, 6)).alias("n_between"), F.count_if(x < 3).alias("n_below"))
+
+
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.change_points(grid_of(spark, sf_dir), "event_type", "g", "value")
 
@@ -256,6 +278,6 @@ QUERIES = {
         high_correlations, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
-        bootstrap_intervals, change_points, change_points_near_errors, parsed_props, overridden,
+        bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,
     )
 }
