@@ -21,8 +21,9 @@ from tidewell.llm.tables import stored
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    return docs.join(kept, same, "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Links are those of operator 7 at five words and a Jaccard similarity of 0.8.
     """
     groups = jaccard_join(docs, size=5, percent=80)
-    stays = groups.where("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    stays = groups.where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,9 +111,9 @@ def document_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.col(text).alias("text"),
     )
-    counted = measure(base).withColumn("counts", let(words_of(F.col("text")), word_counts))
+    counted = measure(base).withColumn("t", F.xxhash64("text")).withColumn("counts", let(words_of(F.col("text")), word_counts))
     out = counted.select(
-        "doc_id", "host", "counts.n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "counts.n_repeat_words"
+        "doc_id", "t", "host", "counts.n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "counts.n_repeat_words"
     )
     n = F.col("n_words")
     soft = [
@@ -154,7 +154,7 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
-    """Measures, base verdict, host verdict and ``kept`` per document.
+    """Measures, base verdict, host verdict, ``kept`` and ``t``, the text's hash, per document.
 
     The measures are written once to shared storage, as both the host sums and the join need
     them. A host may own a third of the documents, so the join deals its documents to SALTS keys.
@@ -176,4 +176,5 @@ def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
         "n_soft",
         "host_rate",
         "host_verdict",
+        "t",
     )

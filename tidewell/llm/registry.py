@@ -21,7 +21,7 @@ from tidewell.llm.tables import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("t")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
