@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are handled in groups of about so many bytes.
-GROUP = 1 << 22
+GROUP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

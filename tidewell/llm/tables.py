@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,13 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *, large: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later steps then start from files that survive a lost executor, and a table that is
-    used twice is computed once.
+    used twice is computed once. ``large``: the shuffles behind it are large, so Spark is
+    asked to clean up what nothing refers to any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if large:
+        release_shuffles(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what was built on them is stored itself."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_._tidewell_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Collect garbage, upon which Spark's cleaner removes shuffle files of finished jobs.
+
+    Spark does so itself when the driver's heap fills, or every ``spark.cleaner.periodicGC.interval``.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
