@@ -29,3 +29,19 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Tabl
                 last = values[a]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """A sorted partition in tables of many whole runs of equal keys: what is last waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = np.asarray(batch.column(key))
+        if not len(values):
+            continue
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut or (held and held[-1].column(key)[-1].as_py() != values[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

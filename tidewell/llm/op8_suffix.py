@@ -9,7 +9,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 2. Pieces whose anchor occurs nowhere else hold no repeated window. Pieces that are equal as
    a whole, with anchors at equal distances, are repeated as a whole.
 3. What is left, single pieces with an anchor that other pieces have too, is compared window by
-   window with one of each of those others.
+   window with one of each of those others: in one task for each anchor, as arrays; the windows of
+   anchors with more than GROUP_KINDS kinds of pieces are dealt out by their hashes instead.
 4. Repeated windows are merged into spans, and the spans cut out of their documents.
 
 Groups are counted where they are read before any shuffle, and joins run on stored tables, so
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.arrow import whole_runs
 from tidewell.llm.bytes import RangeHash, buffer_of, groups
-from tidewell.llm.tables import stored
+from tidewell.llm.tables import discard, stored
 
-LENGTH, KMER = 400, 100
+LENGTH, KMER, GROUP_KINDS = 400, 100, 4096
 #: Window starts handled at once; positions take the low bits of what is compared.
 CHUNK_BITS = 20
 
@@ -101,27 +103,78 @@ def pieces(docs: DataFrame, length: int, kmer: int) -> DataFrame:
     return docs.mapInArrow(find, "doc_id long, t long, f long, h long, low long, high long")
 
 
-def window_hashes(wanted: DataFrame, length: int) -> DataFrame:
-    """Window hashes w of the wanted pieces, with doc_id, t, start and ``single``."""
-    names = "doc_id t start single w".split()
+PIECE = ["doc_id", "t", "f", "low", "high", "single"]
+
+
+def piece_bytes(texts: DataFrame, length: int) -> DataFrame:
+    """The wanted pieces (PIECE) of each text with their bytes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in groups(batch.column(2)):
                 part = batch.slice(low, high - low)
-                data, offsets = buffer_of(part.column(2))
-                of_bytes = RangeHash(data)
-                for k, wish in enumerate(part.column(3).to_pylist()):
-                    first, last = np.array([w["low"] for w in wish]), np.array([w["high"] for w in wish])
-                    sizes = last - first + 1
-                    start = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                    at = offsets[k] + start
-                    single = np.repeat(np.array([w["single"] for w in wish]), sizes)
-                    same = [np.full(len(start), part.column(i)[k].as_py()) for i in (0, 1)]
-                    hashes = of_bytes(at, at + length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, start, single, hashes)], names)
+                rows = []
+                for doc, t, text, wish in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    raw = text.encode()
+                    rows += [(doc, t, w["f"], w["low"], w["high"], w["single"], raw[w["low"] : w["high"] + length]) for w in wish]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], [*PIECE, "bytes"])
+
+    return texts.mapInArrow(build, "doc_id long, t long, f long, low long, high long, single boolean, bytes binary")
+
+
+def windows_of(rows: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes of all pieces on end, and which piece each belongs to."""
+    data, offsets = buffer_of_bytes(rows["bytes"])
+    sizes = np.diff(offsets) - length + 1
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = offsets[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return RangeHash(data)(at, at + length), of
+
+
+def buffer_of_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def repeats_within(pieces_: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated windows of single pieces, each anchor's pieces compared in one task."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, 0):  # anchors of a batch at once: their windows differ
+            hashes, of = windows_of(run, length)
+            _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            single = np.asarray(run["single"].combine_chunks().cast(pa.int8())).astype(bool)
+            hit = (counts[inverse] > 1) & single[of]
+            begin = hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])])
+            stop = hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])
+            first, last = np.flatnonzero(begin), np.flatnonzero(stop)
+            place = np.asarray(run["low"])[of[first]] - np.searchsorted(of, of[first])
+            at = pa.array(of[first])
+            yield pa.RecordBatch.from_arrays(
+                [run["doc_id"].combine_chunks().take(at), run["t"].combine_chunks().take(at), pa.array(place + first), pa.array(place + last)],
+                ["doc_id", "t", "low", "high"],
+            )
+
+    rows = pieces_.select("f", "doc_id", "t", "low", "high", "single", "bytes").repartition("f").sortWithinPartitions("f")
+    return rows.mapInArrow(compare, "doc_id long, t long, low long, high long")
+
 
-    return wanted.mapInArrow(build, "doc_id long, t long, start long, single boolean, w long")
+def repeats_across(pieces_: DataFrame, length: int) -> DataFrame:
+    """The same for anchors of any number of pieces: windows meet by their hashes."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, of = windows_of(batch, length)
+            start = np.asarray(batch["low"])[of] + np.arange(len(of)) - np.searchsorted(of, of)
+            at = pa.array(of)
+            columns = [batch["doc_id"].take(at), batch["t"].take(at), pa.array(start), batch["single"].take(at), pa.array(hashes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "low", "single", "w"])
+
+    windows = stored(pieces_.mapInArrow(build, "doc_id long, t long, low long, single boolean, w long"), "windows", large=True)
+    often = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    again = windows.where("single").join(stored(often, "often", large=True), "w", "left_semi")
+    return again.select("doc_id", "t", "low", F.col("low").alias("high"))
 
 
 def text_hash(texts: pa.Array) -> pa.Array:
@@ -144,24 +197,30 @@ def matching_texts(docs: DataFrame, wish: DataFrame) -> DataFrame:
     return joined.mapInArrow(match, joined.schema)
 
 
-def repeated_spans(docs: DataFrame, length: int, kmer: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, kmer: int, group_kinds: int) -> DataFrame:
     """Runs of repeated windows: doc_id, t, low, high (first and last window start)."""
-    found = stored(pieces(docs, length, kmer), "pieces")
+    found = stored(pieces(docs, length, kmer), "pieces", large=True)
     place = F.struct("doc_id", "t", "low", "high")
-    kinds = stored(found.groupBy("f", "h").agg(F.count("*").alias("n"), F.min(place).alias("one")), "kinds")
+    kinds = stored(found.groupBy("f", "h").agg(F.count("*").alias("n"), F.min(place).alias("one")), "kinds", large=True)
     copied = stored(kinds.where("n > 1").select("f", "h"), "copied")
-    whole = found.join(copied, ["f", "h"], "left_semi").select("doc_id", "t", "low", "high")
+    whole = stored(found.join(copied, ["f", "h"], "left_semi").select("doc_id", "t", "low", "high"), "whole", large=True)
     # anchors of several kinds of pieces, one of which is single at least
     mixed = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    mixed = stored(mixed.select("f"), "mixed")
-    chosen = kinds.join(mixed, "f", "left_semi").select("one.*", (F.col("n") == 1).alias("single"))
-    wish = chosen.groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "single")).alias("wish"))
-    texts = matching_texts(docs, wish).dropDuplicates(["doc_id", "t"])
-    windows = stored(window_hashes(texts, length), "windows")
-    often = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    again = windows.where("single").join(stored(often, "often"), "w", "left_semi")
-    parts = again.select("doc_id", "t", F.col("start").alias("low"), F.col("start").alias("high"))
-    return whole.unionByName(parts)
+    mixed = stored(mixed.select("f", "kinds"), "mixed", large=True)
+    chosen = kinds.join(mixed, "f").select("f", "one.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > group_kinds).alias("many"))
+    wish = chosen.groupBy("doc_id", "t", "many").agg(F.collect_list(F.struct("f", "low", "high", "single")).alias("wish"))
+    wish = stored(wish, "wish", large=True)
+    parts = []
+    for many, compare in ((False, repeats_within), (True, repeats_across)):
+        if not wish.where(F.col("many") == many).isEmpty():
+            texts = matching_texts(docs, wish.where(F.col("many") == many).drop("many"))
+            texts = stored(piece_bytes(texts, length), "bytes", large=True)
+            parts.append(stored(compare(texts, length), "parts", large=True))
+            discard(texts)
+    discard(found, kinds, wish)
+    for part in parts:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def cut_texts(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
@@ -195,14 +254,21 @@ def cut_texts(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     runs = spans.withColumn("new", F.when(F.col("low") <= reach + 1, 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "t", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = stored(runs, "runs", large=True)
     wish = runs.groupBy("doc_id").agg(F.collect_list(F.struct("t", "low", "high")).alias("wish"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return docs.join(wish, "doc_id", "left").select("doc_id", "text", "wish").mapInArrow(cut, schema)
 
 
 def remove_repeats(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    kmer: int = KMER,
+    group_kinds: int = GROUP_KINDS,
 ) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, and the digest of what is left."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut_texts(own, repeated_spans(own, length, kmer), length)
+    return cut_texts(own, repeated_spans(own, length, kmer, group_kinds), length)
