@@ -17,7 +17,7 @@ of the whole sequence). Two documents link when PERCENT * union <= 100 * interse
    spares) and a size band compare the bitmaps of sets of different components: each
    differing element flips one bit, so the differing bits bound the overlap from above.
    Tiles of more than TILE sets are dealt to pairs of blocks. A first pass takes one pair
-   for each two components of a tile, the second one all that still differ.
+   for each two components, the second one all pairs of components that still differ.
 5. Pairs that the bound lets pass are intersected exactly; the links make the components.
 
 * Null and empty texts have empty sets and stay alone. Empty table: empty result.
@@ -27,19 +27,21 @@ of the whole sequence). Two documents link when PERCENT * union <= 100 * interse
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import arrays, sorted_runs
+from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
-from tidewell.llm.tables import stored
+from tidewell.llm.tables import discard, stored
 
-SIZE, PERCENT, SHARED, TILE, LEADERS = 4, 85, 12, 2048, 32
+SIZE, PERCENT, SHARED, TILE, LEADERS = 4, 85, 24, 2048, 32
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -67,23 +69,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def size_band(n: int) -> int:
-    """Sets of more than 2**(band-1) and up to 2**band elements; at least 6, for whole 64-bit words."""
-    return max(6, int(n - 1).bit_length())
+def size_band(n: int, percent: int) -> int:
+    """Sets that link differ by one band at most: a band's sizes grow by the factor 100 / percent."""
+    return int(math.log(n) / math.log(100 / percent) + 1e-9)
 
 
-def bitmap(elements: np.ndarray, band: int) -> bytes:
-    """Parity of the number of elements that hash to each of 2**band bits."""
-    at = (mix(elements ^ np.uint64(7)) >> np.uint64(64 - band)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=1 << band) & 1).astype(np.uint8)).tobytes()
+def bitmap(elements: np.ndarray, band: int, percent: int) -> bytes:
+    """Parity of the number of elements that hash to each of some bits: one to two for each element of the band's largest set."""
+    log_bits = max(6, math.ceil((band + 1) * math.log2(100 / percent)))
+    at = (mix(elements ^ np.uint64(7)) >> np.uint64(64 - log_bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << log_bits) & 1).astype(np.uint8)).tobytes()
 
 
 def bitmaps(elements: np.ndarray, percent: int) -> list[dict]:
-    """The bitmap of a set's own size band, and of the next one if larger partners may be there."""
-    n = len(elements)
-    own = size_band(n)
-    both = [own, own + 1] if 100 * n > percent << own else [own]
-    return [{"band": b, "bits": bitmap(elements, b)} for b in both]
+    """The bitmaps of a set's own size band and of the next one, where its larger partners meet it."""
+    own = size_band(len(elements), percent)
+    return [{"band": b, "bits": bitmap(elements, b, percent)} for b in (own, own + 1)]
 
 
 def upper_half(elements: np.ndarray) -> np.ndarray:
@@ -125,34 +126,43 @@ def may_link(own: DataFrame, classes: DataFrame, percent: int, shared: int) -> D
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shared: int) -> DataFrame:
-    """Per chosen class: c, n, elements, bitmaps, and the common elements (in_all, h) of its tiles."""
+    """Per chosen class: c, n, elements, bitmaps, and the common elements (in_all, h) of its tiles.
+
+    Rows that share a doc_id may come along with it; they are sets of documents all the same.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(text_sets(batch.column(0), size))
-            keys = []
-            for x, common in zip(sets, batch.column(1), strict=True):
-                flat = common.values
-                count, h = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-                mine = np.isin(h, upper_half(x))
-                found = np.unique(np.stack([count[mine], h[mine]], axis=1), axis=0)
-                spared = min(shared, needed(len(x), percent)) - 2
-                keys.append([{"in_all": a, "h": b} for a, b in found[: len(found) - max(0, spared)].tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([signature(x) for x in sets], pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    arrays([x.view(np.int64) for x in sets], np.int64),
-                    pa.array([bitmaps(x, percent) for x in sets], pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))),
-                    pa.array(keys, pa.list_(pa.struct([("in_all", pa.int32()), ("h", pa.int32())]))),
-                ],
-                ["c", "n", "elements", "bitmaps", "keys"],
-            )
+            for low, high in groups(batch.column(0)):
+                part = batch.slice(low, high - low)
+                sets = list(text_sets(part.column(0), size))
+                keys = []
+                for x, common in zip(sets, part.column(1), strict=True):
+                    flat = common.values
+                    count, h = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+                    mine = np.isin(h, upper_half(x))
+                    found = np.unique(np.stack([count[mine], h[mine]], axis=1), axis=0)
+                    spared = min(shared, needed(len(x), percent)) - 2
+                    keys.append(found[: len(found) - max(0, spared)].astype(np.int32))
+                flat = np.concatenate([*keys, np.zeros((0, 2), np.int32)])
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["in_all", "h"])
+                bits = [bitmaps(x, percent) if len(x) else [] for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([signature(x) for x in sets], pa.int64()),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        arrays([x.view(np.int64) for x in sets], np.int64),
+                        pa.array(bits, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))),
+                        pa.ListArray.from_arrays(pa.array(ends), pairs),
+                    ],
+                    ["c", "n", "elements", "bitmaps", "keys"],
+                )
 
     schema = (
         "c long, n long, elements array<long>, bitmaps array<struct<band:int,bits:binary>>, keys array<struct<in_all:int,h:int>>"
     )
-    return docs.join(chosen, "doc_id").select("text", "common").mapInArrow(build, schema).where("n > 0").dropDuplicates(["c"])
+    return docs.join(chosen, "doc_id").select("text", "common").mapInArrow(build, schema).where("n > 0")
 
 
 def leader_links(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
@@ -177,57 +187,80 @@ def leader_links(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     by_hash = F.array_sort(F.transform("keys", lambda k: F.struct(k["h"].alias("h"), k["in_all"].alias("in_all"))))
-    keyed = sets.withColumn("key", F.explode(F.slice(by_hash, 1, 2)))
+    keyed = sets.withColumn("key", F.explode(F.slice(by_hash, 1, 1)))
     part = F.pmod(F.xxhash64("c"), F.ceil(F.col("key.in_all") / tile).cast("long"))
     rows = keyed.select(F.xxhash64("key.h", part).alias("tile"), "c", "elements")
     return rows.repartition("tile").sortWithinPartitions("tile", "c").mapInArrow(compare, "a long, b long")
 
 
-def pairs_within(bits: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int, one: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components that sizes and bitmaps cannot exclude; ``one``: one for each two components."""
-    found_a, found_b, seen = [], [], set()
+def pairs_within(tile: np.ndarray, bits: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile, of different components, that sizes and bitmaps cannot exclude.
+
+    Rows are sorted by tile; all tiles are compared at once, neighbours at distance 1, 2, ...
+    """
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     wide = bits.view(np.uint64)
-    for i in range(len(n) - 1):
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        total = n[rest] + n[i]
-        differ = np.bitwise_count(wide[rest] ^ wide[i]).sum(axis=1).astype(np.int64)
-        most = np.minimum((total - differ) // 2, np.minimum(n[rest], n[i]))
-        go = rest[100 * most >= percent * (total - most)]
-        if one and len(go):
-            go = go[np.unique(root[go], return_index=True)[1]]
-            new = [j for j in go.tolist() if (min(root[i], root[j]), max(root[i], root[j])) not in seen]
-            seen.update((min(root[i], root[j]), max(root[i], root[j])) for j in new)
-            go = np.array(new, np.int64)
-        found_a.append(np.full(len(go), i))
-        found_b.append(go)
+    for distance in range(1, len(tile)):
+        i = np.flatnonzero(tile[:-distance] == tile[distance:])
+        if not len(i):
+            break
+        j = i + distance
+        go = (root[i] != root[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+        i, j = i[go], j[go]
+        total = n[i] + n[j]
+        differ = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1).astype(np.int64)
+        most = np.minimum((total - differ) // 2, np.minimum(n[i], n[j]))
+        go = 100 * most >= percent * (total - most)
+        found_a.append(i[go])
+        found_b.append(j[go])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def candidate_pairs(sets: DataFrame, roots: DataFrame, percent: int, one: bool, tile: int = TILE) -> DataFrame:
-    """Distinct pairs (a, b) of classes of different components that meet in a tile and pass the bounds."""
+    """Pairs (a, b) of classes of different components that meet in a tile and pass the bounds.
+
+    ``one``: a single pair for each two components.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in sorted_runs(batches, 0):
-            c, n, root = (np.asarray(run[x]) for x in ("c", "n", "root"))
-            if (root == root[0]).all():
-                continue
-            bits = np.frombuffer(b"".join(run["bits"].to_pylist()), np.uint8).reshape(len(c), -1)
-            a, b = pairs_within(bits, n, root, percent, one)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b]))], ["a", "b"])
+        for rows in whole_runs(batches, 0):
+            width = np.asarray(pc.binary_length(rows["bits"]))
+            for w in np.unique(width):
+                part = rows.filter(pa.array(width == w))
+                tile, c, n, root = (np.asarray(part[x]) for x in ("tile", "c", "n", "root"))
+                bits = np.frombuffer(b"".join(part["bits"].to_pylist()), np.uint8).reshape(len(c), -1)
+                a, b = pairs_within(tile, bits, n, root, percent)
+                a, b = np.where(root[a] < root[b], a, b), np.where(root[a] < root[b], b, a)
+                if one:
+                    first = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)[1]
+                    a, b = a[first], b[first]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root[a], root[b], c[a], c[b])], ["ra", "rb", "a", "b"])
 
     known = sets.select("c", "n", "bitmaps", "keys").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    known = known.withColumn("root", F.coalesce("root", "c"))
-    rows = known.select("c", "n", "root", "bitmaps", F.explode("keys").alias("key")).select(
-        "c", "n", "root", "key", F.explode("bitmaps").alias("bm")
-    )
+    known = stored(known.withColumn("root", F.coalesce("root", "c")), "known")
+    bands = F.transform("bitmaps", lambda x: x["band"])
+    slim = known.select("c", "root", F.explode("keys").alias("key"), bands.alias("bands"))
+    slim = slim.select("c", "root", "key", F.explode("bands").alias("band"))
     # a tile of more than ``tile`` sets has several blocks; each set goes to all pairs of blocks with its own
-    blocks = F.ceil(F.col("key.in_all") / tile).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = F.xxhash64("key.h", "bm.band", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(where.alias("tile"), "c", "n", "root", "bm.bits", F.col("key.h").alias("h"))
-    alone = rows.repartition("tile").sortWithinPartitions("tile", "c")
-    return alone.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    slim = slim.withColumn("blocks", F.ceil(F.col("key.in_all") / tile).cast("int"))
+    slim = slim.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    slim = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    where = F.xxhash64("key.h", "band", F.least("own", "other"), F.greatest("own", "other"))
+    slim = slim.select(where.alias("tile"), "c", "root", "band")
+    # tiles of one component have nothing left to find: bitmaps go to the others only
+    mixed = slim.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = stored(mixed.select("tile"), "mixed", large=True)
+    met = stored(slim.select("tile", "c", "band").join(mixed, "tile", "left_semi"), "met", large=True)
+    rows = met.join(known.select("c", "n", "root", F.explode("bitmaps").alias("bm")), "c").where("band = bm.band")
+    rows = rows.select("tile", "c", "n", "root", "bm.bits").repartition("tile").sortWithinPartitions("tile", "c")
+    pairs = rows.mapInArrow(compare, "ra long, rb long, a long, b long")
+    if one:
+        pairs = pairs.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    else:
+        pairs = pairs.select("a", "b").distinct()
+    pairs = stored(pairs, "pairs", large=True)
+    discard(known, mixed, met)
+    return pairs
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,15 +290,17 @@ def jaccard_join(
 ) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least doc_id that links reach."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = stored(heads(own, size, percent, shared), "heads")
+    found = stored(heads(own, size, percent, shared), "heads", large=True)
     classes = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stored(may_link(found.where("n > 0"), classes, percent, shared), "chosen")
-    sets = stored(whole_sets(own, chosen, size, percent, shared), "sets")
+    chosen = stored(may_link(found.where("n > 0"), classes, percent, shared), "chosen", large=True)
+    sets = stored(whole_sets(own, chosen, size, percent, shared), "sets", large=True)
     links = leader_links(sets, percent)
     for one in (True, False):
         roots = components(links)
-        links = both_links(roots, exact_links(candidate_pairs(sets, roots, percent, one), sets, percent))
+        links = exact_links(candidate_pairs(sets, roots, percent, one), sets, percent)
+        links = stored(both_links(roots, links), "links", large=True)
     roots = components(links)
+    discard(chosen, sets)
     slim = found.select("doc_id", "n", "c")
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "c", "doc_id", F.coalesce("root", "c").alias("root")
