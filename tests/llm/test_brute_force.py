@@ -16,7 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.oracle import SF, same
-from tidewell.llm import registry
+from tidewell.llm import op6_substring, registry
 from tidewell.llm.components import components
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_runs
@@ -160,6 +160,35 @@ def test_planted_passages_are_caught_and_clean_documents_left_alone(spark):
     assert {r.doc_id for r in found} == {101, 102, 103} and {r.of_doc_id for r in found} == {100}
 
 
+def test_near_paragraphs_among_a_family_of_templates(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(71)]  # 67 of 76 shingles: two of the family have a similarity of 67 / 85
+    own = lambda: [f"o{rng.randint(0, 10**9)}" for _ in range(9)]
+    rows = [common + own() for _ in range(300)]
+    for k in range(200):  # like one of the family in all but the last word
+        rows.append([*rows[100 + k][:-1], "other"])
+    docs = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    found = repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    assert {(r.doc_id, r.of_doc_id) for r in found} == {(300 + k, 100 + k) for k in range(200)}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(op6_substring, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(0, 200, 60) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(60) < 0.09, rng.integers(0, 200, 60), bases[i % 6])) for i in range(60)]
+    rows = [(i, [i % 2, 2], x.tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, buckets array<long>, shingles array<long>")
+    root, got = {i: i for i in range(60)}, components(op6_substring.links_left(df, spark.createDataFrame([], "node long, root long")))
+    near = [(a, b) for a, b in itertools.combinations(range(60), 2) if 10 * len(set(sets[a]) & set(sets[b])) >= 8 * len(set(sets[a]) | set(sets[b]))]
+    assert 20 < len(near) < 200
+    for _ in root:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in got.collect()} == {i: r for i, r in root.items() if i != r}
+
+
 def test_url_model_separates_seeded_hosts(spark):
     rng = random.Random(5)
     name = lambda: "".join(rng.choices("abcdefgh", k=8))

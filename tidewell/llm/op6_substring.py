@@ -7,8 +7,8 @@ doc_id and place stays.
 1. Equal paragraphs of LINE or more words share a hash.
 2. Nearly equal ones: MinHash over SHINGLE-word shingles with BANDS bands of ROWS values,
    tuned for recall (1 - (1 - 0.8**3)**8 = 0.997 at a similarity of 0.8, more above). Paragraphs of a bucket
-   meet leaders among them, and links are verified by exact Jaccard similarity of PERCENT or more.
-   Components of equal and verified paragraphs are the clusters of removals.
+   meet leaders among them, which only saves work: then all pairs of a bucket whose components still
+   differ are compared. Links are verified by exact Jaccard similarity of PERCENT or more. Components of equal and verified paragraphs are the clusters of removals.
 3. Passages inside longer paragraphs: sentences of SENTENCE or more words that are equal to an
    earlier one. They count where those of one paragraph have PASSAGE words together, so
    single common sentences stay.
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import arrays
+from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, powers, shingle_hashes, words
 from tidewell.llm.components import components
 from tidewell.llm.tables import discard, stored
 
 LINE, SENTENCE, PASSAGE = 20, 6, 25
 SHINGLE, BANDS, ROWS, PERCENT, LEADERS = 5, 8, 3, 80, 16
+#: Buckets of more paragraphs, or of more shingles, are dealt to pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 
 
 class Units:
@@ -142,8 +144,13 @@ def later_copies(found: DataFrame) -> DataFrame:
     return again.join(first, "h").where(place != F.col("first"))
 
 
+def near_equal(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def leaders_in_buckets(chosen: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between paragraphs that share a bucket.
+    """Verified links (a, b) between paragraphs that share a bucket.
 
     Rows: bucket, id, shingles. Each is compared with at most LEADERS of its bucket; a task
     holds these only.
@@ -159,8 +166,7 @@ def leaders_in_buckets(chosen: DataFrame) -> DataFrame:
                     now, leaders = key, []
                 near = False
                 for other, set_ in leaders:
-                    both = len(np.intersect1d(own, set_, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(set_) - both):
+                    if near_equal(own, set_):
                         found.append((i, other))
                         near = True
                         break
@@ -172,6 +178,66 @@ def leaders_in_buckets(chosen: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def unjoined_pairs(tile: np.ndarray, own: np.ndarray, other: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Nearly equal rows of one tile whose roots differ; a pair whose roots earlier ones have joined is left out.
+
+    Sets that are equal enough share one of their rarest elements, the first n - ceil(PERCENT * n / 100) + 1.
+    In a tile of two blocks, rows of one block are not compared: the block's own tile does so.
+    """
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, key, count = np.unique(mix(np.concatenate(sets).view(np.uint64) ^ mix(tile.view(np.uint64))[row]), return_inverse=True, return_counts=True)
+    order = np.lexsort((key, count[key], row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = rank < (sizes + (-sizes * PERCENT // 100) + 1)[row]
+    key, row = key[order][rare], row[rare]
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    root, seen, found = root.copy(), set(), []
+    at = np.arange(len(key))
+    for distance in range(1, len(key)):
+        at = at[at + distance < len(key)]
+        at = at[key[at] == key[at + distance]]
+        if not len(at):
+            break
+        a, b = row[at], row[at + distance]
+        go = (root[a] != root[b]) & ((own[a] != own[b]) | (own[a] == other[a])) & (tile[a] == tile[b])
+        go &= PERCENT * np.maximum(sizes[a], sizes[b]) <= 100 * np.minimum(sizes[a], sizes[b])
+        for x, y in zip(a[go].tolist(), b[go].tolist(), strict=True):
+            if root[x] != root[y] and (x, y) not in seen:
+                seen.add((x, y))
+                if near_equal(sets[x], sets[y]):
+                    found.append((x, y))
+                    root[root == root[y]] = root[x]
+    return found
+
+
+def links_left(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Verified links (a, b) between paragraphs that share a bucket and are of different components so far."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, 0):
+            tile, own, other, root, ids = (np.asarray(run[c]) for c in ("tile", "own", "other", "root", "id"))
+            pairs = unjoined_pairs(tile, own, other, root, [np.asarray(x.values) for x in run["shingles"]])
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[p[k]]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    known = sets.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select("id", F.coalesce("root", "id").alias("root"), F.size("shingles").alias("n"), "buckets")
+    slim = stored(known.select("id", "root", "n", F.explode("buckets").alias("bucket")), "slim", large=True)
+    totals = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")]
+    mixed = slim.groupBy("bucket").agg(*totals).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    mixed = stored(mixed.select("bucket", blocks.alias("blocks")), "mixed")
+    dealt = slim.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = stored(dealt.select(tile.alias("tile"), "own", "other", "root", "id"), "dealt", large=True)
+    rows = dealt.join(sets.select("id", "shingles"), "id").select("tile", "own", "other", "root", "id", "shingles")
+    found = stored(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(compare, "a long, b long"), "left", large=True)
+    discard(slim, dealt)
+    return found
+
+
 def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, buckets and sorted shingles of the wanted paragraphs (doc_id, t, start, id, buckets), grouped by document."""
 
@@ -214,7 +280,8 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     buckets = stored(met.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "buckets", large=True)
     wanted = stored(alone.drop("bands").join(buckets, "id"), "wanted")
     sets = stored(paragraph_sets(docs, wanted), "paragraphs", large=True)
-    links = leaders_in_buckets(sets.select(F.explode("buckets").alias("bucket"), "id", "shingles"))
+    roots = components(leaders_in_buckets(sets.select(F.explode("buckets").alias("bucket"), "id", "shingles")))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_left(sets, roots))
     same = equal.select(ident.alias("a"), F.xxhash64(*[f"first.{c}" for c in PLACE]).alias("b"))
     roots = components(stored(links.unionByName(same), "links", large=True))
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
