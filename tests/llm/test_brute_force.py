@@ -22,7 +22,7 @@ from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_runs
 from tidewell.llm.op4_bpe import VOCABULARY, encode_texts, vocabulary
 from tidewell.llm.op5_topk import top_members
-from tidewell.llm.op6_substring import repeated_paragraphs
+from tidewell.llm.op6_substring import repeated_paragraphs, without_spans
 from tidewell.llm.op7_jaccard import jaccard_join
 from tidewell.llm.op8_suffix import remove_repeats
 from tidewell.llm.op10_tokens import file_blocks, token_counts
@@ -172,6 +172,32 @@ def test_near_paragraphs_among_a_family_of_templates(spark):
     assert {(r.doc_id, r.of_doc_id) for r in found} == {(300 + k, 100 + k) for k in range(200)}
 
 
+def test_passages_of_any_lines_and_sentences_are_cut(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"q{rng.randint(0, 10**9)}" for _ in range(n)]
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    stops = lambda w: [x + "." * (i % 4 == 3) for i, x in enumerate(w)]
+    a, b, c, d = words(60), words(50), stops(words(55)), words(49)
+    docs = [(1, wrapped(words(10) + a + words(10), 8)), (2, wrapped(words(15) + a + words(7), 9))]  # hard-wrapped
+    docs += [(3, " ".join(words(40) + b + words(33))), (4, " ".join(words(31) + b + words(40)))]  # no sentence ends
+    docs += [(5, " ".join(words(30) + c + words(30))), (6, " ".join(words(44) + c + words(12)))]  # short sentences
+    docs += [(7, " ".join(words(30) + d + words(30))), (8, " ".join(words(30) + d + words(30)))]  # too short
+    docs += [(10 + i, " ".join(words(20 + i) + b + words(30))) for i in range(5)]
+    text = dict(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = repeated_paragraphs(df)
+    left = {r.doc_id: (r.text or "").split() for r in without_spans(df, spans).collect()}
+    seen, want = set(), {}
+    for doc in sorted(text):
+        w = text[doc].split()
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        gone = {i + k for i, r in enumerate(runs) if r in seen for k in range(50)}
+        seen |= set(runs)
+        want[doc] = [x for i, x in enumerate(w) if i not in gone]
+    assert left == want
+    assert {(r.doc_id, r.of_doc_id) for r in spans.collect()} == {(2, 1), (4, 3), (6, 5), *((10 + i, 3) for i in range(5))}
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
     monkeypatch.setattr(op6_substring, "BLOCK", block)

@@ -1,8 +1,8 @@
 """Substring dedup by paragraph MinHash banding (operator 6).
 
-A paragraph is a line. A-Z count as a-z; words are runs of characters other than space and
-U+0009..U+000D. Three steps find what to remove; of all that belongs together, the first by
-doc_id and place stays.
+A paragraph is a line of LINE or more words, or a run of neighbouring shorter lines. A-Z count
+as a-z; words are runs of characters other than space and U+0009..U+000D. Four steps find what to
+remove; of all that belongs together, the first by doc_id and place stays.
 
 1. Equal paragraphs of LINE or more words share a hash.
 2. Nearly equal ones: MinHash over SHINGLE-word shingles with BANDS bands of ROWS values,
@@ -12,7 +12,12 @@ doc_id and place stays.
 3. Passages inside longer paragraphs: sentences of SENTENCE or more words that are equal to an
    earlier one. They count where those of one paragraph have PASSAGE words together, so
    single common sentences stay.
+4. Passages whatever their lines and sentences: a word goes if a run of RUN words that covers it
+   also stands at an earlier place, or at one that step 1 or 2 leaves where this one is removed.
+   Runs are compared as in operator 8: neighbouring runs with one anchor (the KMER words of least hash)
+   are a piece; equal pieces go whole, and different ones with one anchor are compared run by run.
 
+* Spans of steps 3 and 4 can overlap each other and those of paragraphs.
 * Null and empty texts hold no paragraphs. Empty table: empty result. Rows that share doc_id
   and text are one document. Rows without doc_id take no part. Extra columns are ignored.
 * A paragraph is handled whole, however long.
@@ -24,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, powers, shingle_hashes, words
 from tidewell.llm.components import components
+from tidewell.llm.op8_suffix import window_anchors
 from tidewell.llm.tables import discard, stored
 
 LINE, SENTENCE, PASSAGE = 20, 6, 25
+RUN, KMER = 50, 12
 SHINGLE, BANDS, ROWS, PERCENT, LEADERS = 5, 8, 3, 80, 16
 #: Buckets of more paragraphs, or of more shingles, are dealt to pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
@@ -57,8 +64,13 @@ class Units:
         stop = np.isin(data[self.end - 1], np.frombuffer(b".!?", np.uint8)) if len(self.start) else new_line
         new_sentence = new_line.copy()
         new_sentence[1:] |= stop[:-1]
-        self.line = line
+        first, end = self.ranges(new_line)
+        short = end - first < LINE  # runs of short lines are one paragraph; an empty line ends it
+        joined = short[1:] & short[:-1] & (line[first[1:]] == line[first[:-1]] + 1) & (self.of[first[1:]] == self.of[first[:-1]])
+        new_line[first[1:][joined]] = False
         self.lines, self.sentences = self.ranges(new_line), self.ranges(new_sentence)
+        first, end = self.lines
+        self.line = np.repeat(line[first], end - first)
 
     @staticmethod
     def ranges(new: np.ndarray) -> np.ndarray:
@@ -69,6 +81,24 @@ class Units:
         raw = (self.sums[b] - self.sums[a]) * self.down[a]
         return mix(raw + (b - a).astype(np.uint64) * ODD).view(np.int64)
 
+    def pieces(self) -> tuple[np.ndarray, ...]:
+        """Anchor hash, piece hash, and first and last run (its first word) of each piece."""
+        n = len(self.start) - KMER + 1
+        if n <= RUN - KMER:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        at = np.arange(n)
+        grams = self.hashes(at, at + KMER).view(np.uint64)
+        anchor = window_anchors(grams, RUN - KMER + 1)
+        of = self.of[: len(anchor)]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
+        bounds = np.concatenate([np.flatnonzero(new), [len(anchor)]])
+        first = np.flatnonzero(new & (self.of[RUN - 1 :] == of))
+        ends = np.searchsorted(self.of, of[first], side="right")
+        last = np.minimum(bounds[np.searchsorted(bounds, first, side="right")] - 1, ends - RUN)
+        whole = self.hashes(first, last + RUN) ^ (anchor[first] - first)
+        return grams[anchor[first]].view(np.int64), whole, first, last
+
     def shingles(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of word ranges on end, and where each range begins."""
         grams = shingle_hashes(self.word_hash, SHINGLE)
@@ -293,6 +323,96 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     return near
 
 
+RUNS = "doc_id long, t long, line int, low long, high long, start long, end long"
+
+
+def run_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of all texts: RUNS (low and high are first words of runs, start and end bytes), f (anchor) and h (piece)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in groups(batch.column(1)):
+                u = Units(batch.column(1).slice(low, high - low))
+                ids = np.asarray(batch.column(0).slice(low, high - low))
+                f, h, first, last = u.pieces()
+                yield runs_batch(u, ids, first, last, [f, h], ["f", "h"])
+
+    return docs.mapInArrow(find, f"{RUNS}, f long, h long")
+
+
+def runs_batch(u: Units, ids: np.ndarray, first: np.ndarray, last: np.ndarray, more: list, names: list[str]) -> pa.RecordBatch:
+    of = u.of[first]
+    base = np.searchsorted(u.of, of)
+    at = u.offsets[:-1][of]
+    columns = [ids[of], u.text_hash[of], u.line[first].astype(np.int32), first - base, last - base, u.start[first] - at, u.end[last + RUN - 1] - at]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *more)], ["doc_id", "t", "line", "low", "high", "start", "end", *names])
+
+
+def single_runs(docs: DataFrame, wish: DataFrame) -> DataFrame:
+    """Each run of the wanted pieces (doc_id, t, wish: low, high, gone): RUNS, gone, w (hash)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in groups(batch.column(1)):
+                part = batch.slice(low, high - low)
+                u = Units(part.column(1))
+                base = np.searchsorted(u.of, np.arange(high - low))
+                at, gone = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for k, (t, wanted) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    for w in wanted if t == u.text_hash[k] else ():
+                        at.append(base[k] + np.arange(w["low"], w["high"] + 1))
+                        gone.append(np.full(len(at[-1]), w["gone"]))
+                first = np.concatenate(at)
+                yield runs_batch(u, np.asarray(part.column(0)), first, first, [np.concatenate(gone), u.hashes(first, first + RUN)], ["gone", "w"])
+
+    rows = docs.join(wish, "doc_id").select("doc_id", "text", "t", "wish")
+    return rows.mapInArrow(build, f"{RUNS}, gone boolean, w long")
+
+
+def repeated_runs(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Passages of RUN or more words of which each run also stands at a place before: PLACE, n, end, first.
+
+    ``near``: removed paragraphs. What lies in them comes after all other places, so that no copy stays away for their sake.
+    """
+    place = F.struct("gone", "doc_id", "t", "low")
+    found = stored(run_pieces(docs), "pieces", large=True)
+    often = stored(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "often", large=True)
+    again = stored(found.join(often, "f", "left_semi"), "pieces_again", large=True)
+    discard(found)
+    removed = stored(near.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("removed")), "removed")
+    touched = F.exists("removed", lambda r: (r["start"] < F.col("end")) & (r["end"] > F.col("start")))
+    again_ = again.join(removed, ["doc_id", "t"], "left").withColumn("gone", F.coalesce(touched, F.lit(False))).drop("removed")
+    flagged = stored(again_, "flagged", large=True)
+    discard(again)
+    kinds = flagged.groupBy("f", "h").agg(F.min(F.struct("gone", "doc_id", "t", "low", "high")).alias("one"))
+    kinds = stored(kinds, "kinds", large=True)
+    ends = F.struct("one.gone", "one.doc_id", "one.t", "one.low")
+    copies = flagged.join(kinds, ["f", "h"]).where(place != ends).withColumn("of_doc_id", F.col("one.doc_id"))
+    names = ["doc_id", "t", "line", "low", "high", "start", "end", "of_doc_id"]
+    copies = stored(copies.select(*names), "copies", large=True)
+    # anchors of several kinds of pieces: the piece of each kind that stays is compared run by run
+    mixed = stored(kinds.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "mixed")
+    wish = kinds.join(mixed, "f", "left_semi").select("one.*")
+    wish = stored(wish.groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "gone")).alias("wish")), "wish", large=True)
+    discard(flagged, kinds)
+    runs = stored(single_runs(docs, wish), "runs", large=True)
+    often = runs.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("w", "first")
+    later = runs.join(stored(often, "first_runs"), "w").where(place != F.col("first"))
+    later = later.withColumn("of_doc_id", F.col("first.doc_id")).select(*names)
+    order = Window.partitionBy("doc_id", "t").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = copies.unionByName(later).withColumn("new", F.when(F.col("low") <= reach + RUN, 0).otherwise(1))
+    rows = rows.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    least = [F.min(c).alias(c) for c in ("line", "low", "start", "of_doc_id")]
+    rows = rows.groupBy("doc_id", "t", "passage").agg(*least, F.max("high").alias("high"), F.max("end").alias("end"))
+    inside = F.exists("removed", lambda r: (r["start"] <= F.col("start")) & (r["end"] >= F.col("end")))
+    rows = rows.join(removed, ["doc_id", "t"], "left").where(~F.coalesce(inside, F.lit(False)))
+    rows = rows.select(*PLACE, (F.col("high") - F.col("low") + RUN).alias("n"), "end", F.struct(F.col("of_doc_id").alias("doc_id")).alias("first"))
+    passages = stored(rows, "passages", large=True)
+    discard(runs, copies)
+    return passages
+
+
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What to remove, one row per span: doc_id, t, line, start, end, n_words, kind, of_doc_id.
 
@@ -310,8 +430,11 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     discard(found, equal)
     enough = said.groupBy("doc_id", "t", "line").agg(F.sum("n").alias("words")).where(F.col("words") >= PASSAGE)
     passages = said.join(enough.drop("words"), ["doc_id", "t", "line"])
-    spans = near.withColumn("kind", F.lit("paragraph")).unionByName(passages.withColumn("kind", F.lit("sentence")))
-    return spans.select(
+    runs = repeated_runs(own, near)
+    columns = [*PLACE, "n", "end", F.struct("first.doc_id").alias("first")]
+    kinds = (("paragraph", near), ("sentence", passages), ("passage", runs))
+    spans = [rows.select(*columns, F.lit(kind).alias("kind")) for kind, rows in kinds]
+    return spans[0].unionByName(spans[1]).unionByName(spans[2]).select(
         "doc_id", "t", "line", "start", "end", F.col("n").alias("n_words"), "kind", F.col("first.doc_id").alias("of_doc_id")
     )
 
