@@ -121,6 +121,15 @@ def test_repeats_against_all_windows(spark, group_kinds):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), len(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_rows_without_id_share_strings(spark):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, copied = text(400), text(900)
+    docs = [(None, text(70) + shared + text(80)), (1, text(300) + shared + text(60)), (None, copied), (None, copied), (None, text(500)), (2, text(500)), (None, None)]
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 0, 0), (0, 500, 0), (0, 550, 400), (0, 900, 900), (0, 900, 900), (1, 760, 400), (2, 500, 0)]
+
+
 def shingles(text: str, size: int) -> set:
     words = text.lower().split()
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()

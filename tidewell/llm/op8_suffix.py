@@ -18,7 +18,7 @@ a passage that many documents share is not gathered in one task.
 
 * Null text: empty. Empty table: empty result. Rows that share doc_id and text are documents
   of their own, so each is a copy of the other; they are cut alike. Rows without doc_id
-  count as documents, too. Extra columns are ignored.
+  count as documents, too; they are joined by the hashes of their texts. Extra columns are ignored.
 
 The named method merges Burrows-Wheeler transforms of shards by interleave refinement. The README
 says with figures why this operator compares anchored windows instead.
@@ -185,6 +185,16 @@ def text_hash(texts: pa.Array) -> pa.Array:
     return pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))
 
 
+def hashed_without_id(docs: DataFrame) -> DataFrame:
+    """The rows without doc_id, with the hash of their texts, by which they are joined."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, text_hash(batch.column(1))], ["doc_id", "text", "t"])
+
+    return docs.where("doc_id IS NULL").mapInArrow(add, "doc_id long, text string, t long")
+
+
 def matching_texts(docs: DataFrame, wish: DataFrame) -> DataFrame:
     """Texts of documents with wishes: doc_id, t, text, wish; one row for each that shares doc_id and text."""
 
@@ -193,8 +203,10 @@ def matching_texts(docs: DataFrame, wish: DataFrame) -> DataFrame:
             same = np.asarray(text_hash(batch.column(2))) == np.asarray(batch.column(1))
             yield batch.filter(pa.array(same))
 
-    joined = docs.join(wish, "doc_id").select("doc_id", "t", "text", *[c for c in wish.columns if c not in ("doc_id", "t")])
-    return joined.mapInArrow(match, joined.schema)
+    columns = ["doc_id", "t", "text", *[c for c in wish.columns if c not in ("doc_id", "t")]]
+    joined = docs.where("doc_id IS NOT NULL").join(wish, "doc_id").select(*columns)
+    without_id = hashed_without_id(docs).join(wish.where("doc_id IS NULL").drop("doc_id"), "t").select(*columns)
+    return joined.mapInArrow(match, joined.schema).unionByName(without_id)
 
 
 def repeated_spans(docs: DataFrame, length: int, kmer: int, group_kinds: int) -> DataFrame:
@@ -255,9 +267,13 @@ def cut_texts(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "t", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     runs = stored(runs, "runs", large=True)
-    wish = runs.groupBy("doc_id").agg(F.collect_list(F.struct("t", "low", "high")).alias("wish"))
+    gathered = F.collect_list(F.struct("t", "low", "high")).alias("wish")
+    wish = runs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(gathered)
+    named = docs.where("doc_id IS NOT NULL").join(wish, "doc_id", "left").select("doc_id", "text", "wish")
+    wish = runs.where("doc_id IS NULL").groupBy("t").agg(gathered)
+    without_id = hashed_without_id(docs).join(wish, "t", "left").select("doc_id", "text", "wish")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return docs.join(wish, "doc_id", "left").select("doc_id", "text", "wish").mapInArrow(cut, schema)
+    return named.unionByName(without_id).mapInArrow(cut, schema)
 
 
 def remove_repeats(
