@@ -75,7 +75,7 @@ def between_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gaussian_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of angles between independent normal vectors, one pair for each block and replicate."""
     blocks = layers(spark, sf_dir).select("block")
-    return vectors.gaussian_angle_null(blocks, "block", 64, 10, 42)
+    return vectors.gaussian_angle_null(blocks, "block", 64, 200, 42)
 
 
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +85,20 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.groupBy("label").agg(*[F.avg(F.abs(F.col("scores")[i])).alias(f"mean_abs_pc{i + 1}") for i in range(3)])
 
 
+def permuted_layers(table: DataFrame, reps: int, seed: int) -> DataFrame:
+    """``reps`` copies in which each layer is shuffled over the blocks by a seed of its own."""
+    drawn = table.withColumn("one", F.lit(1))
+    first, *others = [vectors.permuted(drawn.select("one", "block", x), ["one"], "block", [x], reps, seed + k).drop("one") for k, x in enumerate(LAYERS)]
+    for other in others:
+        first = first.join(other, ["rep", "block"])
+    return first
+
+
 def angle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean angles of layer pairs, observed and with each layer's vectors permuted over blocks."""
     table = layers(spark, sf_dir)
     observed = vectors.pair_distances(table, [], LAYERS).groupBy("pair").agg(F.avg("angle").alias("observed"))
-    drawn = table.select("block", "surface", "mid", "residue").withColumn("one", F.lit(1))
-    shuffled = vectors.permuted(drawn, ["one"], "block", ["mid"], 50, 42)
+    shuffled = permuted_layers(table, 200, 42)
     null = vectors.pair_distances(shuffled, ["rep"], LAYERS).groupBy("pair", "rep").agg(F.avg("angle").alias("angle"))
     null = null.groupBy("pair").agg(F.avg("angle").alias("null_mean"), F.stddev_pop("angle").alias("null_std"))
     return observed.join(null, "pair").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))
@@ -123,9 +131,9 @@ def lexical_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean drift per language, observed and over shuffled orders of the same documents."""
-    maps = token_maps(spark, sf_dir, 50)
+    maps = token_maps(spark, sf_dir)
     seen = lexical.drift(maps, ["lang"], "doc_id").groupBy("lang").agg(F.avg("js").alias("observed"))
-    shuffled = vectors.permuted(maps.select("lang", "doc_id", "tokens"), ["lang"], "doc_id", ["tokens"], 5, 42)
+    shuffled = vectors.permuted(maps.select("lang", "doc_id", "tokens"), ["lang"], "doc_id", ["tokens"], 200, 42)
     null = lexical.drift(shuffled, ["lang", "rep"], "doc_id").groupBy("lang", "rep").agg(F.avg("js").alias("js"))
     null = null.groupBy("lang").agg(F.avg("js").alias("null_mean"), F.stddev_pop("js").alias("null_std"))
     return seen.join(null, "lang").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))

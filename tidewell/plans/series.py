@@ -218,7 +218,7 @@ def decay_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = memory.block_bootstrap(grid_of(spark, sf_dir), KEY, "value", [1, 2, 4, 8], block=24, reps=200)
+    reps = memory.block_bootstrap(grid_of(spark, sf_dir), KEY, "value", [1, 2, 4, 8], block=24, reps=5000)
     return memory.percentile_interval(reps, ["event_type", "k"], "rho")
 
 
@@ -245,13 +245,13 @@ def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.change_points(grid_of(spark, sf_dir), "event_type", "g", "value")
+    return memory.change_points(grid_of(spark, sf_dir), "event_type", "g", "value", penalties=60)
 
 
 def change_points_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change points with the hours of error events up to 12 hours away; the ones without stay."""
     grid = grid_of(spark, sf_dir)
-    found = memory.change_points(grid, "event_type", "g", "value").where("change_idx IS NOT NULL")
+    found = memory.change_points(grid, "event_type", "g", "value", penalties=60).where("change_idx IS NOT NULL")
     placed = found.join(grid.select("event_type", F.col("g").alias("change_idx"), "grid_ts"), ["event_type", "change_idx"]).select("event_type", "change_idx", "grid_ts")
     _, errors = sides(spark, sf_dir)
     hours = errors.select(F.date_trunc("hour", F.col("error_ts").cast("timestamp")).alias("error_hour")).distinct()
