@@ -96,8 +96,8 @@ def test_top_members_hold_the_best():
         assert (np.sort(score)[::-1][:20] == want).all() and (score == rows[at] @ queries[q]).all()
 
 
-@pytest.mark.parametrize("group_kinds", [4096, 2])
-def test_repeats_against_all_windows(spark, group_kinds):
+@pytest.mark.parametrize("group_windows", [1 << 20, 100])
+def test_repeats_against_all_windows(spark, group_windows):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(2, 8)))
     shared = [" ".join(word() for _ in range(30)) for _ in range(4)]
@@ -111,7 +111,7 @@ def test_repeats_against_all_windows(spark, group_kinds):
     raw = {i: (t or "").encode() for i, t in docs}
     seen = Counter(b[s : s + length] for b in raw.values() for s in range(len(b) - length + 1))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for r in remove_repeats(df, length=length, kmer=15, group_kinds=group_kinds).collect():
+    for r in remove_repeats(df, length=length, kmer=15, group_windows=group_windows).collect():
         b, gone = raw[r.doc_id], set()
         for s in range(len(b) - length + 1):
             if seen[b[s : s + length]] > 1:

@@ -10,7 +10,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
    a whole, with anchors at equal distances, are repeated as a whole.
 3. What is left, single pieces with an anchor that other pieces have too, is compared window by
    window with one of each of those others: in one task for each anchor, as arrays; the windows of
-   anchors with more than GROUP_KINDS kinds of pieces are dealt out by their hashes instead.
+   anchors whose pieces have more than GROUP_WINDOWS of them are dealt out by their hashes instead.
 4. Repeated windows are merged into spans, and the spans cut out of their documents.
 
 Groups are counted where they are read before any shuffle, and joins run on stored tables, so
@@ -19,6 +19,7 @@ a passage that many documents share is not gathered in one task.
 * Null text: empty. Empty table: empty result. Rows that share doc_id and text are documents
   of their own, so each is a copy of the other; they are cut alike. Rows without doc_id
   count as documents, too; they are joined by the hashes of their texts. Extra columns are ignored.
+* A text is handled whole in one task, with some 100 bytes of arrays for each of its bytes.
 
 The named method merges Burrows-Wheeler transforms of shards by interleave refinement. The README
 says with figures why this operator compares anchored windows instead.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ from tidewell.llm.arrow import whole_runs
 from tidewell.llm.bytes import RangeHash, buffer_of, groups
 from tidewell.llm.tables import discard, stored
 
-LENGTH, KMER, GROUP_KINDS = 400, 100, 4096
+LENGTH, KMER, GROUP_WINDOWS = 400, 100, 1 << 20
+#: Windows compared at once, where one anchor has no more.
+BATCH_WINDOWS = 1 << 18
 #: Window starts handled at once; positions take the low bits of what is compared.
 CHUNK_BITS = 20
 
@@ -137,11 +141,26 @@ def buffer_of_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def some_anchors(rows: pa.Table, length: int) -> Iterator[pa.Table]:
+    """Parts of a table of whole anchors: the pieces of one anchor or more, of about BATCH_WINDOWS windows."""
+    anchor = np.asarray(rows["f"])
+    before = np.cumsum(np.asarray(pc.binary_length(rows["bytes"])) - length + 1)
+    ends = np.concatenate([np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
+    low, part = 0, -1
+    for end in ends.tolist():
+        if before[end - 1] // BATCH_WINDOWS != part and part >= 0:
+            yield rows.slice(low, end - low)
+            low = end
+        part = before[end - 1] // BATCH_WINDOWS
+    if low < len(anchor):
+        yield rows.slice(low)
+
+
 def repeats_within(pieces_: DataFrame, length: int) -> DataFrame:
     """Runs of repeated windows of single pieces, each anchor's pieces compared in one task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in whole_runs(batches, 0):  # anchors of a batch at once: their windows differ
+        for run in (part for rows in whole_runs(batches, 0) for part in some_anchors(rows, length)):  # their windows differ
             hashes, of = windows_of(run, length)
             _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             single = np.asarray(run["single"].combine_chunks().cast(pa.int8())).astype(bool)
@@ -209,7 +228,7 @@ def matching_texts(docs: DataFrame, wish: DataFrame) -> DataFrame:
     return joined.mapInArrow(match, joined.schema).unionByName(without_id)
 
 
-def repeated_spans(docs: DataFrame, length: int, kmer: int, group_kinds: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, kmer: int, group_windows: int) -> DataFrame:
     """Runs of repeated windows: doc_id, t, low, high (first and last window start)."""
     found = stored(pieces(docs, length, kmer), "pieces", large=True)
     place = F.struct("doc_id", "t", "low", "high")
@@ -217,9 +236,10 @@ def repeated_spans(docs: DataFrame, length: int, kmer: int, group_kinds: int) ->
     copied = stored(kinds.where("n > 1").select("f", "h"), "copied")
     whole = stored(found.join(copied, ["f", "h"], "left_semi").select("doc_id", "t", "low", "high"), "whole", large=True)
     # anchors of several kinds of pieces, one of which is single at least
-    mixed = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    mixed = stored(mixed.select("f", "kinds"), "mixed", large=True)
-    chosen = kinds.join(mixed, "f").select("f", "one.*", (F.col("n") == 1).alias("single"), (F.col("kinds") > group_kinds).alias("many"))
+    windows = F.sum(F.col("one.high") - F.col("one.low") + 1).alias("windows")
+    mixed = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), windows).where("kinds > 1 AND least = 1")
+    mixed = stored(mixed.select("f", "windows"), "mixed", large=True)
+    chosen = kinds.join(mixed, "f").select("f", "one.*", (F.col("n") == 1).alias("single"), (F.col("windows") > group_windows).alias("many"))
     wish = chosen.groupBy("doc_id", "t", "many").agg(F.collect_list(F.struct("f", "low", "high", "single")).alias("wish"))
     wish = stored(wish, "wish", large=True)
     parts = []
@@ -283,8 +303,8 @@ def remove_repeats(
     text: str = "text",
     length: int = LENGTH,
     kmer: int = KMER,
-    group_kinds: int = GROUP_KINDS,
+    group_windows: int = GROUP_WINDOWS,
 ) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs, and the digest of what is left."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut_texts(own, repeated_spans(own, length, kmer, group_kinds), length)
+    return cut_texts(own, repeated_spans(own, length, kmer, group_windows), length)
