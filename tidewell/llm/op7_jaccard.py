@@ -14,15 +14,22 @@ of the whole sequence). Two documents link when PERCENT * union <= 100 * interse
 3. Tiles on one common element compare each set with a few leaders and link what is
    equal enough. These links only save work: they merge most classes before the next step.
 4. Tiles on a common element (its rarest first, without the last SHARED - 1, which the lemma
-   spares) and a size band compare the bitmaps of sets of different components: each
-   differing element flips one bit, so the differing bits bound the overlap from above.
-   Tiles of more than TILE sets are dealt to pairs of blocks. A first pass takes one pair
-   for each two components, the second one all pairs of components that still differ.
+   spares) compare the bitmaps of sets of different components and of sizes within one band of
+   each other: each differing element flips one bit, so the differing bits bound the overlap
+   from above. Tiles that hold one component alone have nothing left to find. All tiles with
+   the same least set are compared in one task, where a set's bitmap comes once and a pair is
+   found once; there are as many such tiles as a set has tiles. Tiles of more than TILE sets
+   are dealt to pairs of blocks: the sets of the largest component to blocks that meet
+   only those of other sets, and these to pairs of blocks among themselves.
+   A first pass takes a spanning forest of what the bounds let pass, so that most links are
+   found by few pairs; the second one takes all pairs of components that still differ.
 5. Pairs that the bound lets pass are intersected exactly; the links make the components.
 
 * Null and empty texts have empty sets and stay alone. Empty table: empty result.
-* Rows that share a doc_id are judged each. Rows without a doc_id, and copies of them alone,
-  link with nothing. Extra columns are ignored.
+* Rows that share a doc_id are judged each. Rows without a doc_id link like any other; their
+  component_id is the least doc_id among the rows that links reach, null if none has one.
+* Ties need no order: components do not depend on it. Extra columns are ignored.
+* A text is handled whole in one task, with some 100 bytes of arrays for each of its bytes.
 """
 
 from __future__ import annotations
@@ -69,22 +76,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def size_band(n: int, percent: int) -> int:
-    """Sets that link differ by one band at most: a band's sizes grow by the factor 100 / percent."""
-    return int(math.log(n) / math.log(100 / percent) + 1e-9)
+def bitmap(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements that hash to each of 2 to 4 bits an element.
 
-
-def bitmap(elements: np.ndarray, band: int, percent: int) -> bytes:
-    """Parity of the number of elements that hash to each of some bits: one to two for each element of the band's largest set."""
-    log_bits = max(6, math.ceil((band + 1) * math.log2(100 / percent)))
-    at = (mix(elements ^ np.uint64(7)) >> np.uint64(64 - log_bits)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=1 << log_bits) & 1).astype(np.uint8)).tobytes()
-
-
-def bitmaps(elements: np.ndarray, percent: int) -> list[dict]:
-    """The bitmaps of a set's own size band and of the next one, where its larger partners meet it."""
-    own = size_band(len(elements), percent)
-    return [{"band": b, "bits": bitmap(elements, b, percent)} for b in (own, own + 1)]
+    Positions are low bits of a hash, so the halves of a bitmap fold to the bitmap of half its length.
+    """
+    log_bits = max(6, (2 * len(elements) - 1).bit_length())
+    at = (mix(elements ^ np.uint64(7)) & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=1 << log_bits) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
 
 
 def upper_half(elements: np.ndarray) -> np.ndarray:
@@ -96,39 +96,39 @@ def signature(elements: np.ndarray) -> int:
 
 
 def heads(docs: DataFrame, size: int, percent: int, shared: int) -> DataFrame:
-    """Per row: doc_id, the size and signature ``c`` of its set, and its first elements."""
+    """Per row: doc_id, row key, the size and signature ``c`` of its set, and its first elements."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, c, first = [], [], []
-            for x in text_sets(batch.column(1), size):
+            for x in text_sets(batch.column(2), size):
                 n.append(len(x))
                 c.append(signature(x))
                 first.append(upper_half(x[: len(x) - needed(len(x), percent) + shared]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), arrays(first, np.int32)],
-                ["doc_id", "n", "c", "first"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(c, pa.int64()), arrays(first, np.int32)],
+                ["doc_id", "row", "n", "c", "first"],
             )
 
-    return docs.mapInArrow(take, "doc_id long, n long, c long, first array<int>")
+    return docs.mapInArrow(take, "doc_id long, row long, n long, c long, first array<int>")
 
 
-def may_link(own: DataFrame, classes: DataFrame, percent: int, shared: int) -> DataFrame:
-    """Ids of classes that share enough of their first elements with others, and these elements."""
-    chosen = own.join(classes.select("c", "doc_id"), ["c", "doc_id"], "left_semi")
-    postings = chosen.select("doc_id", "n", F.explode("first").alias("h"))
+def may_link(own: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Row keys, one for each class that shares enough of its first elements with others, and these elements."""
+    chosen = own.groupBy("c").agg(F.min(F.struct("row", "n", "first")).alias("one")).select("one.*")
+    postings = chosen.select("row", "n", F.explode("first").alias("h"))
     counts = postings.groupBy("h").agg(F.count("*").cast("int").alias("in_all")).where("in_all > 1")
-    counts = stored(counts, "counts")  # joined as a table of its own, a frequent element's rows can be split
-    kept = postings.select("h", "doc_id", F.col("n").cast("int").alias("n")).join(counts, "h")
-    common = kept.groupBy("doc_id").agg(F.min("n").alias("n"), F.collect_list(F.struct("in_all", "h")).alias("common"))
+    counts = stored(counts, "counts", large=True)  # joined as a table of its own, a frequent element's rows can be split
+    kept = postings.select("h", "row", F.col("n").cast("int").alias("n")).join(counts, "h")
+    common = kept.groupBy("row").agg(F.min("n").alias("n"), F.collect_list(F.struct("in_all", "h")).alias("common"))
     least = F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)) - 1
-    return common.where(F.size("common") >= least).select("doc_id", "common")
+    return common.where(F.size("common") >= least).select("row", "common")
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shared: int) -> DataFrame:
-    """Per chosen class: c, n, elements, bitmaps, and the common elements (in_all, h) of its tiles.
+    """Per chosen class: c, n, elements, bits, and the common elements (in_all, h) of its tiles.
 
-    Rows that share a doc_id may come along with it; they are sets of documents all the same.
+    Rows that share a row key may come along with it; they are sets of documents all the same.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,22 +147,20 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shar
                 flat = np.concatenate([*keys, np.zeros((0, 2), np.int32)])
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["in_all", "h"])
-                bits = [bitmaps(x, percent) if len(x) else [] for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([signature(x) for x in sets], pa.int64()),
                         pa.array([len(x) for x in sets], pa.int64()),
                         arrays([x.view(np.int64) for x in sets], np.int64),
-                        pa.array(bits, pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))),
+                        pa.array([bitmap(x) for x in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pairs),
                     ],
-                    ["c", "n", "elements", "bitmaps", "keys"],
+                    ["c", "n", "elements", "bits", "keys"],
                 )
 
-    schema = (
-        "c long, n long, elements array<long>, bitmaps array<struct<band:int,bits:binary>>, keys array<struct<in_all:int,h:int>>"
-    )
-    return docs.join(chosen, "doc_id").select("text", "common").mapInArrow(build, schema).where("n > 0")
+    schema = "c long, n long, elements array<long>, bits binary, keys array<struct<in_all:int,h:int>>"
+    again = docs.join(chosen, "row").withColumn("t", F.xxhash64("text")).dropDuplicates(["row", "t"])
+    return again.select("text", "common").mapInArrow(build, schema).where("n > 0")
 
 
 def leader_links(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
@@ -193,73 +191,126 @@ def leader_links(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "c").mapInArrow(compare, "a long, b long")
 
 
-def pairs_within(tile: np.ndarray, bits: np.ndarray, n: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one tile, of different components, that sizes and bitmaps cannot exclude.
+class Forest:
+    """Components of a batch as numbered labels, merged by the pairs that are taken."""
+
+    def __init__(self, root: np.ndarray) -> None:
+        names, self.label = np.unique(root, return_inverse=True)
+        self.parent = list(range(len(names)))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
 
-    Rows are sorted by tile; all tiles are compared at once, neighbours at distance 1, 2, ...
+    def take(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs join two components that earlier ones have not joined."""
+        kept = []
+        for k, (x, y) in enumerate(zip(self.label[a].tolist(), self.label[b].tolist(), strict=True)):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.parent[y] = x
+                kept.append(k)
+        if kept:
+            self.label = np.array([self.find(x) for x in range(len(self.parent))])[self.label]
+        return np.array(kept, np.int64)
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes: longer ones are folded, half upon half."""
+    out = np.zeros((len(bits), width), np.uint8)
+    for k, raw in enumerate(bits):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
+def pairs_within(rows: dict[str, np.ndarray], tile: np.ndarray, at: np.ndarray, bits: list[bytes], percent: int, forest: bool) -> np.ndarray:
+    """Pairs of rows that share a tile and are of different components, and that sizes and bitmaps cannot exclude.
+
+    ``at``: the row of each entry of ``tile``. All tiles are compared at once, neighbours at distance 1, 2, ...
+    ``forest``: pairs that only join what other pairs have joined are left out.
     """
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    wide = bits.view(np.uint64)
-    for distance in range(1, len(tile)):
-        i = np.flatnonzero(tile[:-distance] == tile[distance:])
-        if not len(i):
-            break
-        j = i + distance
-        go = (root[i] != root[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
-        i, j = i[go], j[go]
-        total = n[i] + n[j]
-        differ = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1).astype(np.int64)
-        most = np.minimum((total - differ) // 2, np.minimum(n[i], n[j]))
-        go = 100 * most >= percent * (total - most)
-        found_a.append(i[go])
-        found_b.append(j[go])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def candidate_pairs(sets: DataFrame, roots: DataFrame, percent: int, one: bool, tile: int = TILE) -> DataFrame:
+    n, width = rows["n"], np.array([len(x) for x in bits])
+    span = 1 << math.ceil(math.log2(100 / percent))
+    found = [np.zeros((2, 0), np.int64)]
+    trees = Forest(rows["root"])
+    for w in np.unique(width):
+        inside = (width >= w) & (width <= w * span)
+        wide = np.zeros((len(bits), max(1, w // 8)), np.uint64)
+        wide[inside] = folded([x for x, ok in zip(bits, inside.tolist(), strict=True) if ok], int(w))
+        use = inside[at]
+        order = np.lexsort((at[use], tile[use]))
+        t, r = tile[use][order], at[use][order]
+        k = np.arange(len(t))
+        for distance in range(1, len(t)):
+            k = k[k + distance < len(t)]
+            k = k[t[k] == t[k + distance]]
+            if not len(k):
+                break
+            i, j = r[k], r[k + distance]
+            go = (trees.label[i] != trees.label[j]) & (np.minimum(width[i], width[j]) == w)
+            go &= percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+            go &= ~rows["two"][i] | (rows["own"][i] != rows["own"][j])
+            i, j = i[go], j[go]
+            differ = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1).astype(np.int64)
+            total = n[i] + n[j]
+            most = np.minimum((total - differ) // 2, np.minimum(n[i], n[j]))
+            go = 100 * most >= percent * (total - most)
+            i, j = i[go], j[go]
+            if forest and len(i):
+                kept = trees.take(i, j)
+                i, j = i[kept], j[kept]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def mixed_tiles(sets: DataFrame, roots: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The sets with their roots, and where those in tiles of several components go: g (group), tile, c, own, two."""
+    known = sets.select("c", "n", "bits", "keys").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    known = stored(known.withColumn("root", F.coalesce("root", "c")), "known", large=True)
+    slim = known.select("c", "root", F.explode("keys.h").alias("h"))
+    by_root = slim.groupBy("h", "root").agg(F.count("*").alias("size"), F.min("c").alias("low"))
+    totals = [F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"), F.min("low").alias("low"), F.count("*").alias("roots")]
+    mixed = stored(by_root.groupBy("h").agg(*totals).where("roots > 1").drop("roots"), "mixed", large=True)
+    met = slim.join(mixed, "h")
+    small = met.where(F.col("size") <= tile).select(F.col("low").alias("g"), F.col("h").cast("long").alias("tile"), "c", F.lit(0).alias("own"), F.lit(False).alias("two"))
+    large = met.where(F.col("size") > tile).withColumn("major", F.col("root") == F.col("top.root"))
+    large = large.withColumn("p", F.ceil(F.col("top.size") / tile).cast("int")).withColumn("q", F.ceil((F.col("size") - F.col("top.size")) / tile).cast("int"))
+    own = F.pmod(F.xxhash64("c"), F.when(F.col("major"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    large = large.withColumn("own", own)
+    # blocks of the largest component are numbered from -1 down, those of the others from 0 up
+    mine = F.when(F.col("major"), -1 - F.col("own")).otherwise(F.col("own"))
+    upto = F.sequence(F.lit(0), F.col("q") - 1)
+    others = F.when(F.col("major"), upto).otherwise(F.concat(F.sequence(-F.col("p"), F.lit(-1)), upto))
+    large = large.withColumn("own", mine).withColumn("other", F.explode(others))
+    where = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))
+    large = large.select(where.alias("g"), where.alias("tile"), "c", "own", (F.col("own") != F.col("other")).alias("two"))
+    return known, stored(small.unionByName(large), "met", large=True)
+
+
+def candidate_pairs(sets: DataFrame, roots: DataFrame, percent: int, forest: bool, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of classes of different components that meet in a tile and pass the bounds.
 
-    ``one``: a single pair for each two components.
+    ``forest``: only such that join what no other pair of the same task has joined.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_runs(batches, 0):
-            width = np.asarray(pc.binary_length(rows["bits"]))
-            for w in np.unique(width):
-                part = rows.filter(pa.array(width == w))
-                tile, c, n, root = (np.asarray(part[x]) for x in ("tile", "c", "n", "root"))
-                bits = np.frombuffer(b"".join(part["bits"].to_pylist()), np.uint8).reshape(len(c), -1)
-                a, b = pairs_within(tile, bits, n, root, percent)
-                a, b = np.where(root[a] < root[b], a, b), np.where(root[a] < root[b], b, a)
-                if one:
-                    first = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)[1]
-                    a, b = a[first], b[first]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root[a], root[b], c[a], c[b])], ["ra", "rb", "a", "b"])
-
-    known = sets.select("c", "n", "bitmaps", "keys").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    known = stored(known.withColumn("root", F.coalesce("root", "c")), "known")
-    bands = F.transform("bitmaps", lambda x: x["band"])
-    slim = known.select("c", "root", F.explode("keys").alias("key"), bands.alias("bands"))
-    slim = slim.select("c", "root", "key", F.explode("bands").alias("band"))
-    # a tile of more than ``tile`` sets has several blocks; each set goes to all pairs of blocks with its own
-    slim = slim.withColumn("blocks", F.ceil(F.col("key.in_all") / tile).cast("int"))
-    slim = slim.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    slim = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = F.xxhash64("key.h", "band", F.least("own", "other"), F.greatest("own", "other"))
-    slim = slim.select(where.alias("tile"), "c", "root", "band")
-    # tiles of one component have nothing left to find: bitmaps go to the others only
-    mixed = slim.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = stored(mixed.select("tile"), "mixed", large=True)
-    met = stored(slim.select("tile", "c", "band").join(mixed, "tile", "left_semi"), "met", large=True)
-    rows = met.join(known.select("c", "n", "root", F.explode("bitmaps").alias("bm")), "c").where("band = bm.band")
-    rows = rows.select("tile", "c", "n", "root", "bm.bits").repartition("tile").sortWithinPartitions("tile", "c")
-    pairs = rows.mapInArrow(compare, "ra long, rb long, a long, b long")
-    if one:
-        pairs = pairs.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    else:
-        pairs = pairs.select("a", "b").distinct()
+        for part in whole_runs(batches, 0):
+            rows = {x: np.asarray(part[x]) for x in ("g", "c", "n", "root", "own", "two")}
+            tiles = part["tiles"].combine_chunks()
+            sizes = np.asarray(pc.list_value_length(tiles))
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            place = mix(np.asarray(tiles.flatten()).view(np.uint64) ^ mix(rows["g"].view(np.uint64))[at])
+            a, b = pairs_within(rows, place, at, part["bits"].to_pylist(), percent, forest)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["c"][a]), pa.array(rows["c"][b])], ["a", "b"])
+
+    known, met = mixed_tiles(sets, roots, tile)
+    gathered = met.groupBy("g", "c", "own", "two").agg(F.collect_list("tile").alias("tiles"))
+    rows = gathered.join(known.select("c", "n", "root", "bits"), "c").select("g", "c", "n", "root", "own", "two", "bits", "tiles")
+    pairs = rows.repartition("g").sortWithinPartitions("g", "c").mapInArrow(compare, "a long, b long")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "pairs", large=True)
-    discard(known, mixed, met)
+    discard(known, met)
     return pairs
 
 
@@ -288,27 +339,36 @@ def jaccard_join(
     percent: int = PERCENT,
     shared: int = SHARED,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, the least doc_id that links reach."""
+    """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach), row and root.
+
+    ``row`` is the doc_id, or for rows without one the hash of the text; ``root`` names the
+    component, also where it holds no doc_id; null for empty sets.
+    """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.withColumn("row", F.coalesce("doc_id", F.xxhash64("text"))).select("doc_id", "row", "text")
     found = stored(heads(own, size, percent, shared), "heads", large=True)
     classes = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stored(may_link(found.where("n > 0"), classes, percent, shared), "chosen", large=True)
-    sets = stored(whole_sets(own, chosen, size, percent, shared), "sets", large=True)
+    chosen = stored(may_link(found.where("n > 0"), percent, shared), "chosen", large=True)
+    sets = stored(whole_sets(own.drop("doc_id"), chosen, size, percent, shared), "sets", large=True)
     links = leader_links(sets, percent)
-    for one in (True, False):
+    for forest in (True, False):
         roots = components(links)
-        links = exact_links(candidate_pairs(sets, roots, percent, one), sets, percent)
+        links = exact_links(candidate_pairs(sets, roots, percent, forest), sets, percent)
         links = stored(both_links(roots, links), "links", large=True)
     roots = components(links)
     discard(chosen, sets)
-    slim = found.select("doc_id", "n", "c")
+    slim = found.select("doc_id", "row", "n", "c")
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "c", "doc_id", F.coalesce("root", "c").alias("root")
     )
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    labels = stored(named.join(least, "root").select("c", "least"), "labels")
+    labels = stored(named.join(least, "root").select("c", "root", "least"), "labels")
     return slim.join(labels, "c", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "row",
+        "root",
     )
 
 
