@@ -1,26 +1,28 @@
 """Substring dedup by paragraph MinHash banding (operator 6).
 
 A paragraph is a line of LINE or more words, or a run of neighbouring shorter lines. A-Z count
-as a-z; words are runs of characters other than space and U+0009..U+000D. Four steps find what to
+as a-z; words are runs of characters other than space and U+0009..U+000D. Three steps find what to
 remove; of all that belongs together, the first by doc_id and place stays.
 
 1. Equal paragraphs of LINE or more words share a hash.
 2. Nearly equal ones: MinHash over SHINGLE-word shingles with BANDS bands of ROWS values,
    tuned for recall (1 - (1 - 0.8**3)**8 = 0.997 at a similarity of 0.8, more above). Paragraphs of a bucket
    meet leaders among them, which only saves work: then all pairs of a bucket whose components still
-   differ are compared. Links are verified by exact Jaccard similarity of PERCENT or more. Components of equal and verified paragraphs are the clusters of removals.
-3. Passages inside longer paragraphs: sentences of SENTENCE or more words that are equal to an
-   earlier one. They count where those of one paragraph have PASSAGE words together, so
-   single common sentences stay.
-4. Passages whatever their lines and sentences: a word goes if a run of RUN words that covers it
-   also stands at an earlier place, or at one that step 1 or 2 leaves where this one is removed.
+   differ are compared. Links are verified by exact Jaccard similarity of PERCENT or more. Components
+   of equal and verified paragraphs are the clusters of removals.
+3. Passages inside paragraphs, whatever their lines and sentences: a word goes if a run of RUN words that
+   covers it also stands at an earlier place, or at one that step 1 or 2 leaves where this one is removed.
    Runs are compared as in operator 8: neighbouring runs with one anchor (the KMER words of least hash)
    are a piece; equal pieces go whole, and different ones with one anchor are compared run by run.
 
-* Spans of steps 3 and 4 can overlap each other and those of paragraphs.
+Recall: steps 1 and 3 miss nothing. Step 2 misses a link of similarity 0.8 with probability 0.003 at most.
+Repeats of fewer than RUN words inside paragraphs that differ, and equal paragraphs of fewer than
+LINE words, are no removals by definition.
+
+* Spans of step 3 can overlap those of paragraphs.
 * Null and empty texts hold no paragraphs. Empty table: empty result. Rows that share doc_id
   and text are one document. Rows without doc_id take no part. Extra columns are ignored.
-* A paragraph is handled whole, however long.
+* A text is handled whole in one task, however long, with some 150 bytes of arrays for each of its bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from tidewell.llm.components import components
 from tidewell.llm.op8_suffix import window_anchors
 from tidewell.llm.tables import discard, stored
 
-LINE, SENTENCE, PASSAGE = 20, 6, 25
+LINE = 20
 RUN, KMER = 50, 12
 SHINGLE, BANDS, ROWS, PERCENT, LEADERS = 5, 8, 3, 80, 16
 #: Buckets of more paragraphs, or of more shingles, are dealt to pairs of blocks.
@@ -46,7 +48,7 @@ BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 
 
 class Units:
-    """Paragraphs and sentences of a group of texts, as ranges of words with hashes."""
+    """Words and paragraphs of a group of texts, as ranges with hashes."""
 
     def __init__(self, texts: pa.Array) -> None:
         data, self.offsets = buffer_of(texts)
@@ -61,14 +63,11 @@ class Units:
         line = breaks[self.start] - breaks[self.offsets[:-1]][self.of]
         new_line = np.ones(len(self.start), bool)
         new_line[1:] = (line[1:] != line[:-1]) | (self.of[1:] != self.of[:-1])
-        stop = np.isin(data[self.end - 1], np.frombuffer(b".!?", np.uint8)) if len(self.start) else new_line
-        new_sentence = new_line.copy()
-        new_sentence[1:] |= stop[:-1]
         first, end = self.ranges(new_line)
         short = end - first < LINE  # runs of short lines are one paragraph; an empty line ends it
         joined = short[1:] & short[:-1] & (line[first[1:]] == line[first[:-1]] + 1) & (self.of[first[1:]] == self.of[first[:-1]])
         new_line[first[1:][joined]] = False
-        self.lines, self.sentences = self.ranges(new_line), self.ranges(new_sentence)
+        self.lines = self.ranges(new_line)
         first, end = self.lines
         self.line = np.repeat(line[first], end - first)
 
@@ -119,12 +118,15 @@ def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+RUNS = "doc_id long, t long, line int, low long, high long, start long, end long"
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """Paragraphs (sentence -1, with band keys) and sentences of all texts.
+    """Paragraphs (with band keys, no anchor) and pieces of runs (with an anchor) of all texts.
 
-    doc_id, t (hash of the text), line, sentence, n (words), h, start and end (bytes), bands.
+    RUNS: t is the hash of the text, low and high the first words of the first and last run, for a paragraph
+    its first and last word, start and end bytes; f (anchor), h (hash of the whole), bands.
     """
-    names = "doc_id t line sentence n h start end bands".split()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,29 +134,13 @@ def units(docs: DataFrame) -> DataFrame:
                 u = Units(batch.column(1).slice(low, high - low))
                 ids = np.asarray(batch.column(0).slice(low, high - low))
                 a, b = u.lines[:, u.lines[1] - u.lines[0] >= LINE]
-                c, d = u.sentences[:, u.sentences[1] - u.sentences[0] >= SENTENCE]
                 keys = band_keys(*u.shingles(a, b)) if len(a) else np.zeros((0, BANDS), np.int64)
-                for first, last, bands in ((a, b, list(keys)), (c, d, None)):
-                    if not len(first):
-                        continue
-                    of = u.of[first]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[of]),
-                            pa.array(u.text_hash[of]),
-                            pa.array(u.line[first].astype(np.int32)),
-                            pa.array(np.full(len(first), -1, np.int32) if bands else first.astype(np.int32)),
-                            pa.array(last - first),
-                            pa.array(u.hashes(first, last)),
-                            pa.array(u.start[first] - u.offsets[:-1][of]),
-                            pa.array(u.end[last - 1] - u.offsets[:-1][of]),
-                            arrays(bands, np.int64) if bands else pa.nulls(len(first), pa.list_(pa.int64())),
-                        ],
-                        names,
-                    )
-
-    schema = "doc_id long, t long, line int, sentence int, n long, h long, start long, end long, bands array<long>"
-    return docs.mapInArrow(find, schema)
+                more = [pa.nulls(len(a), pa.int64()), u.hashes(a, b), arrays(list(keys), np.int64)]
+                yield runs_batch(u, ids, a, b - 1, 1, more, ["f", "h", "bands"])
+                f, h, first, last = u.pieces()
+                yield runs_batch(u, ids, first, last, RUN, [f, h, pa.nulls(len(f), pa.list_(pa.int64()))], ["f", "h", "bands"])
+
+    return docs.mapInArrow(find, f"{RUNS}, f long, h long, bands array<long>")
 
 
 PLACE = ["doc_id", "t", "line", "start"]
@@ -323,28 +309,12 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     return near
 
 
-RUNS = "doc_id long, t long, line int, low long, high long, start long, end long"
-
-
-def run_pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of all texts: RUNS (low and high are first words of runs, start and end bytes), f (anchor) and h (piece)."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in groups(batch.column(1)):
-                u = Units(batch.column(1).slice(low, high - low))
-                ids = np.asarray(batch.column(0).slice(low, high - low))
-                f, h, first, last = u.pieces()
-                yield runs_batch(u, ids, first, last, [f, h], ["f", "h"])
-
-    return docs.mapInArrow(find, f"{RUNS}, f long, h long")
-
-
-def runs_batch(u: Units, ids: np.ndarray, first: np.ndarray, last: np.ndarray, more: list, names: list[str]) -> pa.RecordBatch:
+def runs_batch(u: Units, ids: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, more: list, names: list[str]) -> pa.RecordBatch:
+    """RUNS and more columns; the last run has ``size`` words."""
     of = u.of[first]
     base = np.searchsorted(u.of, of)
     at = u.offsets[:-1][of]
-    columns = [ids[of], u.text_hash[of], u.line[first].astype(np.int32), first - base, last - base, u.start[first] - at, u.end[last + RUN - 1] - at]
+    columns = [ids[of], u.text_hash[of], u.line[first].astype(np.int32), first - base, last - base, u.start[first] - at, u.end[last + size - 1] - at]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *more)], ["doc_id", "t", "line", "low", "high", "start", "end", *names])
 
 
@@ -363,27 +333,24 @@ def single_runs(docs: DataFrame, wish: DataFrame) -> DataFrame:
                         at.append(base[k] + np.arange(w["low"], w["high"] + 1))
                         gone.append(np.full(len(at[-1]), w["gone"]))
                 first = np.concatenate(at)
-                yield runs_batch(u, np.asarray(part.column(0)), first, first, [np.concatenate(gone), u.hashes(first, first + RUN)], ["gone", "w"])
+                yield runs_batch(u, np.asarray(part.column(0)), first, first, RUN, [np.concatenate(gone), u.hashes(first, first + RUN)], ["gone", "w"])
 
     rows = docs.join(wish, "doc_id").select("doc_id", "text", "t", "wish")
     return rows.mapInArrow(build, f"{RUNS}, gone boolean, w long")
 
 
-def repeated_runs(docs: DataFrame, near: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     """Passages of RUN or more words of which each run also stands at a place before: PLACE, n, end, first.
 
-    ``near``: removed paragraphs. What lies in them comes after all other places, so that no copy stays away for their sake.
+    ``found``: all pieces. ``near``: removed paragraphs. What lies in them comes after all other places, so that no copy stays away for their sake.
     """
     place = F.struct("gone", "doc_id", "t", "low")
-    found = stored(run_pieces(docs), "pieces", large=True)
     often = stored(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "often", large=True)
-    again = stored(found.join(often, "f", "left_semi"), "pieces_again", large=True)
-    discard(found)
+    again = found.join(often, "f", "left_semi")
     removed = stored(near.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("removed")), "removed")
     touched = F.exists("removed", lambda r: (r["start"] < F.col("end")) & (r["end"] > F.col("start")))
     again_ = again.join(removed, ["doc_id", "t"], "left").withColumn("gone", F.coalesce(touched, F.lit(False))).drop("removed")
     flagged = stored(again_, "flagged", large=True)
-    discard(again)
     kinds = flagged.groupBy("f", "h").agg(F.min(F.struct("gone", "doc_id", "t", "low", "high")).alias("one"))
     kinds = stored(kinds, "kinds", large=True)
     ends = F.struct("one.gone", "one.doc_id", "one.t", "one.low")
@@ -421,20 +388,14 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     found = stored(units(own), "units", large=True)
-    lines = found.where("sentence = -1").drop("sentence")
+    lines = found.where("f IS NULL").withColumn("n", F.col("high") - F.col("low") + 1).drop("f", "low", "high")
     equal = stored(later_copies(lines.drop("bands")), "equal", large=True)
     near = near_copies(own, lines, equal)
-    said = later_copies(found.where("sentence >= 0").drop("bands", "sentence"))
-    said = said.join(near.select("doc_id", "t", "line"), ["doc_id", "t", "line"], "left_anti")
-    said = stored(said.select(*PLACE, "n", "end", "first"), "said", large=True)
+    runs = repeated_runs(own, found.where("f IS NOT NULL").drop("bands"), near)
     discard(found, equal)
-    enough = said.groupBy("doc_id", "t", "line").agg(F.sum("n").alias("words")).where(F.col("words") >= PASSAGE)
-    passages = said.join(enough.drop("words"), ["doc_id", "t", "line"])
-    runs = repeated_runs(own, near)
     columns = [*PLACE, "n", "end", F.struct("first.doc_id").alias("first")]
-    kinds = (("paragraph", near), ("sentence", passages), ("passage", runs))
-    spans = [rows.select(*columns, F.lit(kind).alias("kind")) for kind, rows in kinds]
-    return spans[0].unionByName(spans[1]).unionByName(spans[2]).select(
+    spans = [rows.select(*columns, F.lit(kind).alias("kind")) for kind, rows in (("paragraph", near), ("passage", runs))]
+    return spans[0].unionByName(spans[1]).select(
         "doc_id", "t", "line", "start", "end", F.col("n").alias("n_words"), "kind", F.col("first.doc_id").alias("of_doc_id")
     )
 
