@@ -96,7 +96,7 @@ def signature(elements: np.ndarray) -> int:
 
 
 def heads(docs: DataFrame, size: int, percent: int, shared: int) -> DataFrame:
-    """Per row: doc_id, row key, the size and signature ``c`` of its set, and its first elements."""
+    """Per row: doc_id, t (hash of the text), the size and signature ``c`` of its set, and its first elements."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,15 +107,15 @@ def heads(docs: DataFrame, size: int, percent: int, shared: int) -> DataFrame:
                 first.append(upper_half(x[: len(x) - needed(len(x), percent) + shared]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(c, pa.int64()), arrays(first, np.int32)],
-                ["doc_id", "row", "n", "c", "first"],
+                ["doc_id", "t", "n", "c", "first"],
             )
 
-    return docs.mapInArrow(take, "doc_id long, row long, n long, c long, first array<int>")
+    return docs.mapInArrow(take, "doc_id long, t long, n long, c long, first array<int>")
 
 
 def may_link(own: DataFrame, percent: int, shared: int) -> DataFrame:
     """Row keys, one for each class that shares enough of its first elements with others, and these elements."""
-    chosen = own.groupBy("c").agg(F.min(F.struct("row", "n", "first")).alias("one")).select("one.*")
+    chosen = own.groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", "t").alias("row"), "n", "first")).alias("one")).select("one.*")
     postings = chosen.select("row", "n", F.explode("first").alias("h"))
     counts = postings.groupBy("h").agg(F.count("*").cast("int").alias("in_all")).where("in_all > 1")
     counts = stored(counts, "counts", large=True)  # joined as a table of its own, a frequent element's rows can be split
@@ -159,7 +159,7 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shar
                 )
 
     schema = "c long, n long, elements array<long>, bits binary, keys array<struct<in_all:int,h:int>>"
-    again = docs.join(chosen, "row").withColumn("t", F.xxhash64("text")).dropDuplicates(["row", "t"])
+    again = docs.withColumn("row", F.coalesce("doc_id", "t")).join(chosen, "row").dropDuplicates(["row", "t"])
     return again.select("text", "common").mapInArrow(build, schema).where("n > 0")
 
 
@@ -227,45 +227,51 @@ def folded(bits: list[bytes], width: int) -> np.ndarray:
 def pairs_within(rows: dict[str, np.ndarray], tile: np.ndarray, at: np.ndarray, bits: list[bytes], percent: int, forest: bool) -> np.ndarray:
     """Pairs of rows that share a tile and are of different components, and that sizes and bitmaps cannot exclude.
 
-    ``at``: the row of each entry of ``tile``. All tiles are compared at once, neighbours at distance 1, 2, ...
+    ``at``: the row of each entry of ``tile``, sorted by group and tile. All tiles are compared at once,
+    neighbours at distance 1, 2, ... Result: two rows and the least of the tiles that they share here.
     ``forest``: pairs that only join what other pairs have joined are left out.
     """
     n, width = rows["n"], np.array([len(x) for x in bits])
     span = 1 << math.ceil(math.log2(100 / percent))
-    found = [np.zeros((2, 0), np.int64)]
+    found = [np.zeros((3, 0), np.int64)]
+    group = rows["g"]
     trees = Forest(rows["root"])
     for w in np.unique(width):
         inside = (width >= w) & (width <= w * span)
         wide = np.zeros((len(bits), max(1, w // 8)), np.uint64)
         wide[inside] = folded([x for x, ok in zip(bits, inside.tolist(), strict=True) if ok], int(w))
         use = inside[at]
-        order = np.lexsort((at[use], tile[use]))
+        order = np.lexsort((at[use], tile[use], group[at[use]]))
         t, r = tile[use][order], at[use][order]
         k = np.arange(len(t))
         for distance in range(1, len(t)):
             k = k[k + distance < len(t)]
-            k = k[t[k] == t[k + distance]]
+            k = k[(t[k] == t[k + distance]) & (group[r[k]] == group[r[k + distance]])]
             if not len(k):
                 break
             i, j = r[k], r[k + distance]
             go = (trees.label[i] != trees.label[j]) & (np.minimum(width[i], width[j]) == w)
             go &= percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
             go &= ~rows["two"][i] | (rows["own"][i] != rows["own"][j])
-            i, j = i[go], j[go]
+            i, j, h = i[go], j[go], t[k[go]]
             differ = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1).astype(np.int64)
             total = n[i] + n[j]
             most = np.minimum((total - differ) // 2, np.minimum(n[i], n[j]))
             go = 100 * most >= percent * (total - most)
-            i, j = i[go], j[go]
+            i, j, h = i[go], j[go], h[go]
             if forest and len(i):
                 kept = trees.take(i, j)
-                i, j = i[kept], j[kept]
-            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-    return np.unique(np.concatenate(found, axis=1), axis=1)
+                i, j, h = i[kept], j[kept], h[kept]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j), h]))
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    return pairs[:, new]
 
 
 def mixed_tiles(sets: DataFrame, roots: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
-    """The sets with their roots, and where those in tiles of several components go: g (group), tile, c, own, two."""
+    """The sets with their roots, and where those in tiles of several components go: g (group), tile (its element), c, own, two."""
     known = sets.select("c", "n", "bits", "keys").join(roots.withColumnRenamed("node", "c"), "c", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "c")), "known", large=True)
     slim = known.select("c", "root", F.explode("keys.h").alias("h"))
@@ -284,7 +290,7 @@ def mixed_tiles(sets: DataFrame, roots: DataFrame, tile: int) -> tuple[DataFrame
     others = F.when(F.col("major"), upto).otherwise(F.concat(F.sequence(-F.col("p"), F.lit(-1)), upto))
     large = large.withColumn("own", mine).withColumn("other", F.explode(others))
     where = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))
-    large = large.select(where.alias("g"), where.alias("tile"), "c", "own", (F.col("own") != F.col("other")).alias("two"))
+    large = large.select(where.alias("g"), F.col("h").cast("long").alias("tile"), "c", "own", (F.col("own") != F.col("other")).alias("two"))
     return known, stored(small.unionByName(large), "met", large=True)
 
 
@@ -292,6 +298,7 @@ def candidate_pairs(sets: DataFrame, roots: DataFrame, percent: int, forest: boo
     """Pairs (a, b) of classes of different components that meet in a tile and pass the bounds.
 
     ``forest``: only such that join what no other pair of the same task has joined.
+    Otherwise a pair is given in one task, that of the least element for which both sets have a tile.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +307,18 @@ def candidate_pairs(sets: DataFrame, roots: DataFrame, percent: int, forest: boo
             tiles = part["tiles"].combine_chunks()
             sizes = np.asarray(pc.list_value_length(tiles))
             at = np.repeat(np.arange(len(sizes)), sizes)
-            place = mix(np.asarray(tiles.flatten()).view(np.uint64) ^ mix(rows["g"].view(np.uint64))[at])
-            a, b = pairs_within(rows, place, at, part["bits"].to_pylist(), percent, forest)
+            a, b, h = pairs_within(rows, np.asarray(tiles.flatten()), at, part["bits"].to_pylist(), percent, forest)
+            if not forest and len(a):
+                keys = {k: frozenset(part["keys"][k].as_py()) for k in np.unique([a, b]).tolist()}
+                first = [min(keys[x] & keys[y]) == z for x, y, z in zip(a.tolist(), b.tolist(), h.tolist(), strict=True)]
+                a, b = a[first], b[first]
             yield pa.RecordBatch.from_arrays([pa.array(rows["c"][a]), pa.array(rows["c"][b])], ["a", "b"])
 
     known, met = mixed_tiles(sets, roots, tile)
     gathered = met.groupBy("g", "c", "own", "two").agg(F.collect_list("tile").alias("tiles"))
-    rows = gathered.join(known.select("c", "n", "root", "bits"), "c").select("g", "c", "n", "root", "own", "two", "bits", "tiles")
+    keys = F.array().cast("array<int>") if forest else F.col("keys.h")
+    rows = gathered.join(known.select("c", "n", "root", "bits", keys.alias("keys")), "c")
+    rows = rows.select("g", "c", "n", "root", "own", "two", "bits", "tiles", "keys")
     pairs = rows.repartition("g").sortWithinPartitions("g", "c").mapInArrow(compare, "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "pairs", large=True)
@@ -339,17 +351,16 @@ def jaccard_join(
     percent: int = PERCENT,
     shared: int = SHARED,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach), row and root.
+    """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach), t and root.
 
-    ``row`` is the doc_id, or for rows without one the hash of the text; ``root`` names the
-    component, also where it holds no doc_id; null for empty sets.
+    ``t`` is the hash of the text; ``root`` names the component, also where it holds no doc_id; null for empty sets.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = own.withColumn("row", F.coalesce("doc_id", F.xxhash64("text"))).select("doc_id", "row", "text")
+    own = own.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = stored(heads(own, size, percent, shared), "heads", large=True)
     classes = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     chosen = stored(may_link(found.where("n > 0"), percent, shared), "chosen", large=True)
-    sets = stored(whole_sets(own.drop("doc_id"), chosen, size, percent, shared), "sets", large=True)
+    sets = stored(whole_sets(own, chosen, size, percent, shared), "sets", large=True)
     links = leader_links(sets, percent)
     for forest in (True, False):
         roots = components(links)
@@ -357,7 +368,7 @@ def jaccard_join(
         links = stored(both_links(roots, links), "links", large=True)
     roots = components(links)
     discard(chosen, sets)
-    slim = found.select("doc_id", "row", "n", "c")
+    slim = found.select("doc_id", "t", "n", "c")
     named = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "c", "doc_id", F.coalesce("root", "c").alias("root")
     )
@@ -367,7 +378,7 @@ def jaccard_join(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        "row",
+        "t",
         "root",
     )
 
