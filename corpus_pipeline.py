@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.op1_quality import quality_rules
@@ -19,26 +19,52 @@ from tidewell.llm.op7_jaccard import jaccard_join
 from tidewell.llm.tables import stored
 
 
+def renamed(found: DataFrame) -> DataFrame:
+    return found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+
+
+def same_text() -> Column:
+    """Rows of documents and of ``renamed`` that share doc_id, null or not, and text."""
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their host's verdict reject go."""
-    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    return docs.join(kept, same, "left_semi")
+    """Documents that the base rules or their host's verdict reject go.
+
+    Null and empty texts fail the base rules. Rows that share a doc_id and a text are judged each with its own
+    source and stay if one of them is kept. Null ids take part. Extra columns stay. Empty table: empty.
+    """
+    kept = quality_rules(docs).where("kept").select("doc_id", "t").distinct()
+    return docs.join(renamed(kept), same_text(), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: the one with the least doc_id.
 
-    Links are those of operator 7 at five words and a Jaccard similarity of 0.8.
+    Links are those of operator 7 at five words and a Jaccard similarity of 0.8. Rows without a doc_id link, too,
+    and stay only where no row of their group has one; ties go to the least hash of the text. Of rows that share
+    doc_id and text, one stays. Null and empty texts link with nothing. Extra columns stay. Empty table: empty.
     """
-    groups = jaccard_join(docs, size=5, percent=80)
-    stays = groups.where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = jaccard_join(docs, size=5, percent=80).select("doc_id", "t", "root")
+    found = stored(found, "found", large=True)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.t")
+    stays = stored(least.unionByName(found.where("root IS NULL").select("doc_id", "t").distinct()), "stays", large=True)
+    repeated = stored(found.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t"), "repeated")
+    kept = docs.join(renamed(stays), same_text(), "left_semi")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(renamed(repeated), same_text(), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(renamed(repeated), same_text(), "left_anti").unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs and passages are cut out of all documents but the first; emptied ones go."""
-    spans = stored(repeated_paragraphs(docs).select("doc_id", "t", "start", "end"), "spans")
+    """Repeated paragraphs and passages are cut out of all documents but the first; emptied ones go.
+
+    Documents with null or empty texts go as well. Rows without a doc_id stay as they are. Rows that share a doc_id
+    and a text are one document and cut alike. Extra columns stay; n_chars is counted anew. Empty table: empty.
+    """
+    spans = stored(repeated_paragraphs(docs).select("doc_id", "t", "start", "end"), "spans", large=True)
     cut = without_spans(docs, spans)
     return cut.where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "").withColumn(
         "n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])
@@ -46,6 +72,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, null texts and ids included, placed in sequences of 2048 tokens; see operator 3."""
     return best_fit_packing(docs)
 
 
@@ -56,7 +83,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing),
 ]
 
-#: MinHash buckets and token ids are beyond SQL; tests hold the stages against brute force.
+#: MinHash buckets and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
