@@ -44,7 +44,7 @@ def test_correlation_of_a_constant_is_null(spark):
 def test_nearest_ties_and_tolerance(spark):
     left = frame(spark, [(1, 1000.0), (2, 5000.0), (3, 9000.0)], "id long, s double")
     right = frame(spark, [(10, 990.0), (11, 1010.0), (12, 5300.0), (13, 9301.0)], "rid long, t double")
-    got = {r.id: r.rid for r in joins.nearest(left, right, "id", F.col("s"), F.col("t"), 300).collect()}
+    got = {r.id: r.rid for r in joins.nearest(left, right, F.col("s"), F.col("t"), "rid", 300).collect()}
     assert got == {1: 10, 2: 12, 3: None}
 
 

@@ -132,3 +132,57 @@ def uniform_tests(frequencies: DataFrame, expected: float) -> DataFrame:
     )
     chi = F.col("squares") * F.col("k") / F.col("total") - F.col("total")
     return one.where("total > 0").select("total", "top", chi.alias("chi2"), chi_square_p(chi, F.col("k") - 1).alias("p_chi2"), binomial_p("top", "total", F.lit(expected)).alias("p_top"))
+
+
+def compare_tables(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Two versions of a result table side by side: keys, column, old, new, diff, agrees, found_in.
+
+    Values agree if both are missing or differ by less than the tolerance; rows of one version alone do not agree. Keys may be null.
+    """
+    a = old.select(*keys, *columns, F.lit(True).alias("_a"))
+    b = new.select(*[F.col(c).alias(f"_{c}") for c in (*keys, *columns)], F.lit(True).alias("_b"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = a.join(b, same, "full")
+    place = F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "old").otherwise("new")
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("old"), F.col(f"_{c}").cast("double").alias("new")) for c in columns]
+    rows = both.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], place.alias("found_in"), F.explode(F.array(*each)).alias("x")).select(*keys, "found_in", "x.*")
+    near = F.coalesce(F.abs(F.col("old") - F.col("new")) < tolerance, F.col("old").isNull() & F.col("new").isNull())
+    return rows.withColumns({"diff": F.col("new") - F.col("old"), "agrees": near & (F.col("found_in") == "both")})
+
+
+def baseline_stats(df: DataFrame, keys: list[str], baseline: Column, value: str, note: str) -> DataFrame:
+    """Per key: count, mean, sample deviation and range of the baseline's rows, with a note where it has none."""
+    x = F.when(baseline, F.col(value))
+    return df.groupBy(*keys).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.when(F.count(x) == 0, note).otherwise("").alias("note")
+    )
+
+
+def against_baseline(df: DataFrame, keys: list[str], baseline: Column, value: str) -> DataFrame:
+    """Per key: both means, population deviations, difference, effect size, U with z and p, and the percent of
+    real values up to the baseline's mean."""
+    x = F.col(value)
+    real, base = F.when(~baseline, x), F.when(baseline, x)
+    level = df.groupBy(*keys).agg(F.avg(base).alias("base_mean"), F.stddev_pop(real).alias("real_std"), F.stddev_pop(base).alias("base_std"))
+    up_to = df.where(~baseline & x.isNotNull()).join(level, keys).groupBy(*keys).agg((F.avg((x <= F.col("base_mean")).cast("double")) * 100).alias("percentile"))
+    effect = two_groups(df, keys, ~baseline, value).select(*keys, "n_a", "n_b", F.col("mean_a").alias("real_mean"), "diff", "d_pooled")
+    u = mann_whitney(df, keys, ~baseline, value).select(*keys, "u", "z", "p")
+    return effect.join(level, keys).join(up_to, keys, "left").join(u, keys, "left")
+
+
+def two_largest_periods(df: DataFrame, period: str) -> DataFrame:
+    """The two periods with the most rows (ties: the earlier one), in order: ``first`` and ``second``."""
+    largest = df.where(F.col(period).isNotNull()).groupBy(period).agg(F.count("*").alias("n")).orderBy(F.desc("n"), period).limit(2)
+    return largest.agg(F.min(period).alias("first"), F.max(period).alias("second")).where("first < second")
+
+
+def period_table(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
+    """The two most populous periods against each other, per key: effect sizes, U and KS tests with p and q over all keys' tests."""
+    rows = df.join(F.broadcast(two_largest_periods(df, period))).where(F.col(period).isin(F.col("first"), F.col("second")))
+    side = F.col(period) == F.col("first")
+    effect = two_groups(rows, [*keys, "first", "second"], side, value)
+    u = mann_whitney(rows, keys, side, value).select(*keys, "u", "z", F.col("p").alias("p_u"))
+    d = kolmogorov_smirnov(rows, keys, side, value).select(*keys, "d", F.col("p").alias("p_d"))
+    tests = u.select(*keys, F.lit("u").alias("test"), F.col("p_u").alias("p")).unionByName(d.select(*keys, F.lit("d").alias("test"), F.col("p_d").alias("p")))
+    q = benjamini_hochberg(tests, ["test"], "p").groupBy(*keys).agg(F.max(F.when(F.col("test") == "u", F.col("q"))).alias("q_u"), F.max(F.when(F.col("test") == "d", F.col("q"))).alias("q_d"))
+    return effect.join(u, keys, "left").join(d, keys, "left").join(q, keys, "left")

@@ -62,3 +62,26 @@ def overrides(base: DataFrame, patch: DataFrame, keys: list[str], columns: list[
     named = patch.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
     joined = base.join(named, keys, "left")
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns])
+
+
+def relabelled(df: DataFrame, column: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """Labels rewritten by regular expressions, one after the other; null labels stay null."""
+    label = F.col(column)
+    for pattern, to in rules:
+        label = F.regexp_replace(label, pattern, to)
+    return df.withColumn(column, label)
+
+
+def numeric_copy(df: DataFrame, column: str, name: str, flag: str) -> DataFrame:
+    """A derived copy of a column, with an exclusion flag that is false in all rows: no value is taken out."""
+    return df.withColumns({name: F.col(column), flag: F.lit(False)})
+
+
+def threshold_lists(df: DataFrame, keys: list[str], value: str, order: list[str], low: float, band: tuple[float, float]) -> DataFrame:
+    """The rows below ``low`` or within ``band`` (both ends inclusive), each with its ``list``; nulls are in none.
+
+    Sort by value and ``order`` to read a list in its order.
+    """
+    x = F.col(value)
+    lists = F.array(F.when(x < low, F.lit("below")), F.when(x.between(*band), F.lit("between")))
+    return df.select(*keys, *order, value, F.explode(F.array_compact(lists)).alias("list"))

@@ -8,20 +8,39 @@ from pyspark.sql import functions as F
 from tidewell.operators.ordered import gap_blocks, seconds, with_index
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, left_s: Column, right_s: Column, tolerance: float) -> DataFrame:
-    """Each left row with the right row nearest in time, at most ``tolerance`` seconds away.
+def nearest(left: DataFrame, right: DataFrame, left_s: Column, right_s: Column, right_key: str, tolerance: float | None = None, width: float = 86400) -> DataFrame:
+    """Each left row with the right row nearest in time, if it is at most ``tolerance`` seconds away.
 
-    Both sides are keyed by time buckets of the tolerance's width; the right side is put in
-    its bucket and both neighbours, so matches meet in an equi-join. Ties go to the earlier
-    right row. Left rows without a match stay, with nulls. ``left_key`` is unique.
+    Both sides are put in one order of time within buckets of ``width`` seconds, where a window carries the last right
+    row at or before each left row, and the next one at or after it; buckets without such rows take them from the nearest
+    bucket that has one. So the work grows with the rows, however dense they are, and a task orders one bucket.
+    Ties go to the earlier right row, then to the least ``right_key``. Left rows without a match or a time stay, with nulls.
     """
-    a = left.withColumns({"_ls": left_s}).withColumn("_b", F.floor(F.col("_ls") / tolerance))
-    b = right.withColumns({"_rs": right_s}).withColumn("_b0", F.floor(F.col("_rs") / tolerance))
-    b = b.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
-    far = F.abs(F.col("_ls") - F.col("_rs"))
-    joined = a.join(b, (a["_b"] == b["_b"]) & (far <= tolerance), "left").drop(a["_b"]).drop(b["_b"])
-    best = Window.partitionBy(left_key).orderBy(far.asc_nulls_last(), "_rs")
-    return joined.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").withColumn("delta_s", far).drop("_rn", "_ls", "_rs")
+    none = F.lit(None)
+    of_right = F.struct(*right.columns)
+    a = left.select(left_s.alias("s"), F.struct(*left.columns).alias("l"), none.cast(right.schema).alias("r"))
+    b = right.select(right_s.alias("s"), none.cast(left.schema).alias("l"), of_right.alias("r")).where("s IS NOT NULL")
+    both = a.unionByName(b).withColumn("b", F.floor(F.col("s") / width))
+    found = F.when(F.col("r").isNotNull(), F.struct(F.col("s").alias("s"), F.col("r").alias("r")))
+    is_left, key = F.col("l").isNotNull(), F.col("r")[right_key]
+    before = Window.partitionBy("b").orderBy("s", is_left, key.desc())
+    after = Window.partitionBy("b").orderBy(F.desc("s"), is_left, key.desc())
+    near = both.withColumns({"p": F.last(found, ignorenulls=True).over(before), "n": F.last(found, ignorenulls=True).over(after)}).where(is_left)
+    rights = both.where(~is_left).groupBy("b").agg(F.min_by(found, F.struct(-F.col("s"), key)).alias("last_one"), F.min_by(found, F.struct("s", key)).alias("first_one"))
+    line = Window.orderBy("b")  # one row a bucket
+    edges = both.where("b IS NOT NULL").select("b").distinct().join(rights, "b", "left").select(
+        "b",
+        F.last("last_one", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("bucket_p"),
+        F.first("first_one", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("bucket_n"),
+    )
+    near = near.join(edges, "b", "left").withColumns({"p": F.coalesce("p", "bucket_p"), "n": F.coalesce("n", "bucket_n")})
+    to_p, to_n = F.col("s") - F.col("p.s"), F.col("n.s") - F.col("s")
+    best = F.when(to_n.isNull() | (to_p <= to_n), F.col("p")).otherwise(F.col("n"))
+    far = F.abs(F.col("s") - F.col("best.s"))
+    near = near.withColumn("best", best).withColumn("d", far)
+    if tolerance is not None:
+        near = near.withColumn("best", F.when(F.col("d") <= tolerance, F.col("best"))).withColumn("d", F.when(F.col("best").isNotNull(), F.col("d")))
+    return near.select("l.*", *[F.col("best.r")[c].alias(c) for c in right.columns], F.col("d").alias("delta_s"))
 
 
 def asof_coverage(matched: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
@@ -51,20 +70,35 @@ def grid_resample(df: DataFrame, keys: list[str], ts: str, value: str, step_h: f
 
 
 def within_interval(points: DataFrame, logs: DataFrame, point_s: Column, log_s: Column, reach: float) -> DataFrame:
-    """Each point with all log rows at most ``reach`` seconds away (inclusive); points without one stay."""
-    a = points.withColumn("_ps", point_s).withColumn("_b", F.explode(F.array(*[F.floor(F.col("_ps") / reach) + k for k in (-1, 0, 1)])))
-    b = logs.withColumn("_qs", log_s).withColumn("_b", F.floor(F.col("_qs") / reach))
-    met = a.join(b, "_b").where(F.abs(F.col("_ps") - F.col("_qs")) <= reach).drop("_b", "_ps", "_qs")
-    none = points.join(met.select(*points.columns).distinct(), points.columns, "left_anti")
-    return met.unionByName(none, allowMissingColumns=True)
+    """Each point with all log rows at most ``reach`` seconds away (inclusive); points without one stay, equal points each.
+
+    Log rows go to the three buckets that they can reach; the join is an outer one, so null columns need no care.
+    """
+    a = points.withColumn("_ps", point_s).withColumn("_b", F.floor(F.col("_ps") / reach))
+    b = logs.withColumn("_qs", log_s).withColumn("_c", F.explode(F.array(*[F.floor(F.col("_qs") / reach) + k for k in (-1, 0, 1)])))
+    met = (F.col("_b") == F.col("_c")) & (F.abs(F.col("_ps") - F.col("_qs")) <= reach)
+    return a.join(b, met, "left").drop("_b", "_c", "_ps", "_qs")
+
+
+def first_interval(points: DataFrame, intervals: DataFrame, point_key: str, point_s: Column, start_s: Column, end_s: Column, label: str, reach: float) -> DataFrame:
+    """Adds ``near``: the label of the first interval, by start and label, that begins at most ``reach`` seconds after the point
+    and ends at most as long before it; null if there is none. Intervals go to the buckets that they can serve.
+    """
+    low, high = start_s - reach, end_s + reach
+    b = intervals.select(F.col(label).alias("_label"), start_s.alias("_start"), low.alias("_low"), high.alias("_high"))
+    b = b.where("_low <= _high").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / reach), F.floor(F.col("_high") / reach))))
+    a = points.select(point_key, point_s.alias("_s")).withColumn("_b", F.floor(F.col("_s") / reach))
+    met = a.join(b, "_b").where(F.col("_s").between(F.col("_low"), F.col("_high")))
+    first = met.groupBy(point_key).agg(F.min(F.struct("_start", "_label")).alias("_f"))
+    return points.join(first.select(point_key, F.col("_f._label").alias("near")), point_key, "left")
 
 
-def lag_pairs(df: DataFrame, keys: list[str], ts: str, value: str, lags: int, limit_h: float) -> DataFrame:
+def lag_pairs(df: DataFrame, keys: list[str], ts: str, value: str, lags: int, limit_h: float, tie: str | None = None) -> DataFrame:
     """Pairs (idx, idx + k) for k = 1..lags with no gap of over ``limit_h`` hours between them.
 
     An equi-join on the later index; a running count of big gaps replaces the scan between.
     """
-    rows = gap_blocks(with_index(df, keys, [ts]), keys, ts, limit_h).select(*keys, "idx", "block", ts, value)
+    rows = gap_blocks(with_index(df, keys, [ts, tie] if tie else [ts]), keys, ts, limit_h).select(*keys, "idx", "block", ts, value)
     first = rows.select(*keys, "block", F.col("idx").alias("i"), F.col(ts).alias("ts_a"), F.col(value).alias("a")).withColumn(
         "k", F.explode(F.sequence(F.lit(1), F.lit(lags)))
     ).withColumn("j", F.col("i") + F.col("k"))

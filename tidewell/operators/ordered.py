@@ -24,13 +24,25 @@ def with_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("idx", (F.row_number().over(over(keys, order)) - 1).cast("long"))
 
 
-def with_gaps(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    """Hours since the last reading, and first difference of the un-dropped values."""
-    w = over(keys, [ts])
-    now = seconds(F.col(ts))
-    return df.withColumns(
-        {"gap_h": (now - F.lag(now).over(w)) / 3600, "diff1": F.col(value) - F.lag(value).over(w)}
-    )
+def with_next(df: DataFrame, keys: list[str], order: list[str], bucket: Column, columns: list[str], name: str = "next") -> DataFrame:
+    """Adds the struct of ``columns`` of each series' next row, null for its last one.
+
+    A task orders one bucket of one series; the last row of a bucket takes the first row of the next bucket, of which
+    there is one row each. ``bucket`` must not fall along ``order``: for example its day or its hundreds.
+    """
+    own = F.struct(*columns)
+    inner = df.withColumn("_b", bucket)
+    heads = inner.groupBy(*keys, "_b").agg(F.min_by(own, F.struct(*order)).alias("_head"))
+    heads = heads.select(*keys, "_b", F.lead("_head").over(over(keys, ["_b"])).alias("_after"))
+    inner = inner.withColumn("_next", F.lead(own).over(over([*keys, "_b"], order)))
+    return inner.join(heads, [*keys, "_b"], "left").withColumn(name, F.coalesce("_next", "_after")).drop("_b", "_next", "_after")
+
+
+def with_gaps(df: DataFrame, keys: list[str], ts: str, value: str, tie: str) -> DataFrame:
+    """Hours to the next reading, and its difference of the un-dropped values; equal times are ordered by ``tie``."""
+    ahead = with_next(df, keys, [ts, tie], F.to_date(F.col(ts)), [ts, value])
+    gap = (seconds(F.col(f"next.{ts}")) - seconds(F.col(ts))) / 3600
+    return ahead.withColumns({"gap_h": gap, "diff1": F.col(f"next.{value}") - F.col(value)}).drop("next")
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 8, least: int = 4) -> DataFrame:

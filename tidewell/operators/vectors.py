@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import angle, cosine_distance, minus, norm, safe_div
+from tidewell.operators.ordered import with_next
 
 
 def as_doubles(vector: Column, size: int | None = None) -> Column:
@@ -38,16 +39,16 @@ def with_residual(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return joined.withColumn("residual", minus(F.col(vector), F.col("mean"))).drop("mean").withColumn("residual_norm", norm(F.col("residual")))
 
 
-def steps(df: DataFrame, order: str, vector: str, keys: list[str]) -> DataFrame:
+def steps(df: DataFrame, order: str, vector: str, keys: list[str], width: int = 1000) -> DataFrame:
     """Consecutive rows of a series: cosine distance and length of the step, with the next row's place."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    paired = df.withColumns({"next_vector": F.lead(vector).over(w), "to": F.lead(order).over(w)}).where("to IS NOT NULL")
+    paired = with_next(df, keys, [order], F.floor(F.col(order) / width), [order, vector]).where("next IS NOT NULL")
+    ahead = F.col("next")[vector]
     return paired.select(
         *keys,
         F.col(order).alias("from"),
-        "to",
-        cosine_distance(F.col(vector), F.col("next_vector")).alias("cosine_step"),
-        norm(minus(F.col("next_vector"), F.col(vector))).alias("length_step"),
+        F.col("next")[order].alias("to"),
+        cosine_distance(F.col(vector), ahead).alias("cosine_step"),
+        norm(minus(ahead, F.col(vector))).alias("length_step"),
     )
 
 
@@ -109,15 +110,18 @@ def standard_normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))
 
 
-def gaussian_angle_null(df: DataFrame, key: str, size: int, reps: int, seed: int) -> DataFrame:
-    """Angles of pairs of independent normal vectors, a pair for each key and replicate: mean and deviation.
+def gaussian_angle_null(df: DataFrame, key: str, names: list[str], reps: int, seed: int) -> DataFrame:
+    """Per pair of the named vectors: observed angle, and that of normal vectors of the same lengths, one for each row, layer and replicate."""
+    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
-    Lengths do not change angles, so the vectors are not rescaled.
-    """
-    rows = df.select(key).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    draw = lambda side: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: standard_normal(F.lit(seed), F.lit(side), F.col(key), F.col("rep"), i))
-    angles = rows.select(draw(1).alias("a"), draw(2).alias("b")).select(angle(F.col("a"), F.col("b")).alias("angle"))
-    return angles.agg(F.count("*").alias("n"), F.avg("angle").alias("mean"), F.stddev_pop("angle").alias("std"))
+    def drawn(i: int, name: str) -> Column:
+        raw = F.transform(F.sequence(F.lit(1), F.size(name)), lambda k: standard_normal(F.lit(seed), F.lit(i), F.col(key), F.col("rep"), k))
+        return F.transform(raw, lambda x: x * norm(F.col(name)) / norm(raw))
+
+    null = pair_distances(rows.select(*[drawn(i, n).alias(n) for i, n in enumerate(names)]), [], names)
+    null = null.groupBy("pair").agg(F.count("angle").alias("n"), F.avg("angle").alias("null_mean"), F.stddev_pop("angle").alias("null_std"))
+    seen = pair_distances(df, [], names).groupBy("pair").agg(F.avg("angle").alias("observed"))
+    return seen.join(null, "pair").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))
 
 
 def principal_shares(df: DataFrame, vector: str, k: int = 3) -> tuple[list[float], DataFrame]:

@@ -73,16 +73,17 @@ def between_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaussian_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and deviation of angles between independent normal vectors, one pair for each block and replicate."""
-    blocks = layers(spark, sf_dir).select("block")
-    return vectors.gaussian_angle_null(blocks, "block", 64, 200, 42)
+    """Mean angles of layer pairs, observed and between normal vectors of the same lengths."""
+    return vectors.gaussian_angle_null(layers(spark, sf_dir), "block", LAYERS, 200, 42)
 
 
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of the first three scores of each label: signs of components are arbitrary."""
+    """Variance shares of the first three components; signs of components are arbitrary, so scores enter by size."""
     residuals = vectors.with_residual(vector_table(spark, sf_dir), [], "v").select("label", "residual")
-    _, scores = vectors.principal_shares(residuals, "residual")
-    return scores.groupBy("label").agg(*[F.avg(F.abs(F.col("scores")[i])).alias(f"mean_abs_pc{i + 1}") for i in range(3)])
+    shares, scores = vectors.principal_shares(residuals, "residual")
+    sizes = scores.agg(*[F.avg(F.abs(F.col("scores")[i])).alias(f"s{i}") for i in range(len(shares))])
+    each = [F.struct(F.lit(i + 1).alias("component"), F.lit(x).alias("share"), F.col(f"s{i}").alias("mean_abs_score")) for i, x in enumerate(shares)]
+    return sizes.select(F.explode(F.array(*each)).alias("c")).select("c.*")
 
 
 def permuted_layers(table: DataFrame, reps: int, seed: int) -> DataFrame:

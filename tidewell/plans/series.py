@@ -103,7 +103,7 @@ def trend_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ordered.with_gaps(observations(spark, sf_dir), KEY, "ts", "value")
+    rows = ordered.with_gaps(observations(spark, sf_dir), KEY, "ts", "value", "event_id")
     return rounded(rows.groupBy(*KEY).agg(F.count("gap_h").alias("n"), F.avg("gap_h").alias("mean_gap"), F.max("gap_h").alias("max_gap"), F.avg(F.abs("diff1")).alias("mean_step")))
 
 
@@ -150,13 +150,13 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sides(spark, sf_dir)
-    found = joins.nearest(left, right, "event_id", ordered.seconds(F.col("ts")), ordered.seconds(F.col("error_ts")), 300)
+    found = joins.nearest(left, right, ordered.seconds(F.col("ts")), ordered.seconds(F.col("error_ts")), "error_id", 300)
     return rounded(found.select("event_id", F.coalesce("error_id", F.lit(-1)).alias("error_id"), "delta_s"), 3)
 
 
 def asof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sides(spark, sf_dir)
-    found = joins.nearest(left, right, "event_id", ordered.seconds(F.col("ts")), ordered.seconds(F.col("error_ts")), 300)
+    found = joins.nearest(left, right, ordered.seconds(F.col("ts")), ordered.seconds(F.col("error_ts")), "error_id", 300)
     return joins.asof_coverage(found, right, "error_id")
 
 
@@ -171,7 +171,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_of(spark: SparkSession, sf_dir: str, lags: int = 16) -> DataFrame:
-    return joins.lag_pairs(observations(spark, sf_dir), KEY, "ts", "value", lags, 1.0)
+    return joins.lag_pairs(observations(spark, sf_dir), KEY, "ts", "value", lags, 1.0, "event_id")
 
 
 def lag_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def lag_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ar1_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 1)
-    return rounded(curve.where("k = 1").select("event_type", memory.ar1_time(F.abs("rho"), 6.0).alias("tau_of_size")))
+    return rounded(curve.where("k = 1").select("event_type", memory.ar1_time(F.col("rho"), 6.0).alias("tau")))
 
 
 def detrended_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,8 +152,8 @@ SELECT event_type, band, round(avg(rho), 6) AS mean_rho, min(n_pairs) AS min_pai
 SELECT event_type, round(early, 6) AS early, round(late, 6) AS late, CASE WHEN early - late > 0.1 THEN 'decaying' WHEN early - late < -0.1 THEN 'rising' ELSE 'flat' END AS reading FROM w""",
     "threshold_scan": "SELECT event_type, count(*) FILTER (value BETWEEN 3 AND 6) AS n_between, count(*) FILTER (value < 3) AS n_below FROM events GROUP BY event_type",
     "ar1_times": f"""WITH {GRID}, p AS (SELECT x.event_type, x.value AS a, y.value AS b FROM grid x JOIN grid y ON x.event_type = y.event_type AND y.g = x.g + 1 WHERE x.value IS NOT NULL AND y.value IS NOT NULL
-), cv AS (SELECT event_type, CASE WHEN count(*) >= 5 THEN abs({CORR.format(a='a', b='b')}) END AS r FROM p GROUP BY event_type)
-SELECT event_type, round(CASE WHEN r > 0 THEN -6 / ln(r) END, 6) AS tau_of_size FROM cv""",
+), cv AS (SELECT event_type, CASE WHEN count(*) >= 5 THEN {CORR.format(a='a', b='b')} END AS r FROM p GROUP BY event_type)
+SELECT event_type, round(CASE WHEN r > 0 THEN -6 / ln(r) END, 6) AS tau FROM cv""",
     "detrended_stats": """WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events
 ), f AS (SELECT event_type, covar_pop(value, idx) / var_pop(idx) AS s, avg(value) - covar_pop(value, idx) / var_pop(idx) * avg(idx) AS c FROM i WHERE value IS NOT NULL GROUP BY event_type
 ), d AS (SELECT event_type, value - (s * idx + c) AS d FROM i JOIN f USING (event_type))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 HEADER = r"(?i)^(?:##\s*)?BASELINE-SHUFFLE obs :: (\S+ \S+) UTC"
 #: Fixed line formats of the logs.
-NUMBER = r"([-+]?[0-9]*\.?[0-9]+)"
+NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
 COMPARISON = rf"(?i)(surface-mid|mid-residue|surface-residue)\s+real={NUMBER}\s*\|\s*shuffle={NUMBER}\s*\|\s*delta={NUMBER}"
-METRICS = rf"(?i)\*\*metrics:\*\*.*?H\(t\)=\s*{NUMBER}.*?phi\(t\)=\s*{NUMBER}.*?D\(t\)=\s*{NUMBER}"
+METRICS = r"(?i)\*\*metrics:\*\*"
+#: Each value of a metrics line is looked for by itself.
+METRIC_VALUES = {"h_raw": rf"(?i)H\(t\)\s*=\s*{NUMBER}", "phi_raw": rf"(?i)phi\(t\)\s*=\s*{NUMBER}", "d_raw": rf"(?i)\bD\(t\)\s*=\s*{NUMBER}"}
 
 
 def lines(texts: DataFrame, source: str, text: str) -> DataFrame:
@@ -35,9 +37,9 @@ def comparisons(rows: DataFrame, source: str) -> DataFrame:
 
 
 def why_untrusted(line: Column) -> Column:
-    """Reason in fixed priority: awaiting, first run, not available, carried over."""
+    """Reason in fixed priority: awaiting, first run, H not available, carried over."""
     return (
-        F.when(line.rlike("(?i)awaiting"), "awaiting").when(line.rlike("(?i)first run"), "first_run").when(line.rlike(r"(?i)\bN/A\b"), "not_available").otherwise("carried")
+        F.when(line.rlike("(?i)awaiting"), "awaiting").when(line.rlike("(?i)first run"), "first_run").when(line.rlike(r"(?i)H\(t\)\s*=\s*N/A"), "not_available").otherwise("carried")
     )
 
 
@@ -46,9 +48,9 @@ def quarantined_metrics(rows: DataFrame, source: str) -> DataFrame:
     seen = F.max(F.col("line").rlike(COMPARISON).cast("int")).over(
         Window.partitionBy(source, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    value = lambda i: F.regexp_extract("line", METRICS, i).try_cast("double")
-    found = rows.withColumn("position", F.when(seen == 1, "after").otherwise("before")).where(F.col("line").rlike(r"(?i)\*\*metrics:\*\*"))
-    return found.select(source, "block", "block_time", "line_no", "position", why_untrusted(F.col("line")).alias("reason"), value(1).alias("h_raw"), value(2).alias("phi_raw"), value(3).alias("d_raw"))
+    values = [F.regexp_extract("line", pattern, 1).try_cast("double").alias(name) for name, pattern in METRIC_VALUES.items()]
+    found = rows.withColumn("position", F.when(seen == 1, "after").otherwise("before")).where(F.col("line").rlike(METRICS))
+    return found.select(source, "block", "block_time", "line_no", "position", why_untrusted(F.col("line")).alias("reason"), *values)
 
 
 def anomalies(quarantine: DataFrame) -> DataFrame:
@@ -66,4 +68,4 @@ def observation_entries(texts: DataFrame, source: str, text: str) -> DataFrame:
     grab = lambda pattern: F.nullif(F.trim(F.regexp_extract("body", pattern, 1)), F.lit(""))
     return parts.select(
         source, "entry", grab(r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2})").try_cast("timestamp").alias("ts"), grab(r"(?i)\*\*surface mood:\*\*([^\n]*)").alias("mood"), grab(r"(?i)\*\*anomaly flag:\*\*([^\n]*)").alias("flag")
-    )
+    ).where("ts IS NOT NULL")  # a part without a time is no entry

@@ -22,7 +22,7 @@ def read_observations(spark: SparkSession, path: str, metrics: list[str], time:
 def parse_vector(text: Column, size: int | None = None) -> Column:
     """JSON array to array of doubles; NULL if malformed, of another length, or not finite."""
     v = F.from_json(text, "array<double>")
-    good = ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
+    good = ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     return F.when(good & (F.size(v) == size) if size else good, v)
 
 
