@@ -68,17 +68,18 @@ def ngrams(host: Column, path: Column) -> Column:
 
 
 def labelled_urls(judged: DataFrame, seed_terms: list[str], bound: int) -> DataFrame:
-    """At most ``bound`` labelled urls: host, path and label (1: block)."""
+    """At most ``bound`` distinct labelled urls: host, path and label (1: block).
+
+    Half of the bound is for urls that a rule or a seed term labels, half for the background, which counts as allowed. So neither
+    the growth of the background nor a url that is there many times takes the place of labelled ones.
+    """
     seeded = F.lit(False)
     for term in seed_terms:
         seeded = seeded | F.col("host").contains(term)
-    label = F.when(F.col("found.verdict") == "block", 1).when(F.col("found.verdict") == "allow", 0)
-    return (
-        judged.where("host <> ''")
-        .select("host", "path", F.coalesce(label, F.when(seeded, 1).otherwise(0)).cast("double").alias("label"))
-        .orderBy(F.xxhash64("host", "path"), "host", "path")
-        .limit(bound)
-    )
+    label = F.when(F.col("found.verdict") == "block", 1).when(F.col("found.verdict") == "allow", 0).when(seeded, 1)
+    urls = judged.where("host <> ''").select("host", "path", label.alias("told")).distinct()
+    halves = [urls.where(side).orderBy(F.xxhash64("host", "path"), "host", "path").limit(bound // 2) for side in ("told IS NOT NULL", "told IS NULL")]
+    return halves[0].unionByName(halves[1]).select("host", "path", F.coalesce("told", F.lit(0)).cast("double").alias("label"))
 
 
 def url_filter(
