@@ -51,9 +51,9 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, length(replace(replace(replace(replace(replace(replace(text, '\', '\'), '<s>', '<\s>'), '<r>', '<\r>'),
+  SELECT *, length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '<r>', '<\r>'),
       '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS body,
-    length(replace(replace(replace(replace(replace(replace(replace(role, '\', '\'), '<s>', '<\s>'), '<r>', '<\r>'),
+    length(replace(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '<r>', '<\r>'),
       '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), chr(10), '<\n>')) AS head
   FROM c
 ), t AS (
