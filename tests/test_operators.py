@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats, tails
-from tidewell.operators import compare, ingest, joins, lexical, memory, ordered, vectors
+from tidewell.operators import compare, ingest, joins, lexical, memory, ordered, states, vectors
 from tidewell.sources import logs, readers
 
 
@@ -52,7 +52,7 @@ def test_gap_of_exactly_the_limit_does_not_split(spark):
     t0 = dt.datetime(2026, 4, 1)
     times = [t0, t0 + dt.timedelta(hours=12), t0 + dt.timedelta(hours=24, seconds=1)]
     df = frame(spark, [("a", t, 1.0) for t in times], "k string, ts timestamp, v double")
-    assert [r.block for r in ordered.gap_blocks(df, ["k"], "ts", 12).orderBy("ts").collect()] == [0, 0, 1]
+    assert [r.block for r in ordered.gap_blocks(df, ["k"], ["ts"], 12).orderBy("ts").collect()] == [0, 0, 1]
 
 
 def test_runs_break_at_null_flags(spark):
@@ -61,6 +61,56 @@ def test_runs_break_at_null_flags(spark):
     assert got == [1, 1, 2]
 
 
+def test_neighbours_and_sums_across_buckets(spark):
+    size = ordered.BUCKET
+    places = [0, 1, size - 1, size, size + 3, 3 * size, 3 * size + 1, 9 * size]
+    df = frame(spark, [(k, i) for k in ("a", None) for i in places], "k string, i long")
+    for key in ("a", None):
+        rows = ordered.neighbour(df, ["k"], ["i"], ["i"], "next").where(F.col("k").eqNullSafe(key)).orderBy("i").collect()
+        assert [r.next and r.next.i for r in rows] == [*places[1:], None]
+        back = ordered.neighbour(df, ["k"], ["i"], ["i"], "before", back=True).where(F.col("k").eqNullSafe(key)).orderBy("i").collect()
+        assert [r.before and r.before.i for r in back] == [None, *places[:-1]]
+        assert [r.idx for r in ordered.with_index(df, ["k"], ["i"]).where(F.col("k").eqNullSafe(key)).orderBy("i").collect()] == list(range(len(places)))
+
+
+def test_rolling_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET", 8)
+    values = [float(x * x % 17) if x % 5 else None for x in range(40)]
+    df = frame(spark, [("a", i, v) for i, v in enumerate(values)], "k string, i long, v double")
+    got = [r.roll_mean for r in ordered.rolling(df, ["k"], ["i"], "v", 4, 2).orderBy("i").collect()]
+    for i, mean in enumerate(got):
+        seen = [v for v in values[max(0, i - 3) : i + 1] if v is not None]
+        assert mean == pytest.approx(sum(seen) / len(seen)) if len(seen) >= 2 else mean is None
+
+
+def test_nearest_without_tolerance_crosses_empty_buckets(spark):
+    left = frame(spark, [(1, 0.0), (2, 500_000.0), (3, 900_000.0), (4, None)], "id long, s double")
+    right = frame(spark, [(9, 450_000.0), (8, 450_000.0), (7, 550_000.0)], "rid long, t double")
+    got = {r.id: (r.rid, r.delta_s) for r in joins.nearest(left, right, F.col("s"), F.col("t"), "rid").collect()}
+    assert got == {1: (8, 450_000.0), 2: (8, 50_000.0), 3: (7, 350_000.0), 4: (None, None)}
+
+
+def test_points_with_null_columns_meet_intervals(spark):
+    points = frame(spark, [(1, 10.0, None), (1, 10.0, None), (2, 900.0, "x")], "id long, s double, note string")
+    events = frame(spark, [(5, 12.0)], "eid long, t double")
+    got = sorted((r.id, r.eid or 0) for r in joins.within_interval(points, events, F.col("s"), F.col("t"), 60).collect())
+    assert got == [(1, 5), (1, 5), (2, 0)]
+
+
+def test_result_tables_with_null_keys_and_missing_rows(spark):
+    old = frame(spark, [(None, 1.0), ("a", 2.0), ("b", None)], "k string, v double")
+    new = frame(spark, [(None, 1.0 + 1e-12), ("c", 2.0), ("b", None)], "k string, v double")
+    got = {r.k: (r.found_in, r.agrees) for r in compare.compare_tables(old, new, ["k"], ["v"]).collect()}
+    assert got == {None: ("both", True), "a": ("old", False), "b": ("both", True), "c": ("new", False)}
+
+
+def test_trends_of_vectors_are_taken_out(spark):
+    rows = [("a", float(t), [2.0 * t + 1, 5.0, -float(t)]) for t in range(6)] + [("b", 1.0, [3.0, 4.0, 5.0])]
+    df = frame(spark, rows, "k string, t double, v array<double>")
+    for r in states.detrended_vectors(df, ["k"], "t", "v").collect():
+        assert r.detrended == pytest.approx([0, 0, 0], abs=1e-9)
+
+
 def test_false_discovery_rates_by_hand(spark):
     df = frame(spark, [("f", p) for p in (0.01, 0.02, 0.02, 0.5, None)], "k string, p double")
     got = [r.q for r in compare.benjamini_hochberg(df, ["k"], "p").orderBy(F.col("p").asc_nulls_last()).collect()]
@@ -147,6 +197,15 @@ def test_log_blocks_positions_and_reasons(spark):
     assert logs.wide(logs.comparisons(rows, "f"), "f", ["surface-mid", "mid-residue"]).first()["surface-mid"] == 0.25
 
 
+def test_log_numbers_and_values_apart(spark):
+    text = "## BASELINE-SHUFFLE obs :: 2026-04-01 10:00:00 UTC\nsurface-mid real=4e-05 | shuffle=.5 | delta=-1E-05\n**metrics:** H(t) = N/A phi(t)= 1e-2\n**metrics:** H(t)=2.5 phi N/A\n"
+    rows = logs.blocks(logs.lines(frame(spark, [("f", text)], "f string, t string"), "f", "t"), "f")
+    one = logs.comparisons(rows, "f").first()
+    assert (one.real, one.shuffle, one.delta) == (4e-05, 0.5, -1e-05)
+    kept = logs.quarantined_metrics(rows, "f").orderBy("line_no").collect()
+    assert [(r.reason, r.h_raw, r.phi_raw, r.d_raw, r.position) for r in kept] == [("not_available", None, 0.01, None, "after"), ("carried", 2.5, None, None, "after")]
+
+
 def test_observation_entries(spark):
     text = "## obs :: 2026-04-01 10:00 UTC\n**surface mood:** calm\n## obs :: 2026-04-01 16:00 UTC\n**anomaly flag:** yes\n"
     got = logs.observation_entries(frame(spark, [("f", text)], "f string, t string"), "f", "t").orderBy("entry").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ordered import gap_blocks, seconds, with_index
+from tidewell.operators.ordered import gap_blocks, seconds
 
 
 def nearest(left: DataFrame, right: DataFrame, left_s: Column, right_s: Column, right_key: str, tolerance: float | None = None, width: float = 86400) -> DataFrame:
@@ -98,7 +98,8 @@ def lag_pairs(df: DataFrame, keys: list[str], ts: str, value: str, lags: int, li
 
     An equi-join on the later index; a running count of big gaps replaces the scan between.
     """
-    rows = gap_blocks(with_index(df, keys, [ts, tie] if tie else [ts]), keys, ts, limit_h).select(*keys, "idx", "block", ts, value)
+    order = [ts, tie] if tie else [ts]
+    rows = gap_blocks(df, keys, order, limit_h).select(*keys, "idx", "block", ts, value)
     first = rows.select(*keys, "block", F.col("idx").alias("i"), F.col(ts).alias("ts_a"), F.col(value).alias("a")).withColumn(
         "k", F.explode(F.sequence(F.lit(1), F.lit(lags)))
     ).withColumn("j", F.col("i") + F.col("k"))

@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import safe_div
+from tidewell.operators.ordered import neighbour
 
 TOTAL_KEY = "__total__"
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): words of the lower-cased text, split at white space, with their counts."""
-    words = F.filter(F.split(F.lower(F.col(text)), "\\s+"), lambda w: w != "")
-    return df.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+def words_of(text: Column) -> Column:
+    """Words of the lower-cased text, split at white space."""
+    return F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
 
 
-def most_frequent(counts: DataFrame, key: str, k: int) -> DataFrame:
-    """The k most frequent tokens of each row, ties by token."""
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "token")
-    return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """(token, n) over all texts, summed up where they are read before anything is shuffled."""
+    return df.select(F.explode(words_of(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def as_map(counts: DataFrame, key: str) -> DataFrame:
-    return counts.where(F.col("token") != TOTAL_KEY).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("n").cast("double")))).alias("tokens"))
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def token_map(text: Column, k: int | None = None) -> Column:
+    """Map of the text's tokens (the ``k`` most frequent, ties by token) to their counts, without any shuffle.
+
+    Words are sorted within the row; a token's count is the distance between the places where it and the next one begin.
+    """
+
+    def counted(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+        def entries(at: Column) -> Column:
+            n = lambda i: F.coalesce(F.get(at, i + 1), F.size(words)) - F.get(at, i)
+            pairs = F.transform(at, lambda x, i: F.struct((-n(i)).alias("less"), F.get(words, x).alias("token")))
+            ranked = F.array_sort(F.filter(pairs, lambda p: p["token"] != TOTAL_KEY))
+            ranked = F.slice(ranked, 1, k) if k else ranked
+            return F.map_from_entries(F.transform(ranked, lambda p: F.struct(p["token"], (-p["less"]).cast("double"))))
+
+        return F.when(F.size(words) > 0, named(starts, entries)).otherwise(F.create_map().cast("map<string,double>"))
+
+    return named(F.sort_array(words_of(text)), counted)
 
 
 def map_total(tokens: Column) -> Column:
@@ -73,9 +94,9 @@ def cosine_counts(a: Column, b: Column) -> Column:
 
 def drift(maps: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Distances between neighbouring rows of a series; the step belongs to the later row."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    steps = maps.withColumns({"next_tokens": F.lead("tokens").over(w), "to": F.lead(order).over(w)}).where("to IS NOT NULL")
-    return steps.select(*keys, F.col(order).alias("from"), "to", js_distance(F.col("tokens"), F.col("next_tokens")).alias("js"), cosine_counts(F.col("tokens"), F.col("next_tokens")).alias("cosine"))
+    steps = neighbour(maps.select(*keys, order, "tokens"), keys, [order], [order, "tokens"], "next").where("next IS NOT NULL")
+    ahead = F.col("next.tokens")
+    return steps.select(*keys, F.col(order).alias("from"), F.col("next")[order].alias("to"), js_distance(F.col("tokens"), ahead).alias("js"), cosine_counts(F.col("tokens"), ahead).alias("cosine"))
 
 
 def rarefied_entropy(maps: DataFrame, key: str, budget: int, draws: int = 50, seed: int = 42) -> DataFrame:

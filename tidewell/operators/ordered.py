@@ -20,61 +20,110 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
-def with_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("idx", (F.row_number().over(over(keys, order)) - 1).cast("long"))
+#: Rows of a bucket of whole numbers.
+BUCKET = 4096
+
+
+def bucket_of(df: DataFrame, column: str) -> Column:
+    """A coarse place along an ordering column that never falls with it: days of times, ranges of whole numbers, else one bucket.
+
+    A task then orders one bucket of a series, and of a series only its buckets are put in one order.
+    """
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.to_date(column)
+    if kind in ("bigint", "int"):
+        return F.floor(F.col(column) / BUCKET)
+    return F.lit(0)
+
 
+def attached(df: DataFrame, buckets: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A column of the table of buckets at each row of the bucket; null keys meet null keys."""
+    small = buckets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])], column)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_b"])]
+    return df.join(small, same, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
 
-def with_next(df: DataFrame, keys: list[str], order: list[str], bucket: Column, columns: list[str], name: str = "next") -> DataFrame:
-    """Adds the struct of ``columns`` of each series' next row, null for its last one.
 
-    A task orders one bucket of one series; the last row of a bucket takes the first row of the next bucket, of which
-    there is one row each. ``bucket`` must not fall along ``order``: for example its day or its hundreds.
+def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, *, back: bool = False, bucket: Column | None = None) -> DataFrame:
+    """Adds the struct of ``columns`` of each series' next row (``back``: the one before), null at its end.
+
+    The last row of a bucket takes the first row of the next bucket, of which there is one row each.
     """
-    own = F.struct(*columns)
-    inner = df.withColumn("_b", bucket)
-    heads = inner.groupBy(*keys, "_b").agg(F.min_by(own, F.struct(*order)).alias("_head"))
-    heads = heads.select(*keys, "_b", F.lead("_head").over(over(keys, ["_b"])).alias("_after"))
-    inner = inner.withColumn("_next", F.lead(own).over(over([*keys, "_b"], order)))
-    return inner.join(heads, [*keys, "_b"], "left").withColumn(name, F.coalesce("_next", "_after")).drop("_b", "_next", "_after")
+    own, place = F.struct(*columns), F.struct(*order)
+    move, end = (F.lag, F.max_by) if back else (F.lead, F.min_by)
+    inner = df.withColumn("_b", bucket_of(df, order[0]) if bucket is None else bucket)
+    ends = inner.groupBy(*keys, "_b").agg(end(own, place).alias("_end"))
+    ends = ends.select(*keys, "_b", move("_end").over(over(keys, ["_b"])).alias("_far"))
+    inner = inner.withColumn("_near", move(own).over(over([*keys, "_b"], order)))
+    return attached(inner, ends, keys, "_far").withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """Sums of the named amounts over each series' rows up to and including this one: within buckets, plus what earlier buckets hold."""
+    inner = df.withColumn("_b", bucket_of(df, order[0])).withColumns({f"_x{i}": x for i, x in enumerate(amounts.values())})
+    before = over(keys, ["_b"]).rowsBetween(Window.unboundedPreceding, -1)
+    own = over([*keys, "_b"], order).rowsBetween(Window.unboundedPreceding, 0)
+    slots = range(len(amounts))
+    totals = inner.groupBy(*keys, "_b").agg(*[F.sum(f"_x{i}").alias(f"_t{i}") for i in slots])
+    totals = totals.select(*keys, "_b", F.struct(*[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"t{i}") for i in slots]).alias("_before"))
+    found = attached(inner.withColumns({f"_x{i}": F.sum(f"_x{i}").over(own) for i in slots}), totals, keys, "_before")
+    return found.withColumns({name: F.col(f"_x{i}") + F.col(f"_before.t{i}") for i, name in enumerate(amounts)}).drop("_b", "_before", *[f"_x{i}" for i in slots])
+
+
+def with_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Row numbers from 0 along each series."""
+    return running_sums(df, keys, order, {"idx": F.lit(1).cast("long")}).withColumn("idx", F.col("idx") - 1)
 
 
 def with_gaps(df: DataFrame, keys: list[str], ts: str, value: str, tie: str) -> DataFrame:
     """Hours to the next reading, and its difference of the un-dropped values; equal times are ordered by ``tie``."""
-    ahead = with_next(df, keys, [ts, tie], F.to_date(F.col(ts)), [ts, value])
+    ahead = neighbour(df, keys, [ts, tie], [ts, value], "next")
     gap = (seconds(F.col(f"next.{ts}")) - seconds(F.col(ts))) / 3600
     return ahead.withColumns({"gap_h": gap, "diff1": F.col(f"next.{value}") - F.col(value)}).drop("next")
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 8, least: int = 4) -> DataFrame:
-    """Mean and sample deviation of the last ``size`` rows where ``least`` of them hold values."""
-    w = over(keys, order).rowsBetween(-(size - 1), 0)
+    """Mean and sample deviation of the last ``size`` rows where ``least`` of them hold values.
+
+    Rows are dealt to buckets by their index; the last ``size`` - 1 of a bucket also go to the next one.
+    """
+    rows = with_index(df, keys, order).withColumn("_own", F.floor(F.col("idx") / BUCKET))
+    both = F.when(F.col("idx") % BUCKET > BUCKET - size, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))
+    w = over([*keys, "_b"], ["idx"]).rowsBetween(-(size - 1), 0)
     enough = F.count(value).over(w) >= least
-    return df.withColumns(
+    found = rows.withColumn("_b", F.explode(both)).withColumns(
         {
             "roll_mean": F.when(enough, F.avg(value).over(w)),
             "roll_std": F.when(enough, F.stddev_samp(value).over(w)),
         }
     )
+    return found.where("_b = _own").drop("_b", "_own", "idx")
 
 
 def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str, lags: list[int]) -> DataFrame:
-    """r of each series with itself ``lag`` non-null rows later; NULL for short or constant series."""
-    dense = df.where(F.col(value).isNotNull())
-    w = over(keys, order)
-    shifted = dense.select(*keys, F.col(value).alias("a"), *[F.lag(value, k).over(w).alias(f"b{k}") for k in lags])
-    each = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"b{k}").alias("b")) for k in lags])
-    pairs = shifted.select(*keys, "a", F.explode(each).alias("p"))
-    return pairs.groupBy(*keys, "p.lag").agg(
-        F.count("p.b").alias("n_pairs"), F.when(F.count("p.b") > 1, safe_corr(F.col("a"), F.col("p.b"))).alias("acf")
+    """r of each series with itself ``lag`` non-null rows later, by an equi-join of indices; NULL for short or constant series."""
+    dense = with_index(df.where(F.col(value).isNotNull()), keys, order)
+    first = dense.select(*keys, F.col(value).alias("a"), "idx", F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("idx", F.col("idx") - F.col("lag"))
+    pairs = first.join(dense.select(*keys, "idx", F.col(value).alias("b")), [*keys, "idx"], "left")
+    return pairs.groupBy(*keys, "lag").agg(
+        F.count("b").alias("n_pairs"), F.when(F.count("b") > 1, safe_corr(F.col("a"), F.col("b"))).alias("acf")
     )
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
-    """Runs of neighbouring flagged rows (a null flag is no flag): one row per run with its rows' ends."""
-    indexed = with_index(df, keys, order).withColumn("flag", F.coalesce(flag, F.lit(False)))
-    marked = indexed.where("flag").withColumn("run", F.col("idx") - F.row_number().over(over(keys, ["idx"])))
+    """Runs of neighbouring flagged rows (a null flag is no flag): one row per run with its rows' ends and the largest gap inside.
+
+    Rows of a run have seen equally many unflagged ones.
+    """
+    flagged = df.withColumn("flag", F.coalesce(flag, F.lit(False)))
+    marked = running_sums(flagged, keys, order, {"run": (~F.col("flag")).cast("long")})
+    marked = neighbour(marked, keys, order, [order[0], "flag"], "before", back=True).where("flag")
+    gap = (F.col(order[0]).cast("double") if dict(df.dtypes)[order[0]] in ("bigint", "int", "double") else seconds(F.col(order[0])))
+    last = F.col("before")[order[0]]
+    last = last.cast("double") if dict(df.dtypes)[order[0]] in ("bigint", "int", "double") else seconds(last)
+    inside = F.when(F.col("before.flag"), gap - last)
     return marked.groupBy(*keys, "run").agg(
-        F.count("*").alias("length"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end")
+        F.count("*").alias("length"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.max(inside).alias("largest_gap_s")
     )
 
 
@@ -96,12 +145,16 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     return df.withColumn(name, F.rank().over(over(keys, [value])) + (F.count("*").over(ties) - 1) / 2.0)
 
 
-def gap_blocks(df: DataFrame, keys: list[str], ts: str, limit_h: float) -> DataFrame:
-    """Number of gaps of over ``limit_h`` hours so far: rows with equal numbers have none between them."""
-    w = over(keys, [ts])
-    now = seconds(F.col(ts))
-    big = F.coalesce(now - F.lag(now).over(w) > limit_h * 3600, F.lit(False)).cast("long")
-    return df.withColumn("big", big).withColumn("block", F.sum("big").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("big")
+def gap_blocks(df: DataFrame, keys: list[str], order: list[str], limit_h: float) -> DataFrame:
+    """Adds ``idx`` along each series and ``block``, the number of gaps of over ``limit_h`` hours so far.
+
+    Rows of one block have no such gap between them. Times come first in ``order``.
+    """
+    ts = order[0]
+    ahead = neighbour(df, keys, order, [ts], "before", back=True)
+    big = F.coalesce(seconds(F.col(ts)) - seconds(F.col("before")[ts]) > limit_h * 3600, F.lit(False)).cast("long")
+    sums = running_sums(ahead, keys, order, {"idx": F.lit(1).cast("long"), "block": big})
+    return sums.withColumn("idx", F.col("idx") - 1).drop("before")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import cosine_distance, minus, norm, safe_div
-from tidewell.operators.ordered import with_next
+from tidewell.operators.ordered import neighbour
 from tidewell.operators.vectors import mean_vector
 
 #: Raw drift up to this counts as none.
@@ -35,12 +35,12 @@ def residual_separation(states: DataFrame, keys: list[str], names: list[str], me
     return states.select(*keys, F.explode(F.array(*each)).alias("p")).select(*keys, "p.*")
 
 
-def drift_steps(states: DataFrame, order: str, period: str, names: list[str], mean: str, bucket: Column) -> DataFrame:
+def drift_steps(states: DataFrame, order: str, period: str, names: list[str], mean: str) -> DataFrame:
     """Per consecutive pair of rows and layer: residual, raw and global drift (lengths), ratio, and whether periods differ.
 
     The ratio of residual to raw drift is NULL where a layer did not move.
     """
-    ahead = with_next(states, [], [order], bucket, [order, period, mean, *names]).where("next IS NOT NULL")
+    ahead = neighbour(states, [], [order], [order, period, mean, *names], "next").where("next IS NOT NULL")
     after = F.col("next")
     moved = lambda a, b: norm(minus(b, a))
     each = [
@@ -63,7 +63,7 @@ def drift_steps(states: DataFrame, order: str, period: str, names: list[str], me
     return rows.withColumn("ratio", F.when(F.col("raw_drift") > NO_DRIFT, F.col("residual_drift") / F.col("raw_drift")))
 
 
-def detrended_vectors(df: DataFrame, keys: list[str], id_: str, x: str, vector: str, name: str = "detrended") -> DataFrame:
+def detrended_vectors(df: DataFrame, keys: list[str], x: str, vector: str, name: str = "detrended") -> DataFrame:
     """Adds the vectors less each component's least-squares line on ``x``, fitted per key; constant x: less the mean."""
     parts = df.select(*keys, x, F.posexplode(vector).alias("_i", "_y"))
     line = [F.coalesce(F.regr_slope("_y", x), F.lit(0.0)).alias("s"), F.coalesce(F.regr_intercept("_y", x), F.avg("_y")).alias("c")]
@@ -80,13 +80,13 @@ def centred_vectors(df: DataFrame, keys: list[str], vector: str, name: str) -> D
     return joined.withColumn(name, minus(F.col(vector), F.col("_m"))).drop("_m")
 
 
-def variant_table(df: DataFrame, keys: list[str], order: str, raw: str, variants: list[str], bucket: Column) -> DataFrame:
+def variant_table(df: DataFrame, keys: list[str], order: str, raw: str, variants: list[str]) -> DataFrame:
     """Per key and variant: mean norm, mean ratio of its norm to the raw one, mean cosine of neighbours, and the static share.
 
     The static share is what of the raw vectors' similarity of neighbours goes with the variant.
     """
     names = [raw, *variants]
-    ahead = with_next(df, keys, [order], bucket, names)
+    ahead = neighbour(df, keys, [order], names, "next")
     each = [
         F.struct(F.lit(n).alias("variant"), norm(F.col(n)).alias("norm"), safe_div(norm(F.col(n)), norm(F.col(raw))).alias("ratio"), (1 - cosine_distance(F.col(n), F.col("next")[n])).alias("near"))
         for n in names

@@ -7,11 +7,12 @@ from itertools import permutations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import angle, cosine_distance, minus, norm, safe_div
-from tidewell.operators.ordered import with_next
+from tidewell.operators.ordered import neighbour
 
 
 def as_doubles(vector: Column, size: int | None = None) -> Column:
@@ -24,9 +25,9 @@ def as_doubles(vector: Column, size: int | None = None) -> Column:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, name: str = "mean") -> DataFrame:
-    """Mean of each component by key, through partial sums of single components."""
-    parts = df.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
-    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_v")).select(*keys, F.transform("_v", lambda p: p["_x"]).alias(name))
+    """Mean of each component by key; one partial sum of whole vectors for each key and task goes over the network."""
+    rows = df.where(F.col(vector).isNotNull())
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(vector))).alias(name))
 
 
 def with_residual(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -39,9 +40,9 @@ def with_residual(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return joined.withColumn("residual", minus(F.col(vector), F.col("mean"))).drop("mean").withColumn("residual_norm", norm(F.col("residual")))
 
 
-def steps(df: DataFrame, order: str, vector: str, keys: list[str], width: int = 1000) -> DataFrame:
+def steps(df: DataFrame, order: str, vector: str, keys: list[str]) -> DataFrame:
     """Consecutive rows of a series: cosine distance and length of the step, with the next row's place."""
-    paired = with_next(df, keys, [order], F.floor(F.col(order) / width), [order, vector]).where("next IS NOT NULL")
+    paired = neighbour(df, keys, [order], [order, vector], "next").where("next IS NOT NULL")
     ahead = F.col("next")[vector]
     return paired.select(
         *keys,

@@ -117,13 +117,13 @@ def language_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lexical.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(10)
+    counts = lexical.token_counts(read(spark, sf_dir, "documents"), "text")
+    return counts.orderBy(F.desc("n"), "token").limit(10)
 
 
 def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lexical.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return counts.agg(F.countDistinct("token").alias("n_tokens"), F.sum("n").alias("n_words"))
+    counts = lexical.token_counts(read(spark, sf_dir, "documents"), "text")
+    return counts.agg(F.count("token").alias("n_tokens"), F.sum("n").alias("n_words"))
 
 
 def lexical_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import compare, ingest, joins, ordered, states, vectors
-from tidewell.plans.geometry import LAYERS
+from tidewell.functions.stats import cosine_distance
+from tidewell.operators import compare, ingest, joins, lexical, ordered, states, vectors
+from tidewell.plans.geometry import LAYERS, PAIRS, layers
 from tidewell.plans.series import KEY, rounded, sides
-from tidewell.plans.tables import observations, read
+from tidewell.plans.tables import observations, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
 from tidewell.sources import logs
 
@@ -24,11 +25,11 @@ def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.join(vectors.mean_vector(rows, ["block"], "v"), "block").withColumn("period", period)
 
 
-def scoped(df: DataFrame, keys: list[str], values: list[str], also=None) -> DataFrame:
+def scoped(df: DataFrame, keys: list[str], values: list[str], also: Column | None = None, digits: int = 6) -> DataFrame:
     """Count, mean and population deviation of the values, overall and by period."""
     rows = df.withColumn("scope", F.explode(states.in_scopes(F.col("period"), also)))
     stats = [f(v).alias(f"{name}_{v}") for v in values for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop))]
-    return rounded(rows.groupBy(*keys, "scope").agg(*stats))
+    return rounded(rows.groupBy(*keys, "scope").agg(*stats), digits)
 
 
 def layer_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def residual_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.drift_steps(state_table(spark, sf_dir), "block", "period", LAYERS, "mean", F.floor(F.col("block") / 10))
+    return states.drift_steps(state_table(spark, sf_dir), "block", "period", LAYERS, "mean")
 
 
 def residual_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,8 @@ def vector_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_table(spark, sf_dir).withColumn("period", F.when(F.col("block") < BLOCK_CUT, "p1").otherwise("p2"))
     rows = states.centred_vectors(rows, ["layer"], "v", "centred")
     rows = states.centred_vectors(rows, ["layer", "period"], "v", "period_centred")
-    rows = states.detrended_vectors(rows, ["layer"], "vec_id", "vec_id", "v")
-    table = states.variant_table(rows.withColumnRenamed("v", "raw"), ["layer"], "vec_id", "raw", ["centred", "period_centred", "detrended"], F.floor(F.col("vec_id") / 1000))
+    rows = states.detrended_vectors(rows, ["layer"], "vec_id", "v")
+    table = states.variant_table(rows.withColumnRenamed("v", "raw"), ["layer"], "vec_id", "raw", ["centred", "period_centred", "detrended"])
     return rounded(table)
 
 
@@ -136,6 +137,38 @@ def threshold_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found).orderBy("list", "value", "event_id")
 
 
+def run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of values above 80 by type: how many, and the largest gap in hours between two readings of one run."""
+    found = ordered.runs(observations(spark, sf_dir), KEY, ["ts", "event_id"], F.col("value") > 80)
+    return rounded(found.groupBy(*KEY).agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"), (F.max("largest_gap_s") / 3600).alias("largest_gap_h")))
+
+
+def grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each series' six-hour grid that a reading serves, and those that stay empty."""
+    grid = joins.grid_resample(observations(spark, sf_dir), KEY, "ts", "value")
+    return grid.groupBy(*KEY).agg(F.count("*").alias("n_grid"), F.count("value").alias("n_filled"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+
+
+def drift_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of tokens between neighbouring documents of a language: all steps, and those inside each half of the ids."""
+    half = lambda c: F.when(F.col(c) < 100, "p1").otherwise("p2")
+    rows = lexical.drift(token_maps(spark, sf_dir), ["lang"], "doc_id").withColumn("period", half("from"))
+    return scoped(rows, ["lang"], ["js", "cosine"], half("to") == F.col("period"), 4)
+
+
+def ordering_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under each relabeling of the layers: shares of blocks with each pair the closest, and ratios of mean distances."""
+    rows = vectors.relabelings(layers(spark, sf_dir), LAYERS)
+    sm, mr, sr = (cosine_distance(F.col(a), F.col(b)) for _, a, b in PAIRS)
+    least = F.least(sm, mr, sr)
+    share = lambda d: F.avg((d == least).cast("double"))
+    return rounded(
+        rows.groupBy("perm").agg(
+            share(sm).alias("share_sm"), share(mr).alias("share_mr"), share(sr).alias("share_sr"), (F.avg(sm) / F.avg(sr)).alias("sm_to_sr"), (F.avg(mr) / F.avg(sr)).alias("mr_to_sr")
+        )
+    )
+
+
 def standardised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean product of standardised values k rows apart, k to 56, with a flag where pairs are few."""
     rows = observations(spark, sf_dir)
@@ -187,6 +220,6 @@ QUERIES = {
     for f in (
         layer_residuals, residual_separation, residual_drift, boundary_steps, vector_lag_curve, vector_variants, nearest_any, interval_flags_of_errors,
         table_versions, reproduced_table, baseline_stats, against_baseline, largest_periods, largest_periods_p, relabelled_types, threshold_lists,
-        standardised_products, log_comparisons, log_reasons, log_anomalies,
+        run_gaps, grid_counts, drift_scopes, ordering_shares, standardised_products, log_comparisons, log_reasons, log_anomalies,
     )
 }

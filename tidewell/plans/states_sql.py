@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries over states, log texts, result tables and period comparisons."""
 
-from tidewell.plans.geometry_sql import V
-from tidewell.plans.series_sql import PAIRS, O
+from tidewell.plans.geometry_sql import LAYERED, ORACLE_SQL as GEOMETRY, V
+from tidewell.plans.series_sql import GRID, PAIRS, O
 
 STATES = f"""{V}, lm AS (SELECT block, layer, i, avg(x) AS x FROM v GROUP BY ALL
 ), bm AS (SELECT block, i, avg(x) AS m FROM v GROUP BY ALL
@@ -84,6 +84,16 @@ FROM s LEFT JOIN r_u USING (o_orderpriority) LEFT JOIN k USING (o_orderpriority)
 UNION ALL SELECT event_type, event_id, round(value, 6), 'between' FROM events WHERE value BETWEEN 3 AND 6""",
     "standardised_products": f"""WITH {PAIRS.replace("x.idx + 16", "x.idx + 56").replace("ORDER BY ts", "ORDER BY ts, event_id")}, m AS (SELECT event_type, avg(value) AS m, nullif(stddev_pop(value), 0) AS s FROM events GROUP BY event_type)
 SELECT event_type, k, count(*) AS n_pairs, round(avg((a - m) / s * ((b - m) / s)), 6) AS product, count(*) < 80 AS low_n FROM pairs JOIN m USING (event_type) GROUP BY event_type, k""",
+    "run_gaps": """WITH f AS (SELECT event_type, ts, event_id, coalesce(value > 80, false) AS flag FROM events
+), r AS (SELECT *, count(*) FILTER (NOT flag) OVER w AS run, lag(ts) OVER w AS pts, lag(flag) OVER w AS pf FROM f WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+), g AS (SELECT event_type, run, count(*) AS n, max((epoch_us(ts) - epoch_us(pts)) / 3.6e9) FILTER (pf) AS gap FROM r WHERE flag GROUP BY ALL)
+SELECT event_type, count(*) AS n_runs, max(n) AS longest, round(max(gap), 6) AS largest_gap_h FROM g GROUP BY event_type""",
+    "grid_counts": f"""WITH {GRID} SELECT event_type, count(*) AS n_grid, count(value) AS n_filled, count(*) - count(value) AS n_missing FROM grid GROUP BY event_type""",
+    "drift_scopes": f"""WITH d AS ({GEOMETRY["lexical_drift"]}), p AS (SELECT *, CASE WHEN "from" < 100 THEN 'p1' ELSE 'p2' END AS period, ("from" < 100) = ("to" < 100) AS own FROM d
+), c AS (SELECT *, unnest(CASE WHEN own THEN ['overall', period] ELSE ['overall'] END) AS scope FROM p) SELECT lang, scope, {", ".join(f"count({v}) AS n_{v}, round(avg({v}), 4) AS mean_{v}, round(stddev_pop({v}), 4) AS std_{v}" for v in ("js", "cosine"))} FROM c GROUP BY ALL""",
+    "ordering_shares": f"""WITH {LAYERED}, p AS (SELECT 0 AS perm, sm AS a, mr AS b, sr AS c FROM d UNION ALL SELECT 1, sr, mr, sm FROM d UNION ALL SELECT 2, sm, sr, mr FROM d
+  UNION ALL SELECT 3, mr, sr, sm FROM d UNION ALL SELECT 4, sr, sm, mr FROM d UNION ALL SELECT 5, mr, sm, sr FROM d)
+SELECT perm, round(avg((a = least(a, b, c))::INT), 6) AS share_sm, round(avg((b = least(a, b, c))::INT), 6) AS share_mr, round(avg((c = least(a, b, c))::INT), 6) AS share_sr, round(avg(a) / avg(c), 6) AS sm_to_sr, round(avg(b) / avg(c), 6) AS mr_to_sr FROM p GROUP BY perm""",
     "log_comparisons": f"""WITH {LINES} SELECT user_id, 'surface-mid' AS pair, count(*) AS n, round(sum(num), 4) AS real, round(sum(event_id % 7 + 0.5)::DOUBLE, 4) AS shuffle, round(count(*) * -0.1, 4)::DOUBLE AS delta, max(block) AS last_block
 FROM l WHERE event_type = 'click' GROUP BY user_id""",
     "log_reasons": f"""WITH {LINES} SELECT ['awaiting', 'first_run', 'not_available', 'carried'][kind + 1] AS reason, CASE WHEN seen > 0 THEN 'after' ELSE 'before' END AS position, count(*) AS n, count(*) FILTER (kind <> 2) AS n_h,

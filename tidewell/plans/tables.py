@@ -34,7 +34,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_maps(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
-    """The k most frequent tokens of each document with their counts, by language."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    counts = lexical.most_frequent(lexical.token_counts(docs, "doc_id", "text"), "doc_id", k)
-    return lexical.as_map(counts, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    """The k most frequent tokens of each document with their counts, by language; documents without words are left out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", lexical.token_map(F.col("text"), k).alias("tokens"))
+    return docs.where(F.size("tokens") > 0)
