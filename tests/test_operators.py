@@ -146,6 +146,31 @@ def test_change_point_of_a_shift():
     assert any(abs(b - 60) <= 2 for b in breaks)
 
 
+def test_mean_bootstrap_pools_pairs_inside_blocks(spark):
+    rng = np.random.default_rng(5)
+    n, block = 40, 9
+    pairs = {(k, i): float(rng.normal()) for k in (1, 3) for i in range(n - k) if rng.random() < 0.8}
+    df = frame(spark, [("a", k, i, s) for (k, i), s in pairs.items()], "series string, k int, i long, s double")
+    size = frame(spark, [("a", n)], "series string, n long")
+    starts = memory.block_starts(size, ["series"], block, 5, 1).collect()
+    for r in memory.mean_bootstrap(df, size, ["series"], "s", [1, 3], block=block, reps=5, seed=1).collect():
+        own = [pairs[r.k, i] for x in starts if x.rep == r.rep for i in range(x.s, min(n, x.s + block - r.k)) if (r.k, i) in pairs]
+        assert r.n == len(own) and r.rho == pytest.approx(np.mean(own))
+
+
+def test_refits_find_the_replicates_times(spark):
+    rows = [("a", rep, k, math.exp(-k * 6.0 / tau)) for rep, tau in enumerate((12.0, 30.0, 60.0)) for k in range(1, 17)] + [("a", 3, 1, 0.5)]
+    got = {r.rep: r.tau for r in memory.refitted(frame(spark, rows, "s string, rep long, k int, rho double"), ["s"], 6.0).collect()}
+    assert [got[i] for i in range(3)] == pytest.approx([12, 30, 60], rel=1e-3) and got[3] is None
+    rng, t = np.random.default_rng(2), np.arange(1, 17) * 6.0
+    y = np.stack([0.6 * np.exp(-t / tau) + c + rng.normal(0, 0.02, 16) for tau, c in ((20, 0.2), (40, -0.1), (9, 0.0))])
+    tau, floor = tails.fit_decays_to_floor(t, y)
+    for i in range(3):
+        _, one, c, _ = tails.fit_decay_to_floor(t, y[i])
+        assert (tau[i], floor[i]) == pytest.approx((one, c), rel=1e-3, abs=1e-3)
+        assert tails.fit_exponentials(t, y)[i] == pytest.approx(tails.fit_exponential(t, y[i])[0], rel=1e-3)
+
+
 def test_bootstrap_pools_pairs_inside_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=60)

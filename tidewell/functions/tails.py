@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -131,3 +132,50 @@ def fit_decay_to_floor(hours: np.ndarray, y: np.ndarray) -> tuple[float, float,
     e = np.exp(-hours / tau)
     a, c, _ = amplitude_and_floor(e, y)
     return a, tau, c, r_squared(y, a * e + c)
+
+
+def golden_many(f: Callable[[np.ndarray], np.ndarray], low: float, high: float, n: int, steps: int = 60) -> np.ndarray:
+    """The minima of n functions at once, as ``golden`` finds them; ``f`` gives each its own value."""
+    grid = np.linspace(low, high, 61)
+    at = np.stack([f(np.full(n, x)) for x in grid]).argmin(axis=0)
+    a, b = grid[np.maximum(at - 1, 0)], grid[np.minimum(at + 1, 60)]
+    ratio = (math.sqrt(5) - 1) / 2
+    for _ in range(steps):
+        x, y = b - ratio * (b - a), a + ratio * (b - a)
+        left = f(x) < f(y)
+        a, b = np.where(left, a, x), np.where(left, y, b)
+    return (a + b) / 2
+
+
+def fit_exponentials(hours: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """tau of each row of y (NaN where missing), as ``fit_exponential``; NaN below three values."""
+    decay = lambda u: np.exp(-hours / np.exp(u)[:, None])
+    tau = np.exp(golden_many(lambda u: np.nansum((y - decay(u)) ** 2, axis=1), math.log(0.1), math.log(1e5), len(y)))
+    return np.where((~np.isnan(y)).sum(axis=1) >= 3, tau, np.nan)
+
+
+def fit_decays_to_floor(hours: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tau and C of each row of y (NaN where missing), as ``fit_decay_to_floor``; NaN below three values."""
+    there = ~np.isnan(y)
+    n = np.maximum(there.sum(axis=1), 1)
+    mean = lambda x: np.where(there, x, 0.0).sum(axis=1) / n
+
+    def best(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = np.exp(-hours / np.exp(u)[:, None])
+        me, my = mean(e), mean(y)
+        spread = mean((e - me[:, None]) ** 2)
+        free = mean((e - me[:, None]) * (y - my[:, None])) / np.where(spread < 1e-18, np.inf, spread)
+        trials = []
+        for a in (free, np.zeros(len(y)), np.full(len(y), 2.0)):
+            a = np.clip(a, 0.0, 2.0)
+            trials.append((a, np.clip(my - a * me, -1.0, 1.0)))
+        for c in (-1.0, 1.0):
+            a = np.clip(mean((y - c) * e) / np.maximum(mean(e * e), 1e-18), 0.0, 2.0)
+            trials.append((a, np.full(len(y), c)))
+        errors = np.stack([mean((y - a[:, None] * e - c[:, None]) ** 2) for a, c in trials])
+        at = errors.argmin(axis=0)
+        return errors.min(axis=0), np.stack([c for _, c in trials])[at, np.arange(len(y))]
+
+    u = golden_many(lambda u: best(u)[0], math.log(0.1), math.log(1e5), len(y))
+    enough = there.sum(axis=1) >= 3
+    return np.where(enough, np.exp(u), np.nan), np.where(enough, best(u)[1], np.nan)

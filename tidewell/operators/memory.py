@@ -84,6 +84,55 @@ def block_bootstrap(series: DataFrame, keys: list[str], value: str, lags: list[i
     return pooled.select(*keys, "rep", "k", "n", F.when(spread > 1e-15, cov / spread).alias("rho"))
 
 
+def mean_bootstrap(pairs: DataFrame, size: DataFrame, keys: list[str], value: str, lags: list[int], *, block: int = 24, reps: int = 5000, seed: int = 42) -> DataFrame:
+    """Moving-block replicates of a mean lag curve: keys, rep, k, rho, n.
+
+    ``pairs``: keys, k, i (index of the earlier row) and a similarity; ``size``: keys and n, the rows of each series. Pairs count where they
+    lie within a drawn block. As in ``block_bootstrap``, running sums make a block two lookups.
+    """
+    there = F.col(value).isNotNull()
+    w = Window.partitionBy(*keys, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = size.withColumn("k", F.explode(F.array(*map(F.lit, lags)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = each.select(*keys, "k", "i").join(pairs.select(*keys, "k", "i", value), [*keys, "k", "i"], "left")
+    prefix = rows.select(*keys, "k", F.col("i").alias("at"), F.sum(F.coalesce(value, F.lit(0.0))).over(w).alias("s"), F.sum(there.cast("double")).over(w).alias("m"))
+    starts = block_starts(size, keys, block, reps, seed).withColumn("k", F.explode(F.array(*map(F.lit, lags)))).where(F.col("k") < block)
+    last = F.least(F.col("top"), F.col("from") + block - F.col("k") - 1)
+    starts = starts.withColumnRenamed("s", "from").join(size.select(*keys, (F.col("n") - 1).alias("top")), keys)
+    ends = F.array(F.struct((F.col("from") - 1).alias("at"), F.lit(-1.0).alias("w")), F.struct(last.alias("at"), F.lit(1.0).alias("w")))
+    ends = starts.select(*keys, "rep", "k", F.explode(ends).alias("e")).select(*keys, "rep", "k", "e.*")
+    pooled = ends.join(prefix, [*keys, "k", "at"]).groupBy(*keys, "rep", "k").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("m")).alias("n"))
+    return pooled.select(*keys, "rep", "k", "n", (F.col("s") / F.nullif(F.col("n"), F.lit(0.0))).alias("rho"))
+
+
+def refitted(replicates: DataFrame, keys: list[str], step_h: float, *, floor: bool = False, parts: int = 16) -> DataFrame:
+    """Each replicate's lag curve fitted anew: keys, rep, tau and floor; NULL below three lags. ``parts`` tasks share a series."""
+    kinds = ", ".join(f"{k} {replicates.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        curves = frame[frame["k"] >= 1].pivot(index="rep", columns="k", values="rho").sort_index(axis=1)
+        hours, y = curves.columns.to_numpy(float) * step_h, curves.to_numpy(float)
+        tau, rest = tails.fit_decays_to_floor(hours, y) if floor else (tails.fit_exponentials(hours, y), np.zeros(len(y)))
+        found = pd.DataFrame({"rep": curves.index.to_numpy(), "tau": tau, "floor": np.where(np.isnan(tau), np.nan, rest)})
+        for key in keys:
+            found[key] = frame[key].iloc[0]
+        return found.astype(object).where(found.notna(), None)[[*keys, "rep", "tau", "floor"]]
+
+    rows = replicates.select(*keys, "rep", "k", "rho").withColumn("_part", F.pmod(F.xxhash64("rep"), parts))
+    return rows.groupBy(*keys, "_part").applyInPandas(lambda frame: fit(frame.drop(columns="_part")), f"{kinds}, rep long, tau double, floor double")
+
+
+def interval_reading(intervals: DataFrame, points: DataFrame, keys: list[str], point: str, limit: float) -> DataFrame:
+    """Intervals beside their point estimates: whether these lie outside, their ratio to the median, and whether the upper end exceeds a limit."""
+    both = intervals.join(points.select(*keys, point), keys, "left")
+    return both.withColumns(
+        {
+            "outside": ~F.col(point).between(F.col("low"), F.col("high")),
+            "ratio": F.col(point) / F.nullif(F.col("median"), F.lit(0.0)),
+            "exceeds": F.col("high") > limit,
+        }
+    )
+
+
 def percentile_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """2.5 and 97.5 percent points and median of replicates, where more than ten are there."""
     q = F.percentile(value, F.lit([0.025, 0.5, 0.975]))

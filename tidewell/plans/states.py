@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import cosine_distance
-from tidewell.operators import compare, ingest, joins, lexical, ordered, states, vectors
+from tidewell.operators import compare, ingest, joins, lexical, memory, ordered, states, vectors
 from tidewell.plans.geometry import LAYERS, PAIRS, layers
 from tidewell.plans.series import KEY, rounded, sides
 from tidewell.plans.tables import observations, read, token_maps
@@ -169,6 +169,66 @@ def ordering_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def variants_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series' six-hour grid as it is, and less its trend."""
+    grid = memory.detrended(joins.grid_resample(observations(spark, sf_dir), KEY, "ts", "value"), KEY, "g", "value")
+    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("value")) for n, c in (("raw", "value"), ("detrended", "detrended"))])
+    return grid.select("event_type", "g", F.explode(each).alias("v")).select("event_type", "g", "v.*")
+
+
+VARIANT = ["event_type", "variant"]
+
+
+def scalar_replicates(spark: SparkSession, sf_dir: str, seed: int) -> DataFrame:
+    return memory.block_bootstrap(variants_of_grid(spark, sf_dir), VARIANT, "value", list(range(1, 17)), block=24, reps=5000, seed=seed)
+
+
+def scalar_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.grid_autocorrelation(variants_of_grid(spark, sf_dir), VARIANT, "value", 16)
+
+
+def ar1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the AR(1) time constant of 5,000 block replicates, raw and detrended; replicates without one count as failed."""
+    lag1 = scalar_replicates(spark, sf_dir, 42).where("k = 1").withColumn("tau", memory.ar1_time(F.col("rho"), 6.0))
+    points = scalar_curve(spark, sf_dir).where("k = 1").withColumn("point", memory.ar1_time(F.col("rho"), 6.0))
+    return memory.interval_reading(memory.percentile_interval(lag1, VARIANT, "tau"), points, VARIANT, "point", 96.0)
+
+
+def exponential_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the decay time, each of 5,000 replicates fitted anew."""
+    fits = memory.refitted(scalar_replicates(spark, sf_dir, 43), VARIANT, 6.0)
+    return memory.percentile_interval(fits, VARIANT, "tau")
+
+
+def floor_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the floor of a decay, each of 5,000 replicates fitted anew."""
+    fits = memory.refitted(scalar_replicates(spark, sf_dir, 44), VARIANT, 6.0, floor=True)
+    return memory.percentile_interval(fits, VARIANT, "floor")
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cosine similarity of vectors of a layer up to 16 rows apart, raw and centred, and the number of rows."""
+    rows = states.centred_vectors(vector_table(spark, sf_dir), ["layer"], "v", "centred").withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 3600))
+    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("x")) for n, c in (("raw", "v"), ("centred", "centred"))])
+    rows = rows.select("layer", "vec_id", "ts", F.explode(each).alias("e")).select("layer", "vec_id", "ts", "e.*")
+    pairs = joins.lag_pairs(rows, ["layer", "variant"], "ts", "x", 16, 6.0, "vec_id")
+    return pairs.withColumn("s", 1 - cosine_distance(F.col("a"), F.col("b"))), rows.groupBy("layer", "variant").agg(F.count("*").alias("n"))
+
+
+def vector_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the decay time of the vectors' mean similarity, each of 5,000 block replicates fitted anew."""
+    pairs, size = vector_pairs(spark, sf_dir)
+    reps = memory.mean_bootstrap(pairs, size, ["layer", "variant"], "s", list(range(1, 17)))
+    return memory.percentile_interval(memory.refitted(reps, ["layer", "variant"], 1.0), ["layer", "variant"], "tau")
+
+
+def long_lag_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the mean correlation at lags 29 to 56, over 1,000 replicates of blocks of 64."""
+    reps = memory.block_bootstrap(variants_of_grid(spark, sf_dir), VARIANT, "value", list(range(1, 57)), block=64, reps=1000, seed=342)
+    late = reps.where("k > 28").groupBy(*VARIANT, "rep").agg(F.avg("rho").alias("rho"))
+    return memory.percentile_interval(late, VARIANT, "rho")
+
+
 def standardised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean product of standardised values k rows apart, k to 56, with a flag where pairs are few."""
     rows = observations(spark, sf_dir)
@@ -220,6 +280,6 @@ QUERIES = {
     for f in (
         layer_residuals, residual_separation, residual_drift, boundary_steps, vector_lag_curve, vector_variants, nearest_any, interval_flags_of_errors,
         table_versions, reproduced_table, baseline_stats, against_baseline, largest_periods, largest_periods_p, relabelled_types, threshold_lists,
-        run_gaps, grid_counts, drift_scopes, ordering_shares, standardised_products, log_comparisons, log_reasons, log_anomalies,
+        run_gaps, grid_counts, drift_scopes, ordering_shares, ar1_intervals, exponential_intervals, floor_intervals, vector_intervals, long_lag_intervals, standardised_products, log_comparisons, log_reasons, log_anomalies,
     )
 }
