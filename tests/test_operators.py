@@ -265,3 +265,35 @@ def test_same_session_gaps_in_a_stream(spark, tmp_path):
     query = windows.gap_sessions(stream, "k", "ts", "v", "12 hours", "1 day").writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_quantiles_and_ranks_over_bands_of_values_equal_plain_ones(spark):
+    values = [None, 0.0, -0.0, -3.5, 1e-9, 1e300, 7.25, 7.25, 7.26, -1e-300, 100.0, 100.0, 100.0, 3.0, -250.0]
+    rows = spark.createDataFrame([(k, v) for k in ("a", None) for v in values] + [("empty", None)], "k string, v double")
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.9, "top": 1.0}
+    found = {r.k: r for r in ordered.quantiles(rows, ["k"], "v", shares).collect()}
+    there = [v for v in values if v is not None]
+    assert set(found) == {"a", None}
+    for r in found.values():
+        assert r.n_values == len(there)
+        assert [r[n] for n in shares] == pytest.approx(list(np.quantile(there, list(shares.values()))))
+    ranks = sorted((r.v, r.avg_rank) for r in ordered.average_rank(rows.where("k = 'a' AND v IS NOT NULL"), ["k"], "v").collect())
+    assert [x for _, x in ranks] == [(2 * sum(w < v for w in there) + sum(w == v for w in there) + 1) / 2 for v, _ in ranks]
+    bands = spark.createDataFrame([(v,) for v in [float("-inf"), -5.0, -1e-320, 0.0, 5e-324, 2.0, 1e308, float("inf"), float("nan")]], "v double")
+    placed = [r.b for r in bands.select(ordered.bucket_of(bands, "v").alias("b")).collect()]
+    assert placed == sorted(placed)
+
+
+def test_permuted_rows_keep_their_key_and_all_contents(spark):
+    rows = spark.range(50).selectExpr("id % 2 AS k", "id", "id * 10 AS x")
+    found = vectors.permuted(rows, ["k"], "id", ["x"], 3, 7).collect()
+    assert len(found) == 150 and all(r.x // 10 % 2 == r.k for r in found)
+    for rep in (1, 2, 3):
+        assert sorted(r.x for r in found if r.rep == rep) == [10 * i for i in range(50)]
+        assert any(r.x != 10 * r.id for r in found if r.rep == rep)
+
+
+def test_correlation_p_is_null_where_undefined(spark):
+    matrix = spark.createDataFrame([(10, 0.5), (2, 0.5), (10, 1.0), (10, None)], "n long, r double")
+    got = [(r.t, r.p) for r in compare.correlation_p(matrix).collect()]
+    assert got[0] == (pytest.approx(1.632993), pytest.approx(0.141111, abs=1e-5)) and got[1:] == [(None, None)] * 3

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions import tails
 from tidewell.functions.stats import cohens_d, safe_div
-from tidewell.operators.ordered import average_rank
+from tidewell.operators.ordered import beside, quantiles, value_steps
 
 
 @F.pandas_udf(T.DoubleType())
@@ -42,9 +42,12 @@ def two_groups(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
     x = F.col(value)
     a, b = F.when(side, x), F.when(~side, x)
     stats = df.groupBy(*keys).agg(
-        *[f(v).alias(f"{name}_{g}") for g, v in (("a", a), ("b", b)) for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp), ("vpop", F.var_pop), ("median", F.median))],
+        *[f(v).alias(f"{name}_{g}") for g, v in (("a", a), ("b", b)) for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp), ("vpop", F.var_pop))],
         F.stddev_samp(F.when(side.isNotNull(), x)).alias("std_all"),
     )
+    sides = df.select(*keys, side.alias("_a"), x.alias("_v")).where("_a IS NOT NULL")
+    mid = quantiles(sides, [*keys, "_a"], "_v", {"m": 0.5}).groupBy(*keys).agg(F.max(F.when(F.col("_a"), F.col("m"))).alias("median_a"), F.max(F.when(~F.col("_a"), F.col("m"))).alias("median_b"))
+    stats = beside(stats, mid, keys, ["median_a", "median_b"])
     c = {n: F.col(n) for n in stats.columns}
     return stats.select(
         *keys,
@@ -61,14 +64,20 @@ def two_groups(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
     )
 
 
+def side_steps(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
+    """Per key and distinct value: rows of both sides, ``a`` and ``b``, and of values up to it."""
+    rows = df.where(F.col(value).isNotNull() & side.isNotNull()).select(*keys, side.alias("_a"), F.col(value).alias("_v"))
+    return value_steps(rows, keys, "_v", {"a": F.col("_a").cast("long"), "b": (~F.col("_a")).cast("long")})
+
+
 def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
     """U of group a, with the tie-corrected normal p (continuity-corrected), two-sided."""
-    rows = df.where(F.col(value).isNotNull() & side.isNotNull()).select(*keys, side.alias("_a"), F.col(value).alias("_v"))
-    ranked = average_rank(rows, keys, "_v", "_r")
-    ties = rows.groupBy(*keys, "_v").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
-    u = ranked.groupBy(*keys).agg(
-        F.count_if("_a").alias("n_a"), F.count_if(~F.col("_a")).alias("n_b"), F.sum(F.when(F.col("_a"), F.col("_r"))).alias("ranks")
-    ).join(ties, keys)
+    t = F.col("a") + F.col("b")
+    rank = F.col("up_to_a") + F.col("up_to_b") - (t - 1) / 2.0
+    cubes = t.cast("double") * t * t - t
+    u = side_steps(df, keys, side, value).groupBy(*keys).agg(
+        F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.when(F.col("a") > 0, F.col("a") * rank)).alias("ranks"), F.sum(cubes).alias("ties")
+    )
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n_a + n_b
     stat = F.col("ranks") - n_a * (n_a + 1) / 2
@@ -79,15 +88,11 @@ def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> Da
 
 def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
     """Largest distance of the two empirical distributions and its asymptotic p. Tied values step together."""
-    rows = df.where(F.col(value).isNotNull() & side.isNotNull()).select(*keys, side.alias("_a"), F.col(value).alias("_v"))
-    steps = rows.groupBy(*keys, "_v").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
-    so_far = Window.partitionBy(*keys).orderBy("_v")
-    whole = Window.partitionBy(*keys)
-    share = lambda x: F.sum(x).over(so_far) / F.nullif(F.sum(x).over(whole).cast("double"), F.lit(0.0))
-    far = steps.select(*keys, F.abs(share("a") - share("b")).alias("d"), F.sum("a").over(whole).alias("n_a"), F.sum("b").over(whole).alias("n_b"))
-    return far.groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("d").alias("d")).withColumn(
-        "p", kolmogorov_p("d", "n_a", "n_b")
-    )
+    steps = side_steps(df, keys, side, value)
+    sized = beside(steps, steps.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), keys, ["n_a", "n_b"])
+    share = lambda g: F.col(f"up_to_{g}") / F.nullif(F.col(f"n_{g}").cast("double"), F.lit(0.0))
+    far = sized.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(share("a") - share("b"))).alias("d"))
+    return far.withColumn("p", kolmogorov_p("d", "n_a", "n_b"))
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str) -> DataFrame:
@@ -125,6 +130,12 @@ def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return fit.withColumn("p", student_p(F.when(F.col("n") > 2, t), (F.col("n") - 2).cast("double")))
 
 
+def correlation_p(matrix: DataFrame) -> DataFrame:
+    """Adds t and the two-sided p to a table of correlations r over n rows; NULL below three rows and for r of 1 or -1."""
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return matrix.withColumn("t", F.when(F.col("n") > 2, t)).withColumn("p", student_p("t", (F.col("n") - 2).cast("double")))
+
+
 def uniform_tests(frequencies: DataFrame, expected: float) -> DataFrame:
     """Of a table of category counts n: chi-square against uniform, and the top category's one-sided binomial p."""
     one = frequencies.agg(

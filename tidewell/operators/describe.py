@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import normal_mad_z, robust_z, safe_corr, safe_div
-from tidewell.operators.ordered import average_rank
+from tidewell.operators.ordered import beside, quantiles, value_steps
 
 
 def with_robust_z(df: DataFrame, keys: list[str], value: str, *, normal: bool = False) -> DataFrame:
     """Adds median, mad and rz per series; rz is NULL below four values or where the MAD is 0."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("_n"))
-    near = df.join(centre, keys)
-    mad = near.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    centre = quantiles(df, keys, value, {"median": 0.5})
+    near = beside(df, centre, keys, ["median", F.col("n_values").alias("_n")])
+    mad = quantiles(near.withColumn("_far", F.abs(F.col(value) - F.col("median"))), keys, "_far", {"mad": 0.5})
     z = (normal_mad_z if normal else robust_z)(F.col(value), F.col("median"), F.col("mad"))
-    return near.join(mad, keys).withColumn("rz", F.when(F.col("_n") >= 4, z)).drop("_n")
+    return beside(near, mad, keys, ["mad"]).withColumn("rz", F.when(F.col("_n") >= 4, z)).drop("_n")
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -29,7 +29,6 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"),
-        F.percentile(x, F.lit([0.05, 0.25, 0.75, 0.95])).alias("q"),
         F.max(x).alias("max"),
     )
     robust = with_robust_z(df, keys, value).groupBy(*keys).agg(
@@ -39,9 +38,10 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.max("rz").alias("rz_max"),
         F.count_if(F.abs("rz") > 3.5).alias("n_outliers"),
     )
-    named = [F.col("q")[i].alias(f"q{p:02d}") for i, p in enumerate((5, 25, 75, 95))]
-    return base.join(robust, keys).select(
-        *keys, "n", "n_missing", "mean", "median", "std", "min", *named, "max", safe_div(F.col("std"), F.col("mean")).alias("cv"), "mad", "rz_min", "rz_max", "n_outliers"
+    shares = {f"q{p:02d}": p / 100 for p in (5, 25, 75, 95)}
+    both = beside(base, quantiles(df, keys, value, shares), keys, list(shares))
+    return beside(both, robust, keys, ["median", "mad", "rz_min", "rz_max", "n_outliers"]).select(
+        *keys, "n", "n_missing", "mean", "median", "std", "min", *shares, "max", safe_div(F.col("std"), F.col("mean")).alias("cv"), "mad", "rz_min", "rz_max", "n_outliers"
     )
 
 
@@ -61,10 +61,26 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
     rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("a IS NOT NULL AND b IS NOT NULL")
     keys = ["col_a", "col_b"]
     if method == "spearman":
-        rows = average_rank(average_rank(rows, keys, "a", "ra"), keys, "b", "rb").select(*keys, F.col("ra").alias("a"), F.col("rb").alias("b"))
+        return rank_correlations(rows, keys)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, safe_corr(F.col("a"), F.col("b"))).alias("r"))
 
 
+def rank_correlations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Spearman's r of ``a`` and ``b`` per key, from the distinct pairs of values and their numbers.
+
+    The mean of tied ranks is known beforehand, (n + 1) / 2, so one pass of sums is left after the ranks are joined.
+    """
+    pairs = rows.groupBy(*keys, "a", "b").agg(F.count("*").alias("w"))
+    for x in ("a", "b"):
+        steps = value_steps(pairs, keys, x, {"w": F.col("w")})
+        pairs = beside(pairs, steps.withColumn(f"rank_{x}", F.col("up_to_w") - (F.col("w") - 1) / 2.0), [*keys, x], [f"rank_{x}"])
+    sized = beside(pairs, pairs.groupBy(*keys).agg(F.sum("w").alias("n")), keys, ["n"])
+    a, b = (F.col(f"rank_{x}") - (F.col("n") + 1) / 2.0 for x in ("a", "b"))
+    total = lambda x: F.sum(F.col("w") * x)
+    r = total(a * b) / F.nullif(F.sqrt(total(a * a)) * F.sqrt(total(b * b)), F.lit(0.0))
+    return sized.groupBy(*keys, "n").agg(r.alias("r")).withColumn("r", F.when(F.col("n") >= 3, F.col("r")))
+
+
 def category_frequencies(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """Counts and shares of a fixed list of categories, zeros kept, in the list's order."""
     listed = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, categories))).alias("pos", column))

@@ -20,16 +20,21 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
-#: Rows of a bucket of whole numbers.
-BUCKET = 4096
+#: Width of a bucket of whole numbers, and buckets of fractions between a number and its double.
+BUCKET, PER_OCTAVE = 4096, 256
 
 
 def bucket_of(df: DataFrame, column: str) -> Column:
-    """A coarse place along an ordering column that never falls with it: days of times, ranges of whole numbers, else one bucket.
+    """A coarse place along an ordering column that never falls with it: days of times, ranges of whole numbers, bands of the logarithm
+    of fractions (infinities and NaN share the last one), else one bucket.
 
     A task then orders one bucket of a series, and of a series only its buckets are put in one order.
     """
     kind = dict(df.dtypes)[column]
+    if kind in ("double", "float") or kind.startswith("decimal"):
+        x = F.col(column).cast("double")
+        size = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1100.0)), F.lit(1100.0)) * PER_OCTAVE) + 1200 * PER_OCTAVE
+        return F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0).cast("long"))
     if kind.startswith("timestamp"):
         return F.to_date(column)
     if kind in ("bigint", "int"):
@@ -37,11 +42,16 @@ def bucket_of(df: DataFrame, column: str) -> Column:
     return F.lit(0)
 
 
+def beside(df: DataFrame, small: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Columns of a table with one row per key at each row of ``df``; null keys meet null keys, rows without a match stay."""
+    named = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def attached(df: DataFrame, buckets: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """A column of the table of buckets at each row of the bucket; null keys meet null keys."""
-    small = buckets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])], column)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_b"])]
-    return df.join(small, same, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+    """A column of the table of buckets at each row of the bucket."""
+    return beside(df, buckets, [*keys, "_b"], [column])
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, *, back: bool = False, bucket: Column | None = None) -> DataFrame:
@@ -139,10 +149,36 @@ def run_summary(found: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def value_steps(df: DataFrame, keys: list[str], value: str, amounts: dict[str, Column]) -> DataFrame:
+    """Per series and distinct value: sums of the amounts, and ``up_to_`` their running sums in the order of the values.
+
+    Rows are summed up by value before they are shuffled; only distinct values are put in order, a bucket of them to a task.
+    """
+    steps = df.groupBy(*keys, value).agg(*[F.sum(x).alias(name) for name, x in amounts.items()])
+    return running_sums(steps, keys, [value], {f"up_to_{name}": F.col(name) for name in amounts})
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Ranks from 1; tied values share the mean of their ranks."""
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(name, F.rank().over(over(keys, [value])) + (F.count("*").over(ties) - 1) / 2.0)
+    """Ranks from 1; tied values share the mean of their ranks. Nulls come first."""
+    steps = value_steps(df, keys, value, {"n": F.lit(1).cast("long")})
+    return beside(df, steps.withColumn(name, F.col("up_to_n") - (F.col("n") - 1) / 2.0), [*keys, value], [name])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of the values that are there, and their number ``n_values``; series without values have no row.
+
+    A quantile lies between the first values whose running counts exceed its two neighbouring places.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))  # no filter: it would be pushed down and compute the value anew
+    steps = value_steps(rows, keys, "_v", {"n": F.col("_v").isNotNull().cast("long")})
+    placed = beside(steps, steps.groupBy(*keys).agg(F.sum("n").alias("n_values")), keys, ["n_values"])
+    first_above = lambda place: F.min(F.when(F.col("up_to_n") > place, F.col("_v")))
+    at = lambda share: (F.col("n_values") - 1) * F.lit(share)
+    ends = [x for i, p in enumerate(shares.values()) for x in (first_above(F.floor(at(p))).alias(f"_l{i}"), first_above(F.ceil(at(p))).alias(f"_h{i}"))]
+    found = placed.groupBy(*keys, "n_values").agg(*ends).where("n_values > 0")
+    part = lambda share: at(share) - F.floor(at(share))
+    between = [(F.col(f"_l{i}") * (1 - part(p)) + F.col(f"_h{i}") * part(p)).alias(name) for i, (name, p) in enumerate(shares.items())]
+    return found.select(*keys, "n_values", *between)
 
 
 def gap_blocks(df: DataFrame, keys: list[str], order: list[str], limit_h: float) -> DataFrame:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.stats import safe_div
 from tidewell.operators.describe import with_robust_z
-from tidewell.operators.ordered import over, seconds
+from tidewell.operators.ordered import neighbour, quantiles, seconds
 
 
 def coverage(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Per series: rows, repeated times, median and largest gap, gaps of over three medians, days without a row, rows a day."""
-    now = seconds(F.col(ts))
-    gaps = df.withColumn("gap_h", (now - F.lag(now).over(over([key], [ts]))) / 3600)
-    mid = gaps.groupBy(key).agg(F.median("gap_h").alias("median_gap_h"))
-    audit = gaps.join(mid, key).groupBy(key).agg(
+    behind = neighbour(df, [key], [ts], [ts], "before", back=True)
+    gaps = behind.withColumn("gap_h", (seconds(F.col(ts)) - seconds(F.col("before")[ts])) / 3600)
+    mid = quantiles(gaps, [key], "gap_h", {"median_gap_h": 0.5})
+    audit = gaps.join(mid, key, "left").groupBy(key).agg(
         F.count("*").alias("n_rows"),
         (F.count("*") - F.countDistinct(ts)).alias("n_repeated_times"),
         F.first("median_gap_h").alias("median_gap_h"),

@@ -8,11 +8,11 @@ from itertools import permutations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import angle, cosine_distance, minus, norm, safe_div
-from tidewell.operators.ordered import neighbour
+from tidewell.operators.ordered import neighbour, running_sums, with_index
 
 
 def as_doubles(vector: Column, size: int | None = None) -> Column:
@@ -132,10 +132,14 @@ def principal_shares(df: DataFrame, vector: str, k: int = 3) -> tuple[list[float
 
 
 def permuted(df: DataFrame, keys: list[str], order: str, columns: list[str], reps: int, seed: int) -> DataFrame:
-    """``reps`` copies in which the named columns are shuffled within each key, by ranks of seeded hashes."""
-    place = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("_i", F.row_number().over(place)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    rest = [c for c in df.columns if c not in columns]
-    drawn = Window.partitionBy("rep", *keys).orderBy(F.xxhash64(F.lit(seed), "rep", "_i"), "_i")
-    content = rows.select("rep", *keys, F.row_number().over(drawn).alias("_i"), *columns)
-    return rows.select("rep", "_i", *rest).join(content, ["rep", "_i", *keys]).drop("_i")
+    """``reps`` copies in which the named columns are shuffled within each key, by ranks of seeded hashes.
+
+    Only indices are put in order, in two levels; the shuffled columns meet them in the last join.
+    """
+    rows = with_index(df, keys, [order]).withColumnRenamed("idx", "_i")
+    slim = rows.select(*keys, F.col("_i").alias("_from"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), "rep", "_from").cast("double"))
+    drawn = running_sums(slim, ["rep", *keys], ["_h", "_from"], {"_i": F.lit(1).cast("long")}).drop("_h").withColumn("_i", F.col("_i") - 1)
+    rest = [c for c in df.columns if c not in columns and c not in keys]
+    placed = drawn.join(rows.select(*keys, "_i", *rest), [*keys, "_i"]).drop("_i")
+    return placed.join(rows.select(*keys, F.col("_i").alias("_from"), *columns), [*keys, "_from"]).drop("_from")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import cosine_distance, safe_div
-from tidewell.operators import compare, describe, lexical, vectors
+from tidewell.operators import compare, describe, lexical, ordered, vectors
 from tidewell.plans.series import rounded
 from tidewell.plans.tables import read, token_maps
 from tidewell.plans.tables import vectors as vector_table
@@ -113,7 +113,8 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = token_maps(spark, sf_dir).withColumn("h", lexical.entropy_bits(F.col("tokens")))
-    return rounded(maps.groupBy("lang").agg(F.count("h").alias("n"), F.avg("h").alias("mean"), F.stddev_samp("h").alias("std"), F.median("h").alias("median")))
+    base = maps.groupBy("lang").agg(F.count("h").alias("n"), F.avg("h").alias("mean"), F.stddev_samp("h").alias("std"))
+    return rounded(ordered.beside(base, ordered.quantiles(maps, ["lang"], "h", {"median": 0.5}), ["lang"], ["median"]))
 
 
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,20 @@ def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(describe.correlation_matrix(rows, METRICS, "spearman"))
 
 
+def correlation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both correlations of each pair with their t."""
+    rows = read(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in METRICS])
+    each = [compare.correlation_p(describe.correlation_matrix(rows, METRICS, m)).withColumn("method", F.lit(m)) for m in ("pearson", "spearman")]
+    return rounded(each[0].unionByName(each[1]).drop("p"), 5)
+
+
+def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-sided p of both correlations of each pair, and q over all of them by method."""
+    rows = read(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in METRICS])
+    each = [compare.correlation_p(describe.correlation_matrix(rows, METRICS, m)).withColumn("method", F.lit(m)) for m in ("pearson", "spearman")]
+    return compare.benjamini_hochberg(each[0].unionByName(each[1]), ["method"], "p").select("method", "col_a", "col_b", "p", "q")
+
+
 def high_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlations(spark, sf_dir).where(F.abs("r") > 0.5).select("col_a", "col_b", F.round("r", 4).alias("r"))
 
@@ -267,7 +281,7 @@ def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means per type and period, with the first period's replaced by medians: a join, not a patch in place."""
     rows = observations(spark, sf_dir)
     base = rows.groupBy("event_type", "period").agg(F.avg("value").alias("level"))
-    patch = rows.where("period = 'p1'").groupBy("event_type", "period").agg(F.median("value").alias("level"))
+    patch = ordered.quantiles(rows.where("period = 'p1'"), ["event_type", "period"], "value", {"level": 0.5}).drop("n_values")
     return rounded(ingest.overrides(base, patch, ["event_type", "period"], ["level"]))
 
 
@@ -275,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, scope_stats, correlations, rank_correlations,
-        high_correlations, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
+        correlation_tests, correlation_p, high_correlations, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
         bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,

@@ -74,6 +74,13 @@ FROM o GROUP BY GROUPING SETS ((event_type), (event_type, period))""",
   SELECT col_a, col_b, rank() OVER (PARTITION BY col_a, col_b ORDER BY a) + (count(*) OVER (PARTITION BY col_a, col_b, a) - 1) / 2.0 AS ra,
     rank() OVER (PARTITION BY col_a, col_b ORDER BY b) + (count(*) OVER (PARTITION BY col_a, col_b, b) - 1) / 2.0 AS rb FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT col_a, col_b, count(*) AS n, round({CORR.format(a='ra', b='rb')}, 6) AS r FROM k GROUP BY col_a, col_b""",
+    "correlation_tests": f"""WITH {LINES}, k AS (
+  SELECT col_a, col_b, a, b, rank() OVER (PARTITION BY col_a, col_b ORDER BY a) + (count(*) OVER (PARTITION BY col_a, col_b, a) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY col_a, col_b ORDER BY b) + (count(*) OVER (PARTITION BY col_a, col_b, b) - 1) / 2.0 AS rb FROM p WHERE a IS NOT NULL AND b IS NOT NULL
+), r AS (
+  SELECT 'pearson' AS method, col_a, col_b, count(*) AS n, {CORR.format(a='a', b='b')} AS r FROM k GROUP BY col_a, col_b
+  UNION ALL SELECT 'spearman', col_a, col_b, count(*), {CORR.format(a='ra', b='rb')} FROM k GROUP BY col_a, col_b
+) SELECT method, col_a, col_b, n, round(r, 5) AS r, round(r * sqrt((n - 2) / nullif(1 - r * r, 0)), 5) AS t FROM r""",
     "high_correlations": f"""WITH {LINES}, c AS (SELECT col_a, col_b, round({CORR.format(a='a', b='b')}, 6) AS r FROM p GROUP BY col_a, col_b)
 SELECT col_a, col_b, round(r, 4) AS r FROM c WHERE abs(r) > 0.5""",
     "period_effects": f"""WITH {O}, s AS (
