@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,30 @@ def test_chat_edges(spark):
     assert op9_chat.digests(op9_chat.read_back(op9_chat.format_windows(df.where("false")))).count() == 0
     windows = op9_chat.format_windows(df.where("conv_id = 1"), budget=4, history=1).orderBy("w").collect()
     assert len(windows) > 1 and all("be\\\\good" in w.formatted for w in windows)
+
+
+def test_chat_windows_keep_to_the_budget_but_for_long_turns(spark):
+    rng = random.Random(4)
+    budget, rows = 60, []
+    for conv in range(30):
+        rows += [(conv, 0, "system" if conv % 2 else "user", "s" * rng.randint(0, 30))]
+        rows += [(conv, t, ("user", "assistant")[t % 2], "x" * rng.choice([0, 3, 20, 50, 90, 300])) for t in range(1, 25)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = op9_chat.shown(op9_chat.spans(turns, budget), budget, 2).collect()
+    tokens = {(c, t): -(-len(x) // 4) + 1 for c, t, _, x in rows}
+    windows = {}
+    for r in shown:
+        windows.setdefault((r.conv_id, r.w), []).append((r.i, r.new))
+    for (conv, w), held in windows.items():
+        system = tokens[conv, 0] if conv % 2 else 0
+        new = [i for i, is_new in held if is_new]
+        assert new == list(range(min(new), max(new) + 1))
+        assert not system or (0 in [i for i, _ in held])
+        longest = max(tokens[conv, i] for i in new)
+        if longest <= (budget - system) // 2:
+            assert sum(tokens[conv, i] for i, _ in held) <= budget
+        else:  # then nothing but the system turn and the new turns
+            assert sum(tokens[conv, i] for i in new) < (budget - system) // 2 + longest
+        repeated = [i for i, is_new in held if not is_new and (i or not system)]
+        assert repeated == list(range(min(new) - len(repeated), min(new))) and len(repeated) <= 2
+    assert any(not is_new and i for held in windows.values() for i, is_new in held)

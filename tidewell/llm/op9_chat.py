@@ -4,10 +4,13 @@ A turn is written as ``<s>role newline text</s>``, or with ``<r>`` where it repe
 earlier turn as context. Control strings inside roles and texts are escaped with a backslash
 after their first character, backslashes are doubled, so the output can be read back.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned windows of BUDGET tokens of
-new turns. Each later window opens with the system turn, if the conversation starts with one,
-and with up to HISTORY turns before its first new turn. The loss mask holds the texts of new
-assistant turns; repeated ones are masked out.
+Prefix sums of turn tokens cut a conversation into turn-aligned windows: what BUDGET leaves
+beside the system turn is halved, and a window holds the new turns that start in one half's
+length of the prefix sums. So a window keeps to the budget unless one of its turns alone is
+longer than such a half. Each later window opens with the system turn, if the conversation
+starts with one, and with up to HISTORY turns before its first new turn, of these the nearest
+ones that the budget still has room for. The loss mask holds the texts of new assistant turns;
+repeated ones are masked out.
 
 * Null text or role: empty. Turns that share a number are ordered by role and text.
 * Null conversation ids form one conversation. Empty table: empty result. Repeated rows are
@@ -54,34 +57,39 @@ def n_tokens(text: Column) -> Column:
 
 
 def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Adds position ``i`` and window ``w`` of each turn of (conv_id, turn, role, text)."""
-    conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.sum(n_tokens(F.col("text"))).over(conv.rowsBetween(Window.unboundedPreceding, -1))
-    cut = turns.withColumns(
-        {"i": F.row_number().over(conv) - 1, "cut": F.floor(F.coalesce(before, F.lit(0)) / budget).cast("long")}
+    """Adds to each turn of (conv_id, turn, role, text) its position ``i``, window ``w``, tokens before it, and the system turn's tokens."""
+    whole = Window.partitionBy("conv_id")
+    conv = whole.orderBy("turn", "role", "text")
+    placed = turns.withColumns(
+        {
+            "i": F.row_number().over(conv) - 1,
+            "n": n_tokens(F.col("text")),
+            "before": F.coalesce(F.sum(n_tokens(F.col("text"))).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        }
     )
-    return cut.withColumn("w", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("cut")) - 1).drop("cut")
+    system = F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("n"))).over(whole)
+    half = F.greatest(F.lit(1), F.floor((budget - F.col("n_system")) / 2))
+    cut = placed.withColumn("n_system", F.coalesce(system, F.lit(0))).withColumn("cut", F.floor(F.col("before") / half).cast("long"))
+    return cut.withColumn("w", F.dense_rank().over(whole.orderBy("cut")) - 1).drop("cut")
 
 
-def shown(turns: DataFrame, history: int = HISTORY) -> DataFrame:
+def shown(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per turn and window that shows it; ``new`` where it is not repeated."""
-    conv = Window.partitionBy("conv_id").orderBy("i")
     whole = Window.partitionBy("conv_id")
+    conv = whole.orderBy("i")
+    sized = turns.withColumns({"n_new": F.sum("n").over(Window.partitionBy("conv_id", "w")), "last_w": F.max("w").over(whole)})
     later = []
     for j in range(1, history + 1):
-        there, last = F.lead("w", j).over(conv), F.lead("w", j - 1).over(conv) if j > 1 else F.col("w")
-        later.append(F.when(there != last, there))
-    all_w = turns.withColumns(
-        {
-            "later": F.array(*later),
-            "last_w": F.max("w").over(whole),
-        }
-    )
+        first = F.lead(F.struct("w", "before", "n_new"), j).over(conv)  # the turn j places on, where a window begins with it
+        last = F.lead("w", j - 1).over(conv) if j > 1 else F.col("w")
+        fits = F.col("n_system") + first["before"] - F.col("before") + first["n_new"] <= budget
+        later.append(F.when((first["w"] != last) & fits, first["w"]))
+    all_w = sized.withColumn("later", F.array(*later))
     repeats = F.when(
         (F.col("i") == 0) & (F.col("role") == "system") & (F.col("last_w") > 0), F.sequence(F.lit(1), "last_w")
     ).otherwise(F.filter("later", lambda x: x.isNotNull() & (x > F.col("w"))))
     at = F.concat(F.array(F.col("w")), F.array_distinct(repeats))
-    return all_w.select("conv_id", "i", "role", "text", F.col("w").alias("home"), F.explode(at).alias("w")).withColumn(
+    return all_w.select("conv_id", "i", "n", "role", "text", F.col("w").alias("home"), F.explode(at).alias("w")).withColumn(
         "new", F.col("w") == F.col("home")
     )
 
@@ -94,7 +102,7 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HIS
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    lines = shown(spans(clean, budget), history).select(
+    lines = shown(spans(clean, budget), budget, history).select(
         "conv_id",
         "w",
         "i",

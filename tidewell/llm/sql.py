@@ -56,16 +56,20 @@ WITH c AS (
     length(replace(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '<r>', '<\r>'),
       '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), chr(10), '<\n>')) AS head
   FROM c
-), t AS (
-  SELECT *, row_number() OVER p - 1 AS i,
-    coalesce(sum((length(text) + 3) // 4 + 1) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512 AS w
+), o AS (
+  SELECT *, row_number() OVER p - 1 AS i, (length(text) + 3) // 4 + 1 AS n,
+    coalesce(sum((length(text) + 3) // 4 + 1) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM e WINDOW p AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), y AS (
+  SELECT *, coalesce(max(n) FILTER (i = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS n_system FROM o
+), t AS (
+  SELECT *, before // greatest(1, floor((512 - n_system) / 2)::BIGINT) AS w FROM y
 ), f AS (
-  SELECT conv_id, w, min(i) AS i0 FROM t GROUP BY conv_id, w
+  SELECT conv_id, w, min(i) AS i0, min(before) AS b0, sum(n) AS n_new FROM t GROUP BY conv_id, w
 ), n AS (
   SELECT t.conv_id, sum(4 + head + body + 4) AS formatted_chars
   FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id
-    AND (t.w = f.w OR t.w < f.w AND (t.i >= f.i0 - 2 OR t.i = 0 AND t.role = 'system'))
+    AND (t.w = f.w OR t.w < f.w AND (t.i >= f.i0 - 2 AND n_system + b0 - t.before + n_new <= 512 OR t.i = 0 AND t.role = 'system'))
   GROUP BY t.conv_id
 )
 SELECT t.conv_id, count(*) AS n_turns,
