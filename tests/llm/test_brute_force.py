@@ -16,7 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.oracle import SF, same
-from tidewell.llm import op6_substring, registry
+from tidewell.llm import op4_bpe, op6_substring, registry
 from tidewell.llm.components import components
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_runs
@@ -79,12 +79,61 @@ def test_packing_is_gapless_and_tight(spark, texts, tokenizer):
     assert placed.sequence_id.nunique() <= -(-total // 2048) * 1.02 + 1
 
 
-def test_best_fit_runs_place_every_piece_once():
-    counts = {900: 7, 700: 3, 448: 5, 100: 40, 1: 3, 2048: 2}
+def one_by_one(lengths: list[int], capacity: int) -> int:
+    """Sequences of best fit over single pieces, the longest first."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_runs_equal_best_fit_one_by_one(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 2048): rng.randint(1, 30) for _ in range(rng.randint(1, 40))} | ({2048: 3, 1: 5} if seed else {})
     runs = best_fit_runs(counts, 2048)
+    held: dict[int, list[tuple[int, int]]] = {}
     for length, n in counts.items():
-        assert sorted(runs[runs[:, 0] == length][:, 1].tolist())[0] == 0
-        assert (runs[runs[:, 0] == length][:, 1] < n).all()
+        own = sorted(r for r in runs.tolist() if r[0] == length)
+        assert own[0][1] == 0 and all(r[1] < n for r in own)
+        for (_, rank, first, offset), end in zip(own, [*[r[1] for r in own[1:]], n], strict=True):
+            for i in range(end - rank):
+                held.setdefault(first + i, []).append((offset, length))
+    for places in held.values():
+        places.sort()
+        assert [at for at, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+        assert sum(n for _, n in places) <= 2048
+    assert len(held) == one_by_one([n for n, count in counts.items() for _ in range(count)], 2048)
+
+
+def test_url_rules_on_every_page(spark):
+    pages = duckdb.sql(f"SELECT page_id, url FROM '{SF}/pages.parquet'").fetchall()
+    own = [(i, f"{scheme}{host}{path}") for i, (scheme, host, path) in enumerate(itertools.product(["http://", "", "a://b://"], ["Net", "x.NET", "example.net", "www.Example.com", "org", "torg", "é.org"], ["", "/", "/en/", "/EN/", "/de/x?y#z", "/fr", "?/fr/", "#a", "/fr/é"]))]
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    for table in (pages, own):
+        got = {r.page_id: r for r in url_filter(spark.createDataFrame(table, "page_id long, url string")).collect()}
+        assert len(got) == len(table)
+        for page, url in table:
+            rest = (url or "").partition("://")[2]
+            end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+            host, path = "".join(c.lower() if c.isascii() else c for c in rest[:end]), rest[end:].split("?")[0].split("#")[0]
+            fitting = [r for r in rules if path.startswith("/" + r.partition("/")[2]) and ("." + host).endswith("." + r.partition("/")[0])]
+            rule = max(fitting, key=len, default=None)
+            r = got[page]
+            assert (r.host, r.path, r.rule) == (host, path, rule)
+            assert r.verdict == (rules[rule] if rule else "block" if r.block_score >= 0.5 else "allow")
+
+
+def test_the_cache_of_pieces_is_emptied_by_size(tokenizer, monkeypatch):
+    monkeypatch.setattr(op4_bpe, "CACHED", 5_000)
+    v = op4_bpe.Vocabulary(PATH)
+    for k in range(20):
+        words = " ".join(f"word{k}x{i}" for i in range(50))
+        flat, _ = encode_texts(v, pa.array([words]))
+        assert flat.tolist() == tokenizer.encode(words, add_special_tokens=False).ids and v.held < 30_000
 
 
 def test_top_members_hold_the_best():

@@ -12,6 +12,7 @@ Longer words keep their boundaries in linked lists with a heap of ranks.
 
 * Null and empty texts have no tokens. Special tokens inside a text are cut out first.
 * Empty table: empty result. Repeated rows are encoded each. Extra columns are ignored.
+* Equal ranks go to the leftmost pair. A text is encoded whole in one task, however long it is.
 * The vocabulary file is a parameter; executors read it by that path.
 """
 
@@ -32,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Longest word, in bytes, of the matrices; entries of the piece cache; texts encoded at once.
-SHORT, CACHED, BATCH = 48, 1_000_000, 512
+#: Longest word, in bytes, of the matrices; characters and ids' bytes that the piece cache holds, some 100 bytes an entry counted in; texts encoded at once.
+SHORT, CACHED, BATCH = 48, 128_000_000, 512
 NONE = np.iinfo(np.int32).max
 #: Fixed pattern of byte-level BPE, from the tokenizer's documentation.
 PATTERN = public_tokenizers.PATTERN
@@ -92,6 +93,7 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Empty the cache of pieces, but for special tokens."""
+        self.held = 0
         self.cache: dict[str, bytes] = {"": b""} | {t: np.int32(i).tobytes() for t, i in self.special.items()}
 
     @functools.cached_property
@@ -195,16 +197,17 @@ def words_of(v: Vocabulary, piece: str) -> list[str]:
 
 
 def encode_pieces(v: Vocabulary, pieces: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of each piece; new pieces enter the cache."""
-    known = v.cache
-    if len(known) > CACHED:
+    """Little-endian 32-bit ids of each piece; new pieces and their words enter the cache, which is emptied once it holds too many bytes."""
+    if v.held > CACHED:
         v.forget()
-        known = v.cache
+    known = v.cache
     made = {p: words_of(v, p) for p in pieces if p not in known}
-    known |= encode_words(v, list({w for ws in made.values() for w in ws if w not in known}))
+    new = encode_words(v, list({w for ws in made.values() for w in ws if w not in known}))
+    known |= new
     for p, ws in made.items():
         if len(ws) > 1:
-            known[p] = b"".join([known[w] for w in ws])
+            new[p] = known[p] = b"".join([known[w] for w in ws])
+    v.held += sum(100 + len(p) + len(ids) for p, ids in new.items())
     return [known[p] for p in pieces]
 
 
