@@ -297,3 +297,37 @@ def test_correlation_p_is_null_where_undefined(spark):
     matrix = spark.createDataFrame([(10, 0.5), (2, 0.5), (10, 1.0), (10, None)], "n long, r double")
     got = [(r.t, r.p) for r in compare.correlation_p(matrix).collect()]
     assert got[0] == (pytest.approx(1.632993), pytest.approx(0.141111, abs=1e-5)) and got[1:] == [(None, None)] * 3
+
+
+def test_status_states_and_a_file_that_is_not_there(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "done": true,\n "n": 3\n}\n')
+    (tmp_path / "s.csv").write_text('# note\nTimestamp_UTC,vector,other\n2026-04-01 10:00:00,"[1.0, 2.5]",x\n2026-04-01 11:00:00,"[1.0, null]",y\n')
+    (tmp_path / "o.csv").write_text("Timestamp_UTC,H\n2026-04-01 10:00:00,1.5\n2026-04-01 11:00:00,none\n")
+    got = readers.read_status(spark, str(tmp_path / "a.json"), "done boolean, n long, note string").collect()
+    assert [tuple(r) for r in got] == [(True, 3, None)]
+    states_ = readers.read_states(spark, str(tmp_path / "s.csv"), ["vector"]).select("ts", readers.parse_vector(F.col("vector"), 2).alias("v"))
+    assert states_.columns == ["ts", "v"] and [r.v for r in states_.orderBy("ts").collect()] == [[1.0, 2.5], None]
+    with pytest.warns(UserWarning, match="is not there"):
+        found = readers.read_observations(spark, str(tmp_path / "gone.csv"), ["H"], ["time", "Timestamp_UTC"], str(tmp_path / "o.csv"))
+    assert sorted((r.H for r in found.collect()), key=str) == [1.5, None]
+    with pytest.raises(Exception, match="gone"):
+        readers.read_observations(spark, str(tmp_path / "gone.csv"), ["H"])
+
+
+def test_observed_values_against_a_null(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", True, float(x)) for x in rng.normal(0, 0.5, 60)] + [("a", False, float(x)) for x in rng.normal(0.4, 1, 300)] + [("b", True, 1.0), ("b", None, 2.0), ("b", False, None)]
+    got = {r.k: r for r in compare.against_null(spark.createDataFrame(rows, "k string, o boolean, v double"), ["k"], F.col("o"), "v").collect()}
+    obs, null = (np.array([v for k, o, v in rows if k == "a" and o is side]) for side in (True, False))
+    assert (got["a"].n_obs, got["a"].n_null, got["a"].std_ratio) == (60, 300, pytest.approx(obs.std() / null.std()))
+    both = np.sort(np.concatenate([obs, null]))
+    assert got["a"].d == pytest.approx(max(abs((obs <= x).mean() - (null <= x).mean()) for x in both))
+    assert got["a"].tighter and got["a"].displaced and got["a"].p < 0.05
+    assert (got["b"].n_obs, got["b"].n_null, got["b"].tighter) == (1, 0, None)
+
+
+def test_rarefaction_to_the_least_total(spark):
+    maps = spark.createDataFrame([(1, {"a": 5.0, "b": 5.0}), (2, {"a": 4.0})], "doc_id long, tokens map<string,double>")
+    got = {r.doc_id: r for r in lexical.rarefied_entropy(maps, "doc_id").collect()}
+    assert got[2].mean_entropy == 0 and 0.6 < got[1].mean_entropy <= 1
+    assert lexical.rarefied_entropy(maps.where("false"), "doc_id").count() == 0

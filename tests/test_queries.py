@@ -7,8 +7,8 @@ from tidewell.plans import registry
 
 #: Series of the smallest tables are too short for change points.
 LARGER = "/root/testdata/sf0.01"
-#: Queries over 5,000 replicates that take most of a minute each; their operators are held against plain Python in test_operators.
-LONG = {"exponential_intervals", "floor_intervals", "vector_intervals"}
+#: Queries over 200 or 5,000 replicates that take most of a minute each; their operators are held against plain Python in test_operators.
+LONG = {"angle_null_table", "exponential_intervals", "floor_intervals", "vector_intervals"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

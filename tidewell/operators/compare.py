@@ -65,9 +65,10 @@ def two_groups(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
 
 
 def side_steps(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
-    """Per key and distinct value: rows of both sides, ``a`` and ``b``, and of values up to it."""
-    rows = df.where(F.col(value).isNotNull() & side.isNotNull()).select(*keys, side.alias("_a"), F.col(value).alias("_v"))
-    return value_steps(rows, keys, "_v", {"a": F.col("_a").cast("long"), "b": (~F.col("_a")).cast("long")})
+    """Per key and distinct value: rows of both sides, ``a`` and ``b``, and of values up to it. Null values and sides count as no row."""
+    rows = df.select(*keys, side.alias("_a"), F.col(value).alias("_v"))
+    there = F.col("_v").isNotNull()
+    return value_steps(rows, keys, "_v", {"a": F.coalesce(F.col("_a") & there, F.lit(False)).cast("long"), "b": F.coalesce(~F.col("_a") & there, F.lit(False)).cast("long")})
 
 
 def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
@@ -77,7 +78,7 @@ def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> Da
     cubes = t.cast("double") * t * t - t
     u = side_steps(df, keys, side, value).groupBy(*keys).agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.when(F.col("a") > 0, F.col("a") * rank)).alias("ranks"), F.sum(cubes).alias("ties")
-    )
+    ).where("n_a + n_b > 0")
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n_a + n_b
     stat = F.col("ranks") - n_a * (n_a + 1) / 2
@@ -91,7 +92,7 @@ def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str)
     steps = side_steps(df, keys, side, value)
     sized = beside(steps, steps.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), keys, ["n_a", "n_b"])
     share = lambda g: F.col(f"up_to_{g}") / F.nullif(F.col(f"n_{g}").cast("double"), F.lit(0.0))
-    far = sized.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(share("a") - share("b"))).alias("d"))
+    far = sized.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(share("a") - share("b"))).alias("d")).where("n_a + n_b > 0")
     return far.withColumn("p", kolmogorov_p("d", "n_a", "n_b"))
 
 
@@ -181,6 +182,17 @@ def against_baseline(df: DataFrame, keys: list[str], baseline: Column, value: st
     return effect.join(level, keys).join(up_to, keys, "left").join(u, keys, "left")
 
 
+def against_null(df: DataFrame, keys: list[str], observed: Column, value: str) -> DataFrame:
+    """Per key: count, mean and population deviation of observed and null values, their distribution distance with p, and whether the
+    observed ones are tighter (less than 0.9 of the null's deviation) or displaced (means over 0.05 apart)."""
+    x = F.col(value)
+    sides = (("obs", F.when(observed, x)), ("null", F.when(~observed, x)))
+    stats = df.groupBy(*keys).agg(*[f(v).alias(f"{name}_{g}") for g, v in sides for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop))])
+    table = stats.withColumns({"mean_diff": F.col("mean_obs") - F.col("mean_null"), "std_ratio": safe_div(F.col("std_obs"), F.col("std_null"))})
+    ks = kolmogorov_smirnov(df, keys, observed, value).select(*keys, "d", "p")
+    return beside(table, ks, keys, ["d", "p"]).withColumns({"tighter": F.col("std_ratio") < 0.9, "displaced": F.abs("mean_diff") > 0.05})
+
+
 def two_largest_periods(df: DataFrame, period: str) -> DataFrame:
     """The two periods with the most rows (ties: the earlier one), in order: ``first`` and ``second``."""
     largest = df.where(F.col(period).isNotNull()).groupBy(period).agg(F.count("*").alias("n")).orderBy(F.desc("n"), period).limit(2)

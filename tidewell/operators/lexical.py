@@ -99,19 +99,22 @@ def drift(maps: DataFrame, keys: list[str], order: str) -> DataFrame:
     return steps.select(*keys, F.col(order).alias("from"), F.col("next")[order].alias("to"), js_distance(F.col("tokens"), ahead).alias("js"), cosine_counts(F.col("tokens"), ahead).alias("cosine"))
 
 
-def rarefied_entropy(maps: DataFrame, key: str, budget: int, draws: int = 50, seed: int = 42) -> DataFrame:
+def rarefied_entropy(maps: DataFrame, key: str, budget: int | None = None, draws: int = 50, seed: int = 42) -> DataFrame:
     """Mean and sample deviation of the entropy of ``draws`` multinomial samples of ``budget`` tokens.
 
-    NULL where a row has fewer tokens. Draws are seeded by the row's key, so they do not depend
+    Without a budget it is the least total of all rows. NULL where a row has fewer tokens. Draws are seeded by the row's key, so they do not depend
     on the partitioning.
     """
 
+    if budget is None:
+        budget = int(maps.agg(F.min(map_total(F.col("tokens")))).first()[0] or 0)
+
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k, tokens in zip(frame[key], frame["tokens"], strict=True):
                 n = np.array([v for _, v in sorted(dict(tokens).items())], float)
-                if n.sum() < budget:
+                if not n.sum() or n.sum() < budget:
                     out.append((k, None, None))
                     continue
                 rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFF])

@@ -111,15 +111,21 @@ def standard_normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))
 
 
-def gaussian_angle_null(df: DataFrame, key: str, names: list[str], reps: int, seed: int) -> DataFrame:
-    """Per pair of the named vectors: observed angle, and that of normal vectors of the same lengths, one for each row, layer and replicate."""
+def gaussian_angles(df: DataFrame, key: str, names: list[str], reps: int, seed: int) -> DataFrame:
+    """Distances and angles of normal vectors of the named vectors' lengths, drawn for each row, vector and replicate."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
 
     def drawn(i: int, name: str) -> Column:
         raw = F.transform(F.sequence(F.lit(1), F.size(name)), lambda k: standard_normal(F.lit(seed), F.lit(i), F.col(key), F.col("rep"), k))
-        return F.transform(raw, lambda x: x * norm(F.col(name)) / norm(raw))
+        scaled = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), (norm(F.col(name)) / norm(v)).alias("by")))
+        return F.transform(scaled, lambda s: F.transform(s["v"], lambda x: x * s["by"]))[0]  # draws and lengths once a row
+
+    return pair_distances(rows.select(*[drawn(i, n).alias(n) for i, n in enumerate(names)]), [], names)
 
-    null = pair_distances(rows.select(*[drawn(i, n).alias(n) for i, n in enumerate(names)]), [], names)
+
+def gaussian_angle_null(df: DataFrame, key: str, names: list[str], reps: int, seed: int) -> DataFrame:
+    """Per pair of the named vectors: observed angle, and that of normal vectors of the same lengths."""
+    null = gaussian_angles(df, key, names, reps, seed)
     null = null.groupBy("pair").agg(F.count("angle").alias("n"), F.avg("angle").alias("null_mean"), F.stddev_pop("angle").alias("null_std"))
     seen = pair_distances(df, [], names).groupBy("pair").agg(F.avg("angle").alias("observed"))
     return seen.join(null, "pair").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))

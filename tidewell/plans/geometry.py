@@ -105,6 +105,24 @@ def angle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed.join(null, "pair").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))
 
 
+def angle_null_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles of layer pairs, apart and all together, against both nulls: normal vectors of the same lengths, and permuted layers."""
+    table = layers(spark, sf_dir)
+    nulls = {"gaussian": vectors.gaussian_angles(table, "block", LAYERS, 200, 42), "permuted": vectors.pair_distances(permuted_layers(table, 200, 42), ["rep"], LAYERS)}
+    seen = vectors.pair_distances(table, [], LAYERS).select("pair", "angle", F.lit(True).alias("observed"))
+    both = [seen.unionByName(x.select("pair", "angle", F.lit(False).alias("observed"))).withColumn("null", F.lit(name)) for name, x in nulls.items()]
+    rows = both[0].unionByName(both[1]).withColumn("pair", F.explode(F.array("pair", F.lit("all"))))
+    return compare.against_null(rows, ["null", "pair"], F.col("observed"), "angle")
+
+
+def entropy_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy and richness of documents by language, and the rank test of the entropies of the two halves of the ids."""
+    maps = token_maps(spark, sf_dir)
+    rows = maps.select("lang", (F.col("doc_id") < 100).alias("early"), F.size("tokens").alias("richness"), F.round(lexical.entropy_bits(F.col("tokens")), 6).alias("h"))
+    stats = rows.groupBy("lang").agg(*[F.avg(F.when(side, F.col(c))).alias(f"{c}_{name}") for c in ("h", "richness") for name, side in (("early", F.col("early")), ("late", ~F.col("early")))])
+    return rounded(ordered.beside(stats, compare.mann_whitney(rows, ["lang"], F.col("early"), "h"), ["lang"], ["n_a", "n_b", "u"]), 4)
+
+
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = token_maps(spark, sf_dir)
     h = lexical.entropy_bits(F.col("tokens"))
@@ -142,7 +160,10 @@ def drift_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rarefied_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.rarefied_entropy(token_maps(spark, sf_dir), "doc_id", 100)
+    """Entropies at the least total of all documents, and at 5,000 tokens where a document has as many."""
+    maps = token_maps(spark, sf_dir)
+    least, large = (lexical.rarefied_entropy(maps, "doc_id", b) for b in (None, 5000))
+    return least.join(large.select("doc_id", F.col("mean_entropy").alias("mean_5000"), F.col("std_entropy").alias("std_5000")), "doc_id")
 
 
 def quality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_means, residual_norms, vector_steps, layer_distances, ordering_frequencies, ordering_tests, relabeled_spread, centroid_drift,
-        between_within, gaussian_angles, principal_components, angle_null, token_entropy, language_entropy, top_tokens, vocabulary_size, lexical_drift, drift_baseline,
+        between_within, gaussian_angles, principal_components, angle_null, angle_null_table, token_entropy, entropy_of_halves, language_entropy, top_tokens, vocabulary_size, lexical_drift, drift_baseline,
         rarefied_entropy, quality_groups, viability, role_counts,
     )
 }

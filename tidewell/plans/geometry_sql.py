@@ -41,6 +41,11 @@ SELECT round(between_, 6) AS "between", round(within, 6) AS within, round(betwee
     "token_entropy": f"""WITH {TOKENS} SELECT doc_id, count(*)::INT AS richness, sum(n)::DOUBLE AS total, round(0 - sum(p * log2(p)), 6) AS entropy, round(0 - sum(p * log2(p + 1e-12)), 6) AS smoothed FROM s GROUP BY doc_id""",
     "language_entropy": f"""WITH {TOKENS}, h AS (SELECT doc_id, lang, 0 - sum(p * log2(p)) AS h FROM s GROUP BY doc_id, lang)
 SELECT lang, count(h) AS n, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(median(h), 6) AS median FROM h GROUP BY lang""",
+    "entropy_of_halves": f"""WITH {TOKENS}, h AS (SELECT doc_id, lang, count(*) AS richness, round(0 - sum(p * log2(p)), 6) AS h FROM s GROUP BY doc_id, lang),
+ranked AS (SELECT *, doc_id < 100 AS early, rank() OVER (PARTITION BY lang ORDER BY h) + (count(*) OVER (PARTITION BY lang, h) - 1) / 2.0 AS r FROM h),
+g AS (SELECT lang, round(avg(h) FILTER (early), 4) AS h_early, round(avg(h) FILTER (NOT early), 4) AS h_late, round(avg(richness) FILTER (early), 4) AS richness_early,
+  round(avg(richness) FILTER (NOT early), 4) AS richness_late, count(*) FILTER (early) AS n_a, count(*) FILTER (NOT early) AS n_b, sum(r) FILTER (early) AS ranks FROM ranked GROUP BY lang)
+SELECT * EXCLUDE (ranks), round(ranks - n_a * (n_a + 1) / 2, 4) AS u FROM g""",
     "top_tokens": f"WITH {TOKENS} SELECT token, sum(n)::BIGINT AS n FROM n GROUP BY token ORDER BY n DESC, token LIMIT 10",
     "vocabulary_size": f"WITH {TOKENS} SELECT count(DISTINCT token) AS n_tokens, sum(n)::BIGINT AS n_words FROM n",
     "lexical_drift": f"""WITH {TOKENS}, o AS (SELECT lang, doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS nxt FROM (SELECT DISTINCT lang, doc_id FROM s)

@@ -74,6 +74,13 @@ def high_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlations(spark, sf_dir).where(F.abs("r") > 0.5).select("col_a", "col_b", F.round("r", 4).alias("r"))
 
 
+def high_correlations_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of characters, spaces and line ends of whole texts whose correlation is over a half."""
+    n = lambda x: (F.length("text") - F.length(F.replace(F.col("text"), F.lit(x), F.lit("")))).cast("double")
+    rows = read(spark, sf_dir, "documents").select(F.length("text").cast("double").alias("chars"), n(" ").alias("spaces"), n("\n").alias("line_ends"))
+    return describe.correlation_matrix(rows, ["chars", "spaces", "line_ends"]).where(F.abs("r") > 0.5).select("col_a", "col_b", "n", F.round("r", 4).alias("r"))
+
+
 def period_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.two_groups(observations(spark, sf_dir), KEY, first_period(), "value"))
 
@@ -289,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, scope_stats, correlations, rank_correlations,
-        correlation_tests, correlation_p, high_correlations, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
+        correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
         bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,

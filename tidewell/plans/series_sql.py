@@ -83,6 +83,9 @@ SELECT col_a, col_b, count(*) AS n, round({CORR.format(a='ra', b='rb')}, 6) AS r
 ) SELECT method, col_a, col_b, n, round(r, 5) AS r, round(r * sqrt((n - 2) / nullif(1 - r * r, 0)), 5) AS t FROM r""",
     "high_correlations": f"""WITH {LINES}, c AS (SELECT col_a, col_b, round({CORR.format(a='a', b='b')}, 6) AS r FROM p GROUP BY col_a, col_b)
 SELECT col_a, col_b, round(r, 4) AS r FROM c WHERE abs(r) > 0.5""",
+    "high_correlations_of_texts": f"""WITH t AS (SELECT length(text)::DOUBLE AS c, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS s, (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS e
+  FROM documents), p AS (SELECT 'chars' AS col_a, 'spaces' AS col_b, c AS a, s AS b FROM t UNION ALL SELECT 'chars', 'line_ends', c, e FROM t UNION ALL SELECT 'spaces', 'line_ends', s, e FROM t
+), r AS (SELECT col_a, col_b, count(*) AS n, {CORR.format(a='a', b='b')} AS r FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY col_a, col_b) SELECT col_a, col_b, n, round(r, 4) AS r FROM r WHERE abs(r) > 0.5""",
     "period_effects": f"""WITH {O}, s AS (
   SELECT event_type, count(value) FILTER (period = 'p1') AS n_a, count(value) FILTER (period = 'p2') AS n_b, avg(value) FILTER (period = 'p1') AS ma, avg(value) FILTER (period = 'p2') AS mb,
     var_samp(value) FILTER (period = 'p1') AS va, var_samp(value) FILTER (period = 'p2') AS vb, var_pop(value) FILTER (period = 'p1') AS pa, var_pop(value) FILTER (period = 'p2') AS pb,

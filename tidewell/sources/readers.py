@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,16 +12,45 @@ from pyspark.sql import types as T
 from tidewell.operators.ingest import numeric, utc_timestamp
 
 
-def read_observations(spark: SparkSession, path: str, metrics: list[str], time: str = "Timestamp_UTC") -> DataFrame:
-    """CSV with a header, possibly a byte-order mark and comment lines: doubles and a UTC time ``ts``."""
+def read_observations(spark: SparkSession, path: str, metrics: list[str], time: str | list[str] = "Timestamp_UTC", fallback: str | None = None) -> DataFrame:
+    """CSV with a header, possibly a byte-order mark and comment lines: doubles and a UTC time ``ts``.
+
+    Of several names of ``time`` the first that is there is used. Where ``path`` does not exist, ``fallback`` is read, with a warning.
+    """
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        if fallback is None:
+            raise
+        warnings.warn(f"{path} is not there; reading {fallback}", stacklevel=2)
+        path = fallback
     schema = T.StructType([T.StructField(c, T.StringType()) for c in spark.read.option("header", True).option("comment", "#").csv(path).columns])
     raw = spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
+    names = [time] if isinstance(time, str) else time
+    time = next((c for c in names if c in raw.columns), names[0])
     missing = [c for c in [*metrics, time] if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
     return raw.select(utc_timestamp(F.col(time)).alias("ts"), *[numeric(F.col(c)).alias(c) for c in metrics])
 
 
+def read_status(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """JSON status files, one object each over any number of lines, with the DDL ``fields``; a field that is missing is NULL.
+
+    A file that is no JSON gives a row of NULLs.
+    """
+    return spark.read.schema(fields).option("multiLine", True).json(path)
+
+
+def read_states(spark: SparkSession, path: str, columns: list[str] | None = None, time: str = "Timestamp_UTC") -> DataFrame:
+    """CSV of states with JSON columns in quotes: all columns or the named ones as text, and a UTC time ``ts``.
+
+    Only named columns are parsed from the file.
+    """
+    raw = spark.read.option("header", True).option("comment", "#").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return raw.select(utc_timestamp(F.col(time)).alias("ts"), *[c for c in columns or raw.columns if c != time])
+
+
 def parse_vector(text: Column, size: int | None = None) -> Column:
     """JSON array to array of doubles; NULL if malformed, of another length, or not finite."""
     v = F.from_json(text, "array<double>")
