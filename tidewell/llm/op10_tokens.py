@@ -1,31 +1,39 @@
 """Token counts by separator scan (operator 10).
 
 A flat token file is an array of 16- or 32-bit ids without an index, in which an end id
-follows each document. Blocks of BLOCK tokens are scanned apart: one vectorised comparison
-finds the end ids of a block. A block then says how many tokens and ends it holds, where its
-first and last ends are, and the lengths between them. Prefix scans over the blocks of a file
-(running sums of tokens and ends, running maximum of the last end's position) give each block
-its place and the start of the document that reaches into it, and stitch the boundaries.
+follows each document. Blocks of BLOCK tokens are scanned apart, each by a task that reads its
+own byte range and no more: one vectorised comparison finds the end ids of a block. A block
+then says how many tokens and ends it holds, where its first and last ends are, and the
+lengths between them. Prefix scans over the blocks of a file (running sums of tokens and ends,
+running maximum of the last end's position) give each block its place and the start of the
+document that reaches into it, and stitch the boundaries.
+
+The tables hold no token files, so the query first writes one for each partition of the documents
+to the shared folder, and a manifest beside it: which documents a file holds, in order.
+A file's name is new for each attempt of a task, and only files that the manifest names are read:
+what a lost or repeated attempt has left behind counts nowhere.
 
 * Null or empty texts are documents of no tokens. Tokens after a file's last end are an
-  unfinished document, with ``ended`` false. Empty input: empty result.
-* Documents are known by file and ordinal; a manifest (file, ordinal, doc_id) names them.
+  unfinished document, with ``ended`` false. Empty input: empty result. A text of any length is
+  tokenised whole, and scanned in as many blocks as it takes.
+* Documents are known by file and ordinal; a manifest (file, ordinal, doc_id) names them, null ids included.
   Repeated rows count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.op4_bpe import BATCH, VOCABULARY, encode_texts, vocabulary
-from tidewell.llm.tables import stored
+from tidewell.llm.tables import shared_dir, stored
 
 BLOCK, END = 1 << 17, 50256
 SCAN = "file string, block long, n_tokens long, n_ends long, first long, last long, lengths array<long>"
@@ -44,58 +52,58 @@ def scan_rows(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
 
 
-def file_blocks(spark: SparkSession, path: str, *, width: int = 2, block: int = BLOCK, end: int = END) -> DataFrame:
-    """Scanned blocks of the flat token files under ``path``. A task holds one file at a time."""
+def opened(name: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name.removeprefix("file:"))
+
+
+def scanned(files: DataFrame, *, width: int = 2, block: int = BLOCK, end: int = END) -> DataFrame:
+    """Scanned blocks of flat token files (file, size in bytes). A task holds one block of ids at a time."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(content.as_buffer(), f"<u{width}")
-                rows = [(name, k // block, *scan_block(ids[k : k + block], end)) for k in range(0, len(ids), block)]
-                yield pa.RecordBatch.from_arrays(scan_rows(rows), schema=schema)
+            for name, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = opened(name)
+                with system.open_input_file(path) as source:
+                    ids = np.frombuffer(source.read_at(block * width, k * block * width), f"<u{width}")
+                yield pa.RecordBatch.from_arrays(scan_rows([(name, k, *scan_block(ids, end))]), schema=schema)
 
     schema = pa.schema(list(zip("file block n_tokens n_ends first last lengths".split(), [a.type for a in scan_rows([])], strict=True)))
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(scan, SCAN)
+    ranges = files.where("size > 0").selectExpr("file", f"explode(sequence(0L, (size - 1) div {block * width})) AS block")
+    return ranges.repartition("file", "block").mapInArrow(scan, SCAN)
 
 
-def document_blocks(docs: DataFrame, doc_id: str, text: str, path: str, block: int, end: int) -> DataFrame:
-    """Each partition's documents as one flat token stream, scanned block by block.
+def file_blocks(spark: SparkSession, path: str, *, width: int = 2, block: int = BLOCK, end: int = END) -> DataFrame:
+    """Scanned blocks of all flat token files under ``path``; listing them reads none of their content."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    return scanned(files, width=width, block=block, end=end)
 
-    Rows of blocks carry the scan; the manifest's rows carry ``ordinal`` and ``ids`` instead.
-    """
-    scanned = "file block n_tokens n_ends first last lengths ordinal ids".split()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, stop = vocabulary(path, False), np.array([end], "<i4")
-        file, n_blocks, n_docs = f"part-{TaskContext.get().partitionId()}", 0, 0
-        left = np.array([], "<i4")
+def token_files(docs: DataFrame, folder: str, *, doc_id: str, text: str, path: str, width: int, end: int) -> DataFrame:
+    """Writes each partition's documents as one flat token file; returns the manifest's parts: file, ordinal, ids, size.
 
-        def given(rows: list[tuple], ordinal: int | None, ids: list[int] | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [*scan_rows(rows), pa.array([ordinal] * len(rows), pa.int64()), pa.array([ids] * len(rows), pa.list_(pa.int64()))],
-                scanned,
-            )
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                part = batch.slice(k, BATCH)
-                flat, at = encode_texts(v, part.column(1))
-                stream = np.insert(flat, at[1:], stop)
-                ids = part.column(0).to_pylist()
-                yield given([(file, None, None, None, None, None, None)], n_docs, ids)
-                n_docs += len(ids)
-                left = np.concatenate([left, stream])
-                whole = len(left) // block
-                if whole:
-                    yield given(
-                        [(file, n_blocks + i, *scan_block(left[i * block : (i + 1) * block], end)) for i in range(whole)], None, None
-                    )
-                    n_blocks, left = n_blocks + whole, left[whole * block :]
-        if len(left):
-            yield given([(file, n_blocks, *scan_block(left, end))], None, None)
-
-    schema = f"{SCAN}, ordinal long, ids array<long>"
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(scan, schema)
+    ``ids`` are those of the documents from ``ordinal`` on; ``size`` is the number of bytes they take.
+    """
+    names = ["file", "ordinal", "ids", "size"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, stop, n_docs = vocabulary(path, False), np.array([end], "<i4"), 0
+        name = f"{folder}/{uuid.uuid4().hex}.ids"
+        system, place = opened(name)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(place) as target:
+            for batch in batches:
+                for k in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(k, BATCH)
+                    flat, at = encode_texts(v, part.column(1))
+                    written = target.write(np.insert(flat, at[1:], stop).astype(f"<u{width}").tobytes())
+                    row = [[name], [n_docs], [part.column(0).to_pylist()], [written]]
+                    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names)
+                    n_docs += part.num_rows
+
+    schema = "file string, ordinal long, ids array<long>, size long"
+    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(write, schema)
 
 
 def token_counts(blocks: DataFrame) -> DataFrame:
@@ -129,13 +137,19 @@ def document_token_counts(
     doc_id: str = "doc_id",
     text: str = "text",
     path: str | None = None,
+    width: int = 2,
     block: int = BLOCK,
     end: int = END,
 ) -> DataFrame:
-    """doc_id and n_tokens of each document, counted in the flat token streams of the partitions."""
+    """doc_id and n_tokens of each document, counted in flat token files in the shared folder.
+
+    ``width`` is the bytes of an id: 2 holds vocabularies of up to 65,536 tokens.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
-    scanned = stored(document_blocks(docs, doc_id, text, path, block, end), "blocks")
-    counts = token_counts(scanned.where("block IS NOT NULL").drop("ordinal", "ids"))
-    named = scanned.where("block IS NULL").select("file", "ordinal", F.posexplode("ids").alias("k", "doc_id"))
+    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    parts = stored(token_files(docs, folder, doc_id=doc_id, text=text, path=path, width=width, end=end), "manifest")
+    files = parts.groupBy("file").agg(F.sum("size").alias("size"))
+    counts = token_counts(stored(scanned(files, width=width, block=block, end=end), "blocks"))
+    named = parts.select("file", "ordinal", F.posexplode("ids").alias("k", "doc_id"))
     manifest = named.select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "doc_id")
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
