@@ -9,11 +9,12 @@ gap first, a whole run at a time; ranks within the runs say which document meets
 The gaps it used shrink, and the next sweep follows. Documents without a gap open sequences.
 
 The sweeps run over those bounded runs only. What grows with the corpus runs in Spark: the
-tokens, the counts of each length, the rank of each piece within its length (dealt to SALTS
-parts of each length, whose counts give the offsets), and the lookup of its place.
+tokens, the counts of each length, the rank of each piece within its length (dealt to parts
+of each length, whose counts give the offsets; their number grows with the longest run), and the lookup of its place.
 
 * Null or empty text: the end id alone. Empty table: empty result. Repeated rows are packed
-  each. Extra columns are ignored.
+  each; ties go by doc_id, piece and ids. Rows without doc_id are packed, too. A long text is cut
+  as said, whole in its task's memory. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.op4_bpe import BATCH, VOCABULARY, encode_texts, vocabulary
 from tidewell.llm.tables import stored
 
-CAPACITY, END, SALTS = 2048, 0, 64
+CAPACITY, END = 2048, 0
+SALTS, PART = 64, 500_000  # parts of a length: 64 at least, of about PART pieces
 
 
 def token_pieces(docs: DataFrame, doc_id: str, text: str, path: str, capacity: int, end: int) -> DataFrame:
@@ -147,4 +149,5 @@ def best_fit_packing(
     path = path or public_tokenizers.path(VOCABULARY)
     pieces = stored(token_pieces(docs, doc_id, text, path, capacity, end), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    return placed(ranked(pieces), best_fit_runs(counts, capacity))
+    salts = max(SALTS, -(-max(counts.values(), default=0) // PART))
+    return placed(ranked(pieces, salts), best_fit_runs(counts, capacity))
