@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import op9_chat, sql
 from tidewell.llm.op1_quality import quality_rules
 from tidewell.llm.op10_tokens import document_token_counts
+from tidewell.llm.op11_manifest import manifest
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op4_bpe import bpe_round_trip
@@ -67,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": sql.TOP_K,
     "op7_ngram_jaccard": sql.JACCARD_JOIN,
     "op9_chat_formatting": sql.CHAT_FORMATTING,
+    "op11_merkle_manifest": sql.MERKLE_MANIFEST,
 }

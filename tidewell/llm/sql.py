@@ -112,3 +112,49 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """
+
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE e AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    4294967295 - list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents
+), f AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+      THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS tampered
+  FROM e
+), g AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS r,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f
+), t AS (
+  SELECT lang, 0 AS l, i, n, leaf AS h FROM g
+  UNION ALL
+  SELECT lang, l + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, l, i // 2
+), s AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h AS subroot FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS l, i, n, subroot AS h FROM s
+  UNION ALL
+  SELECT l + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY l, i // 2
+), c AS (
+  SELECT r, lang, 0 AS l, i, n, '' AS proof, coalesce(tampered, leaf) AS folded FROM g
+  UNION ALL
+  SELECT c.r, c.lang, c.l + 1, c.i // 2, (c.n + 1) // 2, c.proof || coalesce(t.h, ''),
+    sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(t.h, '') || c.folded ELSE c.folded || coalesce(t.h, '') END)
+  FROM c LEFT JOIN t ON t.lang IS NOT DISTINCT FROM c.lang AND t.l = c.l AND t.i = xor(c.i, 1) WHERE c.n > 1
+), p AS (
+  SELECT c.r, s.subroot, 0 AS l, s.i, s.n, c.proof, c.folded FROM c JOIN s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT p.r, p.subroot, p.l + 1, p.i // 2, (p.n + 1) // 2, p.proof || coalesce(u.h, ''),
+    sha256(CASE WHEN p.i % 2 = 1 THEN coalesce(u.h, '') || p.folded ELSE p.folded || coalesce(u.h, '') END)
+  FROM p LEFT JOIN u ON u.l = p.l AND u.i = xor(p.i, 1) WHERE p.n > 1
+)
+SELECT g.doc_id, g.leaf, p.subroot, u.h AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = u.h AS verified
+FROM g JOIN p ON p.r = g.r AND p.n = 1 JOIN u ON u.n = 1
+"""
