@@ -11,6 +11,8 @@ from tidewell.llm import op9_chat, sql
 from tidewell.llm.op1_quality import quality_rules
 from tidewell.llm.op10_tokens import document_token_counts
 from tidewell.llm.op11_manifest import manifest
+from tidewell.llm.op12_spots import COMMON, spot_fingerprints
+from tidewell.llm.op13_repair import repaired_conversations
 from tidewell.llm.op2_url import url_filter
 from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op4_bpe import bpe_round_trip
@@ -72,6 +74,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spot_fingerprints": op12_spot_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +104,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": sql.JACCARD_JOIN,
     "op9_chat_formatting": sql.CHAT_FORMATTING,
     "op11_merkle_manifest": sql.MERKLE_MANIFEST,
+    "op12_spot_fingerprints": sql.SPOT_FINGERPRINTS.replace("COMMON_WORDS", ", ".join(f"'{w}'" for w in COMMON)),
+    "op13_conversation_repair": sql.CONVERSATION_REPAIR,
 }

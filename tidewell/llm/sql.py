@@ -158,3 +158,108 @@ WITH RECURSIVE e AS (
 SELECT g.doc_id, g.leaf, p.subroot, u.h AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = u.h AS verified
 FROM g JOIN p ON p.r = g.r AND p.n = 1 JOIN u ON u.n = 1
 """
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE b AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), k AS (
+  SELECT *, (4294967295 - list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(name, '.'), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS kind
+  FROM b
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0
+), o AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS c, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM d
+), f AS (
+  SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM o
+), z AS (
+  SELECT * FROM (VALUES ('', '', '', 'u'), ('', 'I', 'u', 'a'), ('', 'II', 'a', 'u'), ('s', '', 's', 'u'), ('s', 'I', 'u', 'a'), ('s', 'II', 'a', 'u'),
+    ('u', '', 'u', 'a'), ('u', 'I', 'a', 'u'), ('a', '', 'a', 'u'), ('a', 'I', 'u', 'a')) AS x(s, inserts, place, next)
+), e AS (
+  SELECT s, inserts || 'D' AS edit, place AS t, 4 + 3 * length(inserts) AS cost, 'D' AS kind FROM z
+  UNION ALL SELECT s, inserts || 'R', next, 3 + 3 * length(inserts), 'R' FROM z
+  UNION ALL SELECT s, inserts || 'K', next, 3 * length(inserts), 'K' FROM z
+  UNION ALL SELECT s, inserts || 'K', 's', 3 * length(inserts), 'K' FROM z WHERE place = ''
+), v AS (
+  SELECT conv_id, n + 1 AS i, s, {'cost': cost, 'audit': audit} AS best
+  FROM (SELECT DISTINCT conv_id, n FROM o), (VALUES ('', 0, ''), ('s', 6, 'II'), ('u', 3, 'I'), ('a', 0, '')) AS x(s, cost, audit)
+  UNION ALL
+  SELECT v.conv_id, f.i, e.s,
+    min({'cost': v.best.cost + e.cost + CASE WHEN f.fault = 'truncated' AND e.kind <> 'D' THEN 3 ELSE 0 END, 'audit': e.edit || v.best.audit})
+  FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i - 1 JOIN e ON e.t = v.s
+  WHERE e.kind = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (e.kind = 'R' OR f.c = e.t)
+  GROUP BY v.conv_id, f.i, e.s
+), a AS (
+  SELECT conv_id, best.cost AS cost, best.audit AS audit FROM v WHERE i = 1 AND s = ''
+), l AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS place FROM a WHERE audit <> ''
+), m AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS j FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), r AS (
+  SELECT m.conv_id, m.place, m.letter, m.j, f.role, f.text,
+    max((m.letter = 'K' AND m.j = 1 AND f.c = 's')::INT) OVER (PARTITION BY m.conv_id) AS has_system
+  FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i WHERE m.letter <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS repaired_sha256
+  FROM r GROUP BY conv_id
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SPOT_FINGERPRINTS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) - 1 AS i, count(*) OVER () AS n FROM documents
+), p AS (
+  SELECT d.i, d.doc_id, d.text, e.i AS j,
+    left(d.text, length(d.text) - length(d.text) // 4) || left(e.text, length(d.text) // 4) AS edited
+  FROM d JOIN d e ON e.i = (d.i + 1) % d.n
+), t AS (
+  SELECT i * 2 AS r, text FROM p UNION ALL SELECT i * 2 + 1, edited FROM p
+), w AS (
+  SELECT r, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM t
+), u AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+  UNION ALL SELECT r, '', 0 FROM w WHERE len(words) > 0
+), a AS (
+  SELECT r, i, word, i = 0 OR word IN (COMMON_WORDS) AS anchor FROM u
+), s AS (
+  SELECT r, i, word, anchor, max(i) FILTER (anchor) OVER q AS last, count(*) FILTER (NOT anchor) OVER q AS before FROM a WINDOW q AS (PARTITION BY r ORDER BY i)
+), c AS (
+  SELECT r, list(word ORDER BY i) AS content FROM a WHERE NOT anchor GROUP BY r
+), h AS (
+  SELECT s.r, ('0x' || left(md5(CASE WHEN anchor THEN word ELSE '' END || ' ' || coalesce(array_to_string(content[before + 1:before + 2], ' '), '')), 15))::BIGINT AS sig
+  FROM s LEFT JOIN c USING (r) WHERE (s.i - s.last) % 8 = 0
+  UNION ALL SELECT r, ('0x' || left(md5(text), 15))::BIGINT FROM w WHERE len(words) = 0
+), g AS (
+  SELECT r, list_sort(list(DISTINCT sig)) AS sigs FROM h GROUP BY r
+), f AS (
+  SELECT p.*, x.sigs AS own, y.sigs AS changed, z.sigs AS next FROM p JOIN g x ON x.r = p.i * 2 JOIN g y ON y.r = p.i * 2 + 1 JOIN g z ON z.r = p.j * 2
+)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(list_transform(own, lambda x: lower(to_hex(x))), ' ') AS fingerprint,
+  array_to_string(list_transform(changed, lambda x: lower(to_hex(x))), ' ') AS edited_fingerprint,
+  len(list_intersect(own, changed)) / (len(own) + len(changed) - len(list_intersect(own, changed))) AS near_edited,
+  len(list_intersect(own, next)) / (len(own) + len(next) - len(list_intersect(own, next))) AS near_next
+FROM f
+"""
