@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions import tails
+from tidewell.functions import exact, tails
 from tidewell.functions.stats import cohens_d, safe_div
 from tidewell.operators.ordered import beside, quantiles, value_steps
 
@@ -22,6 +22,16 @@ def kolmogorov_p(d: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     return pd.Series([tails.kolmogorov(x, a, b) if pd.notna(x) and a and b else None for x, a, b in zip(d, n_a, n_b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def rank_sum_p(u: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    return pd.Series([exact.rank_sum_two_sided(x, int(a), int(b)) if pd.notna(x) else None for x, a, b in zip(u, n_a, n_b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def distance_p(d: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    return pd.Series([exact.distance_tail(x, int(a), int(b)) if pd.notna(x) else None for x, a, b in zip(d, n_a, n_b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([tails.student_two_sided(x, n) if pd.notna(x) and n > 0 else None for x, n in zip(t, dof, strict=True)], dtype="float64")
@@ -71,8 +81,15 @@ def side_steps(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
     return value_steps(rows, keys, "_v", {"a": F.coalesce(F.col("_a") & there, F.lit(False)).cast("long"), "b": F.coalesce(~F.col("_a") & there, F.lit(False)).cast("long")})
 
 
-def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
-    """U of group a, with the tie-corrected normal p (continuity-corrected), two-sided."""
+#: Fewest values on each side for a p value.
+LEAST = 3
+
+
+def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str, *, least: int = LEAST) -> DataFrame:
+    """U of group a, its tie-corrected normal z (continuity-corrected) and two-sided p; p is NULL below ``least`` values on a side.
+
+    p is exact where no values are tied and the smaller side has at most ``exact.SMALL_RANKS``, else normal.
+    """
     t = F.col("a") + F.col("b")
     rank = F.col("up_to_a") + F.col("up_to_b") - (t - 1) / 2.0
     cubes = t.cast("double") * t * t - t
@@ -84,16 +101,24 @@ def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str) -> Da
     stat = F.col("ranks") - n_a * (n_a + 1) / 2
     spread = F.sqrt(n_a * n_b / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = (F.abs(stat - n_a * n_b / 2) - 0.5) / F.nullif(spread, F.lit(0.0))
-    return u.select(*keys, "n_a", "n_b", stat.alias("u"), F.greatest(z, F.lit(0.0)).alias("z")).withColumn("p", normal_p("z"))
+    small = (F.least("n_a", "n_b") <= exact.SMALL_RANKS) & (F.col("ties") == 0)
+    tested = u.withColumns({"u": stat, "z": F.greatest(z, F.lit(0.0)), "_few": F.least("n_a", "n_b") < least, "_small": small})
+    p = F.coalesce(rank_sum_p(F.when(F.col("_small") & ~F.col("_few"), F.col("u")), "n_a", "n_b"), normal_p(F.when(~F.col("_small") & ~F.col("_few"), F.col("z"))))
+    return tested.select(*keys, "n_a", "n_b", "u", "z", p.alias("p"))
+
 
+def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str, *, least: int = LEAST) -> DataFrame:
+    """Largest distance of the two empirical distributions and its p, NULL below ``least`` values on a side. Tied values step together.
 
-def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
-    """Largest distance of the two empirical distributions and its asymptotic p. Tied values step together."""
+    p is exact up to ``exact.SMALL_DISTANCES`` values on the larger side, else asymptotic.
+    """
     steps = side_steps(df, keys, side, value)
     sized = beside(steps, steps.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), keys, ["n_a", "n_b"])
     share = lambda g: F.col(f"up_to_{g}") / F.nullif(F.col(f"n_{g}").cast("double"), F.lit(0.0))
     far = sized.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(share("a") - share("b"))).alias("d")).where("n_a + n_b > 0")
-    return far.withColumn("p", kolmogorov_p("d", "n_a", "n_b"))
+    enough, small = F.least("n_a", "n_b") >= least, F.greatest("n_a", "n_b") <= exact.SMALL_DISTANCES
+    p = F.coalesce(distance_p(F.when(enough & small, F.col("d")), "n_a", "n_b"), kolmogorov_p(F.when(enough & ~small, F.col("d")), "n_a", "n_b"))
+    return far.withColumn("p", p)
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str) -> DataFrame:

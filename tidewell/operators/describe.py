@@ -8,20 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import normal_mad_z, robust_z, safe_corr, safe_div
-from tidewell.operators.ordered import beside, quantiles, value_steps
+from tidewell.operators.ordered import beside, counted_values, step_quantiles, value_steps
+from tidewell.sources.shared import kept
+
+
+def centres(steps: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Median and MAD of ``counted_values``, and the quantiles asked for. The distances from the median are those of the distinct values."""
+    centre = kept(step_quantiles(steps, keys, {"median": 0.5} | shares), "centres")
+    far = counted_values(beside(steps, centre, keys, ["median"]), keys, F.abs(F.col("_v") - F.col("median")), F.col("n"))
+    return beside(centre, step_quantiles(far, keys, {"mad": 0.5}), keys, ["mad"])
 
 
 def with_robust_z(df: DataFrame, keys: list[str], value: str, *, normal: bool = False) -> DataFrame:
     """Adds median, mad and rz per series; rz is NULL below four values or where the MAD is 0."""
-    centre = quantiles(df, keys, value, {"median": 0.5})
-    near = beside(df, centre, keys, ["median", F.col("n_values").alias("_n")])
-    mad = quantiles(near.withColumn("_far", F.abs(F.col(value) - F.col("median"))), keys, "_far", {"mad": 0.5})
+    centre = centres(counted_values(df, keys, F.col(value)), keys, {})
     z = (normal_mad_z if normal else robust_z)(F.col(value), F.col("median"), F.col("mad"))
-    return beside(near, mad, keys, ["mad"]).withColumn("rz", F.when(F.col("_n") >= 4, z)).drop("_n")
+    return beside(df, centre, keys, ["median", "mad", F.col("n_values").alias("_n")]).withColumn("rz", F.when(F.col("_n") >= 4, z)).drop("_n")
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, missing, mean, median, sample deviation, extremes, quantiles (interpolated), cv, MAD, extreme robust z."""
+    """Count, missing, mean, median, sample deviation, extremes, quantiles (interpolated), cv, MAD, extreme robust z.
+
+    The rows are read twice: for the moments, and for the table of distinct values that all the rest follows from.
+    """
     x = F.col(value)
     base = df.groupBy(*keys).agg(
         F.count(x).alias("n"),
@@ -31,16 +40,15 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.min(x).alias("min"),
         F.max(x).alias("max"),
     )
-    robust = with_robust_z(df, keys, value).groupBy(*keys).agg(
-        F.first("median").alias("median"),
-        F.first("mad").alias("mad"),
-        F.min("rz").alias("rz_min"),
-        F.max("rz").alias("rz_max"),
-        F.count_if(F.abs("rz") > 3.5).alias("n_outliers"),
-    )
     shares = {f"q{p:02d}": p / 100 for p in (5, 25, 75, 95)}
-    both = beside(base, quantiles(df, keys, value, shares), keys, list(shares))
-    return beside(both, robust, keys, ["median", "mad", "rz_min", "rz_max", "n_outliers"]).select(
+    steps = kept(counted_values(df, keys, x), "values")
+    centre = kept(centres(steps, keys, shares), "centres")
+    z = F.when(F.col("n_values") >= 4, robust_z(F.col("_v"), F.col("median"), F.col("mad")))
+    extremes = beside(steps, centre, keys, ["n_values", "median", "mad"]).withColumn("rz", z).groupBy(*keys).agg(
+        F.min("rz").alias("rz_min"), F.max("rz").alias("rz_max"), F.coalesce(F.sum(F.when(F.abs("rz") > 3.5, F.col("n"))), F.lit(0)).alias("n_outliers")
+    )
+    both = beside(beside(base, centre, keys, ["median", "mad", *shares]), extremes, keys, ["rz_min", "rz_max", "n_outliers"])
+    return both.select(
         *keys, "n", "n_missing", "mean", "median", "std", "min", *shares, "max", safe_div(F.col("std"), F.col("mean")).alias("cv"), "mad", "rz_min", "rz_max", "n_outliers"
     )
 

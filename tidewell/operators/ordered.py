@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import safe_corr
+from tidewell.sources.shared import kept
 
 
 def over(keys: list[str], order: list[str]) -> Window:
@@ -22,6 +23,9 @@ def seconds(ts: Column) -> Column:
 
 #: Width of a bucket of whole numbers, and buckets of fractions between a number and its double.
 BUCKET, PER_OCTAVE = 4096, 256
+#: Ranges that the distinct values of a series are cut in, and the inverse of the sketch's relative error in ranks.
+RANGES, ACCURACY = 256, 10_000
+NUMBERS = ("double", "float", "tinyint", "smallint", "int", "bigint", "decimal")
 
 
 def bucket_of(df: DataFrame, column: str) -> Column:
@@ -68,9 +72,9 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     return attached(inner, ends, keys, "_far").withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], *, bucket: Column | None = None) -> DataFrame:
     """Sums of the named amounts over each series' rows up to and including this one: within buckets, plus what earlier buckets hold."""
-    inner = df.withColumn("_b", bucket_of(df, order[0])).withColumns({f"_x{i}": x for i, x in enumerate(amounts.values())})
+    inner = df.withColumn("_b", bucket_of(df, order[0]) if bucket is None else bucket).withColumns({f"_x{i}": x for i, x in enumerate(amounts.values())})
     before = over(keys, ["_b"]).rowsBetween(Window.unboundedPreceding, -1)
     own = over([*keys, "_b"], order).rowsBetween(Window.unboundedPreceding, 0)
     slots = range(len(amounts))
@@ -126,6 +130,7 @@ def runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> Data
     Rows of a run have seen equally many unflagged ones.
     """
     flagged = df.withColumn("flag", F.coalesce(flag, F.lit(False)))
+    flagged = kept(flagged.select(*dict.fromkeys([*keys, *order]), "flag"), "flags")
     marked = running_sums(flagged, keys, order, {"run": (~F.col("flag")).cast("long")})
     marked = neighbour(marked, keys, order, [order[0], "flag"], "before", back=True).where("flag")
     gap = (F.col(order[0]).cast("double") if dict(df.dtypes)[order[0]] in ("bigint", "int", "double") else seconds(F.col(order[0])))
@@ -149,13 +154,30 @@ def run_summary(found: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def ranged(steps: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``_b``, the range of its series' values that a row's value lies in: equally many rows of ``steps`` to each.
+
+    The bounds come from a quantile sketch of each series, which is built within partitions and merged; values equal to a bound
+    lie below it, null first and NaN last.
+    """
+    x = F.col(value).cast("double")
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = steps.where(~F.isnan(x)).groupBy(*keys).agg(F.percentile_approx(x, shares, ACCURACY).alias("_bounds"))
+    place = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < x))
+    return beside(steps, bounds, keys, ["_bounds"]).withColumn("_b", place).drop("_bounds")
+
+
 def value_steps(df: DataFrame, keys: list[str], value: str, amounts: dict[str, Column]) -> DataFrame:
     """Per series and distinct value: sums of the amounts, and ``up_to_`` their running sums in the order of the values.
 
-    Rows are summed up by value before they are shuffled; only distinct values are put in order, a bucket of them to a task.
+    Rows are summed up by value before they are shuffled and kept in a table; distinct numbers are put in order by ranges that the
+    data set (``ranged``), a range to a task, other values in one.
     """
-    steps = df.groupBy(*keys, value).agg(*[F.sum(x).alias(name) for name, x in amounts.items()])
-    return running_sums(steps, keys, [value], {f"up_to_{name}": F.col(name) for name in amounts})
+    steps = kept(df.groupBy(*keys, value).agg(*[F.sum(x).alias(name) for name, x in amounts.items()]), "steps")
+    sums = {f"up_to_{name}": F.col(name) for name in amounts}
+    if not dict(steps.dtypes)[value].startswith(NUMBERS):
+        return running_sums(steps, keys, [value], sums)
+    return running_sums(ranged(steps, keys, value), keys, [value], sums, bucket=F.col("_b"))
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -164,13 +186,17 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     return beside(df, steps.withColumn(name, F.col("up_to_n") - (F.col("n") - 1) / 2.0), [*keys, value], [name])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of the values that are there, and their number ``n_values``; series without values have no row.
+def counted_values(df: DataFrame, keys: list[str], value: Column, weight: Column | None = None) -> DataFrame:
+    """Per series and distinct value ``_v``: ``n`` rows (or their weights) and ``up_to_n``; nulls weigh nothing."""
+    rows = df.select(*keys, value.cast("double").alias("_v"), (F.lit(1).cast("long") if weight is None else weight).alias("_w"))
+    return value_steps(rows, keys, "_v", {"n": F.when(F.col("_v").isNotNull(), F.col("_w")).otherwise(F.lit(0).cast("long"))})
+
+
+def step_quantiles(steps: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``counted_values``, and their number ``n_values``; series without values have no row.
 
     A quantile lies between the first values whose running counts exceed its two neighbouring places.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))  # no filter: it would be pushed down and compute the value anew
-    steps = value_steps(rows, keys, "_v", {"n": F.col("_v").isNotNull().cast("long")})
     placed = beside(steps, steps.groupBy(*keys).agg(F.sum("n").alias("n_values")), keys, ["n_values"])
     first_above = lambda place: F.min(F.when(F.col("up_to_n") > place, F.col("_v")))
     at = lambda share: (F.col("n_values") - 1) * F.lit(share)
@@ -181,6 +207,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     return found.select(*keys, "n_values", *between)
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of the values that are there, and their number ``n_values``."""
+    return step_quantiles(counted_values(df, keys, F.col(value)), keys, shares)
+
+
 def gap_blocks(df: DataFrame, keys: list[str], order: list[str], limit_h: float) -> DataFrame:
     """Adds ``idx`` along each series and ``block``, the number of gaps of over ``limit_h`` hours so far.
 

@@ -95,9 +95,17 @@ def kolmogorov_smirnov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def period_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and distribution tests of the periods with p and false-discovery q per family of tests."""
-    rows = observations(spark, sf_dir)
-    u = compare.mann_whitney(rows, KEY, first_period(), "value").select(*KEY, F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"), "p")
-    d = compare.kolmogorov_smirnov(rows, KEY, first_period(), "value").select(*KEY, F.lit("kolmogorov_smirnov").alias("test"), F.col("d").alias("statistic"), "p")
+    return rounded(both_tests(observations(spark, sf_dir), KEY, first_period()), 8)
+
+
+def user_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each user's errors against the user's other events: few values, so that most p are exact."""
+    return rounded(both_tests(observations(spark, sf_dir), ["user_id"], F.col("event_type") == "error", least=5), 8)
+
+
+def both_tests(rows: DataFrame, keys: list[str], side: Column, **least: int) -> DataFrame:
+    tests = (("mann_whitney", compare.mann_whitney, "u"), ("kolmogorov_smirnov", compare.kolmogorov_smirnov, "d"))
+    u, d = (f(rows, keys, side, "value", **least).select(*keys, F.lit(name).alias("test"), F.col(x).alias("statistic"), "p") for name, f, x in tests)
     return compare.benjamini_hochberg(u.unionByName(d), ["test"], "p")
 
 
@@ -296,7 +304,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, scope_stats, correlations, rank_correlations,
-        correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
+        correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, user_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
         bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,

@@ -36,7 +36,49 @@ d AS (SELECT event_type, median(abs(value - m.median)) AS mad FROM o JOIN m USIN
 z AS (SELECT o.*, m.median, d.mad, CASE WHEN m.n >= 4 THEN 0.6745 * (value - m.median) / nullif(d.mad, 0) END AS rz,
   CASE WHEN m.n >= 4 THEN (value - m.median) / nullif(d.mad * 1.4826, 0) END AS nz FROM o JOIN m USING (event_type) JOIN d USING (event_type))"""
 
+#: Rank and distribution tests of rows (key, value, first), with p and q; {least} values a side at least. Ranks of eight values or
+#: fewer on a side without ties: arrangements are counted rank by rank; distances: lattice paths are followed by their diagonals.
+TESTS = """x AS (
+  SELECT key, first, value, rank() OVER (PARTITION BY key ORDER BY value) + (count(*) OVER (PARTITION BY key, value) - 1) / 2.0 AS r FROM rows WHERE value IS NOT NULL
+), t AS (SELECT key, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT key, value, count(*) AS c FROM rows WHERE value IS NOT NULL GROUP BY ALL) GROUP BY key
+), s AS (SELECT key, count(*) FILTER (first) AS n_a, count(*) FILTER (NOT first) AS n_b, sum(r) FILTER (first) AS ranks FROM x GROUP BY key
+), u AS (SELECT *, n_a::DOUBLE AS a, n_b::DOUBLE AS b, ranks - n_a * (n_a + 1) / 2 AS u, least(n_a, n_b) AS m, n_a + n_b AS n, least(n_a, n_b) >= {least} AS enough FROM s JOIN t USING (key)
+), z AS (SELECT *, greatest(0.0, (abs(u - a * b / 2) - 0.5) / nullif(sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))), 0)) AS z FROM u
+), c AS (
+  SELECT 0 AS n, 0 AS k, 0 AS total, 1::DOUBLE AS ways
+  UNION ALL SELECT n, k, total, sum(ways) FROM (
+    SELECT n + 1 AS n, k, total, ways FROM c UNION ALL SELECT n + 1, k + 1, total + n + 1, ways FROM c WHERE k < 8
+  ) WHERE n <= (SELECT coalesce(max(n), 0) FROM u WHERE m <= 8 AND ties = 0) GROUP BY n, k, total
+), e AS (
+  SELECT z.key, least(1.0, 2 * sum(ways) FILTER (total - k * (k + 1) // 2 >= greatest(u, a * b - u)) / sum(ways)) AS p FROM z JOIN c ON c.n = z.n AND c.k = z.m
+  WHERE z.ties = 0 GROUP BY z.key
+), mw AS (
+  SELECT z.key, 'mann_whitney' AS test, z.u::DOUBLE AS statistic, CASE WHEN enough AND e.p IS NOT NULL THEN e.p WHEN enough THEN
+    1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: CASE WHEN z > 0 THEN exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) ELSE 0 END)) END AS p
+  FROM z LEFT JOIN e USING (key)
+), v AS (SELECT key, value, count(*) FILTER (first) AS a, count(*) FILTER (NOT first) AS b FROM rows WHERE value IS NOT NULL GROUP BY ALL
+), w AS (SELECT key, sum(a) OVER w / (sum(a) OVER p)::DOUBLE - sum(b) OVER w / (sum(b) OVER p)::DOUBLE AS d FROM v WINDOW w AS (PARTITION BY key ORDER BY value), p AS (PARTITION BY key)
+), d AS (SELECT key, max(abs(d)) AS d FROM w GROUP BY key
+), g AS (
+  SELECT key, d, m, n - m AS l, m // gcd(m, n - m) AS across, (n - m) // gcd(m, n - m) AS up, round(d * m * ((n - m) // gcd(m, n - m)))::BIGINT AS edge
+  FROM d JOIN u USING (key) WHERE enough
+), q AS (
+  SELECT key, 0 AS s, list_transform(range(0, m + 1), lambda i: CASE WHEN i = 0 THEN 1e0 ELSE 0e0 END) AS inside FROM g WHERE edge > 0
+  UNION ALL SELECT q.key, q.s + 1, list_transform(range(0, m + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > l OR abs(i * up - (s + 1 - i) * across) >= edge THEN 0e0
+    ELSE (CASE WHEN i > 0 THEN inside[i] * (m - i + 1) ELSE 0 END + CASE WHEN s + 1 > i THEN inside[i + 1] * (l - s + i) ELSE 0 END) / (m + l - s) END)
+  FROM q JOIN g USING (key) WHERE q.s < m + l
+), ks AS (
+  SELECT d.key, 'kolmogorov_smirnov' AS test, d.d AS statistic, CASE WHEN g.edge <= 0 THEN 1e0 ELSE 1 - list_sum(q.inside) END AS p
+  FROM d LEFT JOIN g USING (key) LEFT JOIN q ON q.key = g.key AND q.s = g.m + g.l
+), both_ AS (SELECT * FROM mw UNION ALL SELECT * FROM ks
+), raw AS (SELECT *, p * count(p) OVER (PARTITION BY test) / rank() OVER (PARTITION BY test, p IS NULL ORDER BY p) AS raw FROM both_
+), fdr AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY test, p IS NULL ORDER BY p DESC)) END AS q FROM raw)"""
+
 ORACLE_SQL = {
+    "period_tests": f"""WITH RECURSIVE {O}, rows AS (SELECT event_type AS key, period = 'p1' AS first, value FROM o), {TESTS.format(least=3)}
+SELECT key AS event_type, test, round(statistic, 8) AS statistic, round(p, 8) AS p, round(q, 8) AS q FROM fdr""",
+    "user_tests": f"""WITH RECURSIVE rows AS (SELECT user_id AS key, event_type = 'error' AS first, value FROM events), {TESTS.format(least=5)}
+SELECT key AS user_id, test, round(statistic, 8) AS statistic, round(p, 8) AS p, round(q, 8) AS q FROM fdr""",
     "describe_events": f"""WITH {ROBUST}
 SELECT event_type, count(value) AS n, count(*) FILTER (value IS NULL) AS n_missing, round(avg(value), 6) AS mean, round(any_value(median), 6) AS median,
   round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.25), 6) AS q25,
