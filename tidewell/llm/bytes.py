@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+PRIME, BASE = np.uint64((1 << 61) - 1), 0x1C69B3F74AC4AE35
+LOW31, LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 #: Texts are handled in groups of about so many bytes.
 GROUP = 1 << 20
 
@@ -22,32 +24,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * ODD + np.uint64(seed))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for factors below it, by halves of 31 bits; 2**61 is 1."""
+    a_high, a_low, b_high, b_low = a >> np.uint64(31), a & LOW31, b >> np.uint64(31), b & LOW31
+    mid = a_low * b_high + a_high * b_low
+    return reduced(np.uint64(2) * a_high * b_high + (mid >> np.uint64(30)) + ((mid & LOW30) << np.uint64(31)) + a_low * b_low)
 
 
 @functools.lru_cache(maxsize=4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ODD and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
-    up, down = np.full(n, ODD), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The first n powers of BASE and of its inverse modulo PRIME; n is a power of two."""
+    out = []
+    for base in (BASE, pow(BASE, -1, int(PRIME))):
+        found = np.ones(1, np.uint64)
+        while len(found) < n:
+            found = np.concatenate([found, times(found, np.uint64(pow(base, len(found), int(PRIME))))])
+        out.append(found)
+    return out[0], out[1]
 
 
 class RangeHash:
-    """Hashes of any byte range of a buffer in constant time, equal for equal bytes."""
-
-    def __init__(self, data: np.ndarray, seed: int = 0) -> None:
-        n = 1 << max(10, int(len(data)).bit_length())
-        up, self.down = powers(n)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_values(seed)[data] * up[: len(data)], out=self.sums[1:])
+    """Hashes of any range of a buffer of bytes, or of hashes, in constant time, equal for equal ranges.
+
+    A range is a polynomial modulo the prime 2**61 - 1 at a fixed point: two ranges of n items share it by chance with a probability of
+    n / 2**61 at most, whatever their pattern. (Modulo 2**64, patterns can be built that cancel at every odd point.)
+    """
+
+    #: Items whose sums of low halves surely fit 64 bits.
+    STEP = 1 << 24
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = powers(1 << max(10, int(len(data)).bit_length()))
+        up = up[: len(data)]
+        if data.dtype == np.uint8:
+            item = data.astype(np.uint64) + np.uint64(1)
+            halves = (up & LOW31) * item, (up >> np.uint64(31)) * item
+        else:
+            item = times(reduced(data), up)
+            halves = item & LOW31, item >> np.uint64(31)
+        self.low, self.high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in halves)
+
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = reduced(self.low[end] - self.low[start]), reduced(self.high[end] - self.high[start])
+        return reduced(low + ((high & LOW30) << np.uint64(31)) + (high >> np.uint64(30)))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        sizes = (end - start).astype(np.uint64)
+        if len(sizes) and sizes.max() > self.STEP:
+            total, at = np.zeros(len(sizes), np.uint64), start
+            while (at < end).any():
+                total = reduced(total + self.part(at, np.minimum(at + self.STEP, end)))
+                at = np.minimum(at + self.STEP, end)
+        else:
+            total = self.part(start, end)
+        return mix(times(total, self.down[start]) + sizes * np.uint64(0xD1B54A32D192ED03))
 
 
 def groups(texts: pa.Array, size: int = GROUP) -> list[tuple[int, int]]:

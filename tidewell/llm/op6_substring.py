@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import arrays, whole_runs
-from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, powers, shingle_hashes, words
+from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
 from tidewell.llm.op8_suffix import window_anchors
 from tidewell.llm.tables import discard, stored
@@ -57,8 +57,7 @@ class Units:
         self.start, self.end, self.of = words(data, self.offsets)
         self.text_hash = of_bytes(self.offsets[:-1], self.offsets[1:]).view(np.int64)
         self.word_hash = of_bytes(self.start, self.end)
-        up, self.down = powers(1 << max(10, len(self.start).bit_length()))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.word_hash * up[: len(self.start)])])
+        self.of_words = RangeHash(self.word_hash)
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         line = breaks[self.start] - breaks[self.offsets[:-1]][self.of]
         new_line = np.ones(len(self.start), bool)
@@ -77,8 +76,7 @@ class Units:
         return np.stack([first, np.concatenate([first[1:], [len(new)]])]).astype(np.int64) if len(first) else np.zeros((2, 0), np.int64)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        raw = (self.sums[b] - self.sums[a]) * self.down[a]
-        return mix(raw + (b - a).astype(np.uint64) * ODD).view(np.int64)
+        return self.of_words(a, b).view(np.int64)
 
     def pieces(self) -> tuple[np.ndarray, ...]:
         """Anchor hash, piece hash, and first and last run (its first word) of each piece."""
