@@ -77,6 +77,18 @@ def test_whole_copies_are_removed_byte_by_byte(docs):
     assert got[6].n_removed == 20_000 and got[1].n_bytes == 0 and got[8].n_removed == 0
 
 
+def test_paragraphs_of_rows_without_doc_id(spark):
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, LINE), (None, LINE), (1, LINE), (None, other), (None, other + "\n" + LINE), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("wish", "key", "bands", "t")})
+    spans = repeated_paragraphs(docs)
+    assert {(r.doc_id, r.of_doc_id) for r in spans.where(F.col("of_doc_id").isNotNull()).collect()} == {(None, 1)}
+    left = without_spans(docs, spans)
+    assert left.columns == docs.columns and left.where("wish <> 'wish' OR key <> 'key'").count() == 0
+    texts = [(r.doc_id, (r.text or "").strip()) for r in left.collect()]
+    assert (1, LINE) in texts and texts.count((None, "")) == 4 and texts.count((None, other)) == 1 and len(texts) == 6
+
+
 def test_repeated_paragraphs_keep_the_first(docs):
     spans = repeated_paragraphs(docs)
     assert {(r.doc_id, r.of_doc_id) for r in spans.collect()} == {(5, 4), (7, 4)}  # the line said thirty times has the same shingles but four

@@ -69,7 +69,7 @@ def test_substrings_cut_the_later_copy(spark):
     passage, own = words(60), [words(30) for _ in range(3)]
     rows = [(1, f"{own[0]} {passage}", "a"), (2, f"{passage} {own[1]}", "a"), (3, own[2], "a"), (4, passage, "a"), (5, None, "a"), (None, passage, "a")]
     got = {(r.doc_id, " ".join(r.text.split()), r.n_chars == len(r.text)) for r in corpus_pipeline.substrings(spark, documents(spark, rows), SF).collect()}
-    assert got == {(1, f"{own[0]} {passage}", True), (2, own[1], True), (3, own[2], True), (None, passage, True)}
+    assert got == {(1, f"{own[0]} {passage}", True), (2, own[1], True), (3, own[2], True)}  # 4 and the row without an id hold nothing else
 
 
 def test_stages_of_an_empty_table(spark, groups):
@@ -87,3 +87,13 @@ def test_run_packs_what_the_stages_keep(spark):
         for k, r in enumerate(pieces):
             assert (r.piece, r.start) == (k, at) and 0 < r.length <= 2048
             at += r.length
+
+
+def test_stages_keep_columns_of_any_name(spark, groups):
+    df = documents(spark, groups).withColumns({c: F.lit("clash") for c in ("_id", "_ID_", "_t", "wish", "bands", "key", "h", "n", "c", "start")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        assert out.where("wish <> 'clash' OR _t <> 'clash' OR _id <> 'clash'").count() == 0
+    assert corpus_pipeline.substrings(spark, df.drop("n_chars"), SF).columns == df.drop("n_chars").columns
+    assert corpus_pipeline.packing(spark, df, SF).count() > 0

@@ -21,7 +21,8 @@ LINE words, are no removals by definition.
 
 * Spans of step 3 can overlap those of paragraphs.
 * Null and empty texts hold no paragraphs. Empty table: empty result. Rows that share doc_id
-  and text are one document. Rows without doc_id take no part. Extra columns are ignored.
+  and text are one document. Rows without doc_id come after all others
+  and are told apart by their texts (doc_ids of 2**63 - 2**48 and more count as none). Extra columns are ignored.
 * A text is handled whole in one task, however long, with some 150 bytes of arrays for each of its bytes.
 """
 
@@ -31,14 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
 from tidewell.llm.op8_suffix import window_anchors
-from tidewell.llm.tables import discard, stored
+from tidewell.llm.tables import discard, stored, unused
 
 LINE = 20
 RUN, KMER = 50, 12
@@ -378,13 +379,26 @@ def repeated_runs(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFra
     return passages
 
 
+#: The largest whole numbers stand for rows without doc_id, by hashes of their texts.
+FIRST_KEY = (1 << 63) - (1 << 48)
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """doc_id, or a number after all of them (from FIRST_KEY on) for a row without one; a document is a key and a text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(FIRST_KEY) + F.xxhash64(text).bitwiseAND(F.lit((1 << 48) - 1)))
+
+
+def own_id(key: Column) -> Column:
+    return F.when(key < FIRST_KEY, key)
+
+
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What to remove, one row per span: doc_id, t, line, start, end, n_words, kind, of_doc_id.
+    """What to remove, one row per span: doc_id, t, line, start, end, n_words, kind, of_doc_id, key.
 
     ``start`` and ``end`` are bytes of the document's UTF-8 text, ``t`` the hash of that text
-    with A-Z lower-cased, ``of_doc_id`` the document whose copy stays.
+    with A-Z lower-cased, ``of_doc_id`` the document whose copy stays; ``key`` is the document's ``document_key``.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    own = docs.select(document_key(F.col(doc_id), F.col(text)).alias("doc_id"), F.col(text).alias("text"))
     found = stored(units(own), "units", large=True)
     lines = found.where("f IS NULL").withColumn("n", F.col("high") - F.col("low") + 1).drop("f", "low", "high")
     equal = stored(later_copies(lines.drop("bands")), "equal", large=True)
@@ -394,12 +408,13 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     columns = [*PLACE, "n", "end", F.struct("first.doc_id").alias("first")]
     spans = [rows.select(*columns, F.lit(kind).alias("kind")) for kind, rows in (("paragraph", near), ("passage", runs))]
     return spans[0].unionByName(spans[1]).select(
-        "doc_id", "t", "line", "start", "end", F.col("n").alias("n_words"), "kind", F.col("first.doc_id").alias("of_doc_id")
-    )
+        own_id(F.col("doc_id")).alias("doc_id"), "t", "line", "start", "end", F.col("n").alias("n_words"), "kind",
+        own_id(F.col("first.doc_id")).alias("of_doc_id"), F.col("doc_id").alias("key"),
+    )
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents (doc_id, text and more columns) with the spans cut out of their texts."""
+    """The documents (doc_id, text and more columns) with the spans (key, t, start, end) cut out of their texts."""
     names, kinds = docs.columns, docs.schema
     at = names.index("text")
 
@@ -421,8 +436,10 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    wish = spans.groupBy("doc_id").agg(F.collect_list(F.struct("t", "start", "end")).alias("wish"))
-    return docs.join(wish, "doc_id", "left").select(*names, "wish").mapInArrow(cut, kinds)
+    key, wanted = unused(docs, "key"), unused(docs, "wish")
+    wish = spans.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("t", "start", "end")).alias(wanted))
+    keyed = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(wish, key, "left").select(*names, wanted).mapInArrow(cut, kinds)
 
 
 def raw_slice(data: np.ndarray, a: int, b: int) -> str:
