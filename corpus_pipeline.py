@@ -9,23 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.op1_quality import quality_rules
 from tidewell.llm.op3_packing import best_fit_packing
 from tidewell.llm.op6_substring import repeated_paragraphs, without_spans
 from tidewell.llm.op7_jaccard import jaccard_join
-from tidewell.llm.tables import stored
+from tidewell.llm.tables import stored, unused
 
 
-def renamed(found: DataFrame) -> DataFrame:
-    return found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-
-
-def same_text() -> Column:
-    """Rows of documents and of ``renamed`` that share doc_id, null or not, and text."""
-    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+def same_documents(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that share doc_id, null or not, and text with a row of ``found`` (doc_id, t), or those that do not."""
+    doc_id, t = unused(docs, "_id"), unused(docs, "_t")
+    named = found.select(F.col("doc_id").alias(doc_id), F.col("t").alias(t))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(t)), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source and stay if one of them is kept. Null ids take part. Extra columns stay. Empty table: empty.
     """
     kept = quality_rules(docs).where("kept").select("doc_id", "t").distinct()
-    return docs.join(renamed(kept), same_text(), "left_semi")
+    return same_documents(docs, kept, "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,24 +49,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.t")
     stays = stored(least.unionByName(found.where("root IS NULL").select("doc_id", "t").distinct()), "stays", large=True)
     repeated = stored(found.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t"), "repeated")
-    kept = docs.join(renamed(stays), same_text(), "left_semi")
+    kept = same_documents(docs, stays, "left_semi")
     if repeated.isEmpty():
         return kept
-    once = kept.join(renamed(repeated), same_text(), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(renamed(repeated), same_text(), "left_anti").unionByName(once)
+    once = same_documents(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return same_documents(kept, repeated, "left_anti").unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated paragraphs and passages are cut out of all documents but the first; emptied ones go.
 
-    Documents with null or empty texts go as well. Rows without a doc_id stay as they are. Rows that share a doc_id
-    and a text are one document and cut alike. Extra columns stay; n_chars is counted anew. Empty table: empty.
+    Documents with null or empty texts go as well. Rows without a doc_id come after all others; rows that share a doc_id, or have none,
+    and a text are one document and cut alike. Extra columns stay; n_chars, if it is there, is counted anew. Empty table: empty.
     """
-    spans = stored(repeated_paragraphs(docs).select("doc_id", "t", "start", "end"), "spans", large=True)
-    cut = without_spans(docs, spans)
-    return cut.where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "").withColumn(
-        "n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])
-    )
+    spans = stored(repeated_paragraphs(docs).select("key", "t", "start", "end"), "spans", large=True)
+    cut = without_spans(docs, spans).where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")
+    return cut.withColumns({c: F.length("text").cast(kind) for c, kind in docs.dtypes if c == "n_chars"})
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
