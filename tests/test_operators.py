@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats, tails
-from tidewell.operators import compare, ingest, joins, lexical, memory, ordered, states, vectors
+from tidewell.operators import compare, ingest, joins, lags, lexical, memory, ordered, states, vectors
 from tidewell.sources import logs, readers
 
 
@@ -146,21 +146,9 @@ def test_change_point_of_a_shift():
     assert any(abs(b - 60) <= 2 for b in breaks)
 
 
-def test_mean_bootstrap_pools_pairs_inside_blocks(spark):
-    rng = np.random.default_rng(5)
-    n, block = 40, 9
-    pairs = {(k, i): float(rng.normal()) for k in (1, 3) for i in range(n - k) if rng.random() < 0.8}
-    df = frame(spark, [("a", k, i, s) for (k, i), s in pairs.items()], "series string, k int, i long, s double")
-    size = frame(spark, [("a", n)], "series string, n long")
-    starts = memory.block_starts(size, ["series"], block, 5, 1).collect()
-    for r in memory.mean_bootstrap(df, size, ["series"], "s", [1, 3], block=block, reps=5, seed=1).collect():
-        own = [pairs[r.k, i] for x in starts if x.rep == r.rep for i in range(x.s, min(n, x.s + block - r.k)) if (r.k, i) in pairs]
-        assert r.n == len(own) and r.rho == pytest.approx(np.mean(own))
-
-
 def test_refits_find_the_replicates_times(spark):
-    rows = [("a", rep, k, math.exp(-k * 6.0 / tau)) for rep, tau in enumerate((12.0, 30.0, 60.0)) for k in range(1, 17)] + [("a", 3, 1, 0.5)]
-    got = {r.rep: r.tau for r in memory.refitted(frame(spark, rows, "s string, rep long, k int, rho double"), ["s"], 6.0).collect()}
+    rows = [("a", rep, [math.exp(-k * 6.0 / tau) for k in range(1, 17)]) for rep, tau in enumerate((12.0, 30.0, 60.0))] + [("a", 3, [0.5] + [None] * 15)]
+    got = {r.rep: r.tau for r in lags.with_fits(frame(spark, rows, "s string, rep long, rho array<double>"), list(range(1, 17)), 6.0).collect()}
     assert [got[i] for i in range(3)] == pytest.approx([12, 30, 60], rel=1e-3) and got[3] is None
     rng, t = np.random.default_rng(2), np.arange(1, 17) * 6.0
     y = np.stack([0.6 * np.exp(-t / tau) + c + rng.normal(0, 0.02, 16) for tau, c in ((20, 0.2), (40, -0.1), (9, 0.0))])
@@ -171,19 +159,6 @@ def test_refits_find_the_replicates_times(spark):
         assert tails.fit_exponentials(t, y)[i] == pytest.approx(tails.fit_exponential(t, y[i])[0], rel=1e-3)
 
 
-def test_bootstrap_pools_pairs_inside_blocks(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=60)
-    df = frame(spark, [("a", i, float(v)) for i, v in enumerate(x)], "series string, g long, v double")
-    got = memory.block_bootstrap(df, ["series"], "v", [2], block=10, reps=4, seed=1).orderBy("rep").collect()
-    size = df.groupBy("series").agg((F.max("g") + 1).alias("n"))
-    starts = memory.block_starts(size, ["series"], 10, 4, 1).collect()
-    y = x - x.mean()
-    for r in got:
-        pairs = np.array([(y[s.s + j], y[s.s + j + 2]) for s in starts if s.rep == r.rep for j in range(8)])
-        assert r.n == len(pairs) and r.rho == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=1e-9)
-
-
 def test_distances_of_token_maps(spark):
     df = frame(spark, [({"a": 1.0}, {"b": 1.0}), ({"a": 1.0}, {"a": 2.0}), ({}, {"a": 1.0})], "a map<string,double>, b map<string,double>")
     got = df.select(lexical.js_distance(F.col("a"), F.col("b")).alias("js"), lexical.cosine_counts(F.col("a"), F.col("b")).alias("c")).collect()

@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import tails
-from tidewell.functions.stats import safe_corr
+from tidewell.operators.lags import lag_correlations
 
 
 def detrended(df: DataFrame, keys: list[str], x: str, y: str, name: str = "detrended") -> DataFrame:
@@ -21,10 +21,13 @@ def detrended(df: DataFrame, keys: list[str], x: str, y: str, name: str = "detre
 
 def grid_autocorrelation(grid: DataFrame, keys: list[str], value: str, lags: int, least: int = 5) -> DataFrame:
     """Pairwise-complete r of a regular grid with itself k points later, k = 0..lags; NULL below ``least`` pairs."""
-    rows = grid.where(F.col(value).isNotNull()).select(*keys, F.col("g").alias("j"), F.col(value).alias("b"))
-    first = rows.select(*keys, F.col("j").alias("i"), F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("k")).withColumn("j", F.col("i") + F.col("k"))
-    pairs = first.join(rows, [*keys, "j"])
-    return pairs.groupBy(*keys, "k").agg(F.count("*").alias("n_pairs"), F.when(F.count("*") >= least, safe_corr(F.col("a"), F.col("b"))).alias("rho"))
+    rows = grid.where(F.col(value).isNotNull()).select(*keys, F.col("g").alias("idx"), value)
+    return lag_correlations(rows, keys, value, list(range(lags + 1)), least).drop("n_values")
+
+
+def regime(mid: Column, far: Column) -> Column:
+    """Of the means of a lag curve over a middle and a far band: rising again, decaying or flat."""
+    return F.when((far > mid) & (mid > 1e-9), "weekly-leaning").when(mid > far, "decaying").otherwise("flat")
 
 
 def decay_fits(curve: DataFrame, key: str, k: str, rho: str, step_h: float, *, floor: bool = False) -> DataFrame:
@@ -51,82 +54,12 @@ def ar1_time(rho1: Column, step_h: float) -> Column:
     return F.when(rho1 > 0, -F.lit(step_h) / F.ln(rho1))
 
 
-def block_starts(n: DataFrame, keys: list[str], block: int, reps: int, seed: int, *, inclusive: bool = True) -> DataFrame:
-    """Starts of ceil(n / block) blocks for each replicate, uniform on 0..n - block (or one less), by seeded hash."""
-    room = F.greatest(F.lit(1), F.col("n") - block + (1 if inclusive else 0))
-    each = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
-    return each.withColumn("s", F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "blk"), room)).drop("n")
-
-
-def block_bootstrap(series: DataFrame, keys: list[str], value: str, lags: list[int], *, block: int = 24, reps: int = 200, seed: int = 42) -> DataFrame:
-    """Moving-block replicates of the pooled lag correlation: keys, rep, k, rho, n.
-
-    ``series`` has a gapless index ``g``. Pairs lie within blocks only. Running sums of the
-    sufficient statistics of each lag turn a block into two lookups, so a replicate's cost is
-    its number of blocks, not its pairs.
-    """
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    rows = series.select(*keys, "g", (F.col(value) - mean).alias("v"))
-    first = rows.select(*keys, F.col("g").alias("i"), F.col("v").alias("a"), F.explode(F.array(*map(F.lit, lags))).alias("k")).withColumn("g", F.col("i") + F.col("k"))
-    pairs = first.join(rows.withColumnRenamed("v", "b"), [*keys, "g"])
-    a, b = F.col("a"), F.col("b")
-    there = a.isNotNull() & b.isNotNull()
-    sums = {"n": F.lit(1.0), "sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
-    so_far = Window.partitionBy(*keys, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefix = pairs.select(*keys, "k", F.col("i").alias("at"), *[F.sum(F.when(there, x).otherwise(0.0)).over(so_far).alias(n) for n, x in sums.items()])
-    size = series.groupBy(*keys).agg((F.max("g") + 1).alias("n"))
-    starts = block_starts(size, keys, block, reps, seed).withColumn("k", F.explode(F.array(*map(F.lit, lags))))
-    ends = starts.select(*keys, "rep", "k", F.explode(F.array(F.struct((F.col("s") - 1).alias("at"), F.lit(-1.0).alias("w")), F.struct((F.col("s") + block - F.col("k") - 1).alias("at"), F.lit(1.0).alias("w")))).alias("e")).select(*keys, "rep", "k", "e.*")
-    pooled = ends.join(prefix, [*keys, "k", "at"]).groupBy(*keys, "rep", "k").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in sums])
-    n, sa, sb = (F.nullif(F.col(x), F.lit(0.0)) if x == "n" else F.col(x) for x in ("n", "sa", "sb"))
-    cov = F.col("sab") / n - sa * sb / (n * n)
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("saa") / n - sa * sa / (n * n)) * F.greatest(F.lit(0.0), F.col("sbb") / n - sb * sb / (n * n)))
-    return pooled.select(*keys, "rep", "k", "n", F.when(spread > 1e-15, cov / spread).alias("rho"))
-
-
-def mean_bootstrap(pairs: DataFrame, size: DataFrame, keys: list[str], value: str, lags: list[int], *, block: int = 24, reps: int = 5000, seed: int = 42) -> DataFrame:
-    """Moving-block replicates of a mean lag curve: keys, rep, k, rho, n.
-
-    ``pairs``: keys, k, i (index of the earlier row) and a similarity; ``size``: keys and n, the rows of each series. Pairs count where they
-    lie within a drawn block. As in ``block_bootstrap``, running sums make a block two lookups.
-    """
-    there = F.col(value).isNotNull()
-    w = Window.partitionBy(*keys, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = size.withColumn("k", F.explode(F.array(*map(F.lit, lags)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = each.select(*keys, "k", "i").join(pairs.select(*keys, "k", "i", value), [*keys, "k", "i"], "left")
-    prefix = rows.select(*keys, "k", F.col("i").alias("at"), F.sum(F.coalesce(value, F.lit(0.0))).over(w).alias("s"), F.sum(there.cast("double")).over(w).alias("m"))
-    starts = block_starts(size, keys, block, reps, seed).withColumn("k", F.explode(F.array(*map(F.lit, lags)))).where(F.col("k") < block)
-    last = F.least(F.col("top"), F.col("from") + block - F.col("k") - 1)
-    starts = starts.withColumnRenamed("s", "from").join(size.select(*keys, (F.col("n") - 1).alias("top")), keys)
-    ends = F.array(F.struct((F.col("from") - 1).alias("at"), F.lit(-1.0).alias("w")), F.struct(last.alias("at"), F.lit(1.0).alias("w")))
-    ends = starts.select(*keys, "rep", "k", F.explode(ends).alias("e")).select(*keys, "rep", "k", "e.*")
-    pooled = ends.join(prefix, [*keys, "k", "at"]).groupBy(*keys, "rep", "k").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("m")).alias("n"))
-    return pooled.select(*keys, "rep", "k", "n", (F.col("s") / F.nullif(F.col("n"), F.lit(0.0))).alias("rho"))
-
-
-def refitted(replicates: DataFrame, keys: list[str], step_h: float, *, floor: bool = False, parts: int = 16) -> DataFrame:
-    """Each replicate's lag curve fitted anew: keys, rep, tau and floor; NULL below three lags. ``parts`` tasks share a series."""
-    kinds = ", ".join(f"{k} {replicates.schema[k].dataType.simpleString()}" for k in keys)
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        curves = frame[frame["k"] >= 1].pivot(index="rep", columns="k", values="rho").sort_index(axis=1)
-        hours, y = curves.columns.to_numpy(float) * step_h, curves.to_numpy(float)
-        tau, rest = tails.fit_decays_to_floor(hours, y) if floor else (tails.fit_exponentials(hours, y), np.zeros(len(y)))
-        found = pd.DataFrame({"rep": curves.index.to_numpy(), "tau": tau, "floor": np.where(np.isnan(tau), np.nan, rest)})
-        for key in keys:
-            found[key] = frame[key].iloc[0]
-        return found.astype(object).where(found.notna(), None)[[*keys, "rep", "tau", "floor"]]
-
-    rows = replicates.select(*keys, "rep", "k", "rho").withColumn("_part", F.pmod(F.xxhash64("rep"), parts))
-    return rows.groupBy(*keys, "_part").applyInPandas(lambda frame: fit(frame.drop(columns="_part")), f"{kinds}, rep long, tau double, floor double")
-
-
 def interval_reading(intervals: DataFrame, points: DataFrame, keys: list[str], point: str, limit: float) -> DataFrame:
-    """Intervals beside their point estimates: whether these lie outside, their ratio to the median, and whether the upper end exceeds a limit."""
+    """Intervals beside their point estimates: whether these lie outside (false if either is missing), their ratio to the median, and whether the upper end exceeds a limit."""
     both = intervals.join(points.select(*keys, point), keys, "left")
     return both.withColumns(
         {
-            "outside": ~F.col(point).between(F.col("low"), F.col("high")),
+            "outside": F.coalesce(~F.col(point).between(F.col("low"), F.col("high")), F.lit(False)),
             "ratio": F.col(point) / F.nullif(F.col("median"), F.lit(0.0)),
             "exceeds": F.col("high") > limit,
         }

@@ -96,9 +96,3 @@ def variant_table(df: DataFrame, keys: list[str], order: str, raw: str, variants
     base = found.where(F.col("variant") == raw).select(*keys, F.col("rho1").alias("_raw"))
     joined = found.join(base, keys) if keys else found.join(base)
     return joined.withColumn("static_share", safe_div(F.col("_raw") - F.col("rho1"), F.col("_raw"))).drop("_raw")
-
-
-def similarity_curve(pairs: DataFrame, keys: list[str], least: int = 80) -> DataFrame:
-    """Mean cosine similarity of lag pairs (k, vectors a and b), with the number of pairs and a flag where they are few."""
-    near = 1 - cosine_distance(F.col("a"), F.col("b"))
-    return pairs.groupBy(*keys, "k").agg(F.count("*").alias("n_pairs"), F.avg(near).alias("mean_cosine"), (F.count("*") < least).alias("low_n"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import safe_corr
-from tidewell.operators import compare, describe, ingest, joins, memory, ordered, quality
+from tidewell.operators import compare, describe, ingest, joins, lags, memory, ordered, quality
 from tidewell.plans.tables import first_period, observations, read
 from tidewell.sources import readers
 
@@ -204,7 +203,8 @@ def pairs_of(spark: SparkSession, sf_dir: str, lags: int = 16) -> DataFrame:
 
 
 def lag_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairs_of(spark, sf_dir).groupBy("event_type", "k").agg(F.count("*").alias("n_pairs"), safe_corr(F.col("a"), F.col("b")).alias("rho")))
+    rows = ordered.gap_blocks(observations(spark, sf_dir), KEY, ["ts", "event_id"], 1.0)
+    return rounded(lags.lag_correlations(rows, KEY, "value", list(range(1, 17))).drop("n_values"))
 
 
 def lag_same_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,24 +247,25 @@ def decay_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = memory.block_bootstrap(grid_of(spark, sf_dir), KEY, "value", [1, 2, 4, 8], block=24, reps=5000)
-    return memory.percentile_interval(reps, ["event_type", "k"], "rho")
+    """Intervals of the pooled r at lags 1 to 16, over 5,000 replicates of blocks of 24."""
+    reps = lags.block_replicates(grid_of(spark, sf_dir).withColumnRenamed("g", "idx"), KEY, "value", list(range(1, 17)), block=24, reps=5000, seed=42)
+    each = reps.select("event_type", F.posexplode("rho").alias("at", "rho")).withColumn("k", F.col("at") + 1)
+    return memory.percentile_interval(each, ["event_type", "k"], "rho")
 
 
 def interval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap intervals beside the point estimates, and whether these lie inside."""
-    point = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 8).select("event_type", "k", "rho")
+    point = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 16).select("event_type", "k", "rho")
     found = point.join(bootstrap_intervals(spark, sf_dir), ["event_type", "k"])
     return found.withColumn("outside", ~F.col("rho").between(F.col("low"), F.col("high")))
 
 
 def memory_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decaying, flat or rising late band against the middle one, by series."""
-    curve = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 28)
-    bands = memory.band_means(curve, KEY, "k", "rho", {"early": (1, 8), "late": (19, 25)})
-    wide = bands.groupBy("event_type").pivot("band", ["early", "late"]).agg(F.first("mean_rho"))
-    drop = F.col("early") - F.col("late")
-    return rounded(wide.withColumn("reading", F.when(drop > 0.1, "decaying").when(drop < -0.1, "rising").otherwise("flat")))
+    """Whether the lag curve's far band lies above or below its middle one, by series."""
+    curve = memory.grid_autocorrelation(grid_of(spark, sf_dir), KEY, "value", 32)
+    bands = memory.band_means(curve, KEY, "k", "rho", {"mid": (19, 25), "far": (26, 32)})
+    wide = bands.groupBy("event_type").pivot("band", ["mid", "far"]).agg(F.first("mean_rho"))
+    return rounded(wide.withColumn("reading", memory.regime(F.col("mid"), F.col("far"))))
 
 
 def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

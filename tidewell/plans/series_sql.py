@@ -198,10 +198,10 @@ SELECT event_type, k, count(*) AS n_pairs, CASE WHEN count(*) >= 5 THEN round({C
 ), cv AS (SELECT event_type, k, count(*) AS n_pairs, CASE WHEN count(*) >= 5 THEN {CORR.format(a='a', b='b')} END AS rho FROM p GROUP BY event_type, k
 ), b AS (SELECT 'mid' AS band, 12 AS a, 16 AS z UNION ALL SELECT 'late', 19, 25)
 SELECT event_type, band, round(avg(rho), 6) AS mean_rho, min(n_pairs) AS min_pairs FROM cv JOIN b ON k BETWEEN b.a AND b.z GROUP BY event_type, band""",
-    "memory_reading": f"""WITH {GRID}, p AS (SELECT x.event_type, (y.g - x.g)::INT AS k, x.value AS a, y.value AS b FROM grid x JOIN grid y ON x.event_type = y.event_type AND y.g BETWEEN x.g AND x.g + 28 WHERE x.value IS NOT NULL AND y.value IS NOT NULL
+    "memory_reading": f"""WITH {GRID}, p AS (SELECT x.event_type, (y.g - x.g)::INT AS k, x.value AS a, y.value AS b FROM grid x JOIN grid y ON x.event_type = y.event_type AND y.g BETWEEN x.g AND x.g + 32 WHERE x.value IS NOT NULL AND y.value IS NOT NULL
 ), cv AS (SELECT event_type, k, CASE WHEN count(*) >= 5 THEN covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) END AS rho FROM p GROUP BY event_type, k
-), w AS (SELECT event_type, avg(rho) FILTER (k BETWEEN 1 AND 8) AS early, avg(rho) FILTER (k BETWEEN 19 AND 25) AS late FROM cv GROUP BY event_type)
-SELECT event_type, round(early, 6) AS early, round(late, 6) AS late, CASE WHEN early - late > 0.1 THEN 'decaying' WHEN early - late < -0.1 THEN 'rising' ELSE 'flat' END AS reading FROM w""",
+), w AS (SELECT event_type, avg(rho) FILTER (k BETWEEN 19 AND 25) AS mid, avg(rho) FILTER (k BETWEEN 26 AND 32) AS far FROM cv GROUP BY event_type)
+SELECT event_type, round(mid, 6) AS mid, round(far, 6) AS far, CASE WHEN far > mid AND mid > 1e-9 THEN 'weekly-leaning' WHEN mid > far THEN 'decaying' ELSE 'flat' END AS reading FROM w""",
     "threshold_scan": "SELECT event_type, count(*) FILTER (value BETWEEN 3 AND 6) AS n_between, count(*) FILTER (value < 3) AS n_below FROM events GROUP BY event_type",
     "ar1_times": f"""WITH {GRID}, p AS (SELECT x.event_type, x.value AS a, y.value AS b FROM grid x JOIN grid y ON x.event_type = y.event_type AND y.g = x.g + 1 WHERE x.value IS NOT NULL AND y.value IS NOT NULL
 ), cv AS (SELECT event_type, CASE WHEN count(*) >= 5 THEN {CORR.format(a='a', b='b')} END AS r FROM p GROUP BY event_type)

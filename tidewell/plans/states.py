@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import cosine_distance
-from tidewell.operators import compare, ingest, joins, lexical, memory, ordered, states, vectors
+from tidewell.functions.stats import cosine_distance, safe_div
+from tidewell.operators import compare, ingest, joins, lags, lexical, memory, ordered, states, vectors
 from tidewell.plans.geometry import LAYERS, PAIRS, layers
 from tidewell.plans.series import KEY, rounded, sides
 from tidewell.plans.tables import observations, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
 from tidewell.sources import logs
+from tidewell.sources.shared import kept
 
 #: Blocks before this one are the first period.
 BLOCK_CUT = 8
@@ -57,7 +58,8 @@ def boundary_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_lag_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine similarity of vectors of a layer k rows apart, over pairs with no gap of over six ids between them."""
     rows = vector_table(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 3600))
-    return rounded(states.similarity_curve(joins.lag_pairs(rows, ["layer"], "ts", "v", 16, 6.0, "vec_id"), ["layer"]))
+    sums = lags.lag_sums(ordered.gap_blocks(rows, ["layer"], ["ts", "vec_id"], 6.0), ["layer"], "v", list(range(1, 17)))
+    return rounded(sums.select("layer", "k", F.col("n").alias("n_pairs"), safe_div(F.col("_s"), F.col("_m")).alias("mean_cosine"), (F.col("n") < 80).alias("low_n")))
 
 
 def vector_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,54 +181,80 @@ def variants_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANT = ["event_type", "variant"]
 
 
-def scalar_replicates(spark: SparkSession, sf_dir: str, seed: int) -> DataFrame:
-    return memory.block_bootstrap(variants_of_grid(spark, sf_dir), VARIANT, "value", list(range(1, 17)), block=24, reps=5000, seed=seed)
+LAGS, LONG_LAGS = list(range(1, 17)), list(range(1, 57))
+BANDS = {"floor": (12, 16), "mid": (19, 25), "far": (26, 32)}
 
 
-def scalar_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.grid_autocorrelation(variants_of_grid(spark, sf_dir), VARIANT, "value", 16)
+def exponential_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the decay time of scalar series, each of 5,000 replicates of blocks of 24 fitted anew."""
+    grid = variants_of_grid(spark, sf_dir).withColumnRenamed("g", "idx")
+    fits = lags.with_fits(lags.block_replicates(grid, VARIANT, "value", LAGS, block=24, reps=5000, seed=43), LAGS, 6.0)
+    return memory.percentile_interval(fits, VARIANT, "tau")
 
 
-def ar1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the AR(1) time constant of 5,000 block replicates, raw and detrended; replicates without one count as failed."""
-    lag1 = scalar_replicates(spark, sf_dir, 42).where("k = 1").withColumn("tau", memory.ar1_time(F.col("rho"), 6.0))
-    points = scalar_curve(spark, sf_dir).where("k = 1").withColumn("point", memory.ar1_time(F.col("rho"), 6.0))
-    return memory.interval_reading(memory.percentile_interval(lag1, VARIANT, "tau"), points, VARIANT, "point", 96.0)
+def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each layer in order of vec_id, raw and less the grand mean; a block has no gap of over six ids."""
+    rows = states.centred_vectors(vector_table(spark, sf_dir), ["layer"], "v", "centred").withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 3600))
+    rows = ordered.gap_blocks(rows, ["layer"], ["ts", "vec_id"], 6.0)
+    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("x")) for n, c in (("raw", "v"), ("centred", "centred"))])
+    return kept(rows.select("layer", "idx", "block", F.explode(each).alias("e")).select("layer", "idx", "block", "e.*"), "layers")
 
 
-def exponential_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the decay time, each of 5,000 replicates fitted anew."""
-    fits = memory.refitted(scalar_replicates(spark, sf_dir, 43), VARIANT, 6.0)
-    return memory.percentile_interval(fits, VARIANT, "tau")
+LAYER = ["layer", "variant"]
+
+
+def point_curve(rows: DataFrame, reach: list[int]) -> DataFrame:
+    """The series' own mean similarity by lag, as an array in the order of the lags."""
+    sums = lags.lag_sums(rows, LAYER, "x", reach).where("_m > 0")
+    by_lag = F.map_from_entries(F.collect_list(F.struct("k", F.col("_s") / F.col("_m"))))
+    return sums.groupBy(*LAYER).agg(by_lag.alias("_c")).select(*LAYER, F.transform(F.array(*map(F.lit, reach)), lambda k: F.try_element_at("_c", k)).alias("rho"))
+
+
+def ar1_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AR(1) times of the vectors' lag-1 similarity: 1,000 replicates of blocks of 8, starts before n - 8, at least four lags with pairs."""
+    rows, tau = layer_rows(spark, sf_dir), memory.ar1_time(F.col("rho")[0], 3.0)
+    reps = lags.block_replicates(rows, LAYER, "x", LAGS, block=8, reps=1000, seed=42, inclusive=False)
+    reps = reps.where(F.size(F.filter("rho", lambda x: x.isNotNull())) >= 4).withColumn("tau", tau)
+    point = point_curve(rows, [1]).select(*LAYER, tau.alias("point"))
+    found = memory.interval_reading(memory.percentile_interval(reps, LAYER, "tau"), point, LAYER, "point", 24.0)
+    return rounded(found.select(*LAYER, "n_ok", "n_failed", "low", "median", "high", "point", "outside", (F.col("point") / 24).alias("days"), F.coalesce(F.col("point") > 24, F.lit(False)).alias("exceeds_24h")))
 
 
 def floor_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the floor of a decay, each of 5,000 replicates fitted anew."""
-    fits = memory.refitted(scalar_replicates(spark, sf_dir, 44), VARIANT, 6.0, floor=True)
-    return memory.percentile_interval(fits, VARIANT, "floor")
+    """Mean similarity at lags 12 to 16: 1,000 replicates of blocks of 24, starts before n - 24; the ratio is to the vectors less their grand mean."""
+    rows, floor = layer_rows(spark, sf_dir), lags.band_mean(F.col("rho"), LAGS, 12, 16)
+    reps = lags.block_replicates(rows, LAYER, "x", LAGS, block=24, reps=1000, seed=5042, inclusive=False).withColumn("floor", floor)
+    point = kept(point_curve(rows, LAGS).select(*LAYER, floor.alias("point")), "points")
+    base = point.where("variant = 'centred'").select("layer", F.col("point").alias("base"))
+    found = memory.percentile_interval(reps.where("floor IS NOT NULL"), LAYER, "floor").join(point, LAYER).join(base, "layer")
+    outside = F.coalesce(~F.col("point").between(F.col("low"), F.col("high")), F.lit(False))
+    return rounded(found.select(*LAYER, "n_ok", "low", "median", "high", "point", outside.alias("outside"), safe_div(F.col("point"), F.col("base")).alias("ratio")))
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cosine similarity of vectors of a layer up to 16 rows apart, raw and centred, and the number of rows."""
-    rows = states.centred_vectors(vector_table(spark, sf_dir), ["layer"], "v", "centred").withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 3600))
-    each = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("x")) for n, c in (("raw", "v"), ("centred", "centred"))])
-    rows = rows.select("layer", "vec_id", "ts", F.explode(each).alias("e")).select("layer", "vec_id", "ts", "e.*")
-    pairs = joins.lag_pairs(rows, ["layer", "variant"], "ts", "x", 16, 6.0, "vec_id")
-    return pairs.withColumn("s", 1 - cosine_distance(F.col("a"), F.col("b"))), rows.groupBy("layer", "variant").agg(F.count("*").alias("n"))
+def vector_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and spread of each lag's similarity over the complete ones of 1,000 replicates of blocks of 24."""
+    reps = lags.complete(lags.block_replicates(layer_rows(spark, sf_dir), LAYER, "x", LAGS, block=24, reps=1000, seed=42))
+    each = reps.select(*LAYER, F.posexplode("rho").alias("at", "rho"))
+    return rounded(each.groupBy(*LAYER, (F.col("at") + 1).alias("k")).agg(F.count("*").alias("n"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("std")))
 
 
 def vector_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the decay time of the vectors' mean similarity, each of 5,000 block replicates fitted anew."""
-    pairs, size = vector_pairs(spark, sf_dir)
-    reps = memory.mean_bootstrap(pairs, size, ["layer", "variant"], "s", list(range(1, 17)))
-    return memory.percentile_interval(memory.refitted(reps, ["layer", "variant"], 1.0), ["layer", "variant"], "tau")
+    """Intervals of the decay time of the vectors' mean similarity: 5,000 replicates of blocks of 24, fitted anew where all lags have pairs."""
+    reps = lags.complete(lags.block_replicates(layer_rows(spark, sf_dir), LAYER, "x", LAGS, block=24, reps=5000, seed=42))
+    return memory.percentile_interval(lags.with_fits(reps, LAGS, 3.0, floor=True), LAYER, "tau")
 
 
 def long_lag_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the mean correlation at lags 29 to 56, over 1,000 replicates of blocks of 64."""
-    reps = memory.block_bootstrap(variants_of_grid(spark, sf_dir), VARIANT, "value", list(range(1, 57)), block=64, reps=1000, seed=342)
-    late = reps.where("k > 28").groupBy(*VARIANT, "rep").agg(F.avg("rho").alias("rho"))
-    return memory.percentile_interval(late, VARIANT, "rho")
+    """Mean similarity over three bands of lags: 1,000 replicates of blocks of 64, lags 1 to 56, starts before n - 64; and the regime that
+    the series' own far band shows against its middle one."""
+    rows = layer_rows(spark, sf_dir)
+    reps = lags.block_replicates(rows, LAYER, "x", LONG_LAGS, block=64, reps=1000, seed=342, inclusive=False)
+    means = {name: lags.band_mean(F.col("rho"), LONG_LAGS, *band) for name, band in BANDS.items()}
+    bands = F.array(*[F.struct(F.lit(name).alias("band"), x.alias("mean")) for name, x in means.items()])
+    found = memory.percentile_interval(reps.select(*LAYER, F.inline(bands)).where("mean IS NOT NULL"), [*LAYER, "band"], "mean").drop("n_failed")
+    point = point_curve(rows, LONG_LAGS)
+    point = point.select(*LAYER, memory.regime(means["mid"], means["far"]).alias("regime"), F.inline(bands)).withColumnRenamed("mean", "point")
+    return rounded(found.join(point, [*LAYER, "band"]))
 
 
 def standardised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +262,8 @@ def standardised_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     level = rows.groupBy("event_type").agg(F.avg("value").alias("m"), F.nullif(F.stddev_pop("value"), F.lit(0.0)).alias("s"))
     z = rows.join(level, "event_type").withColumn("z", (F.col("value") - F.col("m")) / F.col("s"))
-    pairs = joins.lag_pairs(z, KEY, "ts", "z", 56, 1.0, "event_id")
-    return rounded(pairs.groupBy("event_type", "k").agg(F.count("*").alias("n_pairs"), F.avg(F.col("a") * F.col("b")).alias("product"), (F.count("*") < 80).alias("low_n")))
+    sums = lags.lag_sums(ordered.gap_blocks(z, KEY, ["ts", "event_id"], 1.0), KEY, "z", LONG_LAGS)
+    return rounded(sums.select("event_type", "k", F.col("n").alias("n_pairs"), safe_div(F.col("_ab"), F.col("_m")).alias("product"), (F.col("n") < 80).alias("low_n")))
 
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +308,6 @@ QUERIES = {
     for f in (
         layer_residuals, residual_separation, residual_drift, boundary_steps, vector_lag_curve, vector_variants, nearest_any, interval_flags_of_errors,
         table_versions, reproduced_table, baseline_stats, against_baseline, largest_periods, largest_periods_p, relabelled_types, threshold_lists,
-        run_gaps, grid_counts, drift_scopes, ordering_shares, ar1_intervals, exponential_intervals, floor_intervals, vector_intervals, long_lag_intervals, standardised_products, log_comparisons, log_reasons, log_anomalies,
+        run_gaps, grid_counts, drift_scopes, ordering_shares, ar1_intervals, exponential_intervals, floor_intervals, vector_replicates, vector_intervals, long_lag_intervals, standardised_products, log_comparisons, log_reasons, log_anomalies,
     )
 }

@@ -31,7 +31,63 @@ LINES = """e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER w AS blo
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 ), l AS (SELECT *, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen FROM e WHERE block > 0)"""
 
+#: Similarities ``q`` of rows of a layer up to {reach} apart, raw and less the grand mean, and {reps} block replicates ``p`` of their sums
+#: by lag; starts are hashed, from sums that run over the earlier row.
+REPLICATES = """e AS (
+  SELECT vec_id, label % 3 AS layer, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), mean AS (
+  SELECT layer, list(m ORDER BY j) AS mv FROM (SELECT layer, j, avg(x) AS m FROM (SELECT layer, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM e) GROUP BY ALL) GROUP BY layer
+), i AS (
+  SELECT *, row_number() OVER w - 1 AS idx, CASE WHEN vec_id - lag(vec_id) OVER w > 6 THEN 1 ELSE 0 END AS big FROM e WINDOW w AS (PARTITION BY layer ORDER BY vec_id)
+), r AS (SELECT *, sum(big) OVER (PARTITION BY layer ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS gap FROM i
+), x AS (
+  SELECT layer, 'raw' AS variant, idx, gap, v FROM r
+  UNION ALL SELECT layer, 'centred', idx, gap, list_transform(list_zip(v, mv), lambda z: z[1] - z[2]) FROM r JOIN mean USING (layer)
+), q AS (
+  SELECT a.layer, a.variant, a.idx AS i, b.idx - a.idx AS k, list_cosine_similarity(a.v, b.v) AS s
+  FROM x a JOIN x b ON a.layer = b.layer AND a.variant = b.variant AND a.gap = b.gap AND b.idx BETWEEN a.idx + 1 AND a.idx + {reach}
+), point AS (SELECT layer, variant, k, avg(s) AS rho FROM q GROUP BY ALL
+), z AS (SELECT layer, variant, count(*) AS n FROM x GROUP BY ALL
+), g AS (SELECT layer, variant, unnest(range(0, n + 1)) AS at_ FROM z
+), d AS (SELECT g.*, k FROM g, (SELECT unnest(range(1, {reach} + 1)) AS k)
+), c AS (
+  SELECT d.layer, d.variant, d.k, d.at_, coalesce(sum(s) OVER w, 0) AS s, count(s) OVER w AS m
+  FROM d LEFT JOIN q ON q.layer = d.layer AND q.variant = d.variant AND q.k = d.k AND q.i = d.at_ - 1 WINDOW w AS (PARTITION BY d.layer, d.variant, d.k ORDER BY d.at_)
+), t AS (SELECT layer, variant, n, rep, unnest(range(0, ceil(n / {block})::BIGINT)) AS blk FROM z, (SELECT unnest(range(0, {reps})) AS rep)
+), st AS (
+  SELECT layer, variant, rep, ('0x' || left(md5(concat_ws(':', '{seed}', layer, variant, rep, blk)), 15))::BIGINT % greatest(1, n - {block} + {inclusive}) AS start FROM t
+), p AS (
+  SELECT st.layer, st.variant, st.rep, l.k, CASE WHEN sum(h.m - l.m) > 0 THEN sum(h.s - l.s) / sum(h.m - l.m) END AS rho
+  FROM st JOIN c l ON l.layer = st.layer AND l.variant = st.variant AND l.at_ = st.start
+    JOIN c h ON h.layer = st.layer AND h.variant = st.variant AND h.k = l.k AND h.at_ = st.start + {block} - l.k
+  WHERE l.k < {block} GROUP BY ALL
+)"""
+INTERVAL = "count({x}) AS n_ok, round(CASE WHEN count({x}) > 10 THEN quantile_cont({x}, 0.025) END, 6) AS low, round(CASE WHEN count({x}) > 10 THEN quantile_cont({x}, 0.5) END, 6) AS median, round(CASE WHEN count({x}) > 10 THEN quantile_cont({x}, 0.975) END, 6) AS high"
+BAND = "CASE WHEN k BETWEEN 12 AND 16 THEN 'floor' WHEN k BETWEEN 19 AND 25 THEN 'mid' WHEN k BETWEEN 26 AND 32 THEN 'far' END"
+
 ORACLE_SQL = {
+    "ar1_intervals": f"""WITH {REPLICATES.format(reach=16, block=8, reps=1000, seed=42, inclusive=0)}, f AS (
+  SELECT layer, variant, rep, max(rho) FILTER (k = 1) AS rho FROM p GROUP BY ALL HAVING count(rho) >= 4
+), f2 AS (SELECT *, CASE WHEN rho > 0 THEN -3.0 / ln(rho) END AS tau FROM f
+), o AS (SELECT layer, variant, CASE WHEN rho > 0 THEN -3.0 / ln(rho) END AS point FROM point WHERE k = 1
+), v AS (SELECT layer, variant, count(*) - count(tau) AS n_failed, {INTERVAL.format(x="tau")} FROM f2 GROUP BY ALL)
+SELECT layer, variant, n_ok, n_failed, low, median, high, round(point, 6) AS point, coalesce(NOT (point BETWEEN low AND high), false) AS outside, round(point / 24, 6) AS days, coalesce(point > 24, false) AS exceeds_24h
+FROM v JOIN o USING (layer, variant)""",
+    "floor_intervals": f"""WITH {REPLICATES.format(reach=16, block=24, reps=1000, seed=5042, inclusive=0)}, f AS (
+  SELECT layer, variant, rep, avg(rho) AS floor FROM p WHERE k >= 12 GROUP BY ALL
+), o AS (SELECT layer, variant, avg(rho) AS point FROM point WHERE k >= 12 GROUP BY ALL
+), v AS (SELECT layer, variant, {INTERVAL.format(x="floor")} FROM f GROUP BY ALL)
+SELECT v.*, round(o.point, 6) AS point, coalesce(NOT (o.point BETWEEN low AND high), false) AS outside, round(o.point / nullif(base.point, 0), 6) AS ratio
+FROM v JOIN o USING (layer, variant) JOIN o base ON base.layer = v.layer AND base.variant = 'centred'""",
+    "long_lag_intervals": f"""WITH {REPLICATES.format(reach=56, block=64, reps=1000, seed=342, inclusive=0)}, f AS (
+  SELECT layer, variant, {BAND} AS band, rep, avg(rho) AS mean FROM p GROUP BY ALL
+), o AS (SELECT layer, variant, {BAND} AS band, avg(rho) AS point FROM point GROUP BY ALL
+), w AS (SELECT layer, variant, max(point) FILTER (band = 'mid') AS mid, max(point) FILTER (band = 'far') AS far FROM o GROUP BY ALL
+), v AS (SELECT layer, variant, band, {INTERVAL.format(x="mean")} FROM f WHERE band IS NOT NULL GROUP BY ALL)
+SELECT v.*, round(point, 6) AS point, CASE WHEN far > mid AND mid > 1e-9 THEN 'weekly-leaning' WHEN mid > far THEN 'decaying' ELSE 'flat' END AS regime
+FROM v JOIN o USING (layer, variant, band) JOIN w USING (layer, variant)""",
+    "vector_replicates": f"""WITH {REPLICATES.format(reach=16, block=24, reps=1000, seed=42, inclusive=1)}, f AS (SELECT *, count(rho) OVER (PARTITION BY layer, variant, rep) AS whole FROM p)
+SELECT layer, variant, k::INT AS k, count(*) AS n, round(avg(rho), 6) AS mean, round(stddev_samp(rho), 6) AS std FROM f WHERE whole = 16 GROUP BY ALL""",
     "layer_residuals": f"""WITH {STATES}, n AS (SELECT block, period, name AS layer, sqrt(sum(r * r)) AS residual_norm FROM st GROUP BY ALL
 ), c AS (SELECT *, unnest(['overall', period]) AS scope FROM n) SELECT layer, scope, {scoped(["residual_norm"])} FROM c GROUP BY ALL""",
     "residual_separation": f"""WITH {STATES}, n AS (SELECT a.block, a.period, a.name || '-' || b.name AS pair, 1 - sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))) AS distance
