@@ -80,6 +80,38 @@ def relabelings(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*rest, F.explode(options).alias("_o")).select(*rest, "_o.*")
 
 
+def order_statistics(df: DataFrame, first: Column, second: Column, outer: Column) -> DataFrame:
+    """Of three layers' distances (first-second, second-third, first-third): shares of rows with ordered distances and means of row
+    ratios, observed and under the five other labelings of the layers: their mean, sample deviation and, for shares, the two-sided tail,
+    the part of the five that lie at least as far from their mean. Rows with a missing distance are left out.
+
+    A labeling only swaps the three distances, so one pass takes all means.
+    """
+    rows = df.select(first.alias("_01"), second.alias("_12"), outer.alias("_02")).na.drop()
+    between = lambda a, b: F.col(f"_{min(a, b)}{max(a, b)}")
+    views = [(between(p[0], p[1]), between(p[1], p[2]), between(p[0], p[2])) for p in permutations(range(3))]
+    share = lambda x: F.avg(x.cast("double"))
+    ratio = lambda a, b: F.avg(F.when(b > 1e-15, a / b))
+    kinds = {
+        "first_lt_second": (0.5, [share(a < b) for a, b, c in views]),
+        "outer_largest": (1 / 3, [share((c > a) & (c > b)) for a, b, c in views]),
+        "all_in_order": (1 / 6, [share((a < b) & (b < c)) for a, b, c in views]),
+        "first_to_second": (None, [ratio(a, b) for a, b, c in views]),
+        "outer_to_first": (None, [ratio(c, a) for a, b, c in views]),
+    }
+    one = rows.agg(F.count("*").alias("n"), *[F.array(*x).alias(name) for name, (_, x) in kinds.items()]).where("n > 0")
+    each = [F.struct(F.lit(name).alias("statistic"), F.lit(theory).cast("double").alias("theoretical"), F.col(name).alias("x")) for name, (theory, _) in kinds.items()]
+    found = one.select("n", F.inline(F.array(*each))).withColumns({"observed": F.col("x")[0], "_null": F.slice("x", 2, 5)})
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    found = found.withColumn("null_mean", mean(F.col("_null")))
+    squares = F.aggregate("_null", F.lit(0.0), lambda s, v: s + (v - F.col("null_mean")) * (v - F.col("null_mean")))
+    far = lambda v: F.round(F.abs(v - F.col("null_mean")), 12)  # noqa: E731  ties of equal shares survive rounding errors
+    tail = mean(F.transform("_null", lambda v: (far(v) >= far(F.col("observed"))).cast("double")))
+    return found.select(
+        "statistic", "theoretical", "observed", "null_mean", F.sqrt(squares / 4).alias("null_std"), F.when(F.col("theoretical").isNotNull(), tail).alias("tail"), "n"
+    )
+
+
 def centroid_drift(df: DataFrame, period: str, vector: str) -> DataFrame:
     """First and second period's centroids: L2 and cosine distance, mean spread within periods, and their ratio."""
     spread = with_residual(df, [period], vector).groupBy(period).agg(F.avg("residual_norm").alias("spread"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tidewell.plans.series import KEY, rounded, sides
 from tidewell.plans.tables import observations, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
 from tidewell.sources import logs
-from tidewell.sources.shared import kept
+from tidewell.sources.shared import kept, shared_dir
 
 #: Blocks before this one are the first period.
 BLOCK_CUT = 8
@@ -159,16 +161,9 @@ def drift_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordering_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under each relabeling of the layers: shares of blocks with each pair the closest, and ratios of mean distances."""
-    rows = vectors.relabelings(layers(spark, sf_dir), LAYERS)
+    """Shares of blocks with ordered distances between layers and mean ratios, against the five other labelings of the layers."""
     sm, mr, sr = (cosine_distance(F.col(a), F.col(b)) for _, a, b in PAIRS)
-    least = F.least(sm, mr, sr)
-    share = lambda d: F.avg((d == least).cast("double"))
-    return rounded(
-        rows.groupBy("perm").agg(
-            share(sm).alias("share_sm"), share(mr).alias("share_mr"), share(sr).alias("share_sr"), (F.avg(sm) / F.avg(sr)).alias("sm_to_sr"), (F.avg(mr) / F.avg(sr)).alias("mr_to_sr")
-        )
-    )
+    return rounded(vectors.order_statistics(layers(spark, sf_dir), sm, mr, sr))
 
 
 def variants_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +278,18 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.array_join(lines, "\n").alias("text"))
 
 
+def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An observation log of the sign-ups and errors with a time of whole minutes, written as text files and read back by entries."""
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.when(F.col("event_id") % 5 == 0, "").otherwise(" UTC"))
+    mood = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("\n**surface mood:** mood "), (F.col("event_id") % 7).cast("string"), F.lit(" of seven"))).otherwise("")
+    flag = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\n**anomaly flag:** "), F.col("event_type"), F.lit(" (see below)"))).otherwise("")
+    rows = observations(spark, sf_dir).where("event_type IN ('signup', 'error')")
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rows.select(F.concat(F.lit("## obs :: "), at, mood, flag)).write.text(path)
+    found = logs.read_entries(spark, path)
+    return found.groupBy("mood", "flag").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
 def log_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison lines inside blocks, per user."""
     rows = logs.blocks(logs.lines(log_texts(spark, sf_dir), "user_id", "text"), "user_id")
@@ -308,6 +315,6 @@ QUERIES = {
     for f in (
         layer_residuals, residual_separation, residual_drift, boundary_steps, vector_lag_curve, vector_variants, nearest_any, interval_flags_of_errors,
         table_versions, reproduced_table, baseline_stats, against_baseline, largest_periods, largest_periods_p, relabelled_types, threshold_lists,
-        run_gaps, grid_counts, drift_scopes, ordering_shares, ar1_intervals, exponential_intervals, floor_intervals, vector_replicates, vector_intervals, long_lag_intervals, standardised_products, log_comparisons, log_reasons, log_anomalies,
+        run_gaps, grid_counts, drift_scopes, ordering_shares, ar1_intervals, exponential_intervals, floor_intervals, vector_replicates, vector_intervals, long_lag_intervals, standardised_products, observation_log, log_comparisons, log_reasons, log_anomalies,
     )
 }

@@ -148,8 +148,20 @@ SELECT event_type, count(*) AS n_runs, max(n) AS longest, round(max(gap), 6) AS
     "drift_scopes": f"""WITH d AS ({GEOMETRY["lexical_drift"]}), p AS (SELECT *, CASE WHEN "from" < 100 THEN 'p1' ELSE 'p2' END AS period, ("from" < 100) = ("to" < 100) AS own FROM d
 ), c AS (SELECT *, unnest(CASE WHEN own THEN ['overall', period] ELSE ['overall'] END) AS scope FROM p) SELECT lang, scope, {", ".join(f"count({v}) AS n_{v}, round(avg({v}), 4) AS mean_{v}, round(stddev_pop({v}), 4) AS std_{v}" for v in ("js", "cosine"))} FROM c GROUP BY ALL""",
     "ordering_shares": f"""WITH {LAYERED}, p AS (SELECT 0 AS perm, sm AS a, mr AS b, sr AS c FROM d UNION ALL SELECT 1, sr, mr, sm FROM d UNION ALL SELECT 2, sm, sr, mr FROM d
-  UNION ALL SELECT 3, mr, sr, sm FROM d UNION ALL SELECT 4, sr, sm, mr FROM d UNION ALL SELECT 5, mr, sm, sr FROM d)
-SELECT perm, round(avg((a = least(a, b, c))::INT), 6) AS share_sm, round(avg((b = least(a, b, c))::INT), 6) AS share_mr, round(avg((c = least(a, b, c))::INT), 6) AS share_sr, round(avg(a) / avg(c), 6) AS sm_to_sr, round(avg(b) / avg(c), 6) AS mr_to_sr FROM p GROUP BY perm""",
+  UNION ALL SELECT 3, mr, sr, sm FROM d UNION ALL SELECT 4, sr, sm, mr FROM d UNION ALL SELECT 5, mr, sm, sr FROM d
+), s AS (
+  SELECT perm, count(*) AS n, avg((a < b)::INT) AS first_lt_second, avg((c > a AND c > b)::INT) AS outer_largest, avg((a < b AND b < c)::INT) AS all_in_order,
+    avg(CASE WHEN b > 1e-15 THEN a / b END) AS first_to_second, avg(CASE WHEN a > 1e-15 THEN c / a END) AS outer_to_first FROM p GROUP BY perm
+), u AS (
+  SELECT perm, n, unnest(['first_lt_second', 'outer_largest', 'all_in_order', 'first_to_second', 'outer_to_first']) AS statistic, unnest([1 / 2, 1 / 3, 1 / 6, NULL, NULL]) AS theoretical,
+    unnest([first_lt_second, outer_largest, all_in_order, first_to_second, outer_to_first]) AS x FROM s
+), m AS (SELECT statistic, avg(x) FILTER (perm > 0) AS null_mean, max(x) FILTER (perm = 0) AS observed FROM u GROUP BY statistic)
+SELECT statistic, round(any_value(theoretical), 6) AS theoretical, round(any_value(observed), 6) AS observed, round(any_value(null_mean), 6) AS null_mean,
+  round(stddev_samp(x) FILTER (perm > 0), 6) AS null_std,
+  CASE WHEN any_value(theoretical) IS NOT NULL THEN round(avg((round(abs(x - null_mean), 12) >= round(abs(observed - null_mean), 12))::INT) FILTER (perm > 0), 6) END AS tail, max(n) AS n
+FROM u JOIN m USING (statistic) GROUP BY statistic""",
+    "observation_log": """SELECT CASE WHEN event_id % 3 > 0 THEN 'mood ' || event_id % 7 || ' of seven' END AS mood, CASE WHEN event_id % 2 = 0 THEN event_type END AS flag, count(*) AS n,
+  min(date_trunc('minute', ts)) AS first, max(date_trunc('minute', ts)) AS last FROM events WHERE event_type IN ('signup', 'error') AND event_id % 5 > 0 GROUP BY ALL""",
     "log_comparisons": f"""WITH {LINES} SELECT user_id, 'surface-mid' AS pair, count(*) AS n, round(sum(num), 4) AS real, round(sum(event_id % 7 + 0.5)::DOUBLE, 4) AS shuffle, round(count(*) * -0.1, 4)::DOUBLE AS delta, max(block) AS last_block
 FROM l WHERE event_type = 'click' GROUP BY user_id""",
     "log_reasons": f"""WITH {LINES} SELECT ['awaiting', 'first_run', 'not_available', 'carried'][kind + 1] AS reason, CASE WHEN seen > 0 THEN 'after' ELSE 'before' END AS position, count(*) AS n, count(*) FILTER (kind <> 2) AS n_h,
