@@ -143,6 +143,21 @@ def sensitivity(df: DataFrame, keys: list[str], flag: Column, value: str) -> Dat
     )
 
 
+def sensitivity_table(df: DataFrame, keys: list[str], flag: Column, value: str) -> DataFrame:
+    """Values with and without flagged rows: counts, means, medians, sample deviations, and the difference of means in percent of the deviation."""
+    x = F.col(value)
+    rows = df.select(*keys, x.alias("_x"), F.coalesce(flag, F.lit(False)).alias("_f"))
+    scopes = F.when(F.col("_f"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("without")))
+    long = rows.withColumn("_scope", F.explode(scopes))
+    stats = long.groupBy(*keys, "_scope").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"))
+    stats = beside(stats, quantiles(long, [*keys, "_scope"], "_x", {"median": 0.5}), [*keys, "_scope"], ["median"])
+    side = lambda s, c: F.max(F.when(F.col("_scope") == s, F.col(c))).alias(f"{c}_{s}")
+    wide = stats.groupBy(*keys).agg(*[side(s, c) for s in ("all", "without") for c in ("n", "mean", "median", "std")])
+    flagged = rows.groupBy(*keys).agg(F.count_if("_f").alias("n_flagged"))
+    diff = F.col("mean_without") - F.col("mean_all")
+    return beside(wide, flagged, keys, ["n_flagged"]).withColumns({"diff": diff, "pct_of_std": safe_div(F.abs(diff), F.col("std_all")) * 100})
+
+
 def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares slope, intercept and R2 of y on x, with the slope's two-sided p."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

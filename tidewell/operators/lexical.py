@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import safe_div
-from tidewell.operators.ordered import neighbour
+from tidewell.operators.ordered import beside, neighbour
+from tidewell.sources.shared import kept
 
 TOTAL_KEY = "__total__"
 
@@ -124,3 +126,20 @@ def rarefied_entropy(maps: DataFrame, key: str, budget: int | None = None, draws
             yield pd.DataFrame(out, columns=[key, "mean_entropy", "std_entropy"])
 
     return maps.select(key, "tokens").mapInPandas(sample, f"{key} {maps.schema[key].dataType.simpleString()}, mean_entropy double, std_entropy double")
+
+
+def vocabulary_sketches(tokens: DataFrame, keys: list[str], token: str, log_size: int = 12) -> DataFrame:
+    """Distinct tokens per key, and over all keys (keys NULL), exact (``n_exact``) and by a HyperLogLog sketch of 2**log_size registers.
+
+    The sketches of the keys are stored and united for the whole; ``error_bound`` is three standard errors.
+    """
+    parts = kept(tokens.groupBy(*keys).agg(F.hll_sketch_agg(token, log_size).alias("sketch")), "sketches")
+    own = parts.select(*keys, F.hll_sketch_estimate("sketch").alias("n_sketch"))
+    every = parts.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_sketch"))
+    exact = tokens.select(*keys, token).distinct()
+    by_key = exact.groupBy(*keys).agg(F.count(token).alias("n_exact"))
+    kinds = dict(parts.dtypes)
+    none = [F.lit(None).cast(kinds[k]).alias(k) for k in keys]
+    whole = exact.select(token).distinct().agg(F.count(token).alias("n_exact")).join(every).select(*none, "n_exact", "n_sketch")
+    both = beside(by_key, own, keys, ["n_sketch"]).unionByName(whole)
+    return both.withColumn("error_bound", F.lit(3 * 1.04 / math.sqrt(1 << log_size)))

@@ -61,6 +61,32 @@ def relabeled_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("perm").agg(F.avg(first.cast("double")).alias("share"), F.avg(d["surface-mid"]).alias("mean_distance")))
 
 
+def zero_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the vectors' residuals from the grand mean, and their drift over the seconds since the first vector: slope, r and t."""
+    rows = vectors.with_residual(vector_table(spark, sf_dir), [], "v").select((F.col("vec_id") * 3600).cast("double").alias("s"), F.col("residual_norm").alias("x"))
+    one = rows.agg(
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std_pop"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.regr_slope("x", "s").alias("slope"), F.corr("x", "s").alias("r"),
+    )
+    found = compare.correlation_p(one)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std_pop", "low", "high")], F.round(F.col("slope") * 1e6, 6).alias("slope_per_megasecond"), F.round("r", 6).alias("r"), F.round("t", 5).alias("t"))
+
+
+def zero_mode_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, mean, sample deviation and median of the residuals' lengths in periods of 30 days of vectors."""
+    rows = vectors.with_residual(vector_table(spark, sf_dir), [], "v").withColumn("period", F.floor(F.col("vec_id") / 720))
+    stats = rows.groupBy("period").agg(F.count("*").alias("n"), F.avg("residual_norm").alias("mean"), F.stddev_samp("residual_norm").alias("std"))
+    return rounded(ordered.beside(stats, ordered.quantiles(rows, ["period"], "residual_norm", {"median": 0.5}), ["period"], ["median"]))
+
+
+def vocabulary_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words by language and over all of them, and whether the merged sketches lie within their error bound."""
+    tokens = read(spark, sf_dir, "documents").select("lang", F.explode(lexical.words_of(F.col("text"))).alias("token"))
+    found = lexical.vocabulary_sketches(tokens, ["lang"], "token")
+    near = F.abs(F.col("n_sketch") - F.col("n_exact")) <= F.col("error_bound") * F.col("n_exact")
+    return found.select("lang", "n_exact", near.alias("within"))
+
+
 def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_table(spark, sf_dir).withColumn("period", F.when(F.col("vec_id") % 2 == 0, "p1").otherwise("p2"))
     return rounded(vectors.centroid_drift(rows, "period", "v"))
@@ -191,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_means, residual_norms, vector_steps, layer_distances, ordering_frequencies, ordering_tests, relabeled_spread, centroid_drift,
-        between_within, gaussian_angles, principal_components, angle_null, angle_null_table, token_entropy, entropy_of_halves, language_entropy, top_tokens, vocabulary_size, lexical_drift, drift_baseline,
+        between_within, gaussian_angles, principal_components, angle_null, angle_null_table, token_entropy, entropy_of_halves, language_entropy, top_tokens, vocabulary_size, vocabulary_sketches, zero_mode, zero_mode_by_period, lexical_drift, drift_baseline,
         rarefied_entropy, quality_groups, viability, role_counts,
     )
 }

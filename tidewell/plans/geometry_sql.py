@@ -17,6 +17,13 @@ ORACLE_SQL = {
     "vector_means": f"WITH {V} SELECT label, i::INT AS dim, round(avg(x), 6) AS mean FROM v GROUP BY label, i",
     "residual_norms": f"""WITH {V}, m AS (SELECT i, avg(x) AS m FROM v GROUP BY i), r AS (SELECT vec_id, label, sqrt(sum((x - m) * (x - m))) AS n FROM v JOIN m USING (i) GROUP BY vec_id, label)
 SELECT label, count(*) AS n, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std_pop, round(max(n), 6) AS top FROM r GROUP BY label""",
+    "zero_mode": f"""WITH {V}, m AS (SELECT i, avg(x) AS m FROM v GROUP BY i), r AS (SELECT vec_id, sqrt(sum((x - m) * (x - m))) AS n FROM v JOIN m USING (i) GROUP BY vec_id
+), s AS (SELECT count(*) AS n, avg(n) AS mean, stddev_pop(n) AS sd, min(n) AS low, max(n) AS high, regr_slope(n, vec_id * 3600.0) AS slope, corr(n, vec_id * 3600.0) AS r FROM r)
+SELECT n, round(mean, 6) AS mean, round(sd, 6) AS std_pop, round(low, 6) AS low, round(high, 6) AS high, round(slope * 1e6, 6) AS slope_per_megasecond, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t FROM s""",
+    "zero_mode_by_period": f"""WITH {V}, m AS (SELECT i, avg(x) AS m FROM v GROUP BY i), r AS (SELECT vec_id, sqrt(sum((x - m) * (x - m))) AS n FROM v JOIN m USING (i) GROUP BY vec_id)
+SELECT vec_id // 720 AS period, count(*) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, round(median(n), 6) AS median FROM r GROUP BY ALL""",
+    "vocabulary_sketches": """WITH t AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS token FROM documents)
+SELECT lang, count(DISTINCT token) AS n_exact, true AS within FROM t GROUP BY lang UNION ALL SELECT NULL, count(DISTINCT token), true FROM t""",
     "vector_steps": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
 ), s AS (SELECT label, vec_id AS "from", lead(vec_id) OVER w AS "to", v, lead(v) OVER w AS nv FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id))
 SELECT label, "from", "to", round(1 - list_cosine_similarity(v, nv), 6) AS cosine_step, round(list_distance(v, nv), 6) AS length_step FROM s WHERE "to" IS NOT NULL""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import compare, describe, ingest, joins, lags, memory, ordered, quality
+from tidewell.operators import compare, describe, gates, ingest, joins, lags, memory, ordered, quality
 from tidewell.plans.tables import first_period, observations, read
 from tidewell.sources import readers
 
@@ -120,6 +120,17 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.sensitivity(observations(spark, sf_dir), KEY, F.col("user_id") % 10 == 0, "value"))
 
 
+def sensitivity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.sensitivity_table(observations(spark, sf_dir), KEY, F.col("user_id") % 10 == 0, "value"))
+
+
+def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each series that break the gates on the observations, and whether the gates hold."""
+    rows = gates.require_columns(observations(spark, sf_dir), ["ts", "event_type", "value", "user_id"])
+    found = {"has_time": (F.col("ts").isNull(), 0), "has_value": (F.col("value").isNull(), 0), "not_above_99": (F.col("value") > 99, 20), "known_user": (F.col("user_id") < 0, 0)}
+    return gates.verdicts(rows, KEY, found)
+
+
 def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ordered.with_index(observations(spark, sf_dir), KEY, ["ts", "event_id"])
     return rounded(compare.trend(rows, KEY, "idx", "value").drop("p"), 8)
@@ -305,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, scope_stats, correlations, rank_correlations,
-        correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, user_tests, empirical_fdr, sensitivity, trends, trend_p, gaps,
+        correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, user_tests, empirical_fdr, sensitivity, sensitivity_table, gate_verdicts, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
         bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,

@@ -152,6 +152,14 @@ SELECT event_type, user_id, round(mean, 6) AS mean, round(p, 6) AS p, round(leas
     "sensitivity": """SELECT event_type, count(value) AS n, count(value) FILTER (user_id % 10 <> 0) AS n_without, round(avg(value), 6) AS mean_with,
   round(avg(value) FILTER (user_id % 10 <> 0), 6) AS mean_without, round(abs(avg(value) - avg(value) FILTER (user_id % 10 <> 0)) / nullif(stddev_pop(value), 0) * 100, 6) AS pct_of_std
 FROM events GROUP BY event_type""",
+    "sensitivity_table": """WITH s AS (SELECT event_type, count(value) AS n_all, avg(value) AS mean_all, median(value) AS median_all, stddev_samp(value) AS std_all,
+  count(value) FILTER (user_id % 10 <> 0) AS n_without, avg(value) FILTER (user_id % 10 <> 0) AS mean_without, median(value) FILTER (user_id % 10 <> 0) AS median_without,
+  stddev_samp(value) FILTER (user_id % 10 <> 0) AS std_without, count(*) FILTER (user_id % 10 = 0) AS n_flagged FROM events GROUP BY event_type)
+SELECT event_type, n_all, n_without, n_flagged, round(mean_all, 6) AS mean_all, round(median_all, 6) AS median_all, round(std_all, 6) AS std_all, round(mean_without, 6) AS mean_without,
+  round(median_without, 6) AS median_without, round(std_without, 6) AS std_without, round(mean_without - mean_all, 6) AS diff, round(abs(mean_without - mean_all) / nullif(std_all, 0) * 100, 6) AS pct_of_std FROM s""",
+    "gate_verdicts": """WITH g AS (SELECT event_type, count(*) AS n_rows, unnest(['has_time', 'has_value', 'not_above_99', 'known_user']) AS gate,
+  unnest([count(*) FILTER (ts IS NULL), count(*) FILTER (value IS NULL), count(*) FILTER (value IS NULL OR value > 99), count(*) FILTER (user_id IS NULL OR user_id < 0)]) AS n_broken,
+  unnest([0, 0, 20, 0])::BIGINT AS allowed FROM events GROUP BY event_type) SELECT *, n_broken <= allowed AS holds FROM g""",
     "trends": """WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events)
 SELECT event_type, count(value) AS n, round(covar_pop(value, idx) / nullif(var_pop(idx), 0), 8) AS slope, round(avg(value) - covar_pop(value, idx) / nullif(var_pop(idx), 0) * avg(idx), 8) AS intercept,
   round(covar_pop(value, idx) * covar_pop(value, idx) / nullif(var_pop(idx) * var_pop(value), 0), 8) AS r2 FROM i WHERE value IS NOT NULL GROUP BY event_type""",

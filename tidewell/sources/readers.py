@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -75,6 +76,36 @@ def parse_tokens(text: Column) -> Column:
     return F.map_filter(F.from_json(text, "map<string,bigint>"), lambda k, v: k != "__total__")
 
 
+def replace_table(df: DataFrame, path: str, *, form: str = "parquet", **options: str | bool) -> None:
+    """Write ``df`` in place of the table at ``path``: whole, or not at all.
+
+    The new table is written beside the old one and takes its place by renames, so a job that fails leaves the old one as it was. It
+    may read the old table. Between the two renames (on an object store: copies) readers find no table, never half of one.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    staged, aside = (f"{path}.{what}-{uuid.uuid4().hex}" for what in ("staged", "old"))
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.format(form).options(**options).save(staged)
+        had = files.exists(place(path))
+        if had and not files.rename(place(path), place(aside)):
+            raise OSError(f"{path} cannot be moved aside")
+        try:
+            moved = files.rename(place(staged), place(path))
+        except Exception:
+            moved = False
+        if not moved:
+            if had:
+                files.rename(place(aside), place(path))
+            raise OSError(f"the new table cannot be moved to {path}")
+        if had:
+            files.delete(place(aside), True)
+    finally:
+        files.delete(place(staged), True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """One small table as a single CSV part with a header; Spark's commit makes it whole or absent."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One small table as a single CSV part with a header, in place of the old one."""
+    replace_table(df.coalesce(1), path, form="csv", header=True)
