@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from tidewell.functions import exact, tails
 from tidewell.functions.stats import cohens_d, safe_div
-from tidewell.operators.ordered import beside, quantiles, value_steps
+from tidewell.operators.ordered import beside, quantiles, ranged, running_sums, value_steps
+from tidewell.sources.shared import kept
 
 
 @F.pandas_udf(T.DoubleType())
@@ -122,24 +123,34 @@ def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str,
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str) -> DataFrame:
-    """Adds q within each family of tests; null p values are skipped and keep a null q."""
-    ranked = Window.partitionBy(*family, F.col(p).isNull()).orderBy(p)
-    size = F.count(p).over(Window.partitionBy(*family))
-    raw = df.withColumn("_raw", F.col(p) * size / F.rank().over(ranked))
-    down = Window.partitionBy(*family).orderBy(F.desc_nulls_last(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw")
+    """Adds q within each family of tests; null p values are skipped and keep a null q.
+
+    Distinct p values are put in order by ranges; a range takes the least p * size / rank of the ranges above it.
+    """
+    df = kept(df, "tests")
+    steps = kept(df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count("*").alias("_n")), "steps")
+    placed = ranged(steps, family, p).withColumnRenamed("_b", "_range")
+    sums = running_sums(placed, family, [p], {"_up_to": F.col("_n")}, bucket=F.col("_range"))
+    sized = beside(sums, steps.groupBy(*family).agg(F.sum("_n").alias("_size")), family, ["_size"])
+    raw = kept(sized.withColumn("_raw", F.col(p) * F.col("_size") / (F.col("_up_to") - F.col("_n") + 1)).select(*family, p, "_range", "_raw"), "raw")
+    above = Window.partitionBy(*family).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy(*family, "_range").agg(F.min("_raw").alias("_least")).withColumn("_above", F.min("_least").over(above))
+    down = Window.partitionBy(*family, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = beside(raw.withColumn("_own", F.min("_raw").over(down)), least, [*family, "_range"], ["_above"])
+    q = own.withColumn("q", F.least(F.lit(1.0), "_own", "_above"))
+    return beside(df, q, [*family, p], ["q"])
 
 
 def sensitivity(df: DataFrame, keys: list[str], flag: Column, value: str) -> DataFrame:
     """Means with and without flagged rows, and the difference in percent of the population deviation."""
     x = F.col(value)
-    kept = F.when(~flag, x)
+    unflagged = F.when(~flag, x)
     return df.groupBy(*keys).agg(
         F.count(x).alias("n"),
-        F.count(kept).alias("n_without"),
+        F.count(unflagged).alias("n_without"),
         F.avg(x).alias("mean_with"),
-        F.avg(kept).alias("mean_without"),
-        (safe_div(F.abs(F.avg(x) - F.avg(kept)), F.stddev_pop(x)) * 100).alias("pct_of_std"),
+        F.avg(unflagged).alias("mean_without"),
+        (safe_div(F.abs(F.avg(x) - F.avg(unflagged)), F.stddev_pop(x)) * 100).alias("pct_of_std"),
     )
 
 

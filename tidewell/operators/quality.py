@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import safe_div
 from tidewell.operators.describe import with_robust_z
 from tidewell.operators.ordered import neighbour, quantiles, seconds
+from tidewell.sources.shared import kept
 
 
 def coverage(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Per series: rows, repeated times, median and largest gap, gaps of over three medians, days without a row, rows a day."""
     behind = neighbour(df, [key], [ts], [ts], "before", back=True)
-    gaps = behind.withColumn("gap_h", (seconds(F.col(ts)) - seconds(F.col("before")[ts])) / 3600)
+    gap = (seconds(F.col(ts)) - seconds(F.col("before")[ts])) / 3600
+    gaps = kept(behind.select(key, ts, value, gap.alias("gap_h")), "gaps")
     mid = quantiles(gaps, [key], "gap_h", {"median_gap_h": 0.5})
     audit = gaps.join(mid, key, "left").groupBy(key).agg(
         F.count("*").alias("n_rows"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import compare, describe, gates, ingest, joins, lags, memory, ordered, quality
 from tidewell.plans.tables import first_period, observations, read
 from tidewell.sources import readers
+from tidewell.sources.shared import kept
 
 KEY = ["event_type"]
 METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -110,10 +111,11 @@ def both_tests(rows: DataFrame, keys: list[str], side: Column, **least: int) ->
 
 def empirical_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's share of users with an equal or larger mean, as p, and its q within the event type."""
-    means = observations(spark, sf_dir).groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 6).alias("mean"))
-    above = F.count("*").over(Window.partitionBy("event_type").orderBy(F.desc("mean")))
-    p = means.withColumn("p", above / F.count("*").over(Window.partitionBy("event_type")))
-    return rounded(compare.benjamini_hochberg(p, KEY, "p"))
+    means = kept(observations(spark, sf_dir).groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 6).alias("mean")), "means")
+    steps = ordered.value_steps(means, KEY, "mean", {"n": F.lit(1).cast("long")})
+    total = means.groupBy(*KEY).agg(F.count("*").alias("total"))
+    p = ordered.beside(steps, total, KEY, ["total"]).withColumn("p", (F.col("total") - F.col("up_to_n") + F.col("n")) / F.col("total"))
+    return rounded(compare.benjamini_hochberg(ordered.beside(means, p, [*KEY, "mean"], ["p"]), KEY, "p"))
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,13 +288,19 @@ def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.change_points(grid_of(spark, sf_dir), "event_type", "g", "value", penalties=60)
+    return changes_of(grid_of(spark, sf_dir))
+
+
+def changes_of(grid: DataFrame) -> DataFrame:
+    """Change points of each series less its trend, over the grid points with readings."""
+    flat = memory.detrended(grid, KEY, "g", "value")
+    return memory.change_points(flat, "event_type", "g", "detrended", penalties=60)
 
 
 def change_points_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change points with the hours of error events up to 12 hours away; the ones without stay."""
     grid = grid_of(spark, sf_dir)
-    found = memory.change_points(grid, "event_type", "g", "value", penalties=60).where("change_idx IS NOT NULL")
+    found = changes_of(grid).where("change_idx IS NOT NULL")
     placed = found.join(grid.select("event_type", F.col("g").alias("change_idx"), "grid_ts"), ["event_type", "change_idx"]).select("event_type", "change_idx", "grid_ts")
     _, errors = sides(spark, sf_dir)
     hours = errors.select(F.date_trunc("hour", F.col("error_ts").cast("timestamp")).alias("error_hour")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import present
 from tidewell.operators import lexical
 from tidewell.operators.vectors import as_doubles
+from tidewell.sources.shared import kept
 
 #: The window is cut in two periods here.
 CUT = "2024-01-16 00:00:00"
@@ -34,6 +35,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_maps(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
-    """The k most frequent tokens of each document with their counts, by language; documents without words are left out."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", lexical.token_map(F.col("text"), k).alias("tokens"))
-    return docs.where(F.size("tokens") > 0)
+    """The k most frequent tokens of each document with their counts, by language; documents without words are left out.
+
+    The maps are counted once and kept, as all that builds on them names them several times.
+    """
+    docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S"))
+    return kept(docs.select("doc_id", "lang", lexical.token_map(F.col("text"), k).alias("tokens")), "token_maps")
