@@ -155,8 +155,10 @@ def later_copies(found: DataFrame) -> DataFrame:
     counts = found.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
     repeated = stored(counts.select("h"), "repeated", large=True)
     again = stored(found.join(repeated, "h", "left_semi"), "again", large=True)
-    first = stored(again.groupBy("h").agg(F.min(place).alias("first")), "first")
-    return again.join(first, "h").where(place != F.col("first"))
+    first = stored(again.groupBy("h").agg(F.min(place).alias("first")), "first", large=True)
+    equal = stored(again.join(first, "h").where(place != F.col("first")), "equal", large=True)
+    discard(repeated, again, first)
+    return equal
 
 
 def near_equal(a: np.ndarray, b: np.ndarray) -> bool:
@@ -293,8 +295,10 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(stored(shared.select("bucket"), "shared", large=True), "bucket")
     buckets = stored(met.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "buckets", large=True)
-    wanted = stored(alone.drop("bands").join(buckets, "id"), "wanted")
+    wanted = stored(alone.drop("bands").join(buckets, "id"), "wanted", large=True)
+    discard(alone, buckets)
     sets = stored(paragraph_sets(docs, wanted), "paragraphs", large=True)
+    discard(wanted)
     roots = components(leaders_in_buckets(sets.select(F.explode("buckets").alias("bucket"), "id", "shingles")))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links_left(sets, roots))
     same = equal.select(ident.alias("a"), F.xxhash64(*[f"first.{c}" for c in PLACE]).alias("b"))
@@ -304,7 +308,7 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     first = members.groupBy("root").agg(F.min(F.struct(*PLACE)).alias("first"))
     copies = members.join(first, "root").where(F.struct(*PLACE) != F.col("first")).select(*PLACE, "n", "end", "first")
     near = stored(copies, "near", large=True)
-    discard(alone, sets)
+    discard(sets)
     return near
 
 
@@ -362,8 +366,9 @@ def repeated_runs(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFra
     wish = stored(wish.groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high", "gone")).alias("wish")), "wish", large=True)
     discard(flagged, kinds)
     runs = stored(single_runs(docs, wish), "runs", large=True)
+    discard(wish)
     often = runs.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("w", "first")
-    later = runs.join(stored(often, "first_runs"), "w").where(place != F.col("first"))
+    later = runs.join(stored(often, "first_runs", large=True), "w").where(place != F.col("first"))
     later = later.withColumn("of_doc_id", F.col("first.doc_id")).select(*names)
     order = Window.partitionBy("doc_id", "t").orderBy("low", "high")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -401,7 +406,7 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     own = docs.select(document_key(F.col(doc_id), F.col(text)).alias("doc_id"), F.col(text).alias("text"))
     found = stored(units(own), "units", large=True)
     lines = found.where("f IS NULL").withColumn("n", F.col("high") - F.col("low") + 1).drop("f", "low", "high")
-    equal = stored(later_copies(lines.drop("bands")), "equal", large=True)
+    equal = later_copies(lines.drop("bands"))
     near = near_copies(own, lines, equal)
     runs = repeated_runs(own, found.where("f IS NOT NULL").drop("bands"), near)
     discard(found, equal)
