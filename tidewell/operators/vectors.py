@@ -80,6 +80,13 @@ def relabelings(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*rest, F.explode(options).alias("_o")).select(*rest, "_o.*")
 
 
+def label_spread(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Per key: mean distance of each named column's vectors from their mean, averaged over the columns."""
+    each = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(n).alias("_v")) for i, n in enumerate(names)])
+    rows = with_residual(df.select(key, F.inline(each)), [key, "_p"], "_v")
+    return rows.groupBy(key, "_p").agg(F.avg("residual_norm").alias("_s")).groupBy(key).agg(F.avg("_s").alias("spread"))
+
+
 def order_statistics(df: DataFrame, first: Column, second: Column, outer: Column) -> DataFrame:
     """Of three layers' distances (first-second, second-third, first-third): shares of rows with ordered distances and means of row
     ratios, observed and under the five other labelings of the layers: their mean, sample deviation and, for shares, the two-sided tail,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import cosine_distance, safe_div
 from tidewell.operators import compare, describe, lexical, ordered, vectors
 from tidewell.plans.series import rounded
-from tidewell.plans.tables import read, token_maps
+from tidewell.plans.tables import midpoint, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
+from tidewell.sources import readers
 
 LAYERS = ["surface", "mid", "residue"]
 PAIRS = [("surface-mid", "surface", "mid"), ("mid-residue", "mid", "residue"), ("surface-residue", "surface", "residue")]
@@ -50,7 +51,7 @@ def ordering_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     frequencies = describe.category_frequencies(ordered_layers(spark, sf_dir), "ordering", ORDERS)
-    return describe.mode(frequencies, "ordering").join(compare.uniform_tests(frequencies, 1 / 6))
+    return rounded(describe.mode(frequencies, "ordering").join(compare.uniform_tests(frequencies, 1 / 6)))
 
 
 def relabeled_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,21 @@ def vocabulary_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "n_exact", near.alias("within"))
 
 
+def relabeling_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the layers' vectors around their means under each relabeling, which must not change it, with its rank."""
+    spread = vectors.label_spread(vectors.relabelings(layers(spark, sf_dir), LAYERS), "perm", LAYERS)
+    spread = spread.select("perm", (F.col("perm") == 0).alias("is_identity"), F.round("spread", 8).alias("spread"))
+    return ordered.average_rank(spread.withColumn("one", F.lit(1)), ["one"], "spread").drop("one")
+
+
+def tokens_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens as a JSON object in order of the tokens, and whether it reads back as the same map."""
+    maps = token_maps(spark, sf_dir).select("doc_id", "tokens", readers.tokens_json(F.col("tokens")).alias("json"))
+    again = readers.parse_tokens(F.col("json"))
+    same = F.array_sort(F.map_entries(again)) == F.array_sort(F.map_entries(F.transform_values("tokens", lambda k, v: v.cast("bigint"))))
+    return maps.select("doc_id", "json", same.alias("reads_back"))
+
+
 def centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_table(spark, sf_dir).withColumn("period", F.when(F.col("vec_id") % 2 == 0, "p1").otherwise("p2"))
     return rounded(vectors.centroid_drift(rows, "period", "v"))
@@ -144,7 +160,7 @@ def angle_null_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entropy_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy and richness of documents by language, and the rank test of the entropies of the two halves of the ids."""
     maps = token_maps(spark, sf_dir)
-    rows = maps.select("lang", (F.col("doc_id") < 100).alias("early"), F.size("tokens").alias("richness"), F.round(lexical.entropy_bits(F.col("tokens")), 6).alias("h"))
+    rows = maps.select("lang", (F.col("doc_id") < midpoint(read(spark, sf_dir, "documents"), "doc_id")).alias("early"), F.size("tokens").alias("richness"), F.round(lexical.entropy_bits(F.col("tokens")), 6).alias("h"))
     stats = rows.groupBy("lang").agg(*[F.avg(F.when(side, F.col(c))).alias(f"{c}_{name}") for c in ("h", "richness") for name, side in (("early", F.col("early")), ("late", ~F.col("early")))])
     return rounded(ordered.beside(stats, compare.mann_whitney(rows, ["lang"], F.col("early"), "h"), ["lang"], ["n_a", "n_b", "u"]), 4)
 
@@ -216,7 +232,7 @@ def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_means, residual_norms, vector_steps, layer_distances, ordering_frequencies, ordering_tests, relabeled_spread, centroid_drift,
+        vector_means, residual_norms, vector_steps, layer_distances, ordering_frequencies, ordering_tests, relabeled_spread, relabeling_spread, tokens_as_json, centroid_drift,
         between_within, gaussian_angles, principal_components, angle_null, angle_null_table, token_entropy, entropy_of_halves, language_entropy, top_tokens, vocabulary_size, vocabulary_sketches, zero_mode, zero_mode_by_period, lexical_drift, drift_baseline,
         rarefied_entropy, quality_groups, viability, role_counts,
     )

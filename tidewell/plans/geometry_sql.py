@@ -7,8 +7,7 @@ LAYERED = V + """, lm AS (SELECT block, layer, i, avg(x) AS x FROM v GROUP BY AL
 ), d AS (SELECT block, 1 - list_cosine_similarity(s, m) AS sm, 1 - list_cosine_similarity(m, r) AS mr, 1 - list_cosine_similarity(s, r) AS sr FROM w)"""
 TOKENS = """t AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS token FROM documents
 ), n AS (SELECT doc_id, lang, token, count(*) AS n FROM t GROUP BY ALL
-), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r FROM n) WHERE r <= 200
-), s AS (SELECT *, n / (sum(n) OVER (PARTITION BY doc_id))::DOUBLE AS p FROM k)"""
+), s AS (SELECT *, n / (sum(n) OVER (PARTITION BY doc_id))::DOUBLE AS p FROM n)"""
 GROUPS = """SELECT lang, n_a, n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(ma - mb, 6) AS diff, round(da, 6) AS median_a, round(db, 6) AS median_b,
   round((ma - mb) / nullif(sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 0), 6) AS d_pooled,
   round((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 6) AS d_average, round((ma - mb) / nullif(sd, 0), 6) AS d_joint FROM s"""
@@ -33,9 +32,27 @@ SELECT pair, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) A
 ), o AS (SELECT CASE WHEN sm <= mr AND mr <= sr THEN 'SM<MR<SR' WHEN sm <= sr AND sr < mr THEN 'SM<SR<MR' WHEN mr < sm AND sm <= sr THEN 'MR<SM<SR' WHEN mr <= sr AND sr < sm THEN 'MR<SR<SM'
   WHEN sr < sm AND sm <= mr THEN 'SR<SM<MR' ELSE 'SR<MR<SM' END AS ordering FROM d), n AS (SELECT ordering, count(*) AS n FROM o GROUP BY ordering)
 SELECT ordering, pos, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0) / nullif((sum(n) OVER ())::DOUBLE, 0), 6) AS share FROM c LEFT JOIN n USING (ordering)""",
+    "ordering_tests": f"""WITH {LAYERED}, c AS (SELECT unnest(['SM<MR<SR', 'SM<SR<MR', 'MR<SM<SR', 'MR<SR<SM', 'SR<SM<MR', 'SR<MR<SM']) AS ordering, unnest(range(0, 6)) AS pos
+), o AS (SELECT CASE WHEN sm <= mr AND mr <= sr THEN 'SM<MR<SR' WHEN sm <= sr AND sr < mr THEN 'SM<SR<MR' WHEN mr < sm AND sm <= sr THEN 'MR<SM<SR' WHEN mr <= sr AND sr < sm THEN 'MR<SR<SM'
+  WHEN sr < sm AND sm <= mr THEN 'SR<SM<MR' ELSE 'SR<MR<SM' END AS ordering FROM d), n AS (SELECT ordering, count(*) AS n FROM o GROUP BY ordering
+), f AS (SELECT ordering, pos, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (ordering)
+), s AS (SELECT sum(n)::DOUBLE AS total, max(n)::DOUBLE AS top, sum(n * n) * 6.0 / sum(n) - sum(n) AS x FROM f
+), m AS (SELECT ordering AS mode, n FROM f ORDER BY n DESC, pos LIMIT 1)
+SELECT mode, n, total, top, round(x, 6) AS chi2,
+  round(1 - 2 * exp(-x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 400), lambda k: CASE WHEN x > 0 THEN exp((k + 0.5) * ln(x) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) ELSE 0 END))
+    + sqrt(2 * x / pi()) * exp(-x / 2) * (1 + x / 3), 6) AS p_chi2,
+  round((SELECT sum(exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) - k * ln(6) + (total - k) * ln(5e0 / 6))) FROM (SELECT unnest(range(0, total::BIGINT + 1)) AS k) WHERE k >= top), 6) AS p_top FROM s, m""",
     "relabeled_spread": f"""WITH {LAYERED}, p AS (SELECT 0 AS perm, sm AS a, mr AS b, sr AS c FROM d UNION ALL SELECT 1, sr, mr, sm FROM d UNION ALL SELECT 2, sm, sr, mr FROM d
   UNION ALL SELECT 3, mr, sr, sm FROM d UNION ALL SELECT 4, sr, sm, mr FROM d UNION ALL SELECT 5, mr, sm, sr FROM d)
 SELECT perm, round(avg((a <= b AND a <= c)::INT), 6) AS share, round(avg(a), 6) AS mean_distance FROM p GROUP BY perm""",
+    "relabeling_spread": f"""WITH {V}, lm AS (SELECT block, layer, i, avg(x) AS x FROM v GROUP BY ALL), ok AS (SELECT block FROM lm GROUP BY block HAVING count(DISTINCT layer) = 3
+), k AS (SELECT unnest([[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS o, unnest(range(0, 6))::INT AS perm
+), r AS (SELECT perm, pos, block, i, x FROM (SELECT perm, unnest(o) AS layer, generate_subscripts(o, 1) AS pos FROM k) JOIN lm USING (layer) JOIN ok USING (block)
+), c AS (SELECT perm, pos, i, avg(x) AS c FROM r GROUP BY ALL), d AS (SELECT perm, pos, block, sqrt(sum((x - c) * (x - c))) AS d FROM r JOIN c USING (perm, pos, i) GROUP BY ALL
+), s AS (SELECT perm, round(avg(d), 8) AS spread FROM (SELECT perm, pos, avg(d) AS d FROM d GROUP BY ALL) GROUP BY perm)
+SELECT perm, perm = 0 AS is_identity, spread, rank() OVER (ORDER BY spread) + (count(*) OVER (PARTITION BY spread) - 1) / 2.0 AS avg_rank FROM s""",
+    "tokens_as_json": f"""WITH {TOKENS}, m AS (SELECT doc_id, map_from_entries(list({{'k': token, 'v': n}} ORDER BY token)) AS m FROM n GROUP BY doc_id)
+SELECT doc_id, to_json(m)::VARCHAR AS json, true AS reads_back FROM m""",
     "centroid_drift": f"""WITH {V}, p AS (SELECT *, vec_id % 2 AS k FROM v), m AS (SELECT k, i, avg(x) AS m FROM p GROUP BY k, i
 ), r AS (SELECT k, vec_id, sqrt(sum((x - m) * (x - m))) AS n FROM p JOIN m USING (k, i) GROUP BY k, vec_id), w AS (SELECT avg(s) AS within FROM (SELECT avg(n) AS s FROM r GROUP BY k)
 ), c AS (SELECT sqrt(sum((a.m - b.m) * (a.m - b.m))) AS l2, 1 - sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS cosine FROM m a JOIN m b ON a.i = b.i AND a.k = 0 AND b.k = 1)
@@ -49,7 +66,7 @@ SELECT round(between_, 6) AS "between", round(within, 6) AS within, round(betwee
     "language_entropy": f"""WITH {TOKENS}, h AS (SELECT doc_id, lang, 0 - sum(p * log2(p)) AS h FROM s GROUP BY doc_id, lang)
 SELECT lang, count(h) AS n, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(median(h), 6) AS median FROM h GROUP BY lang""",
     "entropy_of_halves": f"""WITH {TOKENS}, h AS (SELECT doc_id, lang, count(*) AS richness, round(0 - sum(p * log2(p)), 6) AS h FROM s GROUP BY doc_id, lang),
-ranked AS (SELECT *, doc_id < 100 AS early, rank() OVER (PARTITION BY lang ORDER BY h) + (count(*) OVER (PARTITION BY lang, h) - 1) / 2.0 AS r FROM h),
+ranked AS (SELECT *, doc_id < (SELECT (min(doc_id) + max(doc_id) + 1) / 2 FROM documents) AS early, rank() OVER (PARTITION BY lang ORDER BY h) + (count(*) OVER (PARTITION BY lang, h) - 1) / 2.0 AS r FROM h),
 g AS (SELECT lang, round(avg(h) FILTER (early), 4) AS h_early, round(avg(h) FILTER (NOT early), 4) AS h_late, round(avg(richness) FILTER (early), 4) AS richness_early,
   round(avg(richness) FILTER (NOT early), 4) AS richness_late, count(*) FILTER (early) AS n_a, count(*) FILTER (NOT early) AS n_b, sum(r) FILTER (early) AS ranks FROM ranked GROUP BY lang)
 SELECT * EXCLUDE (ranks), round(ranks - n_a * (n_a + 1) / 2, 4) AS u FROM g""",

@@ -41,6 +41,12 @@ def diagnostic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.diagnostic_flags(observations(spark, sf_dir), "event_type", "value"))
 
 
+def metric_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of the line items' four metrics: discounts and taxes are shares, quantities are counts, and all may hang on quantity or price."""
+    found = quality.metric_flags(read(spark, sf_dir, "lineitem"), METRICS, shares=["l_discount", "l_tax"], counts=["l_quantity"], companions=["l_quantity", "l_extendedprice"])
+    return rounded(found)
+
+
 def scope_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggregates = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"), F.max("value").alias("top")]
     return rounded(describe.by_scope(observations(spark, sf_dir), "event_type", "period", aggregates))
@@ -67,7 +73,7 @@ def correlation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided p of both correlations of each pair, and q over all of them by method."""
     rows = read(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in METRICS])
     each = [compare.correlation_p(describe.correlation_matrix(rows, METRICS, m)).withColumn("method", F.lit(m)) for m in ("pearson", "spearman")]
-    return compare.benjamini_hochberg(each[0].unionByName(each[1]), ["method"], "p").select("method", "col_a", "col_b", "p", "q")
+    return rounded(compare.benjamini_hochberg(each[0].unionByName(each[1]), ["method"], "p").select("method", "col_a", "col_b", "p", "q"), 7)
 
 
 def high_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +146,7 @@ def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trend_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ordered.with_index(observations(spark, sf_dir), KEY, ["ts", "event_id"])
-    return compare.trend(rows, KEY, "idx", "value").select(*KEY, "slope", "p")
+    return rounded(compare.trend(rows, KEY, "idx", "value").select(*KEY, "slope", "p"), 7)
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +329,7 @@ def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, scope_stats, correlations, rank_correlations,
+        describe_events, window_counts, labelled_counts, coverage_events, diagnostic_flags, metric_flags, scope_stats, correlations, rank_correlations,
         correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, user_tests, empirical_fdr, sensitivity, sensitivity_table, gate_verdicts, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,

@@ -74,7 +74,40 @@ TESTS = """x AS (
 ), raw AS (SELECT *, p * count(p) OVER (PARTITION BY test) / rank() OVER (PARTITION BY test, p IS NULL ORDER BY p) AS raw FROM both_
 ), fdr AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY test, p IS NULL ORDER BY p DESC)) END AS q FROM raw)"""
 
+def student(t: str, dof: str) -> str:
+    """Two-sided p of t by the finite sums for whole degrees of freedom, odd and even."""
+    angle = f"atan(abs({t}) / sqrt({dof}))"
+    odd = f"""(2 / pi() * ({angle} + CASE WHEN {dof} > 1 THEN sin({angle}) * list_sum(list_transform(range(0, ({dof} - 1) // 2),
+      lambda k: exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1) - lgamma(k + 1.5) + (2 * k + 1) * ln(cos({angle}))))) ELSE 0 END))"""
+    even = f"(sin({angle}) * list_sum(list_transform(range(0, {dof} // 2), lambda k: exp(lgamma(k + 0.5) - 0.5 * ln(pi()) - lgamma(k + 1) + 2 * k * ln(cos({angle}))))))"
+    return f"CASE WHEN {dof} > 0 THEN 1 - CASE WHEN {dof} % 2 = 1 THEN {odd} ELSE {even} END END"
+
+
+CORRELATED = f"""{LINES}, k AS (
+  SELECT col_a, col_b, a, b, rank() OVER (PARTITION BY col_a, col_b ORDER BY a) + (count(*) OVER (PARTITION BY col_a, col_b, a) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY col_a, col_b ORDER BY b) + (count(*) OVER (PARTITION BY col_a, col_b, b) - 1) / 2.0 AS rb FROM p WHERE a IS NOT NULL AND b IS NOT NULL
+), r AS (
+  SELECT 'pearson' AS method, col_a, col_b, count(*) AS n, {CORR.format(a='a', b='b')} AS r FROM k GROUP BY col_a, col_b
+  UNION ALL SELECT 'spearman', col_a, col_b, count(*), {CORR.format(a='ra', b='rb')} FROM k GROUP BY col_a, col_b
+)"""
+
 ORACLE_SQL = {
+    "correlation_p": f"""WITH {CORRELATED}, t AS (SELECT *, n - 2 AS f, r * sqrt((n - 2) / nullif(1 - r * r, 0)) AS t FROM r
+), pv AS (SELECT method, col_a, col_b, greatest(0.0, {student("t", "f")}) AS p FROM t
+), w AS (SELECT *, p * count(p) OVER (PARTITION BY method) / rank() OVER (PARTITION BY method, p IS NULL ORDER BY p) AS raw FROM pv)
+SELECT method, col_a, col_b, round(p, 7) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY method, p IS NULL ORDER BY p DESC)) END, 7) AS q FROM w""",
+    "trend_p": f"""WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events
+), s AS (SELECT event_type, count(*) - 2 AS f, covar_pop(value, idx) / nullif(var_pop(idx), 0) AS slope, corr(value, idx) AS r FROM i WHERE value IS NOT NULL GROUP BY event_type
+), t AS (SELECT *, r * sqrt(f / nullif(1 - r * r, 0)) AS t FROM s)
+SELECT event_type, round(slope, 7) AS slope, round(greatest(0.0, {student("t", "f")}), 7) AS p FROM t""",
+    "metric_flags": f"""WITH {LINES}, x AS (SELECT *, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS metric, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM l
+), m AS (SELECT metric, median(x) AS m, max(x) AS top FROM x GROUP BY metric), d AS (SELECT metric, median(abs(x - m)) AS mad FROM x JOIN m USING (metric) GROUP BY metric
+), z AS (SELECT *, 0.6745 * (x - m) / nullif(mad, 0) AS rz FROM x JOIN m USING (metric) JOIN d USING (metric)
+), s AS (SELECT metric, abs(stddev_samp(x) / nullif(avg(x), 0)) AS cv, count(*) FILTER (x = top) / count(x)::DOUBLE AS at_max, count(*) FILTER (x = 0) AS n_zero,
+  count(*) FILTER (x < 0 AND metric NOT IN ('l_discount', 'l_tax')) AS n_negative, count(*) FILTER ((x < 0 OR x > 1) AND metric IN ('l_discount', 'l_tax')) AS n_outside_unit,
+  count(*) FILTER (abs(rz) > 3.5) AS n_outliers, count(*) FILTER (x < 50 AND metric = 'l_quantity') AS n_few, corr(x, l_quantity) AS rq, corr(x, l_extendedprice) AS rp FROM z GROUP BY metric)
+SELECT metric, cv < 0.01 AS nearly_constant, cv > 2 AS wild_spread, round(at_max, 6) AS share_at_max, n_zero, n_negative, n_outside_unit, n_outliers, n_few,
+  round(rq, 6) AS r_with_l_quantity, round(rp, 6) AS r_with_l_extendedprice, abs(rq) > 0.5 AS depends_on_l_quantity, abs(rp) > 0.5 AS depends_on_l_extendedprice FROM s""",
     "period_tests": f"""WITH RECURSIVE {O}, rows AS (SELECT event_type AS key, period = 'p1' AS first, value FROM o), {TESTS.format(least=3)}
 SELECT key AS event_type, test, round(statistic, 8) AS statistic, round(p, 8) AS p, round(q, 8) AS q FROM fdr""",
     "user_tests": f"""WITH RECURSIVE rows AS (SELECT user_id AS key, event_type = 'error' AS first, value FROM events), {TESTS.format(least=5)}
@@ -147,7 +180,7 @@ SELECT event_type, n_a, n_b, round(u::DOUBLE, 6) AS u, round(greatest(0.0, (abs(
 SELECT event_type, max(n_a)::BIGINT AS n_a, max(n_b)::BIGINT AS n_b, round(max(abs(d)), 6) AS d FROM c GROUP BY event_type""",
     "empirical_fdr": """WITH m AS (SELECT event_type, user_id, round(avg(value), 6) AS mean FROM events GROUP BY ALL
 ), p AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY mean DESC) / (count(*) OVER (PARTITION BY event_type))::DOUBLE AS p FROM m
-), w AS (SELECT *, p * count(*) OVER (PARTITION BY event_type) / rank() OVER (PARTITION BY event_type ORDER BY p) AS raw FROM p)
+), w AS (SELECT *, p * count(*) OVER (PARTITION BY event_type) / rank() OVER (PARTITION BY event_type ORDER BY p) AS raw FROM pv)
 SELECT event_type, user_id, round(mean, 6) AS mean, round(p, 6) AS p, round(least(1.0, min(raw) OVER (PARTITION BY event_type ORDER BY p DESC)), 6) AS q FROM w""",
     "sensitivity": """SELECT event_type, count(value) AS n, count(value) FILTER (user_id % 10 <> 0) AS n_without, round(avg(value), 6) AS mean_with,
   round(avg(value) FILTER (user_id % 10 <> 0), 6) AS mean_without, round(abs(avg(value) - avg(value) FILTER (user_id % 10 <> 0)) / nullif(stddev_pop(value), 0) * 100, 6) AS pct_of_std

@@ -11,21 +11,22 @@ from tidewell.functions.stats import cosine_distance, safe_div
 from tidewell.operators import compare, ingest, joins, lags, lexical, memory, ordered, states, vectors
 from tidewell.plans.geometry import LAYERS, PAIRS, layers
 from tidewell.plans.series import KEY, rounded, sides
-from tidewell.plans.tables import observations, read, token_maps
+from tidewell.plans.tables import midpoint, observations, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
 from tidewell.sources import logs
 from tidewell.sources.shared import kept, shared_dir
 
-#: Blocks before this one are the first period.
-BLOCK_CUT = 8
+
+def by_halves(column: str, table: DataFrame) -> Column:
+    """Period p1 in the first half of the table's range of the column, p2 in the second."""
+    return F.when(F.col(column) < midpoint(table, column), "p1").otherwise("p2")
 
 
 def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state for each block of vectors: its mean vector, a vector of each layer, and its period."""
     rows = vector_table(spark, sf_dir)
     layers = vectors.layer_table(rows, "layer", "block", "v", LAYERS)
-    period = F.when(F.col("block") < BLOCK_CUT, "p1").otherwise("p2")
-    return layers.join(vectors.mean_vector(rows, ["block"], "v"), "block").withColumn("period", period)
+    return layers.join(vectors.mean_vector(rows, ["block"], "v"), "block").withColumn("period", by_halves("block", rows))
 
 
 def scoped(df: DataFrame, keys: list[str], values: list[str], also: Column | None = None, digits: int = 6) -> DataFrame:
@@ -66,7 +67,8 @@ def vector_lag_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw vectors of each layer beside those less the grand mean, less their period's mean, and less their trend."""
-    rows = vector_table(spark, sf_dir).withColumn("period", F.when(F.col("block") < BLOCK_CUT, "p1").otherwise("p2"))
+    rows = vector_table(spark, sf_dir)
+    rows = rows.withColumn("period", by_halves("block", rows))
     rows = states.centred_vectors(rows, ["layer"], "v", "centred")
     rows = states.centred_vectors(rows, ["layer", "period"], "v", "period_centred")
     rows = states.detrended_vectors(rows, ["layer"], "vec_id", "v")
@@ -155,9 +157,10 @@ def grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of tokens between neighbouring documents of a language: all steps, and those inside each half of the ids."""
-    half = lambda c: F.when(F.col(c) < 100, "p1").otherwise("p2")
-    rows = lexical.drift(token_maps(spark, sf_dir), ["lang"], "doc_id").withColumn("period", half("from"))
-    return scoped(rows, ["lang"], ["js", "cosine"], half("to") == F.col("period"), 4)
+    cut = midpoint(read(spark, sf_dir, "documents"), "doc_id")
+    half = lambda c: F.when(F.col(c) < cut, "p1").otherwise("p2")
+    rows = lexical.drift(token_maps(spark, sf_dir), ["lang"], "doc_id").withColumns({"period": half("from"), "later": half("to")})
+    return scoped(rows, ["lang"], ["js", "cosine"], F.col("later") == F.col("period"), 4)
 
 
 def ordering_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

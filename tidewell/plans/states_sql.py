@@ -6,7 +6,7 @@ from tidewell.plans.series_sql import GRID, PAIRS, O
 STATES = f"""{V}, lm AS (SELECT block, layer, i, avg(x) AS x FROM v GROUP BY ALL
 ), bm AS (SELECT block, i, avg(x) AS m FROM v GROUP BY ALL
 ), ok AS (SELECT block FROM lm GROUP BY block HAVING count(DISTINCT layer) = 3
-), st AS (SELECT block, CASE WHEN block < 8 THEN 'p1' ELSE 'p2' END AS period, layer, ['surface', 'mid', 'residue'][layer + 1] AS name, i, x, m, x - m AS r FROM lm JOIN bm USING (block, i) JOIN ok USING (block))"""
+), st AS (SELECT block, CASE WHEN block < (SELECT (min(vec_id) // 30 + max(vec_id) // 30 + 1) / 2 FROM embeddings) THEN 'p1' ELSE 'p2' END AS period, layer, ['surface', 'mid', 'residue'][layer + 1] AS name, i, x, m, x - m AS r FROM lm JOIN bm USING (block, i) JOIN ok USING (block))"""
 STEPS = f"""{STATES}, nx AS (SELECT block, lead(block) OVER (ORDER BY block) AS nb FROM ok
 ), s AS (SELECT a.block AS "from", b.block AS "to", a.period, a.period <> b.period AS is_boundary, a.name AS layer, sqrt(sum((b.r - a.r) ** 2)) AS residual_drift,
   sqrt(sum((b.x - a.x) ** 2)) AS raw_drift, sqrt(sum((b.m - a.m) ** 2)) AS global_drift FROM nx JOIN st a USING (block) JOIN st b ON b.block = nb AND b.layer = a.layer AND b.i = a.i GROUP BY ALL)"""
@@ -101,7 +101,7 @@ SELECT layer, variant, k::INT AS k, count(*) AS n, round(avg(rho), 6) AS mean, r
 ), r AS (SELECT *, sum(big) OVER (PARTITION BY layer ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS blk FROM i)
 SELECT a.layer, (b.idx - a.idx)::INT AS k, count(*) AS n_pairs, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS mean_cosine, count(*) < 80 AS low_n
 FROM r a JOIN r b ON a.layer = b.layer AND a.blk = b.blk AND b.idx BETWEEN a.idx + 1 AND a.idx + 16 GROUP BY ALL""",
-    "vector_variants": f"""WITH {V}, b AS (SELECT *, avg(x) OVER (PARTITION BY layer, i) AS m, avg(x) OVER (PARTITION BY layer, block < 8, i) AS pm FROM v
+    "vector_variants": f"""WITH {V}, b AS (SELECT *, avg(x) OVER (PARTITION BY layer, i) AS m, avg(x) OVER (PARTITION BY layer, block < (SELECT (min(vec_id) // 30 + max(vec_id) // 30 + 1) / 2 FROM embeddings), i) AS pm FROM v
 ), f AS (SELECT layer, i, regr_slope(x, vec_id) AS s, regr_intercept(x, vec_id) AS c FROM v GROUP BY ALL
 ), w AS (SELECT vec_id, layer, i, x AS raw, unnest(['raw', 'centred', 'period_centred', 'detrended']) AS variant, unnest([x, x - m, x - pm, x - (s * vec_id + c)]) AS y FROM b JOIN f USING (layer, i)
 ), n AS (SELECT vec_id, layer, variant, sqrt(sum(y * y)) AS norm, sqrt(sum(raw * raw)) AS rn, list(y ORDER BY i) AS l FROM w GROUP BY vec_id, layer, variant
@@ -145,7 +145,7 @@ SELECT event_type, k, count(*) AS n_pairs, round(avg((a - m) / s * ((b - m) / s)
 ), g AS (SELECT event_type, run, count(*) AS n, max((epoch_us(ts) - epoch_us(pts)) / 3.6e9) FILTER (pf) AS gap FROM r WHERE flag GROUP BY ALL)
 SELECT event_type, count(*) AS n_runs, max(n) AS longest, round(max(gap), 6) AS largest_gap_h FROM g GROUP BY event_type""",
     "grid_counts": f"""WITH {GRID} SELECT event_type, count(*) AS n_grid, count(value) AS n_filled, count(*) - count(value) AS n_missing FROM grid GROUP BY event_type""",
-    "drift_scopes": f"""WITH d AS ({GEOMETRY["lexical_drift"]}), p AS (SELECT *, CASE WHEN "from" < 100 THEN 'p1' ELSE 'p2' END AS period, ("from" < 100) = ("to" < 100) AS own FROM d
+    "drift_scopes": f"""WITH d AS ({GEOMETRY["lexical_drift"]}), p AS (SELECT *, CASE WHEN "from" < (SELECT (min(doc_id) + max(doc_id) + 1) / 2 FROM documents) THEN 'p1' ELSE 'p2' END AS period, ("from" < (SELECT (min(doc_id) + max(doc_id) + 1) / 2 FROM documents)) = ("to" < (SELECT (min(doc_id) + max(doc_id) + 1) / 2 FROM documents)) AS own FROM d
 ), c AS (SELECT *, unnest(CASE WHEN own THEN ['overall', period] ELSE ['overall'] END) AS scope FROM p) SELECT lang, scope, {", ".join(f"count({v}) AS n_{v}, round(avg({v}), 4) AS mean_{v}, round(stddev_pop({v}), 4) AS std_{v}" for v in ("js", "cosine"))} FROM c GROUP BY ALL""",
     "ordering_shares": f"""WITH {LAYERED}, p AS (SELECT 0 AS perm, sm AS a, mr AS b, sr AS c FROM d UNION ALL SELECT 1, sr, mr, sm FROM d UNION ALL SELECT 2, sm, sr, mr FROM d
   UNION ALL SELECT 3, mr, sr, sm FROM d UNION ALL SELECT 4, sr, sm, mr FROM d UNION ALL SELECT 5, mr, sm, sr FROM d

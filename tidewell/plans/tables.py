@@ -34,8 +34,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("v IS NOT NULL").withColumns({"layer": F.pmod("label", F.lit(3)), "block": F.floor(F.col("vec_id") / 30)})
 
 
-def token_maps(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
-    """The k most frequent tokens of each document with their counts, by language; documents without words are left out.
+def midpoint(df: DataFrame, column: str) -> Column:
+    """Half way between the least and the greatest value, as a subquery of one row: the second half begins there."""
+    return df.agg((F.min(column) + F.max(column) + 1) / 2).scalar()
+
+
+def token_maps(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+    """All tokens of each document (or the k most frequent) with their counts, by language; documents without words are left out.
 
     The maps are counted once and kept, as all that builds on them names them several times.
     """

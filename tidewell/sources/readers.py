@@ -76,6 +76,12 @@ def parse_tokens(text: Column) -> Column:
     return F.map_filter(F.from_json(text, "map<string,bigint>"), lambda k, v: k != "__total__")
 
 
+def tokens_json(tokens: Column) -> Column:
+    """Map of counts to a JSON object in the order of its tokens; NULL for NULL."""
+    whole = F.transform_values(tokens, lambda k, v: v.cast("bigint"))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(whole))))
+
+
 def replace_table(df: DataFrame, path: str, *, form: str = "parquet", **options: str | bool) -> None:
     """Write ``df`` in place of the table at ``path``: whole, or not at all.
 
