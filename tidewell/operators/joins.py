@@ -80,15 +80,17 @@ def within_interval(points: DataFrame, logs: DataFrame, point_s: Column, log_s:
     return a.join(b, met, "left").drop("_b", "_c", "_ps", "_qs")
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, point_key: str, point_s: Column, start_s: Column, end_s: Column, label: str, reach: float) -> DataFrame:
+def first_interval(points: DataFrame, intervals: DataFrame, point_key: str, point_s: Column, start_s: Column, end_s: Column, label: str, reach: float, keys: list[str] | None = None) -> DataFrame:
     """Adds ``near``: the label of the first interval, by start and label, that begins at most ``reach`` seconds after the point
     and ends at most as long before it; null if there is none. Intervals go to the buckets that they can serve.
+    With ``keys``, only intervals of the point's own series count; a null key has none.
     """
+    keys = keys or []
     low, high = start_s - reach, end_s + reach
-    b = intervals.select(F.col(label).alias("_label"), start_s.alias("_start"), low.alias("_low"), high.alias("_high"))
+    b = intervals.select(*keys, F.col(label).alias("_label"), start_s.alias("_start"), low.alias("_low"), high.alias("_high"))
     b = b.where("_low <= _high").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / reach), F.floor(F.col("_high") / reach))))
-    a = points.select(point_key, point_s.alias("_s")).withColumn("_b", F.floor(F.col("_s") / reach))
-    met = a.join(b, "_b").where(F.col("_s").between(F.col("_low"), F.col("_high")))
+    a = points.select(*keys, point_key, point_s.alias("_s")).withColumn("_b", F.floor(F.col("_s") / reach))
+    met = a.join(b, [*keys, "_b"]).where(F.col("_s").between(F.col("_low"), F.col("_high")))
     first = met.groupBy(point_key).agg(F.min(F.struct("_start", "_label")).alias("_f"))
     return points.join(first.select(point_key, F.col("_f._label").alias("near")), point_key, "left")
 

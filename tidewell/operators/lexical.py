@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def rarefied_entropy(maps: DataFrame, key: str, budget: int | None = None, draws
                 if not n.sum() or n.sum() < budget:
                     out.append((k, None, None))
                     continue
-                rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFF])
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
                 p = rng.multinomial(budget, n / n.sum(), size=draws) / budget
                 h = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
                 out.append((k, float(h.mean()), float(h.std(ddof=1))))

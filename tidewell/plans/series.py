@@ -313,6 +313,38 @@ def change_points_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.within_interval(placed, hours, ordered.seconds(F.col("grid_ts")), ordered.seconds(F.col("error_hour")), 12 * 3600)
 
 
+def outlier_clusters(grid: DataFrame, limit: float = 3.5) -> DataFrame:
+    """Runs of neighbouring readings of a series' grid (empty points left out) whose robust z exceeds the limit."""
+    z = describe.with_robust_z(grid.where("value IS NOT NULL"), KEY, "value", normal=True)
+    found = ordered.runs(z, KEY, ["grid_ts"], F.abs("rz") > limit)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return found.withColumn("cluster", F.concat(stamp("start"), F.lit(".."), stamp("end"), F.lit(" (len "), F.col("length").cast("string"), F.lit(")")))
+
+
+def near_clusters(points: DataFrame, key: str, clusters: DataFrame) -> DataFrame:
+    """Points (key, event_type, grid_ts) with the first cluster of their series at most 12 hours away."""
+    s = [ordered.seconds(F.col(c)) for c in ("grid_ts", "start", "end")]
+    return joins.first_interval(points, clusters, key, *s, "cluster", 12 * 3600, KEY)
+
+
+def readings_near_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of each series by the first cluster of grid values beyond a robust z of 1.2 that lies near them."""
+    points = observations(spark, sf_dir).select("event_type", "event_id", F.col("ts").cast("timestamp").alias("grid_ts"))
+    found = near_clusters(points, "event_id", outlier_clusters(kept(grid_of(spark, sf_dir), "grid"), 1.2))
+    return found.groupBy("event_type", "near").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+def change_points_near_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change points of each series with the first cluster of its outliers at most 12 hours away; the ones without stay."""
+    return changes_near_clusters(kept(grid_of(spark, sf_dir), "grid"))
+
+
+def changes_near_clusters(grid: DataFrame, limit: float = 3.5) -> DataFrame:
+    placed = changes_of(grid).where("change_idx IS NOT NULL").join(grid.select("event_type", F.col("g").alias("change_idx"), "grid_ts"), ["event_type", "change_idx"])
+    placed = placed.withColumn("point", F.concat_ws(":", "event_type", "change_idx"))
+    return near_clusters(placed, "point", outlier_clusters(grid, limit)).drop("point")
+
+
 def parsed_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select("event_type", readers.parse_tokens(F.col("props")).alias("m"))
     return rows.groupBy("event_type").agg(F.count("m").alias("n_parsed"), F.sum(F.coalesce(F.try_element_at("m", F.lit("k")), F.lit(0))).alias("k_sum"), F.max(F.size("m")).alias("n_keys"))
@@ -333,6 +365,6 @@ QUERIES = {
         correlation_tests, correlation_p, high_correlations, high_correlations_of_texts, period_effects, mann_whitney, kolmogorov_smirnov, period_tests, user_tests, empirical_fdr, sensitivity, sensitivity_table, gate_verdicts, trends, trend_p, gaps,
         rolling, autocorrelation, outlier_runs, average_ranks, thinned, first_of_user, pivot_first, asof_nearest, asof_coverage, grid_resample,
         interval_join, lag_curve, lag_same_period, periodicity, grid_autocorrelation, lag_bands, ar1_times, detrended_stats, decay_fits,
-        bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, parsed_props, overridden,
+        bootstrap_intervals, interval_flags, memory_reading, threshold_scan, change_points, change_points_near_errors, change_points_near_clusters, readings_near_clusters, parsed_props, overridden,
     )
 }

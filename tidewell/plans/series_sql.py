@@ -96,6 +96,13 @@ ORACLE_SQL = {
 ), pv AS (SELECT method, col_a, col_b, greatest(0.0, {student("t", "f")}) AS p FROM t
 ), w AS (SELECT *, p * count(p) OVER (PARTITION BY method) / rank() OVER (PARTITION BY method, p IS NULL ORDER BY p) AS raw FROM pv)
 SELECT method, col_a, col_b, round(p, 7) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY method, p IS NULL ORDER BY p DESC)) END, 7) AS q FROM w""",
+    "readings_near_clusters": f"""WITH {GRID}, v AS (
+  SELECT grid.*, make_timestamp(((s0 + g * 21600) * 1e6)::BIGINT) AS t, row_number() OVER (PARTITION BY grid.event_type ORDER BY g) AS n FROM grid JOIN e USING (event_type) WHERE value IS NOT NULL
+), m AS (SELECT event_type, median(value) AS m FROM v GROUP BY event_type), d AS (SELECT event_type, median(abs(value - m)) AS mad FROM v JOIN m USING (event_type) GROUP BY event_type
+), f AS (SELECT *, n - row_number() OVER (PARTITION BY event_type ORDER BY n) AS run FROM v JOIN m USING (event_type) JOIN d USING (event_type) WHERE abs((value - m) / (mad * 1.4826)) > 1.2
+), k AS (SELECT event_type, min(t) AS a, max(t) AS b, strftime(min(t), '%Y-%m-%d %H:%M') || '..' || strftime(max(t), '%Y-%m-%d %H:%M') || ' (len ' || count(*) || ')' AS cluster FROM f GROUP BY event_type, run
+), r AS (SELECT o.event_type, event_id, arg_min(cluster, a) AS near FROM o LEFT JOIN k ON k.event_type = o.event_type AND ts BETWEEN a - INTERVAL 12 HOUR AND b + INTERVAL 12 HOUR GROUP BY ALL)
+SELECT event_type, near, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY event_type, near""",
     "trend_p": f"""WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM events
 ), s AS (SELECT event_type, count(*) - 2 AS f, covar_pop(value, idx) / nullif(var_pop(idx), 0) AS slope, corr(value, idx) AS r FROM i WHERE value IS NOT NULL GROUP BY event_type
 ), t AS (SELECT *, r * sqrt(f / nullif(1 - r * r, 0)) AS t FROM s)
