@@ -153,6 +153,19 @@ def test_chat_windows_keep_to_the_budget_but_for_long_turns(spark):
             assert sum(tokens[conv, i] for i, _ in held) <= budget
         else:  # then nothing but the system turn and the new turns
             assert sum(tokens[conv, i] for i in new) < (budget - system) // 2 + longest
+        if longest + (system if max(new) else 0) <= budget:
+            assert sum(tokens[conv, i] for i, _ in held) <= budget
+        else:
+            assert len(new) == 1
         repeated = [i for i, is_new in held if not is_new and (i or not system)]
         assert repeated == list(range(min(new) - len(repeated), min(new))) and len(repeated) <= 2
     assert any(not is_new and i for held in windows.values() for i, is_new in held)
+
+
+def test_chat_turns_that_fit_a_window_of_their_own_get_one(spark):
+    rows = [(1, 0, "user", "x" * 249 * 4), (1, 1, "assistant", "y" * 450 * 4), (1, 2, "user", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    held = {}
+    for r in op9_chat.shown(op9_chat.spans(turns, 512), 512, 2).collect():
+        held[r.w] = held.get(r.w, 0) + r.n
+    assert len(held) == 3 and max(held.values()) <= 512

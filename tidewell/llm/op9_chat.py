@@ -6,8 +6,9 @@ after their first character, backslashes are doubled, so the output can be read
 
 Prefix sums of turn tokens cut a conversation into turn-aligned windows: what BUDGET leaves
 beside the system turn is halved, and a window holds the new turns that start in one half's
-length of the prefix sums. So a window keeps to the budget unless one of its turns alone is
-longer than such a half. Each later window opens with the system turn, if the conversation
+length of the prefix sums. A turn longer than such a half has a window of its own, which a
+prefix count of such turns marks. So a window keeps to the budget unless it is one turn that
+alone, beside the system turn, is longer. Each later window opens with the system turn, if the conversation
 starts with one, and with up to HISTORY turns before its first new turn, of these the nearest
 ones that the budget still has room for. The loss mask holds the texts of new assistant turns;
 repeated ones are masked out.
@@ -70,7 +71,10 @@ def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     system = F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("n"))).over(whole)
     half = F.greatest(F.lit(1), F.floor((budget - F.col("n_system")) / 2))
     cut = placed.withColumn("n_system", F.coalesce(system, F.lit(0))).withColumn("cut", F.floor(F.col("before") / half).cast("long"))
-    return cut.withColumn("w", F.dense_rank().over(whole.orderBy("cut")) - 1).drop("cut")
+    long = (F.col("n") > half).cast("int")
+    alone = F.coalesce(F.sum(long).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 2 + long
+    cut = cut.withColumn("alone", alone)
+    return cut.withColumn("w", F.dense_rank().over(whole.orderBy("cut", "alone")) - 1).drop("cut", "alone")
 
 
 def shown(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:

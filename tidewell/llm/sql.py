@@ -63,7 +63,8 @@ WITH c AS (
 ), y AS (
   SELECT *, coalesce(max(n) FILTER (i = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS n_system FROM o
 ), t AS (
-  SELECT *, before // greatest(1, floor((512 - n_system) / 2)::BIGINT) AS w FROM y
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY before // half, 2 * longs - long) AS w FROM (
+    SELECT *, (n > half)::INT AS long, sum((n > half)::INT) OVER (PARTITION BY conv_id ORDER BY i) AS longs FROM (SELECT *, greatest(1, floor((512 - n_system) / 2)::BIGINT) AS half FROM y))
 ), f AS (
   SELECT conv_id, w, min(i) AS i0, min(before) AS b0, sum(n) AS n_new FROM t GROUP BY conv_id, w
 ), n AS (
