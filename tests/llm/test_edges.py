@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -169,3 +170,18 @@ def test_chat_turns_that_fit_a_window_of_their_own_get_one(spark):
     for r in op9_chat.shown(op9_chat.spans(turns, 512), 512, 2).collect():
         held[r.w] = held.get(r.w, 0) + r.n
     assert len(held) == 3 and max(held.values()) <= 512
+
+
+def test_scores_beyond_doubles_are_exact_and_beyond_longs_end_there(spark):
+    rng = random.Random(8)
+    vectors = {i: [rng.choice([0.0, 1.5, -2e4, 3e6, 1e7]) + rng.random() for _ in range(6)] for i in range(60)}
+    vectors |= {60: [1e200, 1.0], 61: [-1e200], 62: [1e200, -1e200, 1e200, 1.0, 2.0, 3.0]}
+    df = spark.createDataFrame([*vectors.items(), (None, [1.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k(df, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    top = 2**63 - 1
+    scaled = {i: [max(-top - 1, min(top, math.floor(64 * x))) for x in v] for i, v in vectors.items()}
+    for q in (0, 20, 40, 60):
+        score = {i: max(-top, min(top, sum(int(float(a)) * int(float(b)) for a, b in zip(scaled[q], v, strict=False)))) for i, v in scaled.items() if i != q}
+        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product (operator 5): an impact-ordered, score-at-a-time index.
 
 Components are floor(64 * x). Each row's postings (dimension, component) fall into levels by
-quantised impact, the component's size in steps of STEP; a block of rows keeps one segment of
-postings for each level. Segments are scored in descending order of impact, for a block of
+quantised impact, the component's size in steps of STEP (in powers of two where it is large, so
+levels are few); a block of rows has one segment of postings for each level. Segments are scored in descending order of impact, for a block of
 queries at once. What is left of a row after a level is bounded by the lengths of the
 unscored parts of query and row (Cauchy-Schwarz). A query stops when this proves that
 no row outside its possible members can reach its k-th lower bound; the members are then
@@ -14,6 +14,8 @@ blocks by hash, a task holds one block of each, and k rows a block go on to the
 * Vectors that are null, or hold null, NaN or infinite components, take no part, as queries or
   rows. Vectors of different lengths are compared over the dimensions they share, as if
   padded with zeros. A query's own row, by id, is no candidate; repeated ids are rows each.
+* Rows without an id take no part. Scores are exact at any size; a score beyond a long, and a
+  component beyond one, count as its nearest end, and such scores tie.
 * Empty table: empty result. Fewer than k candidates: all. Extra columns are ignored.
 """
 
@@ -32,6 +34,8 @@ from tidewell.llm.tables import stored
 K, SCALE, STEP = 20, 64, 8
 #: Rows of a block of queries, and of a block of candidates.
 QUERIES, ROWS = 1024, 8192
+#: Scores lie between this and its negative.
+LONGEST = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -49,10 +53,22 @@ def matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def segments(rows: np.ndarray, step: int) -> list[np.ndarray]:
-    """The postings of a block by descending level of impact, as matrices of the rows' shape."""
-    level = np.abs(rows).astype(np.int64) // step
-    return [np.where(level == x, rows, 0.0) for x in np.unique(level)[::-1]]
+def segments(rows: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Where a block's postings of a level lie, by descending level: steps of impact, and powers of two from 16 steps on."""
+    steps = np.abs(rows) // step
+    level = np.where(steps < 16, steps, 12 + np.floor(np.log2(np.maximum(steps, 16))))
+    for x in np.unique(level)[::-1]:
+        yield level == x
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as longs; where doubles are not exact, by whole numbers of any length, cut to a long's range."""
+    sizes = np.abs(rows) @ np.abs(query)
+    out = np.where(sizes < 2**53, rows @ query, 0).astype(np.int64)
+    for i in np.flatnonzero(sizes >= 2**53).tolist():
+        total = sum(int(x) * int(y) for x, y in zip(rows[i].tolist(), query.tolist(), strict=True))
+        out[i] = max(-LONGEST, min(LONGEST, total))
+    return out
 
 
 def top_members(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, step: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -61,20 +77,23 @@ def top_members(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int,
     ``own`` marks pairs of a query and its own row.
     """
     score = np.zeros((len(queries), len(rows)), np.float64)
-    left = rows.copy()
+    unscored = np.ones(rows.shape, bool)
+    lengths = np.sqrt((rows**2).sum(axis=1))
+    rounding = 4e-15 * rows.shape[1]
     open_queries = np.arange(len(queries))
     members: list[np.ndarray] = [np.arange(len(rows))] * len(queries)
-    for segment in segments(rows, step):
-        score[open_queries] += queries[open_queries] @ segment.T
-        left -= segment
-        tail = np.sqrt((left.astype(np.float64) ** 2).sum(axis=1)) + 1e-6
+    for places in segments(rows, step):
+        score[open_queries] += queries[open_queries] @ np.where(places, rows, 0.0).T
+        unscored &= ~places
+        tail = np.sqrt((np.where(unscored, rows, 0.0) ** 2).sum(axis=1))
+        rest = np.sqrt((queries[open_queries] ** 2) @ unscored.T.astype(np.float64))
         still = []
-        for q in open_queries.tolist():
-            spread = np.sqrt((queries[q].astype(np.float64) ** 2).sum()) * tail
-            low = np.where(own[q], -np.inf, score[q] - spread)
+        for at, q in enumerate(open_queries.tolist()):
+            spread = rest[at] * tail * (1 + rounding) + rounding * np.sqrt((queries[q] ** 2).sum()) * lengths
+            low = np.where(own[q], -np.inf, np.minimum(score[q] - spread, LONGEST))
             if k < len(rows):
                 kth = np.partition(low, len(low) - k)[len(low) - k]
-                reach = np.flatnonzero((score[q] + spread >= kth) & ~own[q])
+                reach = np.flatnonzero((np.maximum(score[q] + spread, -LONGEST) >= kth) & ~own[q])
             else:
                 reach = np.flatnonzero(~own[q])
             members[q] = reach
@@ -83,7 +102,7 @@ def top_members(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int,
         open_queries = np.array(still, np.int64)
         if not still:
             break
-    return [(m, rows[m] @ queries[q]) for q, m in enumerate(members)]
+    return [(m, exact_scores(rows[m], queries[q])) for q, m in enumerate(members)]
 
 
 def block_top(batches: Iterator[pa.Table], k: int, step: int) -> Iterator[tuple]:
