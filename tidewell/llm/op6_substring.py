@@ -39,7 +39,7 @@ from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import ODD, RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
 from tidewell.llm.op8_suffix import window_anchors
-from tidewell.llm.tables import discard, stored, unused
+from tidewell.llm.tables import discard, met_by, stored, unused
 
 LINE = 20
 RUN, KMER = 50, 12
@@ -281,7 +281,9 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     wish = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "id", "buckets")).alias("wish"))
-    return docs.join(wish, "doc_id").select("text", "t", "wish").mapInArrow(
+    wish = stored(wish, "wish", large=True)
+    some = met_by(docs, F.col("doc_id"), wish.select("doc_id"), "met").where("met")
+    return some.join(wish, "doc_id").select("text", "t", "wish").mapInArrow(
         build, "id long, buckets array<long>, shingles array<long>"
     )
 
@@ -289,11 +291,14 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFrame:
     """Paragraphs of a component of equal and nearly equal ones, but the first: PLACE, n, end, first."""
     ident = F.xxhash64(*PLACE)
-    alone = lines.join(equal.select(*PLACE), PLACE, "left_anti")  # one of each equal ones
+    told = met_by(lines, ident, equal.select(ident), "again")
+    alone = told.where("again").drop("again").join(equal.select(*PLACE), PLACE, "left_anti")  # one of each equal ones
+    alone = told.where("NOT again").drop("again").unionByName(alone)
     alone = stored(alone.select(*PLACE, ident.alias("id"), "bands"), "alone", large=True)
     banded = alone.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = banded.join(stored(shared.select("bucket"), "shared", large=True), "bucket")
+    shared = stored(shared.select("bucket"), "shared", large=True)
+    met = met_by(banded, F.col("bucket"), shared, "again").where("again").drop("again").join(shared, "bucket")
     buckets = stored(met.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "buckets", large=True)
     wanted = stored(alone.drop("bands").join(buckets, "id"), "wanted", large=True)
     discard(alone, buckets)
@@ -304,7 +309,8 @@ def near_copies(docs: DataFrame, lines: DataFrame, equal: DataFrame) -> DataFram
     same = equal.select(ident.alias("a"), F.xxhash64(*[f"first.{c}" for c in PLACE]).alias("b"))
     roots = components(stored(links.unionByName(same), "links", large=True))
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = lines.withColumn("node", ident).join(rooted, "node")
+    told = met_by(lines, ident, roots.select("node").unionByName(roots.select(F.col("root").alias("node"))), "met")
+    members = told.where("met").drop("met").withColumn("node", ident).join(rooted, "node")
     first = members.groupBy("root").agg(F.min(F.struct(*PLACE)).alias("first"))
     copies = members.join(first, "root").where(F.struct(*PLACE) != F.col("first")).select(*PLACE, "n", "end", "first")
     near = stored(copies, "near", large=True)
@@ -338,7 +344,8 @@ def single_runs(docs: DataFrame, wish: DataFrame) -> DataFrame:
                 first = np.concatenate(at)
                 yield runs_batch(u, np.asarray(part.column(0)), first, first, RUN, [np.concatenate(gone), u.hashes(first, first + RUN)], ["gone", "w"])
 
-    rows = docs.join(wish, "doc_id").select("doc_id", "text", "t", "wish")
+    some = met_by(docs, F.col("doc_id"), wish.select("doc_id"), "met").where("met")
+    rows = some.join(wish, "doc_id").select("doc_id", "text", "t", "wish")
     return rows.mapInArrow(build, f"{RUNS}, gone boolean, w long")
 
 
@@ -349,7 +356,7 @@ def repeated_runs(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFra
     """
     place = F.struct("gone", "doc_id", "t", "low")
     often = stored(found.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "often", large=True)
-    again = found.join(often, "f", "left_semi")
+    again = met_by(found, F.col("f"), often, "met").where("met").drop("met").join(often, "f", "left_semi")
     removed = stored(near.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("removed")), "removed")
     touched = F.exists("removed", lambda r: (r["start"] < F.col("end")) & (r["end"] > F.col("start")))
     again_ = again.join(removed, ["doc_id", "t"], "left").withColumn("gone", F.coalesce(touched, F.lit(False))).drop("removed")
@@ -419,7 +426,10 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents (doc_id, text and more columns) with the spans (key, t, start, end) cut out of their texts."""
+    """The documents (doc_id, text and more columns) with the spans (key, t, start, end) cut out of their texts.
+
+    Documents that surely have none are not shuffled.
+    """
     names, kinds = docs.columns, docs.schema
     at = names.index("text")
 
@@ -441,10 +451,12 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    key, wanted = unused(docs, "key"), unused(docs, "wish")
+    key, wanted, met = unused(docs, "key"), unused(docs, "wish"), unused(docs, "met")
     wish = spans.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("t", "start", "end")).alias(wanted))
     keyed = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(wish, key, "left").select(*names, wanted).mapInArrow(cut, kinds)
+    told = met_by(keyed, F.col(key), spans.select("key"), met)
+    changed = told.where(F.col(met)).join(wish, key, "left").select(*names, wanted).mapInArrow(cut, kinds)
+    return told.where(~F.col(met)).select(*names).unionByName(changed)
 
 
 def raw_slice(data: np.ndarray, a: int, b: int) -> str:

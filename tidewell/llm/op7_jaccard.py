@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.arrow import arrays, whole_runs
 from tidewell.llm.bytes import RangeHash, buffer_of, groups, lower_ascii, mix, shingle_hashes, words
 from tidewell.llm.components import components
-from tidewell.llm.tables import discard, stored
+from tidewell.llm.tables import discard, met_by, stored
 
 SIZE, PERCENT, SHARED, TILE, LEADERS = 4, 85, 24, 2048, 32
 
@@ -159,7 +159,8 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, size: int, percent: int, shar
                 )
 
     schema = "c long, n long, elements array<long>, bits binary, keys array<struct<in_all:int,h:int>>"
-    again = docs.withColumn("row", F.coalesce("doc_id", "t")).join(chosen, "row").dropDuplicates(["row", "t"])
+    some = met_by(docs, F.coalesce("doc_id", "t"), chosen.select("row"), "met").where("met")
+    again = some.withColumn("row", F.coalesce("doc_id", "t")).join(chosen, "row").dropDuplicates(["row", "t"])
     return again.select("text", "common").mapInArrow(build, schema).where("n > 0")
 
 
@@ -337,8 +338,10 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("c").alias("a"), F.col("elements").alias("x"))
-    second = sets.select(F.col("c").alias("b"), F.col("elements").alias("y"))
+    first, second = (
+        met_by(sets.select(F.col("c").alias(side), F.col("elements").alias(name)), F.col(side), pairs.select(side), "met").where("met").drop("met")
+        for side, name in (("a", "x"), ("b", "y"))
+    )
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
