@@ -109,8 +109,8 @@ def vocabulary(path: str, special: bool = True) -> Vocabulary:
     return Vocabulary(path, special)
 
 
-def encode_short(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of words of about one length, through matrices of parts and adjacent ranks."""
+def encode_short(v: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """Little-endian 32-bit ids of words of about one length, through matrices of parts and adjacent ranks."""
     n, width = np.array([len(w) for w in words]), max(map(len, words))
     flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
     parts = v.byte_ids[flat]
@@ -139,7 +139,8 @@ def encode_short(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
         ranks[rows[right], at[right]] = v.rank_of(parts[rows[right], at[right]], parts[rows[right], at[right] + 1])
         last = ~right
         ranks[rows[last], at[last]] = NONE
-    return [parts[i, : n[i]] for i in range(len(words))]
+    raw, first = parts.astype("<i4", copy=False).tobytes(), np.arange(len(words)) * 4 * width
+    return [raw[a:b] for a, b in zip(first.tolist(), (first + 4 * n).tolist(), strict=True)]
 
 
 def encode_long(v: Vocabulary, word: bytes) -> np.ndarray:
@@ -174,8 +175,7 @@ def encode_words(v: Vocabulary, words: list[str]) -> dict[str, bytes]:
         of = np.flatnonzero((size > low) & (size <= low + 4))
         for k in range(0, len(of), 20_000):
             some = of[k : k + 20_000].tolist()
-            for i, ids in zip(some, encode_short(v, [raw[i] for i in some]), strict=True):
-                out[words[i]] = ids.tobytes()
+            out.update(zip([words[i] for i in some], encode_short(v, [raw[i] for i in some]), strict=True))
     for i in np.flatnonzero(size > SHORT).tolist():
         out[words[i]] = encode_long(v, raw[i]).tobytes()
     return out
@@ -201,14 +201,21 @@ def encode_pieces(v: Vocabulary, pieces: list[str]) -> list[bytes]:
     if v.held > CACHED:
         v.forget()
     known = v.cache
-    made = {p: words_of(v, p) for p in pieces if p not in known}
-    new = encode_words(v, list({w for ws in made.values() for w in ws if w not in known}))
+    out = list(map(known.get, pieces))
+    if None not in out:
+        return out
+    words, made = set(), {}
+    for p, ids in zip(pieces, out, strict=True):
+        if ids is None:
+            if len(ws := words_of(v, p)) > 1:
+                made[p] = ws
+            words.update(ws)
+    new = encode_words(v, [w for w in words if w not in known])
     known |= new
     for p, ws in made.items():
-        if len(ws) > 1:
-            new[p] = known[p] = b"".join([known[w] for w in ws])
+        new[p] = known[p] = b"".join([known[w] for w in ws])
     v.held += sum(100 + len(p) + len(ids) for p, ids in new.items())
-    return [known[p] for p in pieces]
+    return [known[p] if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -232,7 +239,7 @@ def encode_texts(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     first = np.asarray(lists.offsets)
     at[first[whole]] = len(ids) + np.arange(len(whole))
     ids += [b"".join(encode_pieces(v, words_of(v, texts[i].as_py()))) for i in whole.tolist()]
-    sizes = np.array([len(x) for x in ids], np.int64) // 4
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     pool = np.frombuffer(b"".join(ids), "<i4")
     flat = gather(pool, (np.cumsum(sizes) - sizes)[at], sizes[at])
     ends = np.concatenate([[0], np.cumsum(sizes[at])])
