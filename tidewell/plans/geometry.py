@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import cosine_distance, safe_div
-from tidewell.operators import compare, describe, lexical, ordered, vectors
+from tidewell.operators import compare, describe, drifts, lexical, ordered, vectors
 from tidewell.plans.series import rounded
 from tidewell.plans.tables import midpoint, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
 from tidewell.sources import readers
+from tidewell.sources.shared import kept
 
 LAYERS = ["surface", "mid", "residue"]
 PAIRS = [("surface-mid", "surface", "mid"), ("mid-residue", "mid", "residue"), ("surface-residue", "surface", "residue")]
@@ -193,11 +194,9 @@ def lexical_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean drift per language, observed and over shuffled orders of the same documents."""
-    maps = token_maps(spark, sf_dir)
-    seen = lexical.drift(maps, ["lang"], "doc_id").groupBy("lang").agg(F.avg("js").alias("observed"))
-    shuffled = vectors.permuted(maps.select("lang", "doc_id", "tokens"), ["lang"], "doc_id", ["tokens"], 200, 42)
-    null = lexical.drift(shuffled, ["lang", "rep"], "doc_id").groupBy("lang", "rep").agg(F.avg("js").alias("js"))
-    null = null.groupBy("lang").agg(F.avg("js").alias("null_mean"), F.stddev_pop("js").alias("null_std"))
+    means = kept(drifts.mean_drifts(read(spark, sf_dir, "documents"), ["lang"], "doc_id", "text", 200, 42), "drifts")
+    seen = means.where("rep = 0").select("lang", F.col("js").alias("observed"))
+    null = means.where("rep > 0").groupBy("lang").agg(F.avg("js").alias("null_mean"), F.stddev_pop("js").alias("null_std"))
     return seen.join(null, "lang").withColumn("ratio", safe_div(F.col("observed"), F.col("null_mean")))
 
 
