@@ -76,3 +76,26 @@ def test_complete_replicates_and_bands(spark):
     assert [r.rep for r in lags.complete(df).collect()] == [0]
     means = {r.rep: r.m for r in df.select("rep", lags.band_mean(F.col("rho"), [4, 5, 6], 4, 5).alias("m")).collect()}
     assert means == {0: pytest.approx(0.15), 1: pytest.approx(0.1), 2: None}
+
+
+def test_starts_come_to_their_buckets_in_four_bytes_each(rows):
+    size = rows.where("s = 'a'").groupBy("s").agg((F.max("idx") + 1).alias("n"))
+    want = sorted((r.rep, r["_start"]) for r in lags.hashed_starts(size, ["s"], 6, 5, 7, inclusive=False).collect())
+    found = lags.dealt_starts(size, ["s"], 6, 5, 7, inclusive=False, width=16).collect()
+    assert sorted((r.rep, r["_b"] * 16 + int(k)) for r in found for k in np.frombuffer(r["at"], "<u4")) == want and len(found) <= 5 * 5
+
+
+@pytest.mark.parametrize(("width", "length"), [(16, 10), (4, 10), (4096, 10)])
+def test_replicates_of_a_series_with_holes(rows, series, monkeypatch, width, length):
+    monkeypatch.setattr(lags, "BUCKET", width)
+    monkeypatch.setattr(lags, "DRAWS", 3)
+    x, block, v = series
+    own = rows.where("s = 'a' AND idx % 9 <> 4 AND idx NOT BETWEEN 48 AND 66")
+    there = {r.idx for r in own.collect()} - {40}
+    unit = v / np.sqrt((v * v).sum(1, keepdims=True))
+    size = own.groupBy("s").agg((F.max("idx") + 1).alias("n"))
+    starts = lags.hashed_starts(size, ["s"], length, 4, 7, inclusive=True).collect()
+    for r in lags.block_replicates(own, ["s"], "x", LAGS, block=length, reps=4, seed=7).collect():
+        for j, k in enumerate(LAGS):
+            near = [unit[i] @ unit[i + k] for s in starts if s.rep == r.rep for i in range(s["_start"], s["_start"] + length - k) if {i, i + k} <= there and block[i] == block[i + k]]
+            assert r.pairs[j] == len(near) and r.rho[j] == (pytest.approx(np.mean(near), abs=1e-9) if near else None)

@@ -9,27 +9,32 @@ Statistics of a pair (a, b): for numbers 1, a, b, a*a, b*b, a*b where both are t
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import tails
+from tidewell.functions.stats import present
 from tidewell.operators.ordered import beside
-from tidewell.sources.shared import kept
 
 BUCKET = 4096
+#: Drawn starts that a task names, or looks up, at once.
+DRAWS = 1 << 16
 NUMBER_STATS, VECTOR_STATS = ("_m", "_a", "_b2", "_aa", "_bb", "_ab"), ("_m", "_s")
 
 
-def dealt(rows: DataFrame, lags: int, *, back: bool = False) -> DataFrame:
+def dealt(rows: DataFrame, lags: int, *, back: bool = False, width: int | None = None) -> DataFrame:
     """Rows with ``_b``, their bucket, and again with the one before, if they are in reach of it (``back``: also the one after)."""
-    if lags > BUCKET:
-        raise ValueError(f"lags of over {BUCKET} rows span more than two buckets")
-    own, at = F.floor(F.col("idx") / BUCKET), F.pmod("idx", F.lit(BUCKET))
+    width = width or BUCKET
+    if lags > width:
+        raise ValueError(f"lags of over {width} rows span more than two buckets")
+    own, at = F.floor(F.col("idx") / width), F.pmod("idx", F.lit(width))
     places = [own, F.when(at < lags, own - 1)]
     if back:
-        places.append(F.when(at >= BUCKET - lags, own + 1))
+        places.append(F.when(at >= width - lags, own + 1))
     return rows.withColumn("_b", F.explode(F.array_compact(F.array(*places))))
 
 
@@ -62,9 +67,9 @@ def pair_stats(a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
     return np.where(ok[:, None], np.stack([np.ones(len(a)), a, b, a * a, b * b, a * b], 1), 0.0)
 
 
-def prepared(rows: DataFrame, keys: list[str], value: str, lags: int, *, back: bool) -> DataFrame:
+def prepared(rows: DataFrame, keys: list[str], value: str, lags: int, *, back: bool, width: int | None = None) -> DataFrame:
     block = F.col("block") if "block" in rows.columns else F.lit(0)
-    return dealt(rows.select(*keys, F.col("idx").cast("long").alias("idx"), block.cast("long").alias("block"), F.col(value).alias("_v")), lags, back=back)
+    return dealt(rows.select(*keys, F.col("idx").cast("long").alias("idx"), block.cast("long").alias("block"), F.col(value).alias("_v")), lags, back=back, width=width)
 
 
 def is_vector(rows: DataFrame, value: str) -> bool:
@@ -119,49 +124,19 @@ def lag_correlations(rows: DataFrame, keys: list[str], value: str, lags: list[in
     return sums.select(*keys, "k", F.col("n").alias("n_pairs"), F.col("_m").cast("long").alias("n_values"), F.when(F.col("_m") >= least, r).alias("rho"))
 
 
-def prefix_arrays(rows: DataFrame, keys: list[str], value: str, lags: list[int]) -> DataFrame:
-    """Of each row the place after it, ``at``, with two arrays over statistics and lags: sums over all pairs whose earlier row
-    (``earlier``), or whose later row (``later``), comes before ``at``.
+def window_sums(x: np.ndarray, block: np.ndarray, lags: list[int], length: int, width: int) -> np.ndarray:
+    """Of each of the first ``width`` places the sums over the pairs inside the ``length`` rows from there on, by statistic and lag.
 
-    Sums run within buckets; what earlier buckets hold, one row for each, is added.
+    Running sums begin anew with each bucket, so they keep their digits however long the series is.
     """
-    reach, width = max(lags), BUCKET
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        x, block = dense(frame, "_v", reach, width)
-        own = slice(reach, reach + width)
-        sides = []
-        for move in (1, -1):
-            parts = []
-            for k in lags:
-                other = slice(reach + move * k, reach + width + move * k)
-                a, b = (own, other) if move > 0 else (other, own)
-                parts.append(np.cumsum(pair_stats(x[a], x[b], (block[own] >= 0) & (block[own] == block[other])), 0))
-            sides.append(np.stack(parts, 2).reshape(width, -1))
-        rows_ = np.flatnonzero(block[own] >= 0)
-        out = pd.DataFrame({"_b": int(frame["_b"].iloc[0]), "at": rows_ + 1 + int(frame["_b"].iloc[0]) * width})
-        out["earlier"], out["later"] = (pd.Series(list(s[rows_]), dtype=object) for s in sides)
-        for key in keys:
-            out[key] = frame[key].iloc[0]
-        return out[[*keys, "_b", "at", "earlier", "later"]]
-
-    schema = key_types(rows, keys) + "_b bigint, at bigint, earlier array<double>, later array<double>"
-    within = kept(prepared(rows, keys, value, reach, back=True).groupBy(*keys, "_b").applyInPandas(kernel, schema), "prefixes")
-    totals = within.groupBy(*keys, "_b").agg(F.max_by(F.struct("earlier", "later"), "at").alias("_t"))
-
-    def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_b")
-        out = frame[[*keys, "_b"]].copy()
-        for side in ("earlier", "later"):
-            sums = np.cumsum(np.stack([t[side] for t in frame["_t"]]), 0)
-            out[side] = pd.Series(list(np.concatenate([np.zeros((1, sums.shape[1])), sums[:-1]])), index=out.index, dtype=object)
-        return out
-
-    before = totals.groupBy(*keys).applyInPandas(add_up, key_types(rows, keys) + "_b bigint, earlier array<double>, later array<double>")
-    before = before.select(*keys, "_b", F.struct("earlier", "later").alias("_before"))
-    found = beside(within, before, [*keys, "_b"], ["_before"])
-    plus = lambda side: F.zip_with(side, F.col(f"_before.{side}"), lambda a, b: a + b).alias(side)
-    return found.select(*keys, "at", plus("earlier"), plus("later"))
+    sums = np.zeros((width, len(NUMBER_STATS if x.ndim == 1 else VECTOR_STATS), len(lags)))
+    for j, k in enumerate(lags):
+        if k < length:
+            reach = width + length - k
+            there = (block[:reach] >= 0) & (block[:reach] == block[k : reach + k])
+            run = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(pair_stats(x[:reach], x[k : reach + k], there), 0)])
+            sums[:, :, j] = run[length - k : length - k + width] - run[:width]
+    return sums.reshape(width, -1)
 
 
 def hashed_starts(size: DataFrame, keys: list[str], block: int, reps: int, seed: int, *, inclusive: bool) -> DataFrame:
@@ -176,30 +151,87 @@ def hashed_starts(size: DataFrame, keys: list[str], block: int, reps: int, seed:
     return each.withColumn("_start", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long") % room).drop("blk", "n")
 
 
+def dealt_starts(size: DataFrame, keys: list[str], block: int, reps: int, seed: int, *, inclusive: bool, width: int) -> DataFrame:
+    """The starts of ``hashed_starts`` by bucket: (keys, n, rep, _b, at), ``at`` their places in a bucket of ``width`` as bytes, so few bytes a start are shuffled."""
+    drawn, room = F.ceil(F.col("n") / block).cast("long"), F.greatest(F.lit(1), F.col("n") - block + (1 if inclusive else 0))
+    each = size.select(*keys, "n", drawn.alias("end"), room.alias("room")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    each = each.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - 1, F.lit(DRAWS).cast("long"))))
+    each = each.withColumn("stem", F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.lit("")))
+
+    def draw(frames):
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                stem = row["stem"].encode()
+                digests = b"".join([md5(stem + b"%d" % k).digest() for k in range(row["first"], min(row["first"] + DRAWS, row["end"]))])
+                starts = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64) % row["room"]
+                starts.sort()
+                cuts = np.flatnonzero(np.diff(starts // width, prepend=-1, append=-1))
+                out += [(*[row[k] for k in keys], row["n"], row["rep"], starts[a] // width, (starts[a:b] % width).astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame(out, columns=[*keys, "n", "rep", "_b", "at"])
+
+    tasks = int(size.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.repartition(tasks, "stem", "first").mapInPandas(draw, f"{key_types(size, keys)}n bigint, rep int, _b bigint, at binary")
+
+
+def rho_of(sums: np.ndarray, vectors: bool, least: int) -> np.ndarray:
+    """The mean cosine of vectors or the pooled r of numbers (as ``pooled_r``) by replicate and lag from sums by replicate, statistic and lag; NaN where undefined."""
+    m = np.where(sums[:, 0] > 0, sums[:, 0], np.nan)
+    if vectors:
+        return np.where(m >= least, sums[:, 1] / m, np.nan)
+    a, b, aa, bb, ab = (sums[:, i] for i in range(1, 6))
+    va, vb = aa / m - a * a / (m * m), bb / m - b * b / (m * m)
+    varies = (m >= least) & (va > aa / m * 1e-14) & (vb > bb / m * 1e-14)
+    return np.where(varies, (ab / m - a * b / (m * m)) / np.sqrt(np.where(varies, va * vb, 1.0)), np.nan)
+
+
 def block_replicates(rows: DataFrame, keys: list[str], value: str, lags: list[int], *, block: int, reps: int, seed: int, inclusive: bool = True, least: int = 1) -> DataFrame:
     """Moving-block replicates of a series' lag curve, one row each: keys, rep, and arrays over ``lags``: ``pairs`` and ``rho``.
 
-    Pairs lie within drawn blocks. Those of a block are the ones whose later row comes before its end, less the ones whose earlier
-    row comes before its start: one lookup for either end. rho is the mean cosine of vectors, the pooled r of
-    numbers, and NULL at lags with fewer than ``least`` pairs.
+    Pairs lie within drawn blocks. A bucket knows the sums of each block that starts in it; the starts come to their buckets, four bytes each,
+    and of a bucket goes on one row of sums for each replicate. rho is the mean cosine of vectors, the pooled r of
+    numbers, and NULL at lags with fewer than ``least`` pairs. Of a series shorter than a block, only lags with k >= block - n count. Series with a null key have no rows.
     """
     vectors = is_vector(rows, value)
-    stats = VECTOR_STATS if vectors else NUMBER_STATS
+    rows = rows.na.drop(subset=keys)
     rows = rows if vectors else centred(rows, keys, value)
-    prefixes = kept(prefix_arrays(rows, keys, value, lags), "sums")
-    size = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("n"))
-    starts = hashed_starts(size, keys, block, reps, seed, inclusive=inclusive)
-    ends = F.array(F.struct(F.col("_start").alias("at"), F.lit(-1.0).alias("w")), F.struct((F.col("_start") + block).alias("at"), F.lit(1.0).alias("w")))
-    looked = starts.select(*keys, "rep", F.explode(ends).alias("_e")).select(*keys, "rep", "_e.*").where("at > 0")
-    met = looked.join(prefixes, [*keys, "at"]).withColumn("_x", F.when(F.col("w") > 0, F.col("later")).otherwise(F.col("earlier")))
-    slots = [(i * len(lags) + j, s, k) for i, s in enumerate(stats) for j, k in enumerate(lags)]
-    sums = [F.sum(F.col("w") * F.get("_x", F.lit(i))).alias(f"{s}_{k}") if k < block else F.lit(0.0).alias(f"{s}_{k}") for i, s, k in slots]
-    pooled = met.groupBy(*keys, "rep").agg(*sums)
-    curve = [
-        F.when(F.col(f"_m_{k}") >= least, F.col(f"_s_{k}") / F.nullif(F.col(f"_m_{k}"), F.lit(0.0)) if vectors else pooled_r(*[F.col(f"{s}_{k}") for s in stats]))
-        for k in lags
-    ]
-    return pooled.select(*keys, "rep", F.array(*[F.col(f"_m_{k}") for k in lags]).alias("pairs"), F.array(*curve).alias("rho"))
+    width = -(-block // BUCKET) * BUCKET
+    size = rows.groupBy(*keys).agg((F.max("idx") + 1).cast("long").alias("n"))
+    starts = dealt_starts(size, keys, block, reps, seed, inclusive=inclusive, width=width)
+    n_stats, n_lags, at_once = len(VECTOR_STATS if vectors else NUMBER_STATS), len(lags), DRAWS
+
+    def pooled(drawn: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        if drawn.empty or frame.empty:
+            return pd.DataFrame([], columns=[*keys, "rep", "sums"])
+        x, gaps = dense(frame, "_v", block, width)
+        x = np.full((len(x), 1), np.nan) if vectors and x.ndim == 1 else x  # no vector is there
+        sums = window_sums(x[block:], gaps[block:], lags, block, width)
+        sums.reshape(width, n_stats, n_lags)[:, :, [j for j, k in enumerate(lags) if k < block - drawn["n"].iloc[0]]] = 0.0
+        parts, ends = [], np.cumsum([len(x) // 4 for x in drawn["at"]])
+        cuts = [0, *np.flatnonzero(np.diff(ends // at_once) > 0) + 1, len(drawn)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                at = np.frombuffer(b"".join(drawn["at"].iloc[a:b]), "<u4")
+                parts.append(np.add.reduceat(sums[at], np.concatenate([[0], ends[a : b - 1] - (ends[a - 1] if a else 0)]), axis=0))
+        out = drawn[[*keys, "rep"]].copy()
+        out["sums"] = pd.Series(list(np.concatenate(parts)), index=out.index, dtype=object)
+        return out
+
+    dealt_rows = prepared(rows, keys, value, block, back=False, width=width)
+    found = starts.groupBy(*keys, "_b").cogroup(dealt_rows.groupBy(*keys, "_b")).applyInPandas(pooled, f"{key_types(rows, keys)}rep int, sums array<double>")
+
+    def curves(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rep", kind="stable")
+        firsts = np.flatnonzero(np.diff(frame["rep"], prepend=-1))
+        sums = np.add.reduceat(np.stack(list(frame["sums"])), firsts, axis=0).reshape(len(firsts), n_stats, n_lags)
+        out = frame[[*keys, "rep"]].iloc[firsts].copy()
+        for name, x in (("pairs", sums[:, 0]), ("rho", rho_of(sums, vectors, least))):
+            out[name] = pd.Series(list(x), index=out.index, dtype=object)
+        return out
+
+    schema = f"{key_types(rows, keys)}rep int, pairs array<double>, rho array<double>"
+    found = found.groupBy(*keys, F.floor(F.col("rep") / 64).alias("_some")).applyInPandas(curves, schema)
+    return found.withColumn("rho", F.transform("rho", present))
 
 
 def complete(replicates: DataFrame) -> DataFrame:
