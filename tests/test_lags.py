@@ -6,9 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import SF
 from tidewell.operators import lags
+from tidewell.plans import registry
 
 LAGS = [1, 2, 5, 7]
+#: Queries whose starts must not be exploded into the side of a join, which Spark takes for small and sends through the driver.
+DRAWN = ["floor_intervals"]
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +103,9 @@ def test_replicates_of_a_series_with_holes(rows, series, monkeypatch, width, len
         for j, k in enumerate(LAGS):
             near = [unit[i] @ unit[i + k] for s in starts if s.rep == r.rep for i in range(s["_start"], s["_start"] + length - k) if {i, i + k} <= there and block[i] == block[i + k]]
             assert r.pairs[j] == len(near) and r.rho[j] == (pytest.approx(np.mean(near), abs=1e-9) if near else None)
+
+
+@pytest.mark.parametrize("name", DRAWN)
+def test_starts_meet_their_sums_without_a_join(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "_start" not in plan
