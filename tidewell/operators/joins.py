@@ -82,17 +82,35 @@ def within_interval(points: DataFrame, logs: DataFrame, point_s: Column, log_s:
 
 def first_interval(points: DataFrame, intervals: DataFrame, point_key: str, point_s: Column, start_s: Column, end_s: Column, label: str, reach: float, keys: list[str] | None = None) -> DataFrame:
     """Adds ``near``: the label of the first interval, by start and label, that begins at most ``reach`` seconds after the point
-    and ends at most as long before it; null if there is none. Intervals go to the buckets that they can serve.
+    and ends at most as long before it; null if there is none. Intervals and times that are null or NaN count nowhere.
     With ``keys``, only intervals of the point's own series count; a null key has none.
+
+    No pairs are made. Each interval goes to buckets narrower than itself, so it begins in one and ends in a later one: in its first bucket it
+    serves the points from its start on, in its last one those up to its end, in those between all of them, of which the least interval is enough.
+    A window in either direction carries the least interval so far to each point. Intervals of much different lengths have buckets of their
+    own, twice as wide from one class of lengths to the next, and points go to all classes that there are; intervals without length have a bucket each.
     """
     keys = keys or []
     low, high = start_s - reach, end_s + reach
-    b = intervals.select(*keys, F.col(label).alias("_label"), start_s.alias("_start"), low.alias("_low"), high.alias("_high"))
-    b = b.where("_low <= _high").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / reach), F.floor(F.col("_high") / reach))))
-    a = points.select(*keys, point_key, point_s.alias("_s")).withColumn("_b", F.floor(F.col("_s") / reach))
-    met = a.join(b, [*keys, "_b"]).where(F.col("_s").between(F.col("_low"), F.col("_high")))
-    first = met.groupBy(point_key).agg(F.min(F.struct("_start", "_label")).alias("_f"))
-    return points.join(first.select(point_key, F.col("_f._label").alias("near")), point_key, "left")
+    b = intervals.na.drop(subset=keys).select(*keys, F.struct(start_s.alias("s"), F.col(label).alias("label")).alias("_f"), low.cast("double").alias("_low"), high.cast("double").alias("_high"))
+    b = b.where("_low <= _high AND NOT isnan(_low) AND NOT isnan(_high)")
+    b = b.withColumn("_w", F.when(F.col("_high") > F.col("_low"), F.pow(F.lit(2.0), F.floor(F.log2(F.col("_high") - F.col("_low"))) - 1)).otherwise(0.0))
+    bucket = lambda x: F.when(F.col("_w") > 0, F.floor(x / F.col("_w")).cast("double")).otherwise(x)
+    b = b.withColumns({"_first": bucket(F.col("_low")), "_last": bucket(F.col("_high"))})
+    whole = b.where("_last > _first + 1").withColumn("_b", F.explode(F.sequence((F.col("_first") + 1).cast("long"), (F.col("_last") - 1).cast("long"))))
+    whole = whole.groupBy(*keys, "_w", "_b").agg(F.min("_f").alias("_from")).select(*keys, "_w", F.col("_b").cast("double").alias("_b"), F.lit(float("-inf")).alias("_at"), "_from")
+    begun = b.groupBy(*keys, "_w", F.col("_first").alias("_b"), F.col("_low").alias("_at")).agg(F.min("_f").alias("_from"))
+    ended = b.where("_w > 0").groupBy(*keys, "_w", F.col("_last").alias("_b"), F.col("_high").alias("_at")).agg(F.min("_f").alias("_until"))
+    classes = b.select("_w").distinct()
+    a = points.na.drop(subset=keys).select(*keys, F.struct(point_key).alias("_p"), point_s.cast("double").alias("_at")).where("_at IS NOT NULL AND NOT isnan(_at)")
+    a = a.join(F.broadcast(classes)).withColumn("_b", bucket(F.col("_at")))  # some classes of lengths
+    rows = a.unionByName(whole.unionByName(begun), allowMissingColumns=True).unionByName(ended, allowMissingColumns=True)
+    series = Window.partitionBy(*keys, "_w", "_b")
+    before = series.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = series.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.select("_p", F.least(F.min("_from").over(before), F.min("_until").over(after)).alias("_f")).where("_p IS NOT NULL AND _f IS NOT NULL")
+    first = met.groupBy(F.col(f"_p.{point_key}").alias(point_key)).agg(F.min("_f").alias("_f"))
+    return points.join(first.select(point_key, F.col("_f.label").alias("near")), point_key, "left")
 
 
 def lag_pairs(df: DataFrame, keys: list[str], ts: str, value: str, lags: int, limit_h: float, tie: str | None = None) -> DataFrame:
