@@ -75,11 +75,12 @@ def two_groups(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
     )
 
 
-def side_steps(df: DataFrame, keys: list[str], side: Column, value: str) -> DataFrame:
-    """Per key and distinct value: rows of both sides, ``a`` and ``b``, and of values up to it. Null values and sides count as no row."""
-    rows = df.select(*keys, side.alias("_a"), F.col(value).alias("_v"))
+def side_steps(df: DataFrame, keys: list[str], side: Column, value: str, weight: Column | None = None) -> DataFrame:
+    """Per key and distinct value: rows of both sides (or their weights), ``a`` and ``b``, and of values up to it. Null values and sides count as no row."""
+    rows = df.select(*keys, side.alias("_a"), F.col(value).alias("_v"), (F.lit(1) if weight is None else weight).cast("long").alias("_w"))
     there = F.col("_v").isNotNull()
-    return value_steps(rows, keys, "_v", {"a": F.coalesce(F.col("_a") & there, F.lit(False)).cast("long"), "b": F.coalesce(~F.col("_a") & there, F.lit(False)).cast("long")})
+    amount = lambda own: F.when(own & there, F.col("_w")).otherwise(F.lit(0).cast("long"))
+    return value_steps(rows, keys, "_v", {"a": amount(F.col("_a")), "b": amount(~F.col("_a"))})
 
 
 #: Fewest values on each side for a p value.
@@ -108,12 +109,12 @@ def mann_whitney(df: DataFrame, keys: list[str], side: Column, value: str, *, le
     return tested.select(*keys, "n_a", "n_b", "u", "z", p.alias("p"))
 
 
-def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str, *, least: int = LEAST) -> DataFrame:
+def kolmogorov_smirnov(df: DataFrame, keys: list[str], side: Column, value: str, *, least: int = LEAST, weight: Column | None = None) -> DataFrame:
     """Largest distance of the two empirical distributions and its p, NULL below ``least`` values on a side. Tied values step together.
 
     p is exact up to ``exact.SMALL_DISTANCES`` values on the larger side, else asymptotic.
     """
-    steps = side_steps(df, keys, side, value)
+    steps = side_steps(df, keys, side, value, weight)
     sized = beside(steps, steps.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), keys, ["n_a", "n_b"])
     share = lambda g: F.col(f"up_to_{g}") / F.nullif(F.col(f"n_{g}").cast("double"), F.lit(0.0))
     far = sized.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(share("a") - share("b"))).alias("d")).where("n_a + n_b > 0")
@@ -239,9 +240,25 @@ def against_null(df: DataFrame, keys: list[str], observed: Column, value: str) -
     x = F.col(value)
     sides = (("obs", F.when(observed, x)), ("null", F.when(~observed, x)))
     stats = df.groupBy(*keys).agg(*[f(v).alias(f"{name}_{g}") for g, v in sides for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop))])
+    return null_readings(stats, kolmogorov_smirnov(df, keys, observed, value), keys)
+
+
+def null_readings(stats: DataFrame, distances: DataFrame, keys: list[str]) -> DataFrame:
     table = stats.withColumns({"mean_diff": F.col("mean_obs") - F.col("mean_null"), "std_ratio": safe_div(F.col("std_obs"), F.col("std_null"))})
-    ks = kolmogorov_smirnov(df, keys, observed, value).select(*keys, "d", "p")
-    return beside(table, ks, keys, ["d", "p"]).withColumns({"tighter": F.col("std_ratio") < 0.9, "displaced": F.abs("mean_diff") > 0.05})
+    return beside(table, distances.select(*keys, "d", "p"), keys, ["d", "p"]).withColumns({"tighter": F.col("std_ratio") < 0.9, "displaced": F.abs("mean_diff") > 0.05})
+
+
+def against_null_sums(seen: DataFrame, sums: DataFrame, null: str, keys: list[str], value: str) -> DataFrame:
+    """``against_null`` of observed values (keys, value), against each null of which there are sums by ``null`` and the keys: ``n``, ``mean`` and ``m2``
+    (squared distances from it) of parts of its values, and their ``counts`` at ``values``, where those between two observed ones may stand together."""
+    own = seen.groupBy(*keys).agg(F.count(value).alias("n_obs"), F.avg(value).alias("mean_obs"), F.stddev_pop(value).alias("std_obs"))
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) / n - mean * mean
+    nulls = sums.groupBy(null, *keys).agg(n.alias("n_null"), mean.alias("mean_null"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std_null"))
+    stats = beside(nulls, own, keys, ["n_obs", "mean_obs", "std_obs"]).select(null, *keys, "n_obs", "mean_obs", "std_obs", "n_null", "mean_null", "std_null")
+    counted = sums.select(null, *keys, F.inline(F.arrays_zip("values", "counts"))).select(null, *keys, F.col("values").alias("_x"), F.col("counts").alias("_n"), F.lit(False).alias("_o"))
+    both = nulls.select(null, *keys).join(seen, keys).select(null, *keys, F.col(value).alias("_x"), F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_o"))
+    return null_readings(stats, kolmogorov_smirnov(both.unionByName(counted), [null, *keys], F.col("_o"), "_x", weight=F.col("_n")), [null, *keys])
 
 
 def two_largest_periods(df: DataFrame, period: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import cosine_distance, safe_div
-from tidewell.operators import compare, describe, drifts, lexical, ordered, vectors
+from tidewell.operators import angles, compare, describe, drifts, lexical, ordered, vectors
 from tidewell.plans.series import rounded
 from tidewell.plans.tables import midpoint, read, token_maps
 from tidewell.plans.tables import vectors as vector_table
@@ -150,12 +150,8 @@ def angle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def angle_null_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles of layer pairs, apart and all together, against both nulls: normal vectors of the same lengths, and permuted layers."""
-    table = layers(spark, sf_dir)
-    nulls = {"gaussian": vectors.gaussian_angles(table, "block", LAYERS, 200, 42), "permuted": vectors.pair_distances(permuted_layers(table, 200, 42), ["rep"], LAYERS)}
-    seen = vectors.pair_distances(table, [], LAYERS).select("pair", "angle", F.lit(True).alias("observed"))
-    both = [seen.unionByName(x.select("pair", "angle", F.lit(False).alias("observed"))).withColumn("null", F.lit(name)) for name, x in nulls.items()]
-    rows = both[0].unionByName(both[1]).withColumn("pair", F.explode(F.array("pair", F.lit("all"))))
-    return compare.against_null(rows, ["null", "pair"], F.col("observed"), "angle")
+    seen, sums = angles.angle_sums(kept(layers(spark, sf_dir), "states"), "block", LAYERS, 200, 42)
+    return compare.against_null_sums(seen, kept(sums, "angle_sums"), "null", ["pair"], "angle")
 
 
 def entropy_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
